@@ -9,6 +9,8 @@ here as plain text and used everywhere else by name.
 # same in every regular-expression engine.
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x1f\x85\p{Z}"
+# The same white space as single characters.
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # --- segment classes ---------------------------------------------------------
 NUMBER_DIGITS = r"\p{Nd}+(?:_\p{Nd}+)*"

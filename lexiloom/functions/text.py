@@ -13,31 +13,30 @@ from lexiloom.functions import fixed_values as fixed
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, Unicode blanks included."""
-    return F.regexp_replace(text, rf"^[{fixed.SPACE}]+|[{fixed.SPACE}]+\z", "")
+    return F.btrim(text, F.lit(fixed.SPACE_CHARS))
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(rf"[^{fixed.SPACE}]")
+    return text.isNull() | (strip(text) == "")
 
 
-def is_number(text: Column) -> Column:
+# The next three take a text that is stripped already, so that operators can
+# strip once and ask several questions.
+def is_number(bare: Column) -> Column:
     """Anything a decimal parser takes, with a comma as decimal point too, or four and more digits.
 
     A pattern, not a cast: casts take type suffixes and refuse grouping underscores.
     """
-    bare = strip(text)
     return bare.rlike(fixed.NUMBER) | bare.rlike(fixed.LONG_DIGITS)
 
 
-def is_roman(text: Column) -> Column:
-    bare = F.lower(strip(text))
-    return (bare != "") & bare.rlike(fixed.ROMAN)
+def is_roman(bare: Column) -> Column:
+    return (bare != "") & F.lower(bare).rlike(fixed.ROMAN)
 
 
-def preserve_reason(text: Column) -> Column:
+def preserve_reason(bare: Column) -> Column:
     """Why a text is kept as it is, NULL when it is not."""
-    bare = strip(text)
-    reason = F.when(is_blank(text), "blank")
+    reason = F.when(bare.isNull() | (bare == ""), "blank")
     for name, pattern in fixed.PRESERVE.items():
         reason = reason.when(bare.rlike(pattern), name)
     return reason.when(
@@ -86,11 +85,14 @@ def spaced(text: Column, prefixes: bool = False) -> Column:
 
 
 def without_phrases(text: Column) -> Column:
-    """Unwanted phrases removed one after the other; each removal also strips."""
-    return reduce(
-        lambda t, phrase: F.when(t.contains(phrase), strip(F.replace(t, F.lit(phrase), F.lit("")))).otherwise(t),
-        fixed.REMOVED_PHRASES,
-        text,
+    """Unwanted phrases removed one after the other; each removal also strips.
+
+    A fold over the phrases: nested conditions would repeat the text three times
+    per phrase and grow without end.
+    """
+    phrases = F.array(*[F.lit(p) for p in fixed.REMOVED_PHRASES])
+    return F.aggregate(
+        phrases, text, lambda t, phrase: F.when(F.contains(t, phrase), strip(F.replace(t, phrase, F.lit("")))).otherwise(t)
     )
 
 

@@ -50,7 +50,7 @@ def tm_misses(keyed: DataFrame, memory: DataFrame, text: str = "text") -> DataFr
     Duplicates go first, inside each task and then per key, so that the join
     with the memory sees every text once and no key is hot.
     """
-    wanted = keyed.filter(F.col("key").isNotNull()).groupBy(*IDENTITY).agg(F.first(text).alias("source"))
+    wanted = keyed.filter(F.col("key").isNotNull()).select(*IDENTITY, F.col(text).alias("source")).distinct()
     known = memory.filter(F.col("target") != "").select(*IDENTITY)
     return wanted.join(known, IDENTITY, "left_anti")
 

@@ -18,16 +18,17 @@ PARAGRAPH = ["doc", "part", "para_idx"]
 
 def classify_segments(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds `kind` (blank, number, roman, short or text), and `preserve_reason` for texts kept as they are."""
-    t = F.col(text)
-    short = (F.length(strip(t)) <= fixed.SHORT_TEXT) & ~t.contains(".")
+    t, bare = F.col(text), F.col("_bare")
+    short = (F.length(bare) <= fixed.SHORT_TEXT) & ~t.contains(".")
     kind = (
-        F.when(is_blank(t), "blank")
-        .when(is_number(t), "number")
-        .when(is_roman(t), "roman")
+        F.when(bare.isNull() | (bare == ""), "blank")
+        .when(is_number(bare), "number")
+        .when(is_roman(bare), "roman")
         .when(short, "short")
         .otherwise("text")
     )
-    return df.withColumn("kind", kind).withColumn("preserve_reason", preserve_reason(t))
+    stripped = df.withColumn("_bare", strip(t))
+    return stripped.withColumn("kind", kind).withColumn("preserve_reason", preserve_reason(bare)).drop("_bare")
 
 
 def class_summary(classified: DataFrame) -> DataFrame:
@@ -42,11 +43,13 @@ def assemble_segments(runs: DataFrame, keep_runs: bool = True) -> DataFrame:
     characters or fewer. `runs` keeps the text elements, so that the translation
     can be given back to them without another join; the group is one paragraph.
     """
-    t = F.col("text")
-    kind = F.when(is_number(t), "number").when(is_roman(t), "roman").otherwise("text")
-    element = F.struct("run_idx", "text_idx", "text", kind.alias("kind"))
+    bare = F.col("_bare")
+    kind = F.when(is_number(bare), "number").when(is_roman(bare), "roman").otherwise("text")
+    element = F.struct("run_idx", "text_idx", "text", "kind")
     ordered = (
-        runs.filter(~is_blank(t))
+        runs.withColumn("_bare", strip(F.col("text")))
+        .filter(bare != "")
+        .withColumn("kind", kind)
         .groupBy(*PARAGRAPH)
         .agg(F.sort_array(F.collect_list(element)).alias("runs"))
     )

@@ -80,11 +80,11 @@ def cut_into_slices(
     coarse = F.filter("_borders", lambda _, i: (i + 1) % F.lit(_STRIDE) == 0)
     passed = F.size(F.filter(coarse, lambda b: b < F.col("_at"))) * F.lit(_STRIDE)
     fine = F.slice("_borders", F.col("_passed") + 1, F.lit(_STRIDE))
-    joined = (
-        join_keeping_nulls(df, F.broadcast(borders), keys)
-        if keys
-        else df.crossJoin(F.broadcast(borders))  # a single row: quantiles of the whole table
-    )
+    if keys:
+        joined = join_keeping_nulls(df, F.broadcast(borders), keys)
+    else:
+        # One group: its borders are at most `slices` numbers and become a literal.
+        joined = df.withColumn("_borders", F.array(*[F.lit(b) for b in borders.first()["_borders"]]).cast("array<double>"))
     return (
         joined.withColumn("_at", at)
         .withColumn("_passed", passed)

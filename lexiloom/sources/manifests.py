@@ -36,9 +36,8 @@ def _numbers(text: Column, kind: str) -> Column:
     return F.transform(F.split(text, ",", -1), lambda n: strip(n).try_cast(kind))
 
 
-def _points(text: Column) -> Column:
-    """`x1,y1,x2,y2,...` -> points; NULL unless every number is there and they pair up."""
-    n = _numbers(text, "double")
+def _points(n: Column) -> Column:
+    """x1, y1, x2, y2, ... -> points; NULL unless every number is there and they pair up."""
     pairs = F.transform(
         F.sequence(F.lit(0), F.floor(F.size(n) / 2).cast("int") - 1),
         lambda i: F.struct(F.get(n, i * 2).alias("x"), F.get(n, i * 2 + 1).alias("y")),
@@ -47,9 +46,8 @@ def _points(text: Column) -> Column:
     return F.when(whole, pairs)
 
 
-def _rect(text: Column) -> Column:
-    """`x,y,w,h` -> struct; NULL unless the first four are whole numbers."""
-    n = _numbers(text, "int")
+def _rect(n: Column) -> Column:
+    """x, y, w, h -> struct; NULL unless the first four are whole numbers."""
     first = F.slice(n, 1, 4)
     return F.when(
         (F.size(first) == 4) & ~F.exists(first, lambda v: v.isNull()),
@@ -76,14 +74,17 @@ def parse_manifest(lines: DataFrame, kind: str, header: str | None = None) -> tu
     typed = {
         "index": lambda c: strip(c).try_cast("int"),
         "confidence": lambda c: strip(c).try_cast("double"),
-        "box": _points,
-        "rect": _rect,
+        "box": lambda c: _numbers(c, "double"),
+        "rect": lambda c: _numbers(c, "int"),
         HAS_TEXT: lambda c: F.lower(strip(c)) != "false",
     }
     enough = F.size("_p") >= needed
     for i, name in enumerate(fields):
         raw = F.get("_p", F.lit(i))
         line = line.withColumn(name, typed[name](raw) if name in typed else raw)
+    # A second projection: the lists of numbers are read many times, but made once.
+    shapes = {"box": _points, "rect": _rect}
+    line = line.withColumns({name: shapes[name](F.col(name)) for name in fields if name in shapes})
     if kind == "translated" and HAS_TEXT not in fields:
         line = line.withColumn(HAS_TEXT, F.coalesce(F.lower(strip(F.get("_p", F.lit(needed)))) != "false", F.lit(True)))
     bad = F.lit(False)
@@ -92,9 +93,12 @@ def parse_manifest(lines: DataFrame, kind: str, header: str | None = None) -> tu
             bad = bad | F.col(name).isNull()
     judged = line.withColumn("_reason", F.when(~enough, "too_few_fields").when(bad, "bad_number"))
     kept = [*others, *fields] + ([HAS_TEXT] if kind == "translated" and HAS_TEXT not in fields else [])
-    good = judged.filter(F.col("_reason").isNull()).select(*kept)
-    rejects = judged.filter(F.col("_reason").isNotNull() & (F.col("line") != ""))
-    return good, rejects.select(*others, "line", F.col("_reason").alias("reason"))
+    # Rows are picked by a generator, not by a filter: a filter on parsed columns
+    # would be pushed below the parsing and parse every line a second time.
+    pick = lambda condition, row: F.inline(F.when(condition, F.array(F.struct(*row))))
+    good = judged.select(pick(F.col("_reason").isNull(), kept))
+    rejected = F.col("_reason").isNotNull() & (F.col("line") != "")
+    return good, judged.select(pick(rejected, [*others, "line", F.col("_reason").alias("reason")]))
 
 
 def read_ocr_manifest(spark: SparkSession, path: str, kind: str, by_header: bool = False) -> tuple[DataFrame, DataFrame]:
