@@ -78,7 +78,7 @@ def cut_into_slices(
     )
     # Two short scans instead of one over all borders: every 32nd, then the 32 between.
     coarse = F.filter("_borders", lambda _, i: (i + 1) % F.lit(_STRIDE) == 0)
-    passed = F.size(F.filter(coarse, lambda b: b < F.col("_at"))) * F.lit(_STRIDE)
+    passed = F.size(F.filter(coarse, lambda b: b < F.col("_sliced_by"))) * F.lit(_STRIDE)
     fine = F.slice("_borders", F.col("_passed") + 1, F.lit(_STRIDE))
     if keys:
         joined = join_keeping_nulls(df, F.broadcast(borders), keys)
@@ -86,10 +86,10 @@ def cut_into_slices(
         # One group: its borders are at most `slices` numbers and become a literal.
         joined = df.withColumn("_borders", F.array(*[F.lit(b) for b in borders.first()["_borders"]]).cast("array<double>"))
     return (
-        joined.withColumn("_at", at)
+        joined.withColumn("_sliced_by", at)
         .withColumn("_passed", passed)
-        .withColumn("_slice", F.col("_passed") + F.size(F.filter(fine, lambda b: b < F.col("_at"))))
-        .drop("_borders", "_at", "_passed")
+        .withColumn("_slice", F.col("_passed") + F.size(F.filter(fine, lambda b: b < F.col("_sliced_by"))))
+        .drop("_borders", "_sliced_by", "_passed")
     )
 
 

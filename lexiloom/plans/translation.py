@@ -22,9 +22,11 @@ def translate_misses(misses: DataFrame, factory: Factory, protect: str | None =
     """`source` -> `target` and `outcome` (translated, reverted or failed) for distinct texts.
 
     Mask, repair, call, clean, unmask, then revert to the source when the answer
-    is an excuse. `tasks` is the number of concurrent callers, for services that
-    limit them.
+    is an excuse. `tasks` is the number of tasks that call the function: fewer for
+    a service that limits its callers, more for very many texts, so that a
+    repeated task costs little. By default every core gets two.
     """
+    misses = misses.repartition(tasks or 2 * misses.sparkSession.sparkContext.defaultParallelism)
     if protect == "formats":
         prepared = mask_formats(misses, "source").withColumn("masked", strip(spaced(F.col("masked"))))
     elif protect == "links":
@@ -32,8 +34,6 @@ def translate_misses(misses: DataFrame, factory: Factory, protect: str | None =
     else:
         none = F.array().cast("array<struct<placeholder: string, original: string>>")
         prepared = misses.withColumn("masked", F.col("source")).withColumn("spans", none)
-    if tasks:
-        prepared = prepared.repartition(tasks)
     answered = prepared.withColumn("_answer", text_hook(factory, attempts)(F.col("masked")))
     clean = without_phrases(F.col("_answer")) if protect == "formats" else F.col("_answer")
     reverted = contains_any(F.col("_restored"), fixed.REVERT_MARKERS)
