@@ -35,10 +35,12 @@ def chunk_corpus(
         for batch in batches:
             chunks = [split_text(t or "", size, overlap) for t in batch[text]]
             counts = [len(c) for c in chunks]
+            if not any(counts):
+                continue
             yield pd.DataFrame(
                 {
                     name: batch[name].repeat(counts).to_numpy(),
-                    "chunk_idx": np.concatenate([np.arange(n, dtype="int32") for n in counts] or [np.array([], "int32")]),
+                    "chunk_idx": np.concatenate([np.arange(n, dtype="int32") for n in counts]),
                     "chunk_size": np.full(sum(counts), size, dtype="int32"),
                     "text": [chunk for of_doc in chunks for chunk in of_doc],
                 }

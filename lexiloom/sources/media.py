@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,39 @@ def media_verdict(files: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"unknown kind of media: {kind}")
 
 
-def media_manifest(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+def _empty_below(folder: str, recursive: bool) -> list[tuple[str, bool]]:
+    """(path, is a folder) of empty files below `folder`, and of its folders when not recursive."""
+    files, root = fs.FileSystem.from_uri(folder)
+    scheme = folder.split("://", 1)[0] + "://" if "://" in folder else ""
+    found = files.get_file_info(fs.FileSelector(root, recursive=recursive))
+    folders = [(scheme + f.path, True) for f in found if f.type == fs.FileType.Directory and not recursive]
+    return folders + [(scheme + f.path, False) for f in found if f.type == fs.FileType.File and f.size == 0]
+
+
+def empty_files(spark: SparkSession, folder: str) -> DataFrame:
+    """`path, length` of empty files, which Spark's own file scan leaves out.
+
+    One task lists the folder itself, then each folder in it is a row of its own.
+    """
+
+    def listed(recursive: bool):
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [row for path in batch["path"] for row in _empty_below(path, recursive)]
+                yield pd.DataFrame(rows, columns=["path", "folder"])
+
+        return work
+
+    schema = "path string, folder boolean"
+    top = spark.range(1, numPartitions=1).select(F.lit(folder).alias("path")).mapInPandas(listed(False), schema)
+    inner = top.filter("folder").select("path").repartition("path").mapInPandas(listed(True), schema)
+    empty = top.filter("NOT folder").unionByName(inner)
+    return empty.select("path", F.lit(0).cast("long").alias("length"))
+
+
+def media_manifest(spark: SparkSession, folder: str, kind: str, with_empty: bool = True) -> DataFrame:
     """Files below `folder` with their verdict; the scan never reads the contents."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     )
-    return media_verdict(files, kind)
+    return media_verdict(files.unionByName(empty_files(spark, folder)) if with_empty else files, kind)
