@@ -26,12 +26,19 @@ def is_number(bare: Column) -> Column:
     """Anything a decimal parser takes, with a comma as decimal point too, or four and more digits.
 
     A pattern, not a cast: casts take type suffixes and refuse grouping underscores.
+    Most words fail on their first character already, which is far cheaper to
+    look at than to run a pattern: digits, signs and points sort up to "9",
+    other scripts sort behind "~", and the rest can only be inf or nan.
     """
-    return bare.rlike(fixed.NUMBER) | bare.rlike(fixed.LONG_DIGITS)
+    first = F.substring(bare, 1, 1)
+    possible = (first <= "9") | (first > "~") | first.isin("i", "I", "n", "N")
+    return possible & (bare.rlike(fixed.NUMBER) | bare.rlike(fixed.LONG_DIGITS))
 
 
 def is_roman(bare: Column) -> Column:
-    return (bare != "") & F.lower(bare).rlike(fixed.ROMAN)
+    first, longest = F.substring(bare, 1, 1), len("mmmmdccclxxxviii")
+    possible = first.isin(*"ivxlcdmIVXLCDM") & (F.length(bare) <= longest)
+    return possible & F.lower(bare).rlike(fixed.ROMAN)
 
 
 def preserve_reason(bare: Column) -> Column:

@@ -8,7 +8,8 @@ each link depends on the one before.
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,25 +22,11 @@ from lexiloom.session import materialize
 SECOND = 1_000_000
 
 
-def fold_hits(at: np.ndarray, storable: np.ndarray, ttl: int, expires: int | None = None) -> tuple[np.ndarray, int | None]:
-    """Hit flags of one key's requests in order, and when the last entry expires.
-
-    `expires` is the expiry of an entry set before these requests.
-    """
-    hits = np.zeros(len(at), dtype=bool)
-    setters = np.flatnonzero(storable)
-    done = 0
-    if expires is not None:
-        done = int(np.searchsorted(at, expires, side="left"))
-        hits[:done] = True
-    while True:
-        nxt = int(np.searchsorted(setters, done, side="left"))
-        if nxt == len(setters):
-            return hits, expires
-        setter = int(setters[nxt])
-        expires = int(at[setter]) + ttl
-        done = int(np.searchsorted(at, expires, side="left"))
-        hits[setter + 1 : done] = True
+def serve(at: int, storable: bool, expires: int | None, ttl: int) -> tuple[bool, int | None]:
+    """(hit, when the entry expires afterwards) for one request."""
+    if expires is not None and at < expires:
+        return True, expires
+    return False, at + ttl if storable else expires
 
 
 def ttl_cache_replay(
@@ -54,7 +41,7 @@ def ttl_cache_replay(
     """Adds `hit` to every request.
 
     `storable` names a boolean column (false: the answer was empty or could not
-    be read, so it is not kept). Ordinary keys are folded in one pass each. Keys
+    be read, so it is not kept). Ordinary keys are folded in one sorted pass. Keys
     with more than `max_rows` requests are solved by pointer jumping, which
     spreads one key over all tasks.
     """
@@ -70,13 +57,23 @@ def ttl_cache_replay(
 
 
 def _fold_usual(timed: DataFrame, key: str, tie: str, ttl: int) -> DataFrame:
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_at", tie], kind="stable")
-        hits, _ = fold_hits(group["_at"].to_numpy(), group["_keep"].to_numpy(dtype=bool), ttl)
-        return group.assign(hit=hits)
+    """One sorted pass per task. Spark sorts and spills; the fold holds one number, whatever the key's length."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, expires = object(), None
+        for batch in batches:
+            hits = []
+            for this, at, keep in zip(batch[key].tolist(), batch["_at"].tolist(), batch["_keep"].tolist()):
+                # A missing key arrives as NaN, which equals nothing.
+                this = None if this != this else this
+                if this != current:
+                    current, expires = this, None
+                hit, expires = serve(at, keep, expires, ttl)
+                hits.append(hit)
+            yield batch.assign(hit=hits)
 
     schema = timed.withColumn("hit", F.lit(True)).schema
-    return timed.groupBy(key).applyInPandas(fold, schema)
+    return timed.repartition(key).sortWithinPartitions(key, "_at", tie).mapInPandas(fold, schema)
 
 
 def _first_at_or_after(nodes: DataFrame, key: str, ttl: int, max_rows: int) -> DataFrame:

@@ -7,6 +7,8 @@ the balance alone. A running sum would be wrong after the first refusal.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,27 +22,38 @@ from lexiloom.session import materialize
 OK, INSUFFICIENT, BAD_AMOUNT, NO_USER = "ok", "insufficient", "bad_amount", "no_such_user"
 
 
-def fold_balance(kinds, amounts, balance: int) -> tuple[list[str], list[int], int]:
-    """Verdicts and running balances of one user's movements in order, and the last balance."""
-    verdicts, balances = [], []
-    for kind, amount in zip(kinds, amounts):
-        if amount <= 0:
-            verdict = BAD_AMOUNT
-        elif kind == "add":
-            verdict, balance = OK, balance + amount
-        elif balance < amount:
-            verdict = INSUFFICIENT
-        else:
-            verdict, balance = OK, balance - amount
-        verdicts.append(verdict)
-        balances.append(balance)
-    return verdicts, balances, balance
+def move(kind: str, amount: int, balance: int) -> tuple[str, int]:
+    """(verdict, balance afterwards) for one movement."""
+    if amount <= 0:
+        return BAD_AMOUNT, balance
+    if kind == "add":
+        return OK, balance + amount
+    return (OK, balance - amount) if balance >= amount else (INSUFFICIENT, balance)
+
+
+def _fold_in_order(keys: list[str], opening: str):
+    """A pass over rows sorted by `keys`, time and seq: every new key starts from its `opening` balance."""
 
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, balance = None, 0
+        for batch in batches:
+            verdicts, balances = [], []
+            columns = [batch[c].tolist() for c in (opening, "kind", "amount", *keys)]
+            for start, kind, amount, *key in zip(*columns):
+                if key != current:
+                    current, balance = key, start
+                verdict, balance = move(kind, amount, balance)
+                verdicts.append(verdict)
+                balances.append(balance)
+            yield batch.assign(verdict=verdicts, balance=balances)
 
-def _fold_frame(group: pd.DataFrame, start: int) -> pd.DataFrame:
-    group = group.sort_values(["_at", "seq"], kind="stable")
-    verdicts, balances, _ = fold_balance(group["kind"].tolist(), group["amount"].tolist(), start)
-    return group.assign(verdict=verdicts, balance=balances)
+    return fold
+
+
+def _fold_sorted(rows: DataFrame, keys: list[str], opening: str) -> DataFrame:
+    """Adds `verdict` and `balance`. Spark sorts and spills; the fold holds one number."""
+    judged = T.StructType([*rows.schema, T.StructField("verdict", T.StringType()), T.StructField("balance", T.LongType())])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_at", "seq").mapInPandas(_fold_in_order(keys, opening), judged)
 
 
 def replay_credits(
@@ -71,11 +84,9 @@ def replay_credits(
         known = joined.filter(F.col("_start").isNotNull())
         strangers = joined.filter(F.col("_start").isNull())
     usual, hot = split_hot(known, ["user_id"], max_rows)
-    schema = known.withColumn("verdict", F.lit("")).withColumn("balance", F.lit(0).cast("long")).schema
-    fold = lambda group: _fold_frame(group, int(group["_start"].iloc[0]))
-    result = usual.groupBy("user_id").applyInPandas(fold, schema)
+    result = _fold_sorted(usual, ["user_id"], "_start")
     if hot is not None:
-        result = result.unionByName(_replay_hot(hot, schema, max_rows))
+        result = result.unionByName(_replay_hot(hot, max_rows))
     if strangers is not None:
         result = result.unionByName(
             strangers.withColumn("verdict", F.lit(NO_USER)).withColumn("balance", F.lit(None).cast("long"))
@@ -107,7 +118,7 @@ def _advance(group: pd.DataFrame) -> pd.DataFrame:
     return group.head(len(entries)).assign(_entry=entries)
 
 
-def _replay_hot(hot: DataFrame, schema, max_rows: int) -> DataFrame:
+def _replay_hot(hot: DataFrame, max_rows: int) -> DataFrame:
     sliced = materialize(cut_into_slices(hot, ["user_id"], F.col("_at"), max_rows))
     # One row per slice and hot user: at most 1024 per user (see skew.py), so a user's rows fit one task.
     needs = materialize(_slice_needs(sliced))
@@ -129,25 +140,9 @@ def _replay_hot(hot: DataFrame, schema, max_rows: int) -> DataFrame:
         entries = step if entries is None else materialize(entries.unionByName(step))
         short = known.filter(F.col("_entry") < F.col("needed")).select("user_id", "_slice", "_entry")
         replayed = join_keeping_nulls(sliced, F.broadcast(short), ["user_id", "_slice"], "inner")
-        state = materialize(
-            replayed.groupBy("user_id", "_slice").applyInPandas(_last_balance, "user_id long, _balance long, _next int")
+        ended = _fold_sorted(replayed, ["user_id", "_slice"], "_entry").groupBy("user_id").agg(
+            F.max_by("balance", F.struct("_at", "seq")).alias("_balance"), (F.max("_slice") + 1).alias("_next")
         )
-    before = F.broadcast(entries)
-    opened = join_keeping_nulls(sliced.drop("_start"), before.withColumnRenamed("_entry", "_start"), ["user_id", "_slice"])
-    fold = lambda group: _fold_frame(group, int(group["_start"].iloc[0]))
-    columns = [f.name for f in schema if f.name not in ("verdict", "balance")]
-    out = T.StructType([*schema.fields, T.StructField("_slice", T.IntegerType())])
-    return (
-        opened.select(*columns, F.col("_slice").cast("int").alias("_slice"))
-        .groupBy("user_id", "_slice")
-        .applyInPandas(lambda g: fold(g)[out.names], out)
-        .drop("_slice")
-    )
-
-
-def _last_balance(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["_at", "seq"], kind="stable")
-    _, _, balance = fold_balance(group["kind"].tolist(), group["amount"].tolist(), int(group["_entry"].iloc[0]))
-    return pd.DataFrame(
-        {"user_id": [group["user_id"].iloc[0]], "_balance": [balance], "_next": [int(group["_slice"].iloc[0]) + 1]}
-    )
+        state = materialize(ended)
+    opened = join_keeping_nulls(sliced.drop("_start"), F.broadcast(entries), ["user_id", "_slice"], "inner")
+    return _fold_sorted(opened.withColumnRenamed("_entry", "_start"), ["user_id", "_slice"], "_start").drop("_slice")

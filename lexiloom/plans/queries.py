@@ -295,11 +295,9 @@ def manifest_rejects(t: Tables) -> DataFrame:
 @query
 def ocr_results(t: Tables) -> DataFrame:
     """The nested documents with their list of lines as JSON text."""
-    keys = ["image_id", "pos"]
-    lines = _lines(t)
-    aligned = ocr.align_corrections(lines.select(*keys, "text"), _corrected(t)).join(lines.drop("text"), keys)
+    aligned = ocr.align_corrections(_lines(t), _corrected(t))
     shaped = aligned.select(
-        *keys, F.col("x").alias("x_min"), F.col("y").alias("y_min"), (F.col("x") + F.col("w")).alias("x_max"),
+        "image_id", "pos", F.col("x").alias("x_min"), F.col("y").alias("y_min"), (F.col("x") + F.col("w")).alias("x_max"),
         (F.col("y") + F.col("h")).alias("y_max"), "text", "text_corrected", "confidence",
     )
     info = t.boxes().groupBy("image_id").agg(F.max("text").alias("full_text")).withColumn("language", F.lit("en"))

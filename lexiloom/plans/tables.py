@@ -149,7 +149,6 @@ class Tables:
             F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / 2).cast("int")),
             lambda p: F.array_join(F.slice("_lines", p * 2 + 1, F.lit(2)), "\n"),
         )
-        words = F.split("_para", " ", -1)
         number, para = F.col("doc_id"), F.col("para_idx")
         part = F.when(para % 10 == 9, "footer1.xml").when((number % 5 == 0) & (para == 0), "header1.xml").otherwise(
             "document.xml"
@@ -159,7 +158,7 @@ class Tables:
             .select("doc_id", lines.alias("_lines"))
             .select("doc_id", F.posexplode(pairs).alias("para_idx", "_para"))
             .withColumn("part", part)
-            .select("doc_id", "part", "para_idx", F.size(words).alias("_n"), F.posexplode(words).alias("run_idx", "_word"))
+            .select("doc_id", "part", "para_idx", F.posexplode(F.split("_para", "(?<= )", -1)).alias("run_idx", "text"))
             .select(
                 number.cast("string").alias("doc"),
                 "part",
@@ -167,7 +166,7 @@ class Tables:
                 "para_idx",
                 "run_idx",
                 F.lit(0).alias("text_idx"),
-                F.when(F.col("run_idx") < F.col("_n") - 1, F.concat("_word", F.lit(" "))).otherwise(F.col("_word")).alias("text"),
+                "text",
             )
         )
 
@@ -282,7 +281,7 @@ class Tables:
             .when(quantity == 2, head)
             .otherwise(F.concat(head, F.lit("|"), (100 - F.col("l_linenumber")).cast("string")))
         )
-        return self.given("lineitem").select(F.col("l_orderkey").alias("image_id"), line.alias("value"))
+        return self.texts("lineitem").select(F.col("l_orderkey").alias("image_id"), line.alias("value"))
 
     def media(self) -> DataFrame:
         key, size = F.col("p_partkey"), F.col("p_size")

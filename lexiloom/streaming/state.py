@@ -19,8 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.text import micros
-from lexiloom.operators.cache import SECOND, fold_hits
-from lexiloom.operators.credits import fold_balance
+from lexiloom.operators.cache import SECOND, serve
+from lexiloom.operators.credits import move
 from lexiloom.operators.jobs import progress_columns
 
 LATENESS = "1 hour"
@@ -65,9 +65,10 @@ class CacheProcessor(_Remembering):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         group = _in_order(rows, self._tie)
-        hits, expires = fold_hits(
-            group["at_micros"].to_numpy(), group["can_keep"].to_numpy(dtype=bool), self._ttl, self.recall()
-        )
+        hits, expires = [], self.recall()
+        for at, storable in zip(group["at_micros"].tolist(), group["can_keep"].tolist()):
+            hit, expires = serve(at, storable, expires, self._ttl)
+            hits.append(hit)
         self.keep(expires)
         for old in list(self._handle.listTimers()):
             self._handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
@@ -88,11 +89,13 @@ class CreditProcessor(_Remembering):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         group = _in_order(rows, "seq")
-        before = self.recall()
-        verdicts, balances, last = fold_balance(
-            group["kind"].tolist(), group["amount"].tolist(), self._start if before is None else before
-        )
-        self.keep(last)
+        verdicts, balances, balance = [], [], self.recall()
+        balance = self._start if balance is None else balance
+        for kind, amount in zip(group["kind"].tolist(), group["amount"].tolist()):
+            verdict, balance = move(kind, amount, balance)
+            verdicts.append(verdict)
+            balances.append(balance)
+        self.keep(balance)
         yield group.assign(verdict=verdicts, balance=balances)
 
 
