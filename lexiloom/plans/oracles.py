@@ -198,8 +198,7 @@ def _guard(kind: str) -> str:
     return f"CASE WHEN {bad} THEN '' ELSE {s} END AS ocr_text, CASE WHEN {bad} THEN 'emptied' ELSE 'accepted' END AS ocr_outcome"
 
 
-def _cleaned() -> str:
-    table = "(SELECT *, output AS c0 FROM outputs)"
+def _cleaned(table: str = "(SELECT *, output AS c0 FROM outputs)") -> str:
     for i, phrase in enumerate(fixed.REMOVED_PHRASES):
         x = f"c{i}"
         table = (
@@ -209,14 +208,13 @@ def _cleaned() -> str:
     return table
 
 
-def _spaced(prefixes: bool) -> str:
+def _spaced(prefixes: bool, x: str = "text") -> str:
     symbol = rf"[^{fixed.WORD}{SPACE}]"
     steps = [("([a-z])([A-Z])", r"\1 \2"), (r"([a-zA-Z][a-zA-Z])(\p{Nd})", r"\1 \2"), (r"(\p{Nd})([a-zA-Z][a-zA-Z])", r"\1 \2"),
              (rf"([a-zA-Z])({symbol})", r"\1 \2"), (rf"({symbol})([a-zA-Z])", r"\1 \2")]
     if prefixes:
         steps += [(rf"(?i)({p})([a-z]{{2,}})", r"\1 \2") for p in fixed.SPACED_PREFIXES]
     steps.append((rf"[{SPACE}]+", " "))
-    x = "text"
     for pattern, by in steps:
         x = f"regexp_replace({x}, {_q(pattern)}, {_q(by)}, 'g')"
     return strip(x)
@@ -227,13 +225,13 @@ RE2_DOMAIN = r"\b(?:www\.)?[a-zA-Z0-9][-a-zA-Z0-9]*(?:\.[a-zA-Z0-9][-a-zA-Z0-9]*
 RE2_FORMATS = [p.replace(rf"(?<![{fixed.WORD}])", r"\b").replace(rf"(?![{fixed.WORD}])", r"\b") for p in fixed.FORMAT_PATTERNS]
 
 
-def _masked(steps, source: str = "page_texts") -> str:
+def _masked(steps, source: str = "page_texts", key: str = "page_id") -> str:
     """Nested selects: `text` as masked so far, `n` spans so far, `spans` with their originals."""
-    table = f"(SELECT page_id, text AS t0, 0 AS n0, []::STRUCT(placeholder VARCHAR, original VARCHAR)[] AS s0 FROM {source})"
+    table = f"(SELECT {key}, text AS t0, 0 AS n0, []::STRUCT(placeholder VARCHAR, original VARCHAR)[] AS s0 FROM {source})"
     for i, (before, after, pattern) in enumerate(steps):
         p = _q(pattern)
         table = (
-            f"(SELECT page_id, array_to_string(list_transform(regexp_split_to_array(t{i}, {p}), "
+            f"(SELECT {key}, array_to_string(list_transform(regexp_split_to_array(t{i}, {p}), "
             f"lambda x, j: CASE WHEN j = 1 THEN x ELSE {_q(before)} || (n{i} + j - 2) || {_q(after)} || x END), '') AS t{i + 1}, "
             f"n{i} + len(f) AS n{i + 1}, list_concat(s{i}, list_transform(f, "
             f"lambda x, j: {{'placeholder': {_q(before)} || (n{i} + j - 1) || {_q(after)}, 'original': x}})) AS s{i + 1} "
@@ -533,4 +531,29 @@ BODIES["change_outcomes"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, outcome,
         SELECT c.*, h.user_id AS owner, min(CASE WHEN h.user_id = c.user_id THEN seq END) OVER (PARTITION BY history_id) AS first
         FROM history_changes c LEFT JOIN history h ON c.history_id = h.id)) GROUP BY ALL"""
 
+# Distinct missing texts: masked, spaced, marked, cleaned, and put back from the last span to the first.
+_ANSWERS = _cleaned(
+    f"(SELECT key, s8, 'vi:' || {_spaced(False, 't8')} AS c0 FROM {_masked(FORMAT_STEPS, '(SELECT DISTINCT key, text FROM keyed WHERE key IS NOT NULL)', 'key')})"
+)
+_BACK = (
+    "list_reduce(list_prepend({'placeholder': '', 'original': c6}, list_reverse(s8)), "
+    "lambda a, b: {'placeholder': '', 'original': replace(a.original, b.placeholder, b.original)}).original"
+)
+BODIES["translated_protected"] = f"""SELECT doc_id, para_idx,
+        CASE WHEN k.key IS NULL THEN k.text WHEN m.key IS NOT NULL THEN m.target WHEN {any_of("back", fixed.REVERT_MARKERS)} THEN k.text
+            ELSE back END AS target,
+        CASE WHEN k.key IS NULL THEN 'blank' WHEN m.key IS NOT NULL THEN 'remembered'
+            WHEN {any_of("back", fixed.REVERT_MARKERS)} THEN 'reverted' ELSE 'translated' END AS outcome
+        FROM keyed k LEFT JOIN memory m USING (key) LEFT JOIN (SELECT key, {_BACK} AS back FROM {_ANSWERS}) a USING (key)"""
+BODIES["stream_ttl_replay"] = BODIES["ttl_replay"]
+BODIES["stream_job_progress"] = BODIES["job_progress"]
+BODIES["stream_status_folded"] = BODIES["status_folded"]
+BODIES["stream_translate_once"] = "SELECT DISTINCT key, text FROM keyed WHERE key IS NOT NULL"
+# Streams have no account table: everyone starts from 5000.
+BODIES["stream_credit_replay"] = (
+    BODIES["credit_replay"]
+    .replace("c_acctbal >= 0 AS known FROM events LEFT JOIN customer ON c_custkey = user_id", "true AS known FROM events")
+    .replace("balance::DOUBLE AS balance", "balance")
+)
+
 ORACLES = {name: sql(body) for name, body in BODIES.items()}

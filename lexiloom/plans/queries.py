@@ -14,11 +14,15 @@ from lexiloom.operators import accounts, jobs, ledger, memory, ocr, retrieval, s
 from lexiloom.operators.cache import ttl_cache_replay
 from lexiloom.operators.credits import replay_credits
 from lexiloom.plans.ledger_report import revenue_report, transactions_report
+from lexiloom.plans.streams import StreamTables, run_status_to_end, run_to_end, zoned
 from lexiloom.plans.tables import Tables
 from lexiloom.plans.translation import translate_batch
 from lexiloom.sources.manifests import parse_manifest
 from lexiloom.sources.media import media_verdict
 from lexiloom.sources.sinks import ocr_documents
+from lexiloom.streaming import state
+from lexiloom.streaming.inbox import translate_once
+from lexiloom.streaming.jobs import stream_job_status
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -551,3 +555,40 @@ def graded_split(t: Tables) -> DataFrame:
 @query
 def unanswered(t: Tables) -> DataFrame:
     return _graded(t)[1]
+
+
+# --- streams: the given tables followed as files ---------------------------------------
+def _streams(t: Tables) -> StreamTables:
+    return StreamTables(t.spark, t.folder)
+
+
+@query
+def stream_ttl_replay(t: Tables) -> DataFrame:
+    replayed = state.stream_cache_replay(zoned(_streams(t).cache_requests()), storable="storable")
+    return run_to_end(replayed).select("id", "key", "storable", "hit")
+
+
+@query
+def stream_credit_replay(t: Tables) -> DataFrame:
+    replayed = run_to_end(state.stream_credit_replay(_streams(t).credit_events()))
+    return replayed.drop("ts")
+
+
+@query
+def stream_job_progress(t: Tables) -> DataFrame:
+    shown = run_to_end(state.stream_job_progress(_streams(t).status_events()))
+    return shown.select(
+        "job_id", "seq", "percent", F.round("elapsed", 3).alias("elapsed"), F.round("eta", 3).alias("eta"),
+        F.round("speed", 6).alias("speed"), "elapsed_text", "eta_text",
+    )
+
+
+@query
+def stream_status_folded(t: Tables) -> DataFrame:
+    current = run_status_to_end(stream_job_status(_streams(t).status_events()))
+    return current.withColumn("updated_at", iso_text(F.col("updated_at")))
+
+
+@query
+def stream_translate_once(t: Tables) -> DataFrame:
+    return run_to_end(translate_once(_streams(t).segments(), "vi")).select("key", "text")

@@ -40,7 +40,7 @@ def table(frame):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"translated_protected", "chunk_corpus", "chunks_in_sql"}
+    assert set(QUERIES) - set(ORACLES) == {"chunk_corpus", "chunks_in_sql"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -74,6 +74,8 @@ def test_only_the_allowed_queries_use_python(spark, sf):
         "chunk_corpus", "chunks_in_sql", "retrieve_topk", "graded_split", "unanswered",
     }
     for name, query in QUERIES.items():
+        if name.startswith("stream_"):
+            continue
         plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
         uses_python = any(node in plan for node in ("EvalPython", "InPandas", "BatchEvalPythonUDTF", "ArrowEvalPythonUDTF"))
         assert uses_python == (name in allowed), name
