@@ -30,8 +30,8 @@ def _clock_time(value) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
-def filter_transactions(df: DataFrame, user_id=None, start=None, end=None, transaction_type=None) -> DataFrame:
-    """Rows that meet every given condition; both dates are inclusive.
+def transaction_condition(user_id=None, start=None, end=None, transaction_type=None) -> Column:
+    """All given conditions on a transaction; both dates are inclusive.
 
     A type other than purchase or usage filters nothing.
     """
@@ -45,7 +45,12 @@ def filter_transactions(df: DataFrame, user_id=None, start=None, end=None, trans
         conditions.append(F.col("created_at") <= _clock_time(end))
     if wanted in (PURCHASE, USAGE):
         conditions.append(F.col("transaction_type") == wanted)
-    return df.filter(_all_of(conditions))
+    return _all_of(conditions)
+
+
+def filter_transactions(df: DataFrame, user_id=None, start=None, end=None, transaction_type=None) -> DataFrame:
+    """Rows that meet every given condition."""
+    return df.filter(transaction_condition(user_id, start, end, transaction_type))
 
 
 def filter_history(df: DataFrame, user_id=None, start=None, end=None, source=None, target=None) -> DataFrame:
@@ -113,24 +118,23 @@ def payment_outcome(payments: DataFrame) -> DataFrame:
     return payments.withColumn("outcome", outcome).withColumn("success", F.coalesce(status == "PAID", F.lit(False)))
 
 
-def ledger_totals(filtered: DataFrame, everything: DataFrame | None = None) -> DataFrame:
-    """One row: `total` of the filtered rows, and purchase and usage sums.
+def ledger_totals(df: DataFrame, wanted: Column | None = None, totals_scope: str = "all") -> DataFrame:
+    """One row: `total` of the wanted rows, and purchase and usage sums, in one pass.
 
-    The sums are over `everything` when it is given (they ignore the filters
-    then), otherwise over the filtered rows. Each side is one aggregate.
+    With scope `all` the sums ignore `wanted`; with `filtered` they follow it.
     """
+    chosen = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    summed_rows = F.lit(True) if totals_scope == "all" else chosen
 
     def summed(kind: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("transaction_type") == kind, F.col("amount"))), F.lit(0)).cast("double")
-
-    sums = [summed(PURCHASE).alias("total_purchase"), summed(USAGE).alias("total_usage")]
-    counted = F.count(F.lit(1)).alias("total")
-    if everything is None:
-        return filtered.agg(counted, *sums)
-    # Two one-row aggregates side by side.
-    return filtered.agg(counted).withColumn("_one", F.lit(1)).join(
-        everything.agg(*sums).withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+        amount = F.when(summed_rows & (F.col("transaction_type") == kind), F.col("amount"))
+        return F.coalesce(F.sum(amount), F.lit(0)).cast("double")
+
+    return df.agg(
+        F.count(F.when(chosen, 1)).alias("total"),
+        summed(PURCHASE).alias("total_purchase"),
+        summed(USAGE).alias("total_usage"),
+    )
 
 
 def _check_page(skip: int, limit: int, max_limit: int) -> None:

@@ -88,30 +88,33 @@ def merge_nearby_boxes(
 
 
 # --- regions -----------------------------------------------------------------
-def number_regions(boxes: DataFrame, images: DataFrame, max_rows: int | None = GROUP_ROWS) -> DataFrame:
-    """1-based region numbers, the stored rectangle (x, y, w, h) and the clamped one to cut (crop_*)."""
+def region_numbers(boxes: DataFrame, max_rows: int | None = GROUP_ROWS) -> DataFrame:
+    """Adds the 1-based `region` number of each box in its image, in reader order."""
     keys, order = ["image_id"], [F.col("idx")]
     usual, hot = split_hot(boxes, keys, max_rows)
     numbered = usual.withColumn("region", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     if hot is not None:
         sliced = materialize(cut_into_slices(hot, keys, F.col("idx"), max_rows))
         numbered = numbered.unionByName(running_count(sliced, keys, order, "region").drop("_slice"))
+    return numbered
+
+
+def region_rect() -> list[Column]:
+    """x, y, w, h of a box. A rectangle around integer points covers both border pixels."""
     x, y = F.col("x_min"), F.col("y_min")
-    # A rectangle around integer points covers both border pixels.
-    w, h = F.col("x_max") - x + 1, F.col("y_max") - y + 1
-    left, top = F.greatest(F.lit(0), x), F.greatest(F.lit(0), y)
-    return numbered.join(images.select("image_id", "width", "height"), "image_id").select(
-        "image_id",
-        "idx",
-        "region",
-        x.alias("x"),
-        y.alias("y"),
-        w.alias("w"),
-        h.alias("h"),
+    return [x.alias("x"), y.alias("y"), (F.col("x_max") - x + 1).alias("w"), (F.col("y_max") - y + 1).alias("h")]
+
+
+def number_regions(boxes: DataFrame, images: DataFrame, max_rows: int | None = GROUP_ROWS) -> DataFrame:
+    """Region numbers, the stored rectangle (x, y, w, h) and the clamped one to cut (crop_*)."""
+    shaped = region_numbers(boxes, max_rows).select("image_id", "idx", "region", *region_rect(), "text", "confidence")
+    left, top = F.greatest(F.lit(0), F.col("x")), F.greatest(F.lit(0), F.col("y"))
+    return shaped.join(images.select("image_id", "width", "height"), "image_id").select(
+        *[c for c in shaped.columns if c not in ("text", "confidence")],
         left.alias("crop_x"),
         top.alias("crop_y"),
-        F.least(F.col("width") - left, w).alias("crop_w"),
-        F.least(F.col("height") - top, h).alias("crop_h"),
+        F.least(F.col("width") - left, F.col("w")).alias("crop_w"),
+        F.least(F.col("height") - top, F.col("h")).alias("crop_h"),
         F.concat(F.lit("crop_"), F.col("region").cast("string"), F.lit(".jpg")).alias("file_name"),
         "text",
         "confidence",
@@ -202,10 +205,10 @@ def placement_plan(translated: DataFrame, crops: DataFrame, images: DataFrame) -
     Regions without text are left out. `resize` says that the translated picture
     (`out_w`, `out_h`) does not have the region's size; NULL when not known.
     """
-    rect = F.max_by(F.struct("x", "y", "w", "h"), "pos").alias("_rect")
-    last = crops.groupBy("image_id", "region").agg(rect)
+    # Four numbers instead of one struct: they aggregate by hash, without a sort.
+    last = crops.groupBy("image_id", "region").agg(*[F.max_by(c, "pos").alias(c) for c in ("x", "y", "w", "h")])
     wanted = translated.filter(F.coalesce("has_text", F.lit(True)))
-    joined = wanted.join(last, ["image_id", "region"]).select(*wanted.columns, "_rect.*")
+    joined = wanted.join(last, ["image_id", "region"]).select(*wanted.columns, "x", "y", "w", "h")
     if "out_w" in wanted.columns:
         joined = joined.withColumn("resize", (F.col("out_w") != F.col("w")) | (F.col("out_h") != F.col("h")))
     return _placed(joined, images)
@@ -272,9 +275,9 @@ def align_corrections(lines: DataFrame, corrected: DataFrame) -> DataFrame:
 
     Only images whose line counts agree are corrected; the others keep their text.
     """
-    have = lines.groupBy("image_id").agg(F.count(F.lit(1)).alias("_have"))
-    got = corrected.groupBy("image_id").agg(F.count(F.lit(1)).alias("_got"))
-    agreeing = have.join(got, "image_id").filter(F.col("_have") == F.col("_got")).select("image_id")
+    # Both counts in one aggregate over narrow rows: +1 per line, -1 per corrected line.
+    signed = lines.select("image_id", F.lit(1).alias("_n")).unionByName(corrected.select("image_id", F.lit(-1).alias("_n")))
+    agreeing = signed.groupBy("image_id").agg(F.sum("_n").alias("_n")).filter("_n = 0").select("image_id")
     usable = corrected.join(agreeing, "image_id", "left_semi").select(
         "image_id", "pos", F.col("text").alias("text_corrected")
     )

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators.ledger import (
     enrich_username,
-    filter_transactions,
     ledger_output,
     ledger_totals,
+    match_username,
     order_by_time,
     page,
-    transactions_of_username,
+    transaction_condition,
 )
 
 
@@ -33,22 +33,24 @@ def transactions_report(
     The page is cut before names are looked up, so the join sees `limit` rows
     only. `totals_scope` is `all` (sums over the whole ledger) or `filtered`.
     """
-    rows = transactions if not username else transactions_of_username(transactions, users, username).select(
-        *transactions.columns
-    )
-    wanted = filter_transactions(rows, None, start, end, transaction_type)
-    totals = ledger_totals(wanted, transactions if totals_scope == "all" else None)
-    named = enrich_username(page(wanted, skip, limit, direction), users)
-    return order_by_time(ledger_output(_beside(named, totals)), direction)
+    wanted = transaction_condition(None, start, end, transaction_type)
+    rows = transactions
+    if username:
+        named_so = match_username(users.select("user_id", "username"), username).select("user_id", F.lit(True).alias("_named_so"))
+        rows = transactions.join(named_so, "user_id", "left")
+        wanted = wanted & F.coalesce("_named_so", F.lit(False))
+    totals = ledger_totals(rows, wanted, totals_scope)
+    chosen = page(rows.filter(wanted).select(*transactions.columns), skip, limit, direction)
+    return order_by_time(ledger_output(_beside(enrich_username(chosen, users), totals)), direction)
 
 
 def revenue_report(
     transactions: DataFrame, users: DataFrame, skip: int = 0, limit: int = 100, direction: str = "desc", start=None, end=None
 ) -> DataFrame:
     """Purchases only, `User <id>` where the user is gone, with `total` and `total_revenue`."""
-    wanted = filter_transactions(transactions, None, start, end, "purchase")
-    totals = ledger_totals(wanted, transactions).select("total", "total_purchase").withColumnRenamed("total_purchase", "total_revenue")
-    named = enrich_username(page(wanted, skip, limit, direction), users, fallback=True)
+    wanted = transaction_condition(None, start, end, "purchase")
+    totals = ledger_totals(transactions, wanted).select("total", F.col("total_purchase").alias("total_revenue"))
+    named = enrich_username(page(transactions.filter(wanted), skip, limit, direction), users, fallback=True)
     return order_by_time(ledger_output(_beside(named, totals)), direction)
 
 

@@ -60,13 +60,12 @@ def revenue_page(t: Tables) -> DataFrame:
 
 @query
 def ledger_totals(t: Tables) -> DataFrame:
-    rows = t.transactions()
-    return ledger.ledger_totals(ledger.filter_transactions(rows, None, START, END, "purchase"), rows)
+    return ledger.ledger_totals(t.transactions(), ledger.transaction_condition(None, START, END, "purchase"))
 
 
 @query
 def ledger_totals_filtered(t: Tables) -> DataFrame:
-    return ledger.ledger_totals(ledger.filter_transactions(t.transactions(), None, START, END, "all"))
+    return ledger.ledger_totals(t.transactions(), ledger.transaction_condition(None, START, END, "all"), "filtered")
 
 
 @query
@@ -209,7 +208,7 @@ def grid_cells(t: Tables) -> DataFrame:
 
 
 def _placement(t: Tables) -> DataFrame:
-    regions = ocr.number_regions(t.boxes(), t.images())
+    regions = ocr.region_numbers(t.boxes()).select("image_id", "region", *ocr.region_rect())
     first = regions.select("image_id", "region", F.col("region").alias("pos"), "x", "y", "w", "h")
     again = first.filter("region % 4 = 0").withColumn("pos", F.col("pos") + 1000).withColumn("x", F.col("x") + 3)
     translated = regions.select(
@@ -241,8 +240,8 @@ def placement_grid(t: Tables) -> DataFrame:
 
 
 def _lines(t: Tables) -> DataFrame:
-    numbered = ocr.number_regions(t.boxes(), t.images())
-    return numbered.select("image_id", (F.col("region") - 1).alias("pos"), "text", "confidence", "x", "y", "w", "h")
+    numbered = ocr.region_numbers(t.boxes())
+    return numbered.select("image_id", (F.col("region") - 1).alias("pos"), "text", "confidence", *ocr.region_rect())
 
 
 def _corrected(t: Tables) -> DataFrame:

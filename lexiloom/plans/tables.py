@@ -242,12 +242,12 @@ class Tables:
 
     # --- OCR --------------------------------------------------------------------
     def images(self) -> DataFrame:
-        key = F.col("l_orderkey")
-        return self.given("lineitem").select(
-            key.alias("image_id"),
-            (300 + key % 400).cast("int").alias("width"),
-            (200 + key % 700).cast("int").alias("height"),
-        ).distinct()
+        key = F.col("image_id")
+        # Distinct keys first: the sizes follow from them, and joins by image reuse the shuffle.
+        keys = self.given("lineitem").select(F.col("l_orderkey").alias("image_id")).distinct()
+        return keys.select(
+            key, (300 + key % 400).cast("int").alias("width"), (200 + key % 700).cast("int").alias("height")
+        )
 
     def boxes(self) -> DataFrame:
         """`idx` orders the lines of an order; it is made of their columns, so it needs no sort."""

@@ -56,11 +56,12 @@ def test_names_and_output(tx, users):
 
 
 def test_totals_scopes(tx):
-    one = ledger.filter_transactions(tx, user_id=2)
-    r = ledger.ledger_totals(one, tx).first()
+    second = ledger.transaction_condition(user_id=2)
+    r = ledger.ledger_totals(tx, second).first()
     assert (r["total"], r["total_purchase"], r["total_usage"]) == (1, 17.5, 5.25)
-    r = ledger.ledger_totals(one).first()
+    r = ledger.ledger_totals(tx, second, "filtered").first()
     assert (r["total"], r["total_purchase"], r["total_usage"]) == (1, 0.0, 5.0)
+    assert ledger.ledger_totals(tx).first()["total"] == 4
     r = ledger.ledger_totals(tx.filter("false")).first()
     assert (r["total"], r["total_purchase"]) == (0, 0.0)
 
