@@ -85,8 +85,11 @@ def _first_at_or_after(nodes: DataFrame, key: str, ttl: int, max_rows: int) -> D
     targets = nodes.select(key, F.col("at").alias("_at"), F.col("at").alias("_target"), F.lit(None).cast("long").alias("_from"))
     probes = nodes.select(key, (F.col("at") + ttl).alias("_at"), F.lit(None).cast("long").alias("_target"), F.col("at").alias("_from"))
     sliced = materialize(cut_into_slices(targets.unionByName(probes), [key], F.col("_at"), max_rows))
-    ahead = Window.partitionBy(key, "_slice").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    later = Window.partitionBy(key).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back in falling order: a frame that grows from the
+    # start is updated row by row, one that shrinks to the end is recomputed.
+    falling = Window.partitionBy(key, "_slice").orderBy(F.col("_at").desc())
+    ahead = falling.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy(key).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     heads = sliced.groupBy(key, "_slice").agg(F.min("_target").alias("_head"))
     carried = heads.select(key, "_slice", F.min("_head").over(later).alias("_carried"))
     found = sliced.withColumn("_near", F.min("_target").over(ahead)).filter(F.col("_from").isNotNull())

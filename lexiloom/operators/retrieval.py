@@ -94,6 +94,12 @@ def _nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: list, queries: np.
             best[query_id] = (distances[order], candidates[order])
 
 
+def _ids(column: pd.Series) -> np.ndarray:
+    """Ids as numbers or as fixed-width texts, both of which sort."""
+    ids = column.to_numpy()
+    return ids.astype(str) if ids.dtype == object else ids
+
+
 def _rows(best: dict, query_name: str, id_name: str) -> pd.DataFrame:
     return pd.DataFrame(
         [(q, i, d) for q, (distances, ids) in best.items() for d, i in zip(distances, ids)],
@@ -136,7 +142,7 @@ def _scan_with(vectors, few, k, id_name, query_name, vector, schema) -> DataFram
         best: dict = {}
         for batch in batches:
             if len(batch) and len(query_ids):
-                _nearest(batch[id_name].to_numpy(), np.stack(batch[vector]).astype("float64"), query_ids, matrix, k, best)
+                _nearest(_ids(batch[id_name]), np.stack(batch[vector]).astype("float64"), query_ids, matrix, k, best)
         yield _rows(best, query_name, id_name)
 
     return vectors.mapInPandas(search, schema)
@@ -155,7 +161,7 @@ def _shuffle_with(vectors, wanted, k, id_name, query_name, vector, schema, block
         best: dict = {}
         if len(some_vectors) and len(some_queries):
             _nearest(
-                some_vectors[id_name].to_numpy(),
+                _ids(some_vectors[id_name]),
                 np.stack(some_vectors[vector]).astype("float64"),
                 some_queries[query_name].tolist(),
                 np.stack(some_queries[vector]).astype("float64"),

@@ -13,10 +13,18 @@ from lexiloom.sources.sinks import write_chunk_store
 
 
 def ingest(spark, folders: list[str], store: str, factory: Factory, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP) -> None:
-    """Chunks of all text files below the folders, embedded and written as a store."""
-    chunks = union_chunks([chunk_corpus(read_text_corpus(spark, f), size=size, overlap=overlap) for f in folders])
-    with_id = chunks.withColumn("vec_id", F.xxhash64("file_name", "chunk_idx", "text"))
-    write_chunk_store(embed_batch(with_id, factory), store)
+    """Chunks of all text files below the folders, embedded and written as a store.
+
+    A chunk's id is its file and position, so it is unique at any size of corpus.
+    """
+    parts = [chunk_corpus(read_text_corpus(spark, f), "path", size=size, overlap=overlap) for f in folders]
+    named = union_chunks(parts).withColumns(
+        {
+            "file_name": F.element_at(F.split("path", "/"), -1),
+            "vec_id": F.concat_ws("#", "path", F.col("chunk_idx").cast("string")),
+        }
+    )
+    write_chunk_store(embed_batch(named, factory), store)
 
 
 def answerable(store: DataFrame, questions: DataFrame, embed: Factory, grade: Factory, k: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -10,14 +10,14 @@ from lexiloom.operators.memory import tm_merge
 BUCKETS = 64
 
 
-def write_chunk_store(chunks: DataFrame, path: str, key: str = "file_name", buckets: int = BUCKETS) -> None:
+def write_chunk_store(chunks: DataFrame, path: str, key: str = "file_name", buckets: int = BUCKETS, files_per_bucket: int = 16) -> None:
     """Chunks with vectors as parquet, one folder per bucket of the file name.
 
     Rows go to (bucket, spread) before writing: one file name with most of the
-    chunks is spread over many files of its bucket.
+    chunks is spread over `files_per_bucket` writers of its bucket.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    spread = F.pmod(F.xxhash64(key, "chunk_idx"), F.lit(16))
+    spread = F.pmod(F.xxhash64(key, "chunk_idx"), F.lit(files_per_bucket))
     (
         chunks.withColumn("bucket", bucket)
         .repartition(F.col("bucket"), spread)
