@@ -8,11 +8,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+from lexiloom.plans.oracles import ORACLES
+from lexiloom.plans.queries import registry
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = registry()
 
 
 @pytest.fixture(scope="module")
