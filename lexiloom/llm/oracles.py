@@ -1,3 +1,53 @@
 """SQL counterparts of the registered queries that SQL can express."""
 
+from __future__ import annotations
+
 ORACLES: dict[str, str] = {}
+
+
+def _pii_kind(rank: int, pattern: str, words: str, score: int, valid: str) -> str:
+    """Spans of one kind from the plain pattern: matches and the text between them give the places."""
+    return f"""
+    SELECT doc_id, {rank} AS rank, kind, start, start + length(m) AS finish, score
+    FROM (
+      SELECT *, CASE WHEN regexp_matches(lower(before), '(?:^|[^a-z])(?:{words})(?:[^a-z]|$)') THEN {score + 20} ELSE {score} END AS score
+      FROM (
+        SELECT doc_id, kind, m, right(gaps[i], 48) AS before, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+          + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start
+        FROM (
+          SELECT doc_id, kind, ms, gaps, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i
+          FROM (SELECT doc_id, '{["email", "ip", "card", "phone", "iban", "ssn"][rank]}' AS kind,
+                  regexp_extract_all(t, '{pattern}', 0) AS ms, string_split_regex(t, '{pattern}') AS gaps FROM docs)
+          WHERE len(ms) > 0)))
+    WHERE {valid}"""
+
+
+DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+LUHN = f"""length({DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda p:
+  CASE WHEN p % 2 = 1 THEN cast(substr(reverse({DIGITS}), p, 1) AS INT)
+       WHEN cast(substr(reverse({DIGITS}), p, 1) AS INT) > 4 THEN 2 * cast(substr(reverse({DIGITS}), p, 1) AS INT) - 9
+       ELSE 2 * cast(substr(reverse({DIGITS}), p, 1) AS INT) END)) % 10 = 0"""
+TURNED = "(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4))"
+MOD97 = f"""list_reduce(list_prepend(0, list_transform(range(1, length({TURNED}) + 1), lambda p: ascii(substr({TURNED}, p, 1)))),
+  lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"""
+
+ORACLES["op1_pii"] = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS (
+{_pii_kind(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "mail|email|contact|write", 80, "true")}
+UNION ALL {_pii_kind(1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "ip|address|server|host", 60, "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND cast('0' || right(ltrim(p, '0'), 3) AS INT) <= 255))")}
+UNION ALL {_pii_kind(2, r"[0-9](?:[\x20-]?[0-9])+", "card|visa|credit|payment", 70, LUHN)}
+UNION ALL {_pii_kind(3, r"\+[0-9][\x20().0-9-]+[0-9]", "phone|tel|call|mobile|fax", 60, f"length({DIGITS}) BETWEEN 10 AND 15")}
+UNION ALL {_pii_kind(4, r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", "iban|account|bank|konto|compte|cuenta", 70, f"score >= 60 AND NOT regexp_matches(before, '[0-9A-Za-z]$') AND {MOD97}")}
+UNION ALL {_pii_kind(5, r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "ssn|social|security", 45, "score >= 60 AND NOT regexp_matches(before, '[0-9A-Za-z-]$') AND NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$')")}
+),
+joined AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in enumerate(["email", "ip", "card", "phone", "iban", "ssn"]))},
+    string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, rank) FILTER (rank < 4) AS base,
+    string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, rank) AS spans,
+    string_agg(cast(score AS VARCHAR), ',' ORDER BY start, rank) AS scores
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ["email", "ip", "card", "phone", "iban", "ssn"])},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM docs LEFT JOIN joined USING (doc_id)
+"""
