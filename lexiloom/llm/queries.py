@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, token_files
+from . import html_text, language, packing, pii, token_files
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -32,11 +32,19 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return digest.join(packing.pack(pieces), "piece_id").drop("piece_id")
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify_languages(table(spark, folder, "documents"))
+
+
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, folder, "pages"))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.tokens_round_trip(spark, table(spark, folder, "documents"), vocabulary())
 
 
-QUERIES = (op1_pii, op3_packing, op10_token_files)
+QUERIES = (op1_pii, op3_packing, op4_language_id, op6_main_text, op10_token_files)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
