@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, packing, pii, token_files
+from . import decontaminate, html_text, language, line_templates, packing, pii, token_files
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -40,11 +40,21 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, folder, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_templates.drop_recurring_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "n_matched", "n_windows", "verbatim")
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.tokens_round_trip(spark, table(spark, folder, "documents"), vocabulary())
 
 
-QUERIES = (op1_pii, op3_packing, op4_language_id, op6_main_text, op10_token_files)
+QUERIES = (op1_pii, op3_packing, op4_language_id, op6_main_text, op7_line_dedup, op8_decontamination, op10_token_files)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
