@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import decontaminate, line_templates
+
 ORACLES: dict[str, str] = {}
 
 
@@ -51,3 +53,79 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ["email", "ip"
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM docs LEFT JOIN joined USING (doc_id)
 """
+
+L = line_templates
+ORACLES["op7_line_dedup"] = f"""
+WITH source AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+masked AS (
+  SELECT rid, doc_id, text, md5(text) AS th, array_to_string(list_transform(string_split(text, chr(10)), lambda l:
+    array_to_string(list_transform(string_split(l, chr(9)), lambda t: array_to_string(list_transform(string_split(t, ' '), lambda w:
+      CASE WHEN regexp_matches(w, '[0-9]') THEN '{L.VARIABLE}' ELSE w END), ' ')), chr(9))), chr(10)) AS m
+  FROM source WHERE text IS NOT NULL),
+every AS (
+  SELECT rid, doc_id, th, unnest(string_split(m, chr(10))) AS line, unnest(range(0, len(string_split(m, chr(10))))) AS pos FROM masked),
+lines AS (
+  SELECT *, len(string_split(line, ' ')) AS n, array_to_string(string_split(line, ' ')[1:{L.LEAD}], ' ') AS lead
+  FROM every WHERE len(string_split(line, ' ')) >= {L.LEAST_WORDS}),
+leaves AS (SELECT n, lead FROM lines GROUP BY n, lead HAVING count(*) >= {L.LEAST_DOCUMENTS}),
+candidates AS (
+  SELECT n, lead, line, th, min(doc_id) AS first FROM lines JOIN leaves USING (n, lead) GROUP BY n, lead, line, th),
+places AS (
+  SELECT n, lead, line, count(*) AS c, unnest(string_split(line, ' ')) AS word, unnest(range(0, n)) AS place
+  FROM candidates GROUP BY n, lead, line),
+constants AS (SELECT n, lead, place, word FROM places GROUP BY ALL HAVING sum(c) >= {L.LEAST_DOCUMENTS}),
+templates AS (
+  SELECT n, lead, line, list((place, word) ORDER BY place) AS template
+  FROM places JOIN constants USING (n, lead, place, word) GROUP BY n, lead, line HAVING count(*) * 100 >= n * {L.LEAST_CONSTANT}),
+recurring AS (
+  SELECT n, lead, template, min(first) AS keeper FROM candidates JOIN templates USING (n, lead, line)
+  GROUP BY n, lead, template HAVING count(DISTINCT th) >= {L.LEAST_DOCUMENTS}),
+dropped AS (
+  SELECT rid, list(pos) AS gone FROM lines JOIN templates USING (n, lead, line) JOIN recurring USING (n, lead, template)
+  WHERE doc_id IS DISTINCT FROM keeper GROUP BY rid)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(len(gone), 0) AS n_dropped,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
+FROM source LEFT JOIN dropped USING (rid)
+"""
+
+D = decontaminate
+
+
+def _item_words(table: str, key: str) -> str:
+    """Per text the canonical words and their plain forms, by place."""
+    return f"""
+    SELECT rid, {key}, list_filter(list_zip(c, p), lambda z: z[1] <> '') AS words FROM (
+      SELECT rid, {key},
+        list_transform(list_transform(w, lambda x, i: trim(regexp_replace(lower(regexp_replace(
+          CASE WHEN i > 1 AND regexp_matches(w[i - 1], '[^.!?:]$') THEN regexp_replace(x, '^\\p{{Lu}}[\\p{{L}}''-]*', '{D.NAME}') ELSE x END,
+          '[0-9]+(?:[.,:/][0-9]+)*', '{D.NUMBER}', 'g')), '[^\\p{{L}}\\p{{N}}<>]+', '', 'g'))), lambda x:
+          CASE WHEN x IN ({", ".join(f"'{u}'" for u in D.UNITS)}) THEN '{D.UNIT}' ELSE x END) AS c,
+        list_transform(w, lambda x: regexp_replace(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}<>.,:/-]+', '', 'g'), '^[.,:/-]+|[.,:/-]+$', '', 'g')) AS p
+      FROM (SELECT row_number() OVER () AS rid, {key}, string_split_regex(text, '[\\x20\\x09-\\x0D]') AS w FROM {table} WHERE text IS NOT NULL))"""
+
+
+def _item_windows(words: str, key: str) -> str:
+    return f"""
+    SELECT rid, {key}, i AS pos, n_windows, list_transform(words[i:i + {D.WINDOW - 1}], lambda z: z[1]) AS win
+    FROM (SELECT *, len(words) - {D.WINDOW - 1} AS n_windows, unnest(range(1, len(words) - {D.WINDOW - 2})) AS i FROM {words} WHERE len(words) >= {D.WINDOW})"""
+
+
+ORACLES["op8_decontamination"] = f"""
+WITH doc_words AS ({_item_words("(SELECT DISTINCT doc_id, text FROM documents)", "doc_id")}),
+item_words AS ({_item_words("benchmark", "item_id")}),
+items AS (SELECT * FROM ({_item_windows("item_words", "item_id")}) WHERE len(list_filter(win, lambda x: NOT contains(x, '<'))) >= {D.LEAST_PLAIN}),
+hits AS (SELECT d.rid, d.doc_id, i.rid AS item_rid, i.item_id, d.pos - i.pos AS shift, i.pos AS item_pos, i.n_windows
+  FROM ({_item_windows("doc_words", "doc_id")}) d JOIN items i USING (win)),
+aligned AS (
+  SELECT rid, doc_id, item_rid, item_id, shift, min(item_pos) AS a, max(item_pos) AS b, count(DISTINCT item_pos) AS n_matched, max(n_windows) AS n_windows
+  FROM hits GROUP BY ALL HAVING count(DISTINCT item_pos) >= least({D.LEAST_WINDOWS}, max(n_windows))),
+slots AS (
+  SELECT *, list_filter(list_transform(range(a, b + {D.WINDOW}), lambda p: (i.words[p], d.words[p + shift])),
+      lambda s: s[1][1] = s[2][1] AND contains(s[1][1], '<')) AS s
+  FROM aligned JOIN (SELECT rid AS item_rid, words FROM item_words) i USING (item_rid) JOIN (SELECT rid, words FROM doc_words) d USING (rid)),
+checked AS (
+  SELECT *, list_bool_and(list_transform(s, lambda x: x[1][2] = x[2][2])) AS own FROM slots
+  WHERE len(list_distinct(list_transform(s, lambda x: x[1]))) = len(list_distinct(list_transform(s, lambda x: (x[1], x[2][2])))))
+SELECT doc_id, item_id, max(n_matched) AS n_matched, cast(max(n_windows) AS BIGINT) AS n_windows, bool_or(coalesce(own, true)) AS verbatim
+FROM checked GROUP BY rid, doc_id, item_id
+"""
