@@ -129,3 +129,25 @@ checked AS (
 SELECT doc_id, item_id, max(n_matched) AS n_matched, cast(max(n_windows) AS BIGINT) AS n_windows, bool_or(coalesce(own, true)) AS verbatim
 FROM checked GROUP BY rid, doc_id, item_id
 """
+
+ORACLES["op2_near_duplicates"] = """
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) END AS s FROM words),
+shingles AS (SELECT rid, doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+classes AS (SELECT min(doc_id) AS rep, s, max(len(s)) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+elements AS (SELECT rep, n, unnest(s) AS x FROM classes),
+common AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM elements a JOIN elements b USING (x)
+  WHERE a.rep < b.rep AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY a.rep, b.rep),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT a AS node, a AS other FROM ways UNION SELECT r.node, w.b FROM reached r JOIN ways w ON r.other = w.a),
+roots AS (SELECT node, min(other) AS root FROM reached GROUP BY node)
+SELECT t.doc_id, cast(len(t.s) AS BIGINT) AS n_shingles, coalesce(root, rep, t.doc_id) AS component_id, t.doc_id = coalesce(root, rep, t.doc_id) AS kept
+FROM sets t LEFT JOIN classes c ON list_sort(t.s) = c.s LEFT JOIN roots ON roots.node = c.rep
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, line_templates, packing, pii, token_files
+from . import decontaminate, html_text, language, line_templates, minhash, packing, pii, token_files
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -26,6 +26,10 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_digest(table(spark, folder, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, folder, "documents"), vocabulary())
     digest = pieces.select("piece_id", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -54,7 +58,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.tokens_round_trip(spark, table(spark, folder, "documents"), vocabulary())
 
 
-QUERIES = (op1_pii, op3_packing, op4_language_id, op6_main_text, op7_line_dedup, op8_decontamination, op10_token_files)
+QUERIES = (op1_pii, op2_near_duplicates, op3_packing, op4_language_id, op6_main_text, op7_line_dedup, op8_decontamination, op10_token_files)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
