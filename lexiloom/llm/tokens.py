@@ -4,41 +4,61 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 END_ID = 2
-#: Entries that a worker's word cache holds before it starts anew, and the longest word it keeps.
+#: Entries of a worker's word cache before it starts anew, keeping the former ones for look-ups, and the longest word it keeps.
 CACHED_WORDS, CACHED_LENGTH = 400_000, 64
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: White space to Python that is none to the vocabulary; letters whose small form depends on their place or is no single letter.
+ODD_SPACE, ODD_LOWER = re.compile("[\x1c-\x1f]"), re.compile("[\u03a3\u0130]")
+PROBE = "Two Words, sp\u00e9cial\tOnes. it's 42 x-y"
 
 
 class WordIds(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers, filled by the tokenizers library on demand.
 
-    The vocabulary splits texts at white space before it merges anything, so a
-    text's ids are its words' ids one after the other.
+    For a vocabulary that splits texts at white space before it merges anything
+    and lowers letters, a text's ids are its words' ids one after the other, and
+    a word of letters needs no more than the merges. Whether the vocabulary is of
+    that kind is tried out first; with any other one, whole texts are encoded.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.older: dict[str, bytes] = {}
+        self.by_word = self.encoded(PROBE) == b"".join(map(self.__getitem__, PROBE.split()))
 
     def encoded(self, text: str) -> bytes:
-        import numpy as np
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def merged(self, word: str) -> bytes:
+        """The ids of a word of small letters: merges alone."""
+        if not word.isascii():
+            word = self.letters.pre_tokenize_str(word)[0][0]
+        return array("I", [token.id for token in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        bare = word.rstrip(".,")
-        if bare == word or not bare.isalpha():
-            ids = self.encoded(word)
-        else:  # letters and closing marks are merged apart
-            ids = self[bare] + self[word[len(bare) :]]
+        ids = self.older.get(word)
+        if ids is None:
+            bare = word.rstrip(".,")
+            small = bare.lower()
+            if not bare.isalpha() or unicodedata.normalize("NFC", bare) != bare or ODD_LOWER.search(bare):
+                ids = self.encoded(word)
+            elif small == word:
+                ids = self.merged(word)
+            else:  # letters and closing marks are merged apart
+                ids = self[small] + (self[word[len(bare) :]] if bare != word else b"")
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -46,7 +66,7 @@ class WordIds(dict):
     def text(self, text: str | None) -> bytes:
         """The ids of a text (null: empty) and the end id."""
         text = text or ""
-        if ODD_SPACE.search(text):  # white space to Python, not to the vocabulary
+        if not self.by_word or ODD_SPACE.search(text):
             return self.encoded(text) + END_BYTES
         return b"".join(map(self.__getitem__, text.split())) + END_BYTES
 
