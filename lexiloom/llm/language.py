@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows learnt from, per language on average, and landmarks among them, per language at most.
 SAMPLE_PER_LANGUAGE = 600
@@ -153,13 +154,15 @@ def held_out(docs: DataFrame):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row from its whole text alone.
+def labelled(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with `lang_pred` and `score` from the whole text alone; columns of these names are replaced.
 
     Null texts and texts without a letter get `und` and 0, and so does every
-    row if nothing was learnt; null ids stay; equal rows get equal results;
-    other columns are not read; an empty table gives no row.
+    row if nothing was learnt; all other columns stay as they are; equal rows
+    get equal results; an empty table gives no row.
     """
+    docs = docs.drop("lang_pred", "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -168,12 +171,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, batch.num_rows, 4 * BATCH_TEXTS):
                 part = batch.slice(at, 4 * BATCH_TEXTS)
                 names, scores = predict(model, part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id LONG, lang_pred STRING, score DOUBLE")
+    return docs.mapInArrow(score, schema)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
     """Learn from the rows of `docs` that are not held out and predict all: (doc_id, held_out, lang_pred, score)."""
     model = train(docs.where(~held_out(docs) & F.col("doc_id").isNotNull()).select("lang", "text"))
-    return identify(docs, model).select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score")
+    return labelled(docs.select("doc_id", "text"), model).select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score")

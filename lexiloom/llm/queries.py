@@ -30,12 +30,17 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
 
 
-def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, folder, "documents"), vocabulary())
+def packing_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Pieces and their places, with a checksum of the ids in place of the ids."""
+    pieces = packing.token_pieces(docs, tokenizer_path)
     digest = pieces.select("piece_id", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return digest.join(packing.pack(pieces), "piece_id").drop("piece_id")
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_digest(table(spark, folder, "documents"), vocabulary())
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify_languages(table(spark, folder, "documents"))
 
