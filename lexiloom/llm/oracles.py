@@ -151,3 +151,18 @@ roots AS (SELECT node, min(other) AS root FROM reached GROUP BY node)
 SELECT t.doc_id, cast(len(t.s) AS BIGINT) AS n_shingles, coalesce(root, rep, t.doc_id) AS component_id, t.doc_id = coalesce(root, rep, t.doc_id) AS kept
 FROM sets t LEFT JOIN classes c ON list_sort(t.s) = c.s LEFT JOIN roots ON roots.node = c.rep
 """
+
+ORACLES["op9_near_vectors"] = """
+WITH RECURSIVE units AS (
+  SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM (
+    SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.label = b.label AND len(a.u) = len(b.u) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.u, b.u) >= 0.98),
+reached AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a),
+roots AS (SELECT node, min(other) AS root FROM reached GROUP BY node),
+counts AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(vec_id = coalesce(root, vec_id), true) AS kept
+FROM embeddings LEFT JOIN roots ON roots.node = vec_id LEFT JOIN counts ON counts.node = vec_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, line_templates, minhash, packing, pii, token_files
+from . import decontaminate, html_text, language, line_templates, minhash, neighbours, packing, pii, token_files
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -59,11 +59,15 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_matched", "n_windows", "verbatim")
 
 
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.tokens_round_trip(spark, table(spark, folder, "documents"), vocabulary())
 
 
-QUERIES = (op1_pii, op2_near_duplicates, op3_packing, op4_language_id, op6_main_text, op7_line_dedup, op8_decontamination, op10_token_files)
+QUERIES = (op1_pii, op2_near_duplicates, op3_packing, op4_language_id, op6_main_text, op7_line_dedup, op8_decontamination, op9_near_vectors, op10_token_files)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
