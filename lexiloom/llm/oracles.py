@@ -166,3 +166,18 @@ counts AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(vec_id = coalesce(root, vec_id), true) AS kept
 FROM embeddings LEFT JOIN roots ON roots.node = vec_id LEFT JOIN counts ON counts.node = vec_id
 """
+
+ORACLES["op5_repeats"] = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT rid, doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS i FROM docs) WHERE doc_id IS NOT NULL),
+earliest AS (SELECT k, min(doc_id) AS d FROM strings GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT rid, i FROM strings JOIN earliest USING (k) WHERE d < doc_id),
+edges AS (SELECT rid, i, lag(i) OVER w AS p, lead(i) OVER w AS q FROM hit WINDOW w AS (PARTITION BY rid ORDER BY i)),
+firsts AS (SELECT rid, i AS a, row_number() OVER (PARTITION BY rid ORDER BY i) AS n FROM edges WHERE p IS NULL OR i > p + 50),
+lasts AS (SELECT rid, i + 50 AS b, row_number() OVER (PARTITION BY rid ORDER BY i) AS n FROM edges WHERE q IS NULL OR q > i + 50),
+gaps AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY n) AS a, list(b ORDER BY n) AS b FROM firsts JOIN lasts USING (rid, n) GROUP BY rid)
+SELECT doc_id, cast(len(h) // 2 AS BIGINT) AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(a) + 2), lambda j:
+    substr(h, 2 * CASE WHEN j = 1 THEN 0 ELSE b[j - 1] END + 1, 2 * (CASE WHEN j > len(a) THEN len(h) // 2 ELSE a[j] END - CASE WHEN j = 1 THEN 0 ELSE b[j - 1] END))), '') END)) AS kept_sha256
+FROM docs LEFT JOIN gaps USING (rid)
+"""

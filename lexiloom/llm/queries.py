@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, line_templates, minhash, neighbours, packing, pii, token_files
+from . import decontaminate, html_text, language, line_templates, minhash, neighbours, packing, pii, repeats, token_files
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -45,6 +45,10 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify_languages(table(spark, folder, "documents"))
 
 
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removal_digest(table(spark, folder, "documents"))
+
+
 def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, folder, "pages"))
 
@@ -67,7 +71,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.tokens_round_trip(spark, table(spark, folder, "documents"), vocabulary())
 
 
-QUERIES = (op1_pii, op2_near_duplicates, op3_packing, op4_language_id, op6_main_text, op7_line_dedup, op8_decontamination, op9_near_vectors, op10_token_files)
+QUERIES = (op1_pii, op2_near_duplicates, op3_packing, op4_language_id, op5_repeats, op6_main_text, op7_line_dedup, op8_decontamination, op9_near_vectors, op10_token_files)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
