@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.session import shared_folder
 
@@ -26,7 +25,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def words(text: Column) -> Column:
-    """Runs of anything but the six ASCII white-space characters, letters A-Z lowered; an empty array for null."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lowered, "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of `df` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 #: Words of a window, plain words it needs, and windows of an alignment (or all of a shorter item's).
 WINDOW, LEAST_PLAIN, LEAST_WINDOWS = 8, 5, 6
@@ -108,6 +108,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows that hold a benchmark item. Rows with a null id are judged by their text alone."""
-    found = stored(find_contamination(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
-    own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(found, own, "left_anti")
+    ids, hashes = fresh(docs, "found_id", "found_hash")
+    found = find_contamination(docs, benchmark).select(F.col("doc_id").alias(ids), F.col("text_hash").alias(hashes)).distinct()
+    own = F.col("doc_id").eqNullSafe(F.col(ids)) & (F.xxhash64("text") == F.col(hashes))
+    return docs.join(stored(found, "contaminated"), own, "left_anti")

@@ -154,15 +154,17 @@ def held_out(docs: DataFrame):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with `lang_pred` and `score` from the whole text alone; columns of these names are replaced.
+def labelled(docs: DataFrame, model: Model, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with the predicted language and its score, from the whole text alone, under the names `added`.
+
+    Columns that have these names already are replaced.
 
     Null texts and texts without a letter get `und` and 0, and so does every
     row if nothing was learnt; all other columns stay as they are; equal rows
     get equal results; an empty table gives no row.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    docs = docs.drop(*added)
+    schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -172,7 +174,7 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 4 * BATCH_TEXTS)
                 names, scores = predict(model, part.column("text").to_pylist())
                 columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
 
     return docs.mapInArrow(score, schema)
 

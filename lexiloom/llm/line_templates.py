@@ -12,10 +12,10 @@ heavier than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 #: Leading words that the tree branches on; documents in which a template recurs; words of the shortest line looked at;
 #: share of a template's words, in percent, that are no variable fields.
@@ -52,13 +52,14 @@ def recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) ->
         "lines",
     )
     distinct = candidates.groupBy("leaf", "line_hash").agg(F.count("*").alias("n"), F.min("line").alias("line"))
-    places = distinct.select("leaf", "line_hash", "n", F.posexplode(F.split("line", " ", -1)).alias("place", "word")).withColumn("word", F.xxhash64("place", "word"))
+    places = distinct.select("leaf", "line_hash", "n", F.posexplode(F.split("line", " ", -1)).alias("place", "word"))
+    places = places.select("leaf", "line_hash", "n", F.xxhash64("place", "word").alias("word"), (F.col("word") != VARIABLE).alias("plain"))
     constants = places.groupBy("leaf", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_documents).select("leaf", "word")
     n_words = F.size(F.split("line", " ", -1))
     templates = (
         places.join(constants, ["leaf", "word"])
         .groupBy("leaf", "line_hash")
-        .agg(F.bit_xor("word").alias("template"), F.count("*").alias("n_constant"))
+        .agg(F.bit_xor("word").alias("template"), F.count_if("plain").alias("n_constant"))
         .join(distinct.select("leaf", "line_hash", n_words.alias("n_words")), ["leaf", "line_hash"])
         .where(F.col("n_constant") * 100 >= F.col("n_words") * LEAST_CONSTANT)
         .select("leaf", "line_hash", "template")
@@ -72,33 +73,32 @@ def recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) ->
     return templates.join(recurring, ["leaf", "template"]).select("line_hash", "keeper")
 
 
-def drop_recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """`docs` with `text` without the dropped lines, and `n_lines`, `n_dropped` added.
+def drop_recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """`docs` with `text` without the dropped lines, and the numbers of lines and of dropped lines added under the names `counts`.
 
     A null text stays null with no lines; an empty one has one line; a null
     doc_id never keeps a recurring line unless all its documents have null ids;
-    rows with the same id and text get the same result; other columns stay; an
-    empty table gives no row. Words are what single spaces part.
+    rows with the same id and text get the same result; other columns stay,
+    but those named like `counts` are replaced; an empty table gives no row.
+    Words are what single spaces part.
     """
-    found = stored(recurring_lines(docs, least_documents), "templates")
+    found = stored(recurring_lines(docs.select("doc_id", "text"), least_documents), "templates")
+    own, ids, hashes, gone = fresh(docs, "own_hash", "dropped_id", "dropped_hash", "dropped_lines")
     dropped = (
         _lines(docs.select("doc_id", "text"))
         .select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("line_hash"))
         .join(found, "line_hash")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-        .agg(F.collect_set("pos").alias("__dropped"))
+        .groupBy(F.col("doc_id").alias(ids), F.col("text_hash").alias(hashes))
+        .agg(F.collect_set("pos").alias(gone))
     )
-    rows = docs.withColumn("__own", F.xxhash64("text"))
-    joined = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    joined = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col(own) == F.col(hashes)), "left")
     every = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(every, lambda line, pos: ~F.array_contains(F.col(gone), pos)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
     return joined.select(
-        *(_kept(every).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in counts),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long").alias(counts[0]),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1]),
     )
-
-
-def _kept(every: Column) -> Column:
-    kept = F.filter(every, lambda line, pos: ~F.array_contains(F.col("__dropped"), pos))
-    return F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -76,7 +76,7 @@ places AS (
 constants AS (SELECT n, lead, place, word FROM places GROUP BY ALL HAVING sum(c) >= {L.LEAST_DOCUMENTS}),
 templates AS (
   SELECT n, lead, line, list((place, word) ORDER BY place) AS template
-  FROM places JOIN constants USING (n, lead, place, word) GROUP BY n, lead, line HAVING count(*) * 100 >= n * {L.LEAST_CONSTANT}),
+  FROM places JOIN constants USING (n, lead, place, word) GROUP BY n, lead, line HAVING count(*) FILTER (word <> '{L.VARIABLE}') * 100 >= n * {L.LEAST_CONSTANT}),
 recurring AS (
   SELECT n, lead, template, min(first) AS keeper FROM candidates JOIN templates USING (n, lead, line)
   GROUP BY n, lead, template HAVING count(DISTINCT th) >= {L.LEAST_DOCUMENTS}),
