@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +21,10 @@ from lexiloom.session import materialize
 SECOND = 1_000_000
 
 
-def serve(at: int, storable: bool, expires: int | None, ttl: int) -> tuple[bool, int | None]:
-    """(hit, when the entry expires afterwards) for one request."""
+def serve(at: int | None, storable: bool, expires: int | None, ttl: int) -> tuple[bool, int | None]:
+    """(hit, when the entry expires afterwards) for one request. A request without a time finds and keeps nothing."""
+    if at is None:
+        return False, expires
     if expires is not None and at < expires:
         return True, expires
     return False, at + ttl if storable else expires
@@ -59,21 +60,23 @@ def ttl_cache_replay(
 def _fold_usual(timed: DataFrame, key: str, tie: str, ttl: int) -> DataFrame:
     """One sorted pass per task. Spark sorts and spills; the fold holds one number, whatever the key's length."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         current, expires = object(), None
         for batch in batches:
             hits = []
-            for this, at, keep in zip(batch[key].tolist(), batch["_at"].tolist(), batch["_keep"].tolist()):
-                # A missing key arrives as NaN, which equals nothing.
-                this = None if this != this else this
+            for this, at, keep in zip(*(batch.column(c).to_pylist() for c in (key, "_at", "_keep"))):
+                this = "NaN" if this != this else this  # one key to Spark, but unequal to itself here
                 if this != current:
                     current, expires = this, None
                 hit, expires = serve(at, keep, expires, ttl)
                 hits.append(hit)
-            yield batch.assign(hit=hits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], names=[*batch.schema.names, "hit"])
 
     schema = timed.withColumn("hit", F.lit(True)).schema
-    return timed.repartition(key).sortWithinPartitions(key, "_at", tie).mapInPandas(fold, schema)
+    # Only the three columns above are looked at; all others pass as they came.
+    return timed.repartition(key).sortWithinPartitions(key, "_at", tie).mapInArrow(fold, schema)
 
 
 def _first_at_or_after(nodes: DataFrame, key: str, ttl: int, max_rows: int) -> DataFrame:
@@ -99,7 +102,7 @@ def _first_at_or_after(nodes: DataFrame, key: str, ttl: int, max_rows: int) -> D
 
 
 def _jump_hot(timed: DataFrame, key: str, tie: str, ttl: int, max_rows: int) -> DataFrame:
-    nodes = materialize(timed.filter("_keep").select(key, F.col("_at").alias("at")).distinct())
+    nodes = materialize(timed.filter("_keep AND _at IS NOT NULL").select(key, F.col("_at").alias("at")).distinct())
     jumps = materialize(_first_at_or_after(nodes, key, ttl, max_rows).filter(F.col("next").isNotNull()))
     reached = materialize(nodes.groupBy(key).agg(F.min("at").alias("at")))
     # Each round doubles the length of the jumps, so a chain of n links needs log2(n) rounds.

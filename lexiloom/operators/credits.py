@@ -22,9 +22,9 @@ from lexiloom.session import materialize
 OK, INSUFFICIENT, BAD_AMOUNT, NO_USER = "ok", "insufficient", "bad_amount", "no_such_user"
 
 
-def move(kind: str, amount: int, balance: int) -> tuple[str, int]:
-    """(verdict, balance afterwards) for one movement."""
-    if amount <= 0:
+def move(kind: str | None, amount: int | None, balance: int) -> tuple[str, int]:
+    """(verdict, balance afterwards) for one movement; a missing amount is no amount."""
+    if amount is None or amount <= 0:
         return BAD_AMOUNT, balance
     if kind == "add":
         return OK, balance + amount
@@ -34,18 +34,21 @@ def move(kind: str, amount: int, balance: int) -> tuple[str, int]:
 def _fold_in_order(keys: list[str], opening: str):
     """A pass over rows sorted by `keys`, time and seq: every new key starts from its `opening` balance."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         current, balance = None, 0
         for batch in batches:
             verdicts, balances = [], []
-            columns = [batch[c].tolist() for c in (opening, "kind", "amount", *keys)]
+            columns = [batch.column(c).to_pylist() for c in (opening, "kind", "amount", *keys)]
             for start, kind, amount, *key in zip(*columns):
                 if key != current:
                     current, balance = key, start
                 verdict, balance = move(kind, amount, balance)
                 verdicts.append(verdict)
                 balances.append(balance)
-            yield batch.assign(verdict=verdicts, balance=balances)
+            added = [pa.array(verdicts, pa.string()), pa.array(balances, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "verdict", "balance"])
 
     return fold
 
@@ -53,7 +56,7 @@ def _fold_in_order(keys: list[str], opening: str):
 def _fold_sorted(rows: DataFrame, keys: list[str], opening: str) -> DataFrame:
     """Adds `verdict` and `balance`. Spark sorts and spills; the fold holds one number."""
     judged = T.StructType([*rows.schema, T.StructField("verdict", T.StringType()), T.StructField("balance", T.LongType())])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "_at", "seq").mapInPandas(_fold_in_order(keys, opening), judged)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_at", "seq").mapInArrow(_fold_in_order(keys, opening), judged)
 
 
 def replay_credits(
@@ -67,6 +70,9 @@ def replay_credits(
     With `accounts` (user_id, credits) everyone starts from their own balance
     and movements of unknown users are refused; otherwise all start from `start`.
 
+    A movement without an amount, or with none above 0, is a `bad_amount` and
+    leaves the balance alone.
+
     Users with more than `max_rows` movements are cut into time slices. A slice
     in which the balance cannot run short changes it by a plain sum, so its
     effect is known without a replay; only the other slices are replayed one
@@ -96,7 +102,7 @@ def replay_credits(
 
 def _slice_needs(sliced: DataFrame) -> DataFrame:
     """Per slice: its sum without refusals, and the balance it needs so that none happens."""
-    moved = F.when(F.col("amount") <= 0, 0).when(F.col("kind") == "add", F.col("amount")).otherwise(-F.col("amount"))
+    moved = F.when(F.coalesce(F.col("amount"), F.lit(0)) <= 0, 0).when(F.col("kind") == "add", F.col("amount")).otherwise(-F.col("amount"))
     order = Window.partitionBy("user_id", "_slice").orderBy("_at", "seq").rowsBetween(Window.unboundedPreceding, 0)
     return (
         sliced.withColumn("_moved", moved.cast("long"))

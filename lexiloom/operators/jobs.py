@@ -82,17 +82,20 @@ def terminal_bar(df: DataFrame) -> DataFrame:
 
 
 def job_progress(events: DataFrame, job: str = "job_id", seq: str = "seq", ts: str = "ts") -> DataFrame:
-    """Adds percent, elapsed time, ETA and speed to every status event.
+    """Adds percent, elapsed time, ETA and speed to every status event. A job starts at its
+    first real start time; until there is one, times that follow from it are NULL.
 
     The start comes from a grouped minimum joined back, not from a window: the
     join can split a job that holds most of the events, a window cannot.
     """
-    starts = events.groupBy(job).agg(F.min_by("started_at", seq).alias("_started"))
+    real = F.coalesce(F.col("started_at") != 0, F.lit(False))
+    starts = events.groupBy(job).agg(F.min(F.when(real, F.struct(seq, "started_at"))).alias("_first"))
     now = micros(F.col(ts)) / 1_000_000
+    started = F.when(F.col(seq) >= F.col(f"_first.{seq}"), F.col("_first.started_at"))
     return (
         events.join(starts, job)
-        .withColumns(progress_columns(F.col("_started"), now, F.col("current"), F.col("total")))
-        .drop("_started")
+        .withColumns(progress_columns(started, now, F.col("current"), F.col("total")))
+        .drop("_first")
     )
 
 

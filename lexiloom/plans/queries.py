@@ -14,7 +14,7 @@ from lexiloom.operators import accounts, jobs, ledger, memory, ocr, retrieval, s
 from lexiloom.operators.cache import ttl_cache_replay
 from lexiloom.operators.credits import replay_credits
 from lexiloom.plans.ledger_report import revenue_report, transactions_report
-from lexiloom.plans.streams import StreamTables, run_status_to_end, run_to_end, zoned
+from lexiloom.plans.streams import StreamTables, run_status_to_end, run_to_end, run_updates_to_end
 from lexiloom.plans.tables import Tables
 from lexiloom.plans.translation import translate_batch
 from lexiloom.sources.manifests import parse_manifest
@@ -22,7 +22,7 @@ from lexiloom.sources.media import media_verdict
 from lexiloom.sources.sinks import ocr_documents
 from lexiloom.streaming import state
 from lexiloom.streaming.inbox import translate_once
-from lexiloom.streaming.jobs import stream_job_status
+from lexiloom.streaming.jobs import stream_job_status, stream_throughput
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -264,16 +264,16 @@ def correction_requests(t: Tables) -> DataFrame:
 @query
 def numbered_lines(t: Tables) -> DataFrame:
     number, text = (F.col("doc_id") % 13).cast("string"), F.col("text")
-    replies = t.texts("documents").select("doc_id", F.concat(number, F.lit(". "), F.replace(text, F.lit("\n"), F.lit("\n 2.  "))).alias("reply"))
+    replies = t.given("documents").select("doc_id", F.concat(number, F.lit(". "), F.replace(text, F.lit("\n"), F.lit("\n 2.  "))).alias("reply"))
     return ocr.explode_numbered_lines(replies)
 
 
 @query
 def language_mapped(t: Tables) -> DataFrame:
     asked = (
-        t.texts("documents").select("lang")
+        t.given("documents").select("lang")
         .unionByName(t.given("nation").select(F.col("n_name").alias("lang")))
-        .unionByName(t.texts("documents").select(F.when(F.col("lang") == "fr", "French").when(F.col("lang") == "de", "zh").otherwise("rs_cyrillic").alias("lang")))
+        .unionByName(t.given("documents").select(F.when(F.col("lang") == "fr", "French").when(F.col("lang") == "de", "zh").otherwise("rs_cyrillic").alias("lang")))
     )
     mapped = ocr.map_language(asked)
     keys = ["lang", "ocr_code", "name_ocr_code", "display_name", "target_name"]
@@ -479,12 +479,16 @@ def translated_protected(t: Tables) -> DataFrame:
 @query
 def ttl_replay(t: Tables) -> DataFrame:
     replayed = ttl_cache_replay(t.cache_requests(), storable="storable")
-    return replayed.select("id", "key", "storable", "hit")
+    return replayed.select("id", F.col("key").cast("string").alias("key"), "storable", "hit")
 
 
 @query
 def credit_replay(t: Tables) -> DataFrame:
-    return replay_credits(t.credit_events(), t.users()).drop("ts").withColumn("balance", F.col("balance").cast("double"))
+    return _amounts(replay_credits(t.credit_events(), t.users()))
+
+
+def _amounts(replayed: DataFrame) -> DataFrame:
+    return replayed.drop("ts").withColumns({c: F.col(c).cast("double") for c in ("amount", "balance")})
 
 
 @query
@@ -511,18 +515,18 @@ def job_throughput(t: Tables) -> DataFrame:
 # --- retrieval -----------------------------------------------------------------------
 @query
 def chunk_windows(t: Tables) -> DataFrame:
-    return retrieval.chunk_windows(t.texts("documents"), "doc_id")
+    return retrieval.chunk_windows(t.given("documents"), "doc_id")
 
 
 @query
 def chunk_corpus(t: Tables) -> DataFrame:
-    return retrieval.chunk_corpus(t.texts("documents"), "doc_id")
+    return retrieval.chunk_corpus(t.given("documents"), "doc_id")
 
 
 @query
 def chunks_in_sql(t: Tables) -> DataFrame:
     register_chunks(t.spark)
-    t.texts("documents").createOrReplaceTempView("lexiloom_documents")
+    t.given("documents").createOrReplaceTempView("lexiloom_documents")
     return t.spark.sql(
         "SELECT d.doc_id, c.chunk_idx, c.chunk_size, c.chunk AS text "
         "FROM lexiloom_documents d, LATERAL chunks(d.text, 2000, 400) c"
@@ -563,14 +567,13 @@ def _streams(t: Tables) -> StreamTables:
 
 @query
 def stream_ttl_replay(t: Tables) -> DataFrame:
-    replayed = state.stream_cache_replay(zoned(_streams(t).cache_requests()), storable="storable")
-    return run_to_end(replayed).select("id", "key", "storable", "hit")
+    replayed = state.stream_cache_replay(_streams(t).cache_requests(), storable="storable")
+    return run_to_end(replayed).select("id", F.col("key").cast("string").alias("key"), "storable", "hit")
 
 
 @query
 def stream_credit_replay(t: Tables) -> DataFrame:
-    replayed = run_to_end(state.stream_credit_replay(_streams(t).credit_events()))
-    return replayed.drop("ts")
+    return _amounts(run_to_end(state.stream_credit_replay(_streams(t).credit_events(), t.users())))
 
 
 @query
@@ -588,6 +591,14 @@ def stream_status_folded(t: Tables) -> DataFrame:
     return current.withColumn("updated_at", iso_text(F.col("updated_at")))
 
 
+@query
+def stream_throughput_rows(t: Tables) -> DataFrame:
+    """Windows that are still open at the end come out in update mode; the newest row of each counts."""
+    events = _streams(t).status_events().withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = run_updates_to_end(stream_throughput(events), ["job_id", "window_start"])
+    return windows.withColumn("window_start", iso_text(F.col("window_start").cast("timestamp_ntz")))
+
+
 @query
 def stream_translate_once(t: Tables) -> DataFrame:
     return run_to_end(translate_once(_streams(t).segments(), "vi")).select("key", "text")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexiloom.plans.tables import Tables
 from lexiloom.session import shared_folder
@@ -15,12 +14,13 @@ class StreamTables(Tables):
     """The same logical tables, read as streams of files."""
 
     def given(self, name: str) -> DataFrame:
-        schema = super().given(name).schema
-        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        return reader.option("maxFilesPerTrigger", 1).parquet(self.folder)
-
-    def texts(self, name: str) -> DataFrame:
-        return self.given(name)
+        """A table's own file, or its folder of files, as a stream. A stream follows folders, so a file is picked from its own."""
+        table = super().given(name)
+        reader = self.spark.readStream.schema(table.schema)
+        files = table.inputFiles()
+        if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
+            return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        return reader.parquet(f"{self.folder}/{name}.parquet")
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -39,16 +39,15 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.parquet(f"{place}/rows")
 
 
-def run_status_to_end(status: DataFrame, job: str = "job_id") -> DataFrame:
-    """The current row of every job after the files present."""
-    from lexiloom.streaming.jobs import read_current_status, write_current_status
+def run_updates_to_end(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of every key after the files present, from a stream in update mode."""
+    from lexiloom.streaming.jobs import read_current, write_current_status
 
-    spark = status.sparkSession
-    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    write_current_status(status, f"{place}/rows", f"{place}/checkpoint", job).awaitTermination()
-    return read_current_status(spark, f"{place}/rows", job)
+    place = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    write_current_status(stream, f"{place}/rows", f"{place}/checkpoint").awaitTermination()
+    return read_current(stream.sparkSession, f"{place}/rows", keys)
 
 
-def zoned(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Watermarks need a time with a zone."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+def run_status_to_end(status: DataFrame, job: str = "job_id") -> DataFrame:
+    """The current row of every job after the files present."""
+    return run_updates_to_end(status, [job])

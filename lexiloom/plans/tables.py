@@ -21,15 +21,6 @@ class Tables:
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def texts(self, name: str) -> DataFrame:
-        """A table of texts, spread over the cores when it comes in fewer splits than there are cores.
-
-        Text work is heavy per row, so a small file in one split would keep one
-        core busy. Large tables have many splits and are read as they are.
-        """
-        rows, cores = self.given(name), self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
     # --- ledger ---------------------------------------------------------------
     def users(self) -> DataFrame:
         """Customers that do not owe anything; so some movements have no user."""
@@ -58,7 +49,7 @@ class Tables:
 
     def history(self) -> DataFrame:
         key = F.col("doc_id")
-        return self.texts("documents").select(
+        return self.given("documents").select(
             key.alias("id"),
             (key % 150).alias("user_id"),
             F.col("text").alias("input_text"),
@@ -138,7 +129,7 @@ class Tables:
 
     # --- documents --------------------------------------------------------------
     def segments(self) -> DataFrame:
-        return self.texts("documents").select(
+        return self.given("documents").select(
             "doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "text")
         )
 
@@ -154,7 +145,7 @@ class Tables:
             "document.xml"
         )
         return (
-            self.texts("documents")
+            self.given("documents")
             .select("doc_id", lines.alias("_lines"))
             .select("doc_id", F.posexplode(pairs).alias("para_idx", "_para"))
             .withColumn("part", part)
@@ -183,7 +174,7 @@ class Tables:
         return segments.withColumn("target", F.when(F.col("translate"), target))
 
     def page_texts(self) -> DataFrame:
-        return self.texts("pages").select(
+        return self.given("pages").select(
             "page_id", F.concat(F.lit("see "), "url", _text(" or mail p", F.col("page_id"), "@example.org now "), "html").alias("text")
         )
 
@@ -198,7 +189,7 @@ class Tables:
             .when(kind == 4, F.concat(F.lit("TRANSLATE|"), "lang"))
             .otherwise(F.concat(F.lit("UNKNOWN|"), t))
         )
-        return self.texts("documents").select(key.alias("id"), question.alias("question"))
+        return self.given("documents").select(key.alias("id"), question.alias("question"))
 
     def replies(self) -> DataFrame:
         key = F.col("conv_id") * 100 + F.col("turn")
@@ -207,7 +198,7 @@ class Tables:
             F.lit('{"language":[{"name":"'), "role", F.lit('","code":"en","text":"'), t, F.lit('"},{"text":"x"}]}')
         )
         broken = F.concat(F.lit('{"language":[{"name":"'), t)
-        return self.texts("conversations").select(
+        return self.given("conversations").select(
             key.alias("id"), F.when(key % 7 == 0, broken).otherwise(whole).alias("reply")
         )
 
@@ -281,7 +272,7 @@ class Tables:
             .when(quantity == 2, head)
             .otherwise(F.concat(head, F.lit("|"), (100 - F.col("l_linenumber")).cast("string")))
         )
-        return self.texts("lineitem").select(F.col("l_orderkey").alias("image_id"), line.alias("value"))
+        return self.given("lineitem").select(F.col("l_orderkey").alias("image_id"), line.alias("value"))
 
     def media(self) -> DataFrame:
         key, size = F.col("p_partkey"), F.col("p_size")
@@ -293,17 +284,22 @@ class Tables:
 
     # --- ordered events -----------------------------------------------------------
     def cache_requests(self) -> DataFrame:
+        """Keys too large for a double, and missing ones."""
         return self.given("events").select(
-            F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("key"), "ts", (F.col("value") >= 5).alias("storable")
+            F.col("event_id").alias("id"),
+            F.when(F.col("user_id") % 10 != 9, F.col("user_id") % 10 + 2**53).alias("key"),
+            "ts",
+            (F.col("value") >= 5).alias("storable"),
         )
 
     def credit_events(self) -> DataFrame:
+        """Some movements have no amount."""
         return self.given("events").select(
             F.col("event_id").alias("seq"),
             "user_id",
             "ts",
             F.when(F.col("event_type") == "purchase", "add").otherwise("subtract").alias("kind"),
-            (F.floor("value") * 20).cast("long").alias("amount"),
+            F.when(F.col("event_id") % 13 != 0, (F.floor("value") * 20).cast("long")).alias("amount"),
         )
 
     def status_events(self) -> DataFrame:

@@ -39,11 +39,16 @@ def write_current_status(status: DataFrame, path: str, checkpoint: str, job: str
     )
 
 
+def read_current(spark, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of every key from the folders above."""
+    written = spark.read.parquet(path)
+    row = F.struct(*[c for c in written.columns if c not in (*keys, "batch")])
+    return written.groupBy(*keys).agg(F.max_by(row, "batch").alias("_row")).select(*keys, "_row.*")
+
+
 def read_current_status(spark, path: str, job: str = "job_id") -> DataFrame:
     """The newest row of every job from the folders above."""
-    written = spark.read.parquet(path)
-    row = F.struct(*[c for c in written.columns if c not in (job, "batch")])
-    return written.groupBy(job).agg(F.max_by(row, "batch").alias("_row")).select(job, "_row.*")
+    return read_current(spark, path, [job])
 
 
 def stream_throughput(

@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -20,10 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.text import micros
 from lexiloom.operators.cache import SECOND, serve
-from lexiloom.operators.credits import move
+from lexiloom.operators.credits import NO_USER, move
 from lexiloom.operators.jobs import progress_columns
 
-LATENESS = "1 hour"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,8 +30,15 @@ def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], tie: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["at_micros", tie], kind="stable")
+def _in_order(rows: Iterator[Row], tie: str) -> list[Row]:
+    """Rows without a time first, as a sort in Spark has them."""
+    first = (False, 0)
+    place = lambda value: first if value is None else (True, value)
+    return sorted(rows, key=lambda r: (place(r["at_micros"]), place(r[tie])))
+
+
+def _added(row: Row, **columns) -> Row:
+    return Row(**row.asDict(recursive=False), **columns)
 
 
 class _Remembering(StatefulProcessor):
@@ -54,61 +59,59 @@ class _Remembering(StatefulProcessor):
 
 
 class CacheProcessor(_Remembering):
-    """State: when the key's entry expires. A timer drops entries that the watermark has passed."""
+    """State: when the key's entry expires. With a watermark, a timer drops entries that it has passed."""
 
-    def __init__(self, ttl: int, tie: str):
-        self._ttl, self._tie = ttl, tie
+    def __init__(self, ttl: int, tie: str, timed: bool):
+        self._ttl, self._tie, self._timed = ttl, tie, timed
 
     def init(self, handle) -> None:
         super().init(handle)
         self._handle = handle
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        group = _in_order(rows, self._tie)
-        hits, expires = [], self.recall()
-        for at, storable in zip(group["at_micros"].tolist(), group["can_keep"].tolist()):
-            hit, expires = serve(at, storable, expires, self._ttl)
-            hits.append(hit)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        out, expires = [], self.recall()
+        for row in _in_order(rows, self._tie):
+            hit, expires = serve(row["at_micros"], row["can_keep"], expires, self._ttl)
+            out.append(_added(row, hit=hit))
         self.keep(expires)
-        for old in list(self._handle.listTimers()):
-            self._handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        if expires is not None:
-            self._handle.registerTimer(expires // 1000 + 1)
-        yield group.assign(hit=hits)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self._timed:
+            for old in list(self._handle.listTimers()):
+                self._handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+            if expires is not None:
+                self._handle.registerTimer(expires // 1000 + 1)
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self._number.clear()
         return iter(())
 
 
 class CreditProcessor(_Remembering):
-    """State: the balance."""
-
-    def __init__(self, start: int):
-        self._start = start
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        group = _in_order(rows, "seq")
-        verdicts, balances, balance = [], [], self.recall()
-        balance = self._start if balance is None else balance
-        for kind, amount in zip(group["kind"].tolist(), group["amount"].tolist()):
-            verdict, balance = move(kind, amount, balance)
-            verdicts.append(verdict)
-            balances.append(balance)
+    """State: the balance. Rows whose `opening` is missing are of nobody and change nothing."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        out, balance = [], self.recall()
+        for row in _in_order(rows, "seq"):
+            if row["opening"] is None:
+                out.append(_added(row, verdict=NO_USER, balance=None))
+                continue
+            verdict, balance = move(row["kind"], row["amount"], row["opening"] if balance is None else balance)
+            out.append(_added(row, verdict=verdict, balance=balance))
         self.keep(balance)
-        yield group.assign(verdict=verdicts, balance=balances)
+        yield from out
 
 
 class StartProcessor(_Remembering):
-    """State: the job's first start time, in microseconds."""
+    """State: the job's first real start time, in microseconds; NULL and 0 are none."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        group = _in_order(rows, "seq")
-        started = self.recall()
-        if started is None:
-            started = int(round(float(group["started_at"].iloc[0]) * SECOND))
-            self.keep(started)
-        yield group.assign(job_start=started / SECOND)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        out, started = [], self.recall()
+        for row in _in_order(rows, "seq"):
+            if started is None and row["started_at"]:
+                started = int(round(row["started_at"] * SECOND))
+            out.append(_added(row, job_start=None if started is None else started / SECOND))
+        self.keep(started)
+        yield from out
 
 
 def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
@@ -122,45 +125,49 @@ def stream_cache_replay(
     tie: str = "id",
     storable: str | None = None,
     ttl_seconds: int = fixed.CACHE_SECONDS,
-    lateness: str = LATENESS,
+    lateness: str | None = None,
 ) -> DataFrame:
-    """Adds `hit` to a stream of requests; `ts` must be a TIMESTAMP. Rows later than `lateness` are dropped."""
+    """Adds `hit` to a stream of requests.
+
+    Requests are put in order within a trigger. No row is dropped unless the
+    caller gives a `lateness`: then `ts` must be a TIMESTAMP, rows later than
+    that go, and entries that the watermark has passed leave the state.
+    """
     use_state_store(requests.sparkSession)
-    timed = (
-        requests.withWatermark(ts, lateness)
-        .withColumn("at_micros", F.unix_micros(ts))
-        .withColumn("can_keep", F.coalesce(F.col(storable), F.lit(False)) if storable else F.lit(True))
+    bounded = requests if lateness is None else requests.withWatermark(ts, lateness)
+    timed = bounded.withColumn("at_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
+        "can_keep", F.coalesce(F.col(storable), F.lit(False)) if storable else F.lit(True)
     )
     output = _with(timed.schema, T.StructField("hit", T.BooleanType()))
     return (
         timed.groupBy(key)
-        .transformWithStateInPandas(
-            statefulProcessor=CacheProcessor(ttl_seconds * SECOND, tie),
+        .transformWithState(
+            statefulProcessor=CacheProcessor(ttl_seconds * SECOND, tie, lateness is not None),
             outputStructType=output,
             outputMode="Append",
-            timeMode="EventTime",
+            timeMode="None" if lateness is None else "EventTime",
         )
         .drop("at_micros", "can_keep")
     )
 
 
-def stream_credit_replay(events: DataFrame, start: int = fixed.START_CREDITS) -> DataFrame:
-    """Adds `verdict` and `balance` to a stream of movements.
+def stream_credit_replay(events: DataFrame, accounts: DataFrame | None = None, start: int = fixed.START_CREDITS) -> DataFrame:
+    """Adds `verdict` and `balance` to a stream of movements, as `replay_credits` does.
 
-    Balances are kept for good: an account has no end, so there is no watermark.
+    `accounts` is a table, read anew in each trigger. Balances are kept for
+    good: an account has no end, so there is no watermark.
     """
     use_state_store(events.sparkSession)
     timed = events.withColumn("at_micros", micros(F.col("ts")))
+    if accounts is None:
+        timed = timed.withColumn("opening", F.lit(start).cast("long"))
+    else:
+        timed = timed.join(accounts.select("user_id", F.col("credits").cast("long").alias("opening")), "user_id", "left")
     output = _with(timed.schema, T.StructField("verdict", T.StringType()), T.StructField("balance", T.LongType()))
     return (
         timed.groupBy("user_id")
-        .transformWithStateInPandas(
-            statefulProcessor=CreditProcessor(start),
-            outputStructType=output,
-            outputMode="Append",
-            timeMode="None",
-        )
-        .drop("at_micros")
+        .transformWithState(statefulProcessor=CreditProcessor(), outputStructType=output, outputMode="Append", timeMode="None")
+        .drop("at_micros", "opening")
     )
 
 
@@ -169,7 +176,7 @@ def stream_job_progress(events: DataFrame, job: str = "job_id") -> DataFrame:
     use_state_store(events.sparkSession)
     timed = events.withColumn("at_micros", micros(F.col("ts")))
     output = _with(timed.schema, T.StructField("job_start", T.DoubleType()))
-    started = timed.groupBy(job).transformWithStateInPandas(
+    started = timed.groupBy(job).transformWithState(
         statefulProcessor=StartProcessor(), outputStructType=output, outputMode="Append", timeMode="None"
     )
     now = F.col("at_micros") / SECOND

@@ -163,3 +163,18 @@ def test_deep_pages_of_users(spark, sf, monkeypatch):
     plain = ledger.page_per_user(rows_, 20, 30)
     monkeypatch.setattr(ledger, "TASK_PRUNED_RANKS", 5)
     assert rows(ledger.page_per_user(rows_, 20, 30), "id", "position", "total") == rows(plain, "id", "position", "total")
+
+
+@pytest.mark.parametrize("max_rows", [None, 2])
+def test_replays_leave_other_columns_and_missing_values_alone(spark, max_rows):
+    moves = [(1, 1, 100, "add"), (2, 1, None, "add"), (3, 1, 50, "subtract"), (4, 1, 999999, "subtract"), (5, 2, None, None), (6, 1, 60, "subtract")]
+    df = spark.createDataFrame([(s, u, k, a, s, 2**53 + 1 if s % 2 else None) for s, u, a, k in moves], "seq long, user_id long, kind string, amount long, n int, big long").withColumn("ts", F.timestamp_seconds("n"))
+    got = {r.seq: (r.verdict, r.balance, r.big) for r in replay_credits(df, start=10, max_rows=max_rows).collect()}
+    assert got == {
+        1: ("ok", 110, 2**53 + 1), 2: ("bad_amount", 110, None), 3: ("ok", 60, 2**53 + 1), 4: ("insufficient", 60, None),
+        5: ("bad_amount", 10, 2**53 + 1), 6: ("ok", 0, None),
+    }
+    keys = [2**53, 2**53 + 1, None, 2**53 + 1, None, None]
+    requests = spark.createDataFrame([(i, k, i if i < 5 else None, None) for i, k in enumerate(keys)], "id long, key long, n int, other long").withColumn("ts", F.timestamp_seconds("n"))
+    hits = {r.id: (r.key, r.hit) for r in ttl_cache_replay(requests, ttl_seconds=60, max_rows=max_rows).collect()}
+    assert hits == {0: (2**53, False), 1: (2**53 + 1, False), 2: (None, False), 3: (2**53 + 1, True), 4: (None, True), 5: (None, False)}

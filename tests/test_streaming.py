@@ -114,3 +114,47 @@ def test_inbox_of_texts(spark, tmp_path):
     lines = inbox.follow_texts(spark, str(tmp_path / "in"), files_per_trigger=1)
     got = finish(inbox.translate_once(lines, "vi"), tmp_path)
     assert sorted(r["text"] for r in got.collect()) == ["one", "two"]
+
+
+def test_streams_over_a_folder_of_shuffled_files(spark, sf, tmp_path):
+    import __spark_entry__ as entry_points
+
+    for table in ("events", "customer", "documents"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(4).write.parquet(f"{tmp_path}/{table}.parquet")
+    for name in ("ttl_replay", "credit_replay", "job_progress", "status_folded"):
+        got = entry_points.queries()[f"stream_{name}"](spark, str(tmp_path))
+        want = entry_points.queries()[name](spark, sf)
+        assert rows(got, *sorted(want.columns)) == rows(want, *sorted(want.columns))
+
+
+def test_stream_replays_keep_missing_and_large_values(spark, tmp_path, in_pieces):
+    moves = [(1, 1, 100, "add"), (2, 1, None, "add"), (3, 1, 50, "subtract"), (4, 2, 5, "add"), (5, 1, None, None)]
+    df = spark.createDataFrame([(s, u, k, a, s, 2**53 + 1 if s % 2 else None) for s, u, a, k in moves], "seq long, user_id long, kind string, amount long, n int, big long").withColumn("ts", F.timestamp_seconds("n"))
+    accounts = spark.createDataFrame([(1, 10)], "user_id long, credits long")
+    got = finish(state.stream_credit_replay(in_pieces(df, "seq"), accounts), tmp_path)
+    want = replay_credits(df, accounts)
+    assert rows(got, "seq", "verdict", "balance", "big") == rows(want, "seq", "verdict", "balance", "big")
+
+
+def test_progress_starts_at_the_first_real_start(spark, tmp_path, in_pieces):
+    rows_in = [(1, 1, None, 1, 10), (1, 2, 0.0, 2, 10), (1, 3, 5.0, 3, 10), (1, 4, 9.0, 4, 10)]
+    df = spark.createDataFrame(rows_in, "job_id long, seq long, started_at double, current long, total long").withColumn("ts", F.timestamp_seconds(F.col("seq") + 10))
+    got = finish(state.stream_job_progress(in_pieces(df, "seq")), tmp_path)
+    want = jobs.job_progress(df)
+    assert rows(got, "seq", "elapsed", "percent") == rows(want, "seq", "elapsed", "percent")
+    assert {r.seq: r.elapsed for r in want.collect()} == {1: None, 2: None, 3: 8.0, 4: 9.0}
+
+
+def test_follow_documents(spark, tmp_path):
+    import io
+    import zipfile
+
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    for n in range(2):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as archive:
+            body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in (f"line {n}", "  ", "end"))
+            archive.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body>{body}</w:body></w:document>')
+        (tmp_path / f"d{n}.docx").write_bytes(data.getvalue())
+    got = finish(inbox.follow_documents(spark, str(tmp_path), 1), tmp_path)
+    assert sorted(r.text for r in got.collect()) == ["end", "end", "line 0", "line 1"]
