@@ -56,14 +56,19 @@ def grade_hook(factory: Factory, attempts: int = 3) -> Callable[..., Column]:
 
 
 def embed_hook(factory: Factory, attempts: int = 3) -> Callable[..., Column]:
-    """Text column -> vector column. The function takes a list of texts and gives a list of vectors."""
+    """Text column -> vector column. The function takes a list of texts and gives a list of vectors.
+
+    A batch that fails is tried text by text, so one bad text costs its own vector only; that one is NULL.
+    """
 
     @F.pandas_udf("array<float>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fn = factory()
         for texts in batches:
             vectors = _tried(fn, attempts, texts.tolist())
-            yield pd.Series([None] * len(texts) if vectors is None else [list(map(float, v)) for v in vectors])
+            if vectors is None:
+                vectors = [(_tried(fn, attempts, [text]) or [None])[0] for text in texts]
+            yield pd.Series([None if v is None else list(map(float, v)) for v in vectors], dtype=object)
 
     return apply
 

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.chunks import split_text
+from lexiloom.session import materialize
 
-# Queries up to this many travel to every task (with 1536-dimensional vectors
-# some 50 MB); more are handled in blocks of this size by a shuffle.
+# Queries that travel to every task at a time (with 1536-dimensional vectors some
+# 50 MB); more are taken block by block, and the corpus stays where it is.
 BROADCAST_QUERIES = 4096
-# Vectors per group on the shuffled path.
-GROUP_VECTORS = 100_000
-# Distances computed at a time: keeps the working array near 32 MB.
+# Cells (query, vector, dimension) computed at a time: keeps the working array near 32 MB.
 DISTANCE_CELLS = 4_000_000
+QUERY_BLOCK = 64
 
 
 # --- chunks ------------------------------------------------------------------
@@ -79,19 +79,19 @@ def union_chunks(parts: Sequence[DataFrame]) -> DataFrame:
 # --- nearest neighbours ------------------------------------------------------
 def _nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: list, queries: np.ndarray, k: int, best: dict) -> None:
     """Merges the k nearest of these vectors into `best` (query -> (distances, ids)); ties take the lower id."""
-    block = max(1, DISTANCE_CELLS // max(1, vectors.shape[1] * len(vectors)))
-    for start in range(0, len(query_ids), block):
-        # Differences, not the expanded square: it keeps near-equal distances apart.
-        some = queries[start : start + block]
-        squares = ((some[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2)
-        for query_id, distances in zip(query_ids[start : start + block], squares):
-            if query_id in best:
-                distances = np.concatenate([best[query_id][0], distances])
-                candidates = np.concatenate([best[query_id][1], ids])
-            else:
-                candidates = ids
-            order = np.lexsort((candidates, distances))[:k]
-            best[query_id] = (distances[order], candidates[order])
+    some_vectors = max(1, DISTANCE_CELLS // max(1, vectors.shape[1] * QUERY_BLOCK))
+    for first in range(0, len(vectors), some_vectors):
+        near, near_ids = vectors[first : first + some_vectors], ids[first : first + some_vectors]
+        for start in range(0, len(query_ids), QUERY_BLOCK):
+            # Differences, not the expanded square: it keeps near-equal distances apart.
+            squares = ((queries[start : start + QUERY_BLOCK, None, :] - near[None, :, :]) ** 2).sum(axis=2)
+            for query_id, distances in zip(query_ids[start : start + QUERY_BLOCK], squares):
+                candidates = near_ids
+                if query_id in best:
+                    distances = np.concatenate([best[query_id][0], distances])
+                    candidates = np.concatenate([best[query_id][1], near_ids])
+                order = np.lexsort((candidates, distances))[:k]
+                best[query_id] = (distances[order], candidates[order])
 
 
 def _ids(column: pd.Series) -> np.ndarray:
@@ -119,19 +119,30 @@ def retrieve_topk(
     """The k nearest corpus vectors of every query by squared Euclidean distance, with `rank` from 1.
 
     Every task keeps only its own k best per query, so the shuffle holds at most
-    k rows per query and task, whatever the size of the corpus.
+    k rows per query and task, whatever the size of the corpus. NULL vectors are
+    nobody's neighbour and find none. The queries are computed once and taken in
+    blocks of `broadcast_queries`; with more than one block, each block's result
+    is stored before the next one starts.
     """
     id_type = corpus.schema[id_name].dataType.simpleString()
     query_type = queries.schema[query_name].dataType.simpleString()
     schema = f"{query_name} {query_type}, {id_name} {id_type}, distance double"
-    vectors, wanted = corpus.select(id_name, vector), queries.select(query_name, vector)
-    few = wanted.limit(broadcast_queries + 1).collect()
-    if len(few) <= broadcast_queries:
-        candidates = _scan_with(vectors, few, k, id_name, query_name, vector, schema)
-    else:
-        candidates = _shuffle_with(vectors, wanted, k, id_name, query_name, vector, schema, broadcast_queries)
+    present = F.col(vector).isNotNull()
+    vectors = corpus.select(id_name, vector).filter(present)
+    wanted = materialize(queries.select(query_name, vector).filter(present))
     order = Window.partitionBy(query_name).orderBy("distance", id_name)
-    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def ranked(some: list) -> DataFrame:
+        candidates = _scan_with(vectors, some, k, id_name, query_name, vector, schema)
+        return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    found, some = None, []
+    for row in wanted.toLocalIterator():
+        if len(some) == broadcast_queries:
+            block = materialize(ranked(some))
+            found, some = block if found is None else found.unionByName(block), []
+        some.append(row)
+    return ranked(some) if found is None else found.unionByName(ranked(some))
 
 
 def _scan_with(vectors, few, k, id_name, query_name, vector, schema) -> DataFrame:
@@ -148,31 +159,6 @@ def _scan_with(vectors, few, k, id_name, query_name, vector, schema) -> DataFram
     return vectors.mapInPandas(search, schema)
 
 
-def _shuffle_with(vectors, wanted, k, id_name, query_name, vector, schema, block: int) -> DataFrame:
-    """Pairs of (corpus part, query block) as groups: both of bounded size, spread by hashes."""
-    parts = max(1, -(-vectors.count() // GROUP_VECTORS))
-    blocks = max(1, -(-wanted.count() // block))
-    spread = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.withColumn("_part", spread(id_name, parts)).withColumn("_block", copies(blocks))
-    right = wanted.withColumn("_block", spread(query_name, blocks)).withColumn("_part", copies(parts))
-
-    def search(some_vectors: pd.DataFrame, some_queries: pd.DataFrame) -> pd.DataFrame:
-        best: dict = {}
-        if len(some_vectors) and len(some_queries):
-            _nearest(
-                _ids(some_vectors[id_name]),
-                np.stack(some_vectors[vector]).astype("float64"),
-                some_queries[query_name].tolist(),
-                np.stack(some_queries[vector]).astype("float64"),
-                k,
-                best,
-            )
-        return _rows(best, query_name, id_name)
-
-    return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInPandas(search, schema)
-
-
 def split_by_grade(pairs: DataFrame, questions: DataFrame, question: str = "query_id") -> tuple[DataFrame, DataFrame]:
     """(relevant pairs, questions without any): the first go on to an answer, the second to the no-answer path."""
     relevant = pairs.filter(F.col("grade") == "yes")

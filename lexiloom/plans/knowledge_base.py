@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.inference import Factory, embed_batch, grade_batch
 from lexiloom.operators.retrieval import chunk_corpus, retrieve_topk, split_by_grade, union_chunks
+from lexiloom.session import materialize
 from lexiloom.sources.corpus import read_text_corpus
 from lexiloom.sources.sinks import write_chunk_store
 
 
-def ingest(spark, folders: list[str], store: str, factory: Factory, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP) -> None:
+def ingest(spark, folders: list[str], store: str, factory: Factory, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP, rejects: str | None = None) -> None:
     """Chunks of all text files below the folders, embedded and written as a store.
 
     A chunk's id is its file and position, so it is unique at any size of corpus.
+    Chunks that got no vector stay out of the store; with `rejects` they are
+    written there as Parquet, to be tried again.
     """
     parts = [chunk_corpus(read_text_corpus(spark, f), "path", size=size, overlap=overlap) for f in folders]
     named = union_chunks(parts).withColumns(
@@ -24,7 +27,10 @@ def ingest(spark, folders: list[str], store: str, factory: Factory, size: int =
             "vec_id": F.concat_ws("#", "path", F.col("chunk_idx").cast("string")),
         }
     )
-    write_chunk_store(embed_batch(named, factory), store)
+    embedded = materialize(embed_batch(named, factory))
+    write_chunk_store(embedded.filter(F.col("embedding").isNotNull()), store)
+    if rejects is not None:
+        embedded.filter(F.col("embedding").isNull()).drop("embedding").write.mode("overwrite").parquet(rejects)
 
 
 def answerable(store: DataFrame, questions: DataFrame, embed: Factory, grade: Factory, k: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -410,6 +410,8 @@ BODIES = {
     "ocr_results": """SELECT image_id, 'en' AS language, full_text, to_json(list({'bbox': {'x_min': x, 'y_min': y, 'x_max': x + w, 'y_max': y + h},
         'text_original': text, 'text_corrected': text_corrected, 'confidence': confidence} ORDER BY pos))::VARCHAR AS results
         FROM aligned JOIN full_texts USING (image_id) GROUP BY image_id, full_text""",
+    "media_in_order": """SELECT path, (p_partkey * 7 % 1000)::INTEGER AS number,
+        row_number() OVER (PARTITION BY p_partkey * 7 % 1000 ORDER BY path)::INTEGER AS place FROM media""",
     "media_listed": """SELECT path, (p_partkey * 7 % 1000)::INTEGER AS number,
         CASE WHEN p_size % 5 IN (3, 4) THEN 'accepted' ELSE 'bad_format' END AS image_verdict,
         CASE WHEN p_size % 5 NOT IN (0, 1) THEN 'bad_format' WHEN length = 0 THEN 'empty' WHEN length > 26214400 THEN 'too_large'
@@ -522,6 +524,14 @@ BODIES = {
         text[unnest(starts) + 1 : unnest(starts) + 2000] AS text
         FROM (SELECT doc_id, text, range(0, greatest(length(text) - 400, 1), 1600) AS starts FROM documents WHERE length(text) > 0)""",
     "retrieve_topk": "SELECT query_id, vec_id, rank, round(d, 6) AS distance FROM nearest",
+    "neighbours_of_all": """SELECT query_id, vec_id, rank, round(d, 6) AS distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INTEGER AS rank FROM (
+            SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, len(a.embedding) + 1),
+                lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) AS d FROM embeddings a, embeddings b)) WHERE rank <= 4""",
+    "chunks_united": """SELECT doc_id, (generate_subscripts(starts, 1) - 1)::INTEGER AS chunk_idx, unnest(starts)::INTEGER AS start,
+        text[unnest(starts) + 1 : unnest(starts) + 2000] AS text
+        FROM (SELECT doc_id, text, range(0, greatest(length(text) - 400, 1), 1600) AS starts FROM (
+            SELECT doc_id, text FROM documents UNION ALL SELECT -1 - page_id, text FROM page_texts) WHERE length(text) > 0)""",
     "graded_split": "SELECT query_id, vec_id, rank, 'yes' AS grade FROM nearest WHERE label = query_id",
     "unanswered": "SELECT query_id FROM queries_v WHERE query_id NOT IN (SELECT query_id FROM nearest WHERE label = query_id)",
 }

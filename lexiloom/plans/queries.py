@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.chunks import register_chunks
@@ -307,6 +307,13 @@ def ocr_results(t: Tables) -> DataFrame:
     return ocr_documents(shaped, info).withColumn("results", F.to_json("results"))
 
 
+@query
+def media_in_order(t: Tables) -> DataFrame:
+    """The natural order, as each file's place in it among the files of its number."""
+    by_number = Window.partitionBy("number").orderBy("path")
+    return ocr.natural_order(t.media()).select("path", "number", F.row_number().over(by_number).alias("place"))
+
+
 @query
 def media_listed(t: Tables) -> DataFrame:
     files = t.media()
@@ -542,6 +549,21 @@ def retrieve_topk(t: Tables) -> DataFrame:
     return _found(t).select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
 
+@query
+def neighbours_of_all(t: Tables) -> DataFrame:
+    """Every vector asks for its nearest ones: more queries than travel at a time."""
+    asking = t.corpus().select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieval.retrieve_topk(t.corpus(), asking, 4, broadcast_queries=200)
+    return found.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query
+def chunks_united(t: Tables) -> DataFrame:
+    """Windows of documents and of page texts as one table."""
+    pages = t.page_texts().withColumn("doc_id", -1 - F.col("page_id"))
+    return retrieval.union_chunks([retrieval.chunk_windows(x, "doc_id") for x in (t.given("documents"), pages)])
+
+
 def _graded(t: Tables) -> tuple[DataFrame, DataFrame]:
     """A neighbour is relevant when it has the query's label."""
     labelled = t.corpus().select("vec_id", F.col("label").cast("string").alias("document"))

@@ -73,12 +73,12 @@ def test_partition_count_does_not_matter(spark, sf, name):
 def test_only_the_allowed_queries_use_python(spark, sf):
     allowed = {
         "translated_default_fn", "translated_protected", "ttl_replay", "credit_replay",
-        "chunk_corpus", "chunks_in_sql", "retrieve_topk", "graded_split", "unanswered",
+        "chunk_corpus", "chunks_in_sql", "retrieve_topk", "neighbours_of_all", "graded_split", "unanswered",
     }
     for name, query in QUERIES.items():
         if name.startswith("stream_"):
             continue
         plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
-        uses_python = any(node in plan for node in ("EvalPython", "InPandas", "BatchEvalPythonUDTF", "ArrowEvalPythonUDTF"))
+        uses_python = any(node in plan for node in ("EvalPython", "InPandas", "InArrow", "BatchEvalPythonUDTF", "ArrowEvalPythonUDTF"))
         assert uses_python == (name in allowed), name
         assert "CartesianProduct" not in plan, name

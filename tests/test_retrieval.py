@@ -67,7 +67,6 @@ def vectors():
 
 @pytest.mark.parametrize("limit", [4096, 7])
 def test_neighbours_equal_brute_force(spark, vectors, monkeypatch, limit):
-    monkeypatch.setattr(retrieval, "GROUP_VECTORS", 60)
     monkeypatch.setattr(retrieval, "DISTANCE_CELLS", 5_000)
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(5)
     queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(vectors[:20] + 0.25)], "query_id string, embedding array<double>")
@@ -112,3 +111,24 @@ def test_ingest_and_answer(spark, tmp_path):
     assert [(r["query_id"], r["document"]) for r in relevant.collect()] == [(1, "cats purr")]
     assert [r["query_id"] for r in unanswered.collect()] == [2]
     assert saved.filter(F.col("embedding").isNull()).count() == 0
+
+
+def test_missing_vectors_find_nothing(spark):
+    corpus = spark.createDataFrame([(1, [1.0]), (2, None)], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [2.0]), (2, None)], "query_id long, embedding array<double>")
+    assert [tuple(r) for r in retrieval.retrieve_topk(corpus, queries).collect()] == [(1, 1, 1.0, 1)]
+
+
+def test_one_bad_text_costs_its_own_vector_only(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("good", "bad", "fine"):
+        (tmp_path / "in" / f"{name}.txt").write_text(name)
+
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError("bad text")
+        return [[float(len(t))] for t in texts]
+
+    ingest(spark, [str(tmp_path / "in")], str(tmp_path / "store"), constant_factory(embed), rejects=str(tmp_path / "rejects"))
+    assert sorted(r["text"] for r in read_chunk_store(spark, str(tmp_path / "store")).collect()) == ["fine", "good"]
+    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == ["bad"]
