@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.text import iso_text, micros
-from lexiloom.operators.skew import GROUP_ROWS, MAX_SLICES, cut_into_slices, running_count
+from lexiloom.operators.skew import take_ranks
 
 PURCHASE, USAGE = "purchase", "usage"
 MAX_LIMIT = 1000
-# Ranks up to here are taken by a top-k sort; deeper pages count over slices.
-TOP_RANKS = 100_000
 # Spark prunes ranks inside each task before the shuffle up to this rank.
 TASK_PRUNED_RANKS = 1000
 SALTS = 64
@@ -87,10 +85,13 @@ def enrich_username(df: DataFrame, users: DataFrame, fallback: bool = False) ->
     decides between a broadcast and a shuffled join.
     """
     named = df.join(users.select("user_id", "username"), "user_id", "left")
-    if fallback:
-        default = F.concat(F.lit("User "), F.col("user_id").cast("string"))
-        named = named.withColumn("username", F.coalesce("username", default))
-    return named
+    return name_or_id(named) if fallback else named
+
+
+def name_or_id(named: DataFrame) -> DataFrame:
+    """`username`, or `User <id>` where it is NULL."""
+    default = F.concat(F.lit("User "), F.col("user_id").cast("string"))
+    return named.withColumn("username", F.coalesce("username", default))
 
 
 def public_users(users: DataFrame) -> DataFrame:
@@ -159,23 +160,13 @@ def page(
     time: str = "created_at",
     tie: str = "id",
     max_limit: int = MAX_LIMIT,
-    top_ranks: int = TOP_RANKS,
 ) -> DataFrame:
-    """One page of the table in time order.
-
-    Near the top this is a top-k sort. A deep page would pull `skip` rows into
-    one task that way, so there the ranks come from counts over time slices.
-    """
+    """One page of the table in time order; a deep page costs what the first one does."""
     _check_page(skip, limit, max_limit)
-    if skip + limit <= top_ranks:
-        return order_by_time(df, direction, time, tie).offset(skip).limit(limit)
     rising = (direction or "").lower() == "asc"
+    order = [F.col(time).asc(), F.col(tie).asc()] if rising else [F.col(time).desc(), F.col(tie).desc()]
     at = micros(F.col(time)) * (1 if rising else -1)
-    order = [F.col("_at"), F.col(tie).asc() if rising else F.col(tie).desc()]
-    timed = df.withColumn("_at", at)
-    ranked = running_count(cut_into_slices(timed, [], F.col("_at"), GROUP_ROWS, MAX_SLICES), [], order, "_rank")
-    wanted = ranked.filter((F.col("_rank") > skip) & (F.col("_rank") <= skip + limit))
-    return order_by_time(wanted.drop("_at", "_slice", "_rank"), direction, time, tie)
+    return order_by_time(take_ranks(df, at, order, skip, limit, nulls_first=rising), direction, time, tie)
 
 
 def page_per_user(

@@ -7,14 +7,13 @@ style belong to its identity.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import is_blank, micros
-from lexiloom.operators.skew import GROUP_ROWS, MAX_SLICES, cut_into_slices, running_count
+from lexiloom.operators.skew import HOUR, join_keeping_nulls
 
 IDENTITY = ["key", "target_lang", "style"]
-TOP_ENTRIES = 100_000
 
 
 def with_key(segments: DataFrame, target_lang: str, style: str, text: str = "text") -> DataFrame:
@@ -77,39 +76,34 @@ def tm_stats(keyed: DataFrame, job: str = "job", memory: DataFrame | None = None
     )
 
 
-def tm_retain(memory: DataFrame, max_size: int = 2000, top_entries: int = TOP_ENTRIES) -> DataFrame:
+def tm_retain(memory: DataFrame, max_size: int = 2000) -> DataFrame:
     """The `max_size` most recently used entries; equal times keep the smaller key.
 
-    Small bounds are a top-k sort. Large ones are found by counts over time
-    slices, so that no task has to hold all entries that stay.
+    Counts per hour tell which entries stay for sure; only those of the hour in
+    which the bound falls are sorted, so no task has to hold all that stay.
     """
-    identity: list[Column] = [F.col(c) for c in IDENTITY]
-    if max_size <= top_entries:
-        return memory.orderBy(F.col("last_used").desc(), *identity).limit(max_size)
-    timed = memory.withColumn("_at", -micros(F.col("last_used")))
-    sliced = cut_into_slices(timed, [], F.col("_at"), GROUP_ROWS, MAX_SLICES)
-    ranked = running_count(sliced, [], [F.col("_at"), *identity], "_rank")
-    return ranked.filter(F.col("_rank") <= max_size).drop("_at", "_slice", "_rank")
+    hour = F.floor(micros(F.col("last_used")) / F.lit(HOUR))
+    hours = memory.groupBy(hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy(F.col("_hour").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = hours.withColumn("_upto", F.sum("_n").over(upto)).select("_hour", "_upto", (F.col("_upto") - F.col("_n")).alias("_before"))
+    placed = join_keeping_nulls(memory.withColumn("_hour", hour), counted.filter(F.col("_before") < max_size), ["_hour"], "inner")
+    sure = placed.filter(F.col("_upto") <= max_size)
+    at_bound = placed.filter(F.col("_upto") > max_size)
+    order = Window.partitionBy("_hour").orderBy(F.col("last_used").desc(), *(F.col(c) for c in IDENTITY))
+    last = at_bound.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_size)
+    last = last.filter(F.col("_rank") <= F.lit(max_size) - F.col("_before")).drop("_rank")
+    return sure.unionByName(last).drop("_hour", "_upto", "_before")
 
 
 def tm_merge(memory: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The next version of the memory: per identity the newest pair wins.
+    """The next version of the memory: per identity the newest pair wins; at equal times a fresh one, then the larger target.
 
-    Each side is reduced before they meet; the old pairs that are not replaced
-    pass through unchanged.
+    Old and new pairs meet in one aggregate.
     """
     columns = [*IDENTITY, "source", "target", "last_used"]
-    value = F.struct("source", "target", "last_used")
-    newest = (
-        fresh.groupBy(*IDENTITY)
-        .agg(F.max_by(value, F.struct("last_used", "target")).alias("_v"))
-        .select(*IDENTITY, "_v.*")
-    )
-    kept = memory.select(*columns).join(newest.select(*IDENTITY, F.col("last_used").alias("_newer")), IDENTITY, "left")
-    kept = kept.filter(F.col("_newer").isNull() | (F.col("last_used") > F.col("_newer"))).drop("_newer")
-    older = kept.select(*IDENTITY, F.lit(True).alias("_kept"))
-    added = newest.join(older, IDENTITY, "left_anti")
-    return kept.unionByName(added.select(*columns))
+    both = memory.select(*columns, F.lit(0).alias("_new")).unionByName(fresh.select(*columns, F.lit(1).alias("_new")))
+    best = F.max_by(F.struct("source", "target", "last_used"), F.struct("last_used", "_new", "target"))
+    return both.groupBy(*IDENTITY).agg(best.alias("_v")).select(*IDENTITY, "_v.*")
 
 
 def touch(memory: DataFrame, lookups: DataFrame) -> DataFrame:

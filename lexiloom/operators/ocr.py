@@ -60,9 +60,12 @@ def _merge_once(boxes: DataFrame, horizontal: int, vertical: int, max_rows: int
     if hot is not None:
         sliced = materialize(cut_into_slices(hot, ["image_id"], F.col("_top"), max_rows))
         hot_lines = running_islands(sliced, ["image_id"], y_order, center, center, new_line, "line").drop("_slice")
-        sliced = materialize(cut_into_slices(materialize(hot_lines), by_line, x_min, max_rows))
-        hot_marked = running_islands(sliced, by_line, x_order, x_max, x_min, new_group, "group_no").drop("_slice")
-        marked = marked.unionByName(hot_marked)
+        # A crowded image mostly has ordinary lines; only crowded lines are cut once more.
+        short, long = split_hot(materialize(hot_lines), by_line, max_rows)
+        marked = marked.unionByName(_islands(short, by_line, x_order, x_max, x_min, new_group, "group_no"))
+        if long is not None:
+            sliced = materialize(cut_into_slices(long, by_line, x_min, max_rows))
+            marked = marked.unionByName(running_islands(sliced, by_line, x_order, x_max, x_min, new_group, "group_no").drop("_slice"))
     return merge_box_group(marked, [*by_line, "group_no"], ["x_min", "_top", "idx"])
 
 

@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.session import materialize
+
 GROUP_ROWS = 1_000_000
 MAX_SLICES = 1024
 _STRIDE = 32
@@ -33,9 +35,20 @@ def join_keeping_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str], h
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+# Rows of a group at the limit that a sample is meant to hold, so that it is judged within a few percent.
+SAMPLED_ROWS = 2000
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int = GROUP_ROWS) -> DataFrame:
-    """Keys with more than `max_rows` rows, and their row counts. Counting combines map-side."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > max_rows)
+    """Keys with more than about `max_rows` rows, and their estimated counts.
+
+    Keys are counted in a sample, so most keys never reach the shuffle. Which
+    groups count as hot decides only how work is spread, never a result.
+    """
+    share = min(1.0, SAMPLED_ROWS / max_rows)
+    seen = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=1)
+    counted = seen.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(share)).cast("long").alias("_rows"))
+    return counted.filter(F.col("_rows") > max_rows)
 
 
 def split_hot(
@@ -43,15 +56,16 @@ def split_hot(
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary groups, rows of hot groups or None when there are none).
 
-    Looking for hot groups is one narrow scan: only the key columns are read.
+    Looking for hot groups is one narrow scan of a sample: only the key columns are read.
     `max_rows=None` skips it, for callers who know that their groups are small.
     """
     if max_rows is None:
         return df, None
-    hot = hot_groups(df, keys, max_rows)
+    # Fewer than rows / max_rows keys; kept, so that both sides agree on them.
+    hot = hot_groups(df, keys, max_rows).select(*keys)
     if hot.isEmpty():
         return df, None
-    names = F.broadcast(hot.select(*keys))
+    names = F.broadcast(materialize(hot))
     return join_keeping_nulls(df, names, keys, "left_anti"), join_keeping_nulls(df, names, keys, "left_semi")
 
 
@@ -152,3 +166,25 @@ def running_islands(
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop("_shown", "_compared", "_pos", "_prev", "_step", "_local", "_offset")
     )
+
+
+HOUR = 3_600_000_000
+
+
+def take_ranks(df: DataFrame, at: Column, order: Sequence[Column], skip: int, limit: int, nulls_first: bool) -> DataFrame:
+    """The rows at positions `skip + 1` to `skip + limit` of a total order that starts with the number `at` (microseconds, rising).
+
+    Rows are counted per hour first. That tells which hours hold the wanted
+    positions, at most one more than there are positions, so only rows of these
+    hours are sorted, wherever in the table the page lies.
+    """
+    marked = df.withColumn("_hour", F.floor(at / F.lit(HOUR)))
+    by_hour = F.col("_hour").asc_nulls_first() if nulls_first else F.col("_hour").asc_nulls_last()
+    hours = df.select(F.floor(at / F.lit(HOUR)).alias("_hour")).groupBy("_hour").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy(by_hour).rowsBetween(Window.unboundedPreceding, 0)
+    wanted = hours.withColumn("_upto", F.sum("_n").over(upto)).filter((F.col("_upto") > skip) & (F.col("_upto") - F.col("_n") < skip + limit))
+    before = wanted.select("_hour", F.min(F.col("_upto") - F.col("_n")).over(Window.partitionBy()).alias("_before"))
+    near = join_keeping_nulls(marked, F.broadcast(before), ["_hour"], "inner")
+    first = near.orderBy(*order).limit(skip + limit)
+    ranked = first.withColumn("_rank", F.row_number().over(Window.orderBy(*order)) + F.col("_before"))
+    return ranked.filter((F.col("_rank") > skip) & (F.col("_rank") <= skip + limit)).drop("_hour", "_before", "_rank")

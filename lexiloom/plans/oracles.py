@@ -115,8 +115,8 @@ CTES = {
     "images": """SELECT DISTINCT l_orderkey AS image_id, (300 + l_orderkey % 400)::INTEGER AS width,
         (200 + l_orderkey % 700)::INTEGER AS height FROM lineitem""",
     "boxes": """SELECT l_orderkey AS image_id,
-        ((l_linenumber::BIGINT * 1000000 + l_partkey) * 10000 + l_suppkey) * 100000000
-            + round(l_extendedprice * 100)::BIGINT AS idx,
+        lpad(l_linenumber::VARCHAR, 2, '0') || lpad(l_partkey::VARCHAR, 14, '0') || lpad(l_suppkey::VARCHAR, 13, '0')
+            || lpad(round(l_extendedprice * 100)::BIGINT::VARCHAR, 14, '0') AS idx,
         (l_partkey % 400 - 10)::INTEGER AS x_min, ((l_suppkey % 10) * 6 - 4)::INTEGER AS y_min,
         (l_partkey % 400 + 10 + l_quantity)::INTEGER AS x_max,
         ((l_suppkey % 10) * 6 + 6 + l_linenumber)::INTEGER AS y_max, 'w' || l_partkey AS text,
@@ -370,7 +370,7 @@ BODIES = {
         least(width - greatest(0, x), w) AS crop_w, least(height - greatest(0, y), h) AS crop_h,
         'crop_' || region || '.jpg' AS file_name, text, confidence FROM regions""",
     "detections_unified": """SELECT * EXCLUDE (iw, ih), x_max - x_min AS width, y_max - y_min AS height FROM (
-        SELECT image_id, idx, CASE WHEN idx % 2 = 0 THEN 'horizontal' ELSE 'free' END AS kind, text,
+        SELECT image_id, idx, CASE WHEN x_max % 2 = 0 THEN 'horizontal' ELSE 'free' END AS kind, text,
             greatest(0, x_min - 5) AS x_min, greatest(0, y_min - 5) AS y_min, least(width, x_max + 5) AS x_max,
             least(height, y_max + 5) AS y_max, width AS iw, height AS ih FROM boxes JOIN images USING (image_id))
         WHERE x_max > x_min AND y_max > y_min AND trim(text) <> ''""",
@@ -385,10 +385,10 @@ BODIES = {
     "placement_rejected": "SELECT * EXCLUDE (inside) FROM placed WHERE NOT inside",
     "placement_grid": """SELECT image_id, idx, crop_path, has_text, region, x, y, w, h,
         x >= 0 AND y >= 0 AND x + w <= width AND y + h <= height AS inside FROM (
-        SELECT image_id, idx, 'out/crop_' || (idx % 11) || '.jpg' AS crop_path, true AS has_text, (idx % 11)::INTEGER AS region,
-            ((idx % 11 + 2) % 3 * (width // 3))::INTEGER AS x, (floor((idx % 11 - 1) / 3) * (height // 3))::INTEGER AS y,
+        SELECT image_id, idx, 'out/crop_' || ((x_max + y_max + 100) % 11) || '.jpg' AS crop_path, true AS has_text, ((x_max + y_max + 100) % 11)::INTEGER AS region,
+            (((x_max + y_max + 100) % 11 + 2) % 3 * (width // 3))::INTEGER AS x, (floor(((x_max + y_max + 100) % 11 - 1) / 3) * (height // 3))::INTEGER AS y,
             width // 3 AS w, height // 3 AS h, width, height
-        FROM boxes JOIN images USING (image_id) WHERE idx % 5 <> 0)""",
+        FROM boxes JOIN images USING (image_id) WHERE x_max % 5 <> 0)""",
     "corrections_aligned": "SELECT image_id, pos, text, text_corrected FROM aligned",
     "correction_requests": """SELECT image_id, count(*) AS items, string_agg(region || '. ' || text, chr(10) ORDER BY region) AS numbered_text,
         full_text, 'normal' AS mode FROM regions JOIN full_texts USING (image_id) GROUP BY image_id, full_text""",

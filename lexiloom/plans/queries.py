@@ -76,7 +76,7 @@ def ledger_by_username(t: Tables) -> DataFrame:
 @query
 def ledger_enriched(t: Tables) -> DataFrame:
     named = ledger.enrich_username(t.transactions(), t.users())
-    shown = ledger.enrich_username(named.withColumnRenamed("username", "known_name"), t.users(), fallback=True)
+    shown = ledger.name_or_id(named.withColumn("known_name", F.col("username")))
     return ledger.ledger_output(shown)
 
 
@@ -199,7 +199,7 @@ def regions_numbered(t: Tables) -> DataFrame:
 
 @query
 def detections_unified(t: Tables) -> DataFrame:
-    return ocr.union_detections(t.boxes().filter("idx % 2 = 0"), t.free_boxes(), t.images())
+    return ocr.union_detections(t.boxes().filter("x_max % 2 = 0"), t.free_boxes(), t.images())
 
 
 @query
@@ -233,8 +233,8 @@ def placement_grid(t: Tables) -> DataFrame:
     named = t.boxes().select(
         "image_id",
         "idx",
-        F.concat(F.lit("out/crop_"), F.pmod(F.col("idx"), F.lit(11)).cast("string"), F.lit(".jpg")).alias("crop_path"),
-        (F.col("idx") % 5 != 0).alias("has_text"),
+        F.concat(F.lit("out/crop_"), ((F.col("x_max") + F.col("y_max") + 100) % 11).cast("string"), F.lit(".jpg")).alias("crop_path"),
+        (F.col("x_max") % 5 != 0).alias("has_text"),
     )
     return ocr.placement_plan_grid(named, t.images())
 

@@ -243,12 +243,13 @@ class Tables:
     def boxes(self) -> DataFrame:
         """`idx` orders the lines of an order; it is made of their columns, so it needs no sort."""
         cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-        number = F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey")
+        padded = lambda value, width: F.lpad(value.cast("string"), width, "0")
+        idx = F.concat(padded(F.col("l_linenumber"), 2), padded(F.col("l_partkey"), 14), padded(F.col("l_suppkey"), 13), padded(cents, 14))
         left = (F.col("l_partkey") % 400 - 10).cast("int")
         top = ((F.col("l_suppkey") % 10) * 6 - 4).cast("int")
         return self.given("lineitem").select(
             F.col("l_orderkey").alias("image_id"),
-            ((number * 10_000 + F.col("l_suppkey")) * 100_000_000 + cents).alias("idx"),
+            idx.alias("idx"),
             left.alias("x_min"),
             top.alias("y_min"),
             (left + 20 + F.col("l_quantity").cast("int")).alias("x_max"),
@@ -260,7 +261,7 @@ class Tables:
     def free_boxes(self) -> DataFrame:
         corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
         corners = F.array(corner("x_min", "y_min"), corner("x_max", "y_min"), corner("x_max", "y_max"), corner("x_min", "y_max"))
-        return self.boxes().filter("idx % 2 = 1").select("image_id", "idx", "text", corners.alias("pts"))
+        return self.boxes().filter("x_max % 2 <> 0").select("image_id", "idx", "text", corners.alias("pts"))
 
     def manifest_lines(self) -> DataFrame:
         """Lines of a text-area manifest; some are short or hold no number."""
