@@ -125,8 +125,8 @@ def _advance(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _replay_hot(hot: DataFrame, max_rows: int) -> DataFrame:
-    sliced = materialize(cut_into_slices(hot, ["user_id"], F.col("_at"), max_rows))
-    # One row per slice and hot user: at most 1024 per user (see skew.py), so a user's rows fit one task.
+    sliced = materialize(cut_into_slices(hot, ["user_id"], F.col("_at"), max_rows, ties=[F.col("seq")]))
+    # One row per slice and hot user, so a user's rows fit one task.
     needs = materialize(_slice_needs(sliced))
     state = materialize(
         sliced.groupBy("user_id").agg(F.first("_start").alias("_balance")).withColumn("_next", F.lit(0))

@@ -14,9 +14,8 @@ from lexiloom.operators.skew import take_ranks
 
 PURCHASE, USAGE = "purchase", "usage"
 MAX_LIMIT = 1000
-# Spark prunes ranks inside each task before the shuffle up to this rank.
+# Spark prunes ranks inside each task before the shuffle up to this rank; deeper pages are found by counts per hour.
 TASK_PRUNED_RANKS = 1000
-SALTS = 64
 
 
 def _all_of(conditions: Iterable[Column]) -> Column:
@@ -166,7 +165,7 @@ def page(
     rising = (direction or "").lower() == "asc"
     order = [F.col(time).asc(), F.col(tie).asc()] if rising else [F.col(time).desc(), F.col(tie).desc()]
     at = micros(F.col(time)) * (1 if rising else -1)
-    return order_by_time(take_ranks(df, at, order, skip, limit, nulls_first=rising), direction, time, tie)
+    return order_by_time(take_ranks(df, [], at, order, skip, limit, nulls_first=rising).drop("_rank"), direction, time, tie)
 
 
 def page_per_user(
@@ -177,18 +176,12 @@ def page_per_user(
     last = skip + limit
     rising = (direction or "").lower() == "asc"
     order = [F.col(c).asc() if rising else F.col(c).desc() for c in (time, tie)]
-    rows = df
     if last > TASK_PRUNED_RANKS:
-        # Salted pre-selection: a row on the page is among the first `last` of its salt as well.
-        salted = Window.partitionBy("user_id", "_salt").orderBy(*order)
-        rows = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(SALTS)))
-            .withColumn("_pos", F.row_number().over(salted))
-            .filter(F.col("_pos") <= last)
-            .drop("_salt", "_pos")
-        )
-    ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
-    wanted = ranked.filter(F.col("position") <= last).filter(F.col("position") > skip)
+        at = micros(F.col(time)) * (1 if rising else -1)
+        wanted = take_ranks(df, ["user_id"], at, order, skip, limit, nulls_first=rising, name="position")
+    else:
+        ranked = df.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+        wanted = ranked.filter(F.col("position") <= last).filter(F.col("position") > skip)
     totals = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     return wanted.join(totals, "user_id")
 

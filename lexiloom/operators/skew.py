@@ -70,13 +70,41 @@ def split_hot(
 
 
 def cut_into_slices(
-    df: DataFrame, keys: Sequence[str], order: Column, max_rows: int = GROUP_ROWS, slices: int = MAX_SLICES
+    df: DataFrame, keys: Sequence[str], order: Column, max_rows: int = GROUP_ROWS, slices: int = MAX_SLICES, ties: Sequence[Column] = ()
 ) -> DataFrame:
     """Adds `_slice`: 0-based ranges of the numeric `order`, each near `max_rows` rows per group.
 
-    Rows with equal `order` always share a slice. The borders are approximate
-    quantiles; their precision affects only how even the slices are.
+    One cut gives a group at most `slices` borders; slices that are still too
+    large are cut again. Rows with equal `order` share a slice, unless numeric
+    `ties` are given that the caller sorts by next: then crowds of one value are
+    cut by those. The borders are approximate quantiles; their precision affects
+    only how even the slices are.
     """
+    cut = _cut_once(df, keys, order, max_rows, slices)
+    by, at = [*keys, "_slice"], order.cast("double")
+    counted = cut.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), (F.min(at) == F.max(at)).alias("_one_value"))
+    large = counted.filter(F.col("_n") > 2 * max_rows).select(*by, "_one_value")
+    large = materialize(large if ties else large.filter(~F.col("_one_value")))
+    if large.isEmpty():
+        return cut
+    first = f"_outer{len(keys)}"  # another name at each depth
+    outer = [*keys, first]
+    marked = join_keeping_nulls(cut, F.broadcast(large), by).withColumnRenamed("_slice", first)
+    kept = marked.filter(F.col("_one_value").isNull()).drop("_one_value").withColumn("_slice", F.lit(0))
+    ranges = marked.filter(~F.col("_one_value")).drop("_one_value")
+    parts = [kept, cut_into_slices(ranges, outer, order, max_rows, slices, ties)]
+    if ties:
+        crowds = marked.filter("_one_value").drop("_one_value")
+        parts.append(cut_into_slices(crowds, outer, ties[0], max_rows, slices, ties[1:]))
+    whole = reduce(DataFrame.unionByName, [p.withColumn("_slice", F.col("_slice").cast("int")) for p in parts])
+    whole = materialize(whole.withColumnRenamed("_slice", "_inner"))
+    in_turn = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(first, "_inner")
+    numbers = whole.select(*outer, "_inner").distinct().withColumn("_slice", F.row_number().over(in_turn) - 1)
+    return join_keeping_nulls(whole, F.broadcast(numbers), [*outer, "_inner"]).drop(first, "_inner")
+
+
+def _cut_once(df: DataFrame, keys: Sequence[str], order: Column, max_rows: int, slices: int) -> DataFrame:
+    """Even numbers are ranges between borders, odd ones the borders themselves: a crowded value gets a slice of its own."""
     at = order.cast("double")
     points = [i / slices for i in range(1, slices)]
     sketch = df.groupBy(*keys).agg(
@@ -99,11 +127,14 @@ def cut_into_slices(
     else:
         # One group: its borders are at most `slices` numbers and become a literal.
         joined = df.withColumn("_borders", F.array(*[F.lit(b) for b in borders.first()["_borders"]]).cast("array<double>"))
+    place = F.col("_passed") + F.size(F.filter(fine, lambda b: b < F.col("_sliced_by")))
+    on_border = F.coalesce(F.get("_borders", F.col("_place")) == F.col("_sliced_by"), F.lit(False))
     return (
         joined.withColumn("_sliced_by", at)
         .withColumn("_passed", passed)
-        .withColumn("_slice", F.col("_passed") + F.size(F.filter(fine, lambda b: b < F.col("_sliced_by"))))
-        .drop("_borders", "_sliced_by", "_passed")
+        .withColumn("_place", place)
+        .withColumn("_slice", F.col("_place") * 2 + on_border.cast("int"))
+        .drop("_borders", "_sliced_by", "_passed", "_place")
     )
 
 
@@ -171,20 +202,24 @@ def running_islands(
 HOUR = 3_600_000_000
 
 
-def take_ranks(df: DataFrame, at: Column, order: Sequence[Column], skip: int, limit: int, nulls_first: bool) -> DataFrame:
-    """The rows at positions `skip + 1` to `skip + limit` of a total order that starts with the number `at` (microseconds, rising).
+def take_ranks(
+    df: DataFrame, keys: Sequence[str], at: Column, order: Sequence[Column], skip: int, limit: int, nulls_first: bool, name: str = "_rank"
+) -> DataFrame:
+    """The rows at positions `skip + 1` to `skip + limit` of every group, with their position as `name`.
 
-    Rows are counted per hour first. That tells which hours hold the wanted
-    positions, at most one more than there are positions, so only rows of these
-    hours are sorted, wherever in the table the page lies.
+    `order` is a total order that starts with the number `at` (microseconds,
+    rising). Rows are counted per hour first. That tells which hours hold the
+    wanted positions, at most one more than there are positions, so only rows
+    of these hours are sorted, wherever in the group they lie.
     """
-    marked = df.withColumn("_hour", F.floor(at / F.lit(HOUR)))
+    hour, group = F.floor(at / F.lit(HOUR)), keys or [F.lit(0)]
     by_hour = F.col("_hour").asc_nulls_first() if nulls_first else F.col("_hour").asc_nulls_last()
-    hours = df.select(F.floor(at / F.lit(HOUR)).alias("_hour")).groupBy("_hour").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy(by_hour).rowsBetween(Window.unboundedPreceding, 0)
-    wanted = hours.withColumn("_upto", F.sum("_n").over(upto)).filter((F.col("_upto") > skip) & (F.col("_upto") - F.col("_n") < skip + limit))
-    before = wanted.select("_hour", F.min(F.col("_upto") - F.col("_n")).over(Window.partitionBy()).alias("_before"))
-    near = join_keeping_nulls(marked, F.broadcast(before), ["_hour"], "inner")
-    first = near.orderBy(*order).limit(skip + limit)
-    ranked = first.withColumn("_rank", F.row_number().over(Window.orderBy(*order)) + F.col("_before"))
-    return ranked.filter((F.col("_rank") > skip) & (F.col("_rank") <= skip + limit)).drop("_hour", "_before", "_rank")
+    hours = df.groupBy(*keys, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*group).orderBy(by_hour).rowsBetween(Window.unboundedPreceding, 0)
+    counted = hours.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    wanted = counted.filter((F.col("_upto") > skip) & (F.col("_before") < skip + limit))
+    before = wanted.select(*keys, "_hour", F.min("_before").over(Window.partitionBy(*group)).alias("_before"))
+    near = join_keeping_nulls(df.withColumn("_hour", hour), before if keys else F.broadcast(before), [*keys, "_hour"], "inner")
+    near = near.withColumn("_pos", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_pos") <= skip + limit)
+    ranked = near.withColumn(name, (F.col("_pos") + F.col("_before")).cast("int"))
+    return ranked.filter((F.col(name) > skip) & (F.col(name) <= skip + limit)).drop("_hour", "_before", "_pos")

@@ -187,3 +187,30 @@ def test_pages_of_rows_with_one_time_or_none(spark):
             want = ledger.order_by_time(same, direction).offset(skip).limit(40)
             assert rows(ledger.page(same, skip, 40, direction), "id") == rows(want, "id")
     assert ledger.page(same.limit(0)).count() == 0
+
+
+def test_slices_are_cut_again_and_crowded_values_by_their_ties(spark):
+    points = spark.createDataFrame([(i % 2, 5.0 if i % 3 else float(i), i) for i in range(3000)], "k int, v double, tie long")
+    cut = cut_into_slices(points, ["k"], F.col("v"), max_rows=50, slices=4, ties=[F.col("tie")])
+    sizes = [r["count"] for r in cut.groupBy("k", "_slice").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 200
+    got = [(r.k, r._slice, r.v, r.tie) for r in cut.collect()]
+    for k in (0, 1):
+        own = sorted((v, tie, s) for group, s, v, tie in got if group == k)
+        assert [s for _, _, s in own] == sorted(s for _, _, s in own)
+    together = cut_into_slices(points, ["k"], F.col("v"), max_rows=50, slices=4)
+    assert together.filter("v = 5").groupBy("k").agg(F.countDistinct("_slice").alias("n")).filter("n > 1").count() == 0
+
+
+def test_a_bulk_load_with_one_time_replays_like_a_loop(spark):
+    data = [(i, 1, "add" if i % 4 == 0 else "subtract", i % 11) for i in range(400)]
+    df = spark.createDataFrame(data, "seq long, user_id long, kind string, amount long").withColumn("ts", F.timestamp_seconds(F.lit(7)))
+    columns = ("seq", "verdict", "balance")
+    assert rows(replay_credits(df, start=5, max_rows=30), *columns) == rows(replay_credits(df, start=5, max_rows=None), *columns)
+
+
+def test_deep_pages_per_user(spark, sf, monkeypatch):
+    rows_ = Tables(spark, sf).transactions()
+    want = rows(ledger.page_per_user(rows_, 3, 4), "id", "position", "total")
+    monkeypatch.setattr(ledger, "TASK_PRUNED_RANKS", 1)
+    assert rows(ledger.page_per_user(rows_, 3, 4), "id", "position", "total") == want
