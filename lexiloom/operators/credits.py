@@ -7,6 +7,7 @@ the balance alone. A running sum would be wrong after the first refusal.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.text import micros
 from lexiloom.operators.skew import GROUP_ROWS, cut_into_slices, join_keeping_nulls, split_hot
-from lexiloom.session import materialize
+from lexiloom.session import materialize, shared_folder
 
 OK, INSUFFICIENT, BAD_AMOUNT, NO_USER = "ok", "insufficient", "bad_amount", "no_such_user"
 
@@ -125,7 +126,11 @@ def _advance(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _replay_hot(hot: DataFrame, max_rows: int) -> DataFrame:
-    sliced = materialize(cut_into_slices(hot, ["user_id"], F.col("_at"), max_rows, ties=[F.col("seq")]))
+    # Kept by slice, so that a round reads the slices it replays and no others.
+    place = f"{shared_folder(hot.sparkSession)}/slices-{uuid.uuid4().hex}"
+    cut = cut_into_slices(hot, ["user_id"], F.col("_at"), max_rows, ties=[F.col("seq")])
+    cut.repartition("_slice", "user_id").write.partitionBy("_slice").parquet(place)
+    sliced = hot.sparkSession.read.schema(cut.schema).parquet(place)
     # One row per slice and hot user, so a user's rows fit one task.
     needs = materialize(_slice_needs(sliced))
     state = materialize(
@@ -145,7 +150,9 @@ def _replay_hot(hot: DataFrame, max_rows: int) -> DataFrame:
         step = known.select("user_id", "_slice", "_entry")
         entries = step if entries is None else materialize(entries.unionByName(step))
         short = known.filter(F.col("_entry") < F.col("needed")).select("user_id", "_slice", "_entry")
-        replayed = join_keeping_nulls(sliced, F.broadcast(short), ["user_id", "_slice"], "inner")
+        # One slice for each hot user at most.
+        numbers = [row["_slice"] for row in short.select("_slice").distinct().collect()]
+        replayed = join_keeping_nulls(sliced.filter(F.col("_slice").isin(numbers)), F.broadcast(short), ["user_id", "_slice"], "inner")
         ended = _fold_sorted(replayed, ["user_id", "_slice"], "_entry").groupBy("user_id").agg(
             F.max_by("balance", F.struct("_at", "seq")).alias("_balance"), (F.max("_slice") + 1).alias("_next")
         )

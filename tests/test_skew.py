@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import ledger, memory, ocr
 from lexiloom.operators.cache import ttl_cache_replay
+from lexiloom.operators import credits
 from lexiloom.operators.credits import replay_credits
 from lexiloom.operators.skew import cut_into_slices, running_count, running_islands, split_hot
 from lexiloom.plans.tables import Tables
@@ -214,3 +215,16 @@ def test_deep_pages_per_user(spark, sf, monkeypatch):
     want = rows(ledger.page_per_user(rows_, 3, 4), "id", "position", "total")
     monkeypatch.setattr(ledger, "TASK_PRUNED_RANKS", 1)
     assert rows(ledger.page_per_user(rows_, 3, 4), "id", "position", "total") == want
+
+
+def test_a_round_reads_only_the_slices_it_replays(spark, monkeypatch):
+    read = []
+    plain = credits._fold_sorted
+    monkeypatch.setattr(credits, "_fold_sorted", lambda df, keys, opening: read.append(df) or plain(df, keys, opening))
+    data = [(i, 1, "add" if i < 200 else "subtract", 1 if i < 200 else 3) for i in range(400)]
+    df = spark.createDataFrame(data, "seq long, user_id long, kind string, amount long").withColumn("ts", F.timestamp_seconds("seq"))
+    assert credits.replay_credits(df, start=0, max_rows=50).count() == 400
+    rounds = [d.count() for d in read[1:-1]]  # without the ordinary users and the last pass
+    assert rounds and all(n < 200 for n in rounds)
+    scan = read[1]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_slice" in scan or "PartitionFilters: [isnotnull(_slice" in scan
