@@ -522,18 +522,18 @@ def job_throughput(t: Tables) -> DataFrame:
 # --- retrieval -----------------------------------------------------------------------
 @query
 def chunk_windows(t: Tables) -> DataFrame:
-    return retrieval.chunk_windows(t.given("documents"), "doc_id")
+    return retrieval.chunk_windows(t.texts("documents"), "doc_id")
 
 
 @query
 def chunk_corpus(t: Tables) -> DataFrame:
-    return retrieval.chunk_corpus(t.given("documents"), "doc_id")
+    return retrieval.chunk_corpus(t.texts("documents"), "doc_id")
 
 
 @query
 def chunks_in_sql(t: Tables) -> DataFrame:
     register_chunks(t.spark)
-    t.given("documents").createOrReplaceTempView("lexiloom_documents")
+    t.texts("documents").createOrReplaceTempView("lexiloom_documents")
     return t.spark.sql(
         "SELECT d.doc_id, c.chunk_idx, c.chunk_size, c.chunk AS text "
         "FROM lexiloom_documents d, LATERAL chunks(d.text, 2000, 400) c"
@@ -561,7 +561,7 @@ def neighbours_of_all(t: Tables) -> DataFrame:
 def chunks_united(t: Tables) -> DataFrame:
     """Windows of documents and of page texts as one table."""
     pages = t.page_texts().withColumn("doc_id", -1 - F.col("page_id"))
-    return retrieval.union_chunks([retrieval.chunk_windows(x, "doc_id") for x in (t.given("documents"), pages)])
+    return retrieval.union_chunks([retrieval.chunk_windows(x, "doc_id") for x in (t.texts("documents"), pages)])
 
 
 def _graded(t: Tables) -> tuple[DataFrame, DataFrame]:

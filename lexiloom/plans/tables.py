@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lexiloom.operators.ledger import normalize_transaction_type
 
 
+SPREAD = "spark.lexiloom.spreadTexts"
+
+
 class Tables:
     """The given parquet folder as the library's logical tables."""
 
@@ -21,6 +24,15 @@ class Tables:
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table of texts as it is read, or dealt out to as many tasks as the session asks for with `SPREAD`.
+
+        Text work is heavy per row, so a small file with a single row group would
+        keep one core busy. Nothing is dealt out unless the session says so.
+        """
+        tasks = self.spark.conf.get(SPREAD, None)
+        return self.given(name).repartition(int(tasks)) if tasks else self.given(name)
+
     # --- ledger ---------------------------------------------------------------
     def users(self) -> DataFrame:
         """Customers that do not owe anything; so some movements have no user."""
@@ -49,7 +61,7 @@ class Tables:
 
     def history(self) -> DataFrame:
         key = F.col("doc_id")
-        return self.given("documents").select(
+        return self.texts("documents").select(
             key.alias("id"),
             (key % 150).alias("user_id"),
             F.col("text").alias("input_text"),
@@ -129,7 +141,7 @@ class Tables:
 
     # --- documents --------------------------------------------------------------
     def segments(self) -> DataFrame:
-        return self.given("documents").select(
+        return self.texts("documents").select(
             "doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "text")
         )
 
@@ -145,7 +157,7 @@ class Tables:
             "document.xml"
         )
         return (
-            self.given("documents")
+            self.texts("documents")
             .select("doc_id", lines.alias("_lines"))
             .select("doc_id", F.posexplode(pairs).alias("para_idx", "_para"))
             .withColumn("part", part)
@@ -174,7 +186,7 @@ class Tables:
         return segments.withColumn("target", F.when(F.col("translate"), target))
 
     def page_texts(self) -> DataFrame:
-        return self.given("pages").select(
+        return self.texts("pages").select(
             "page_id", F.concat(F.lit("see "), "url", _text(" or mail p", F.col("page_id"), "@example.org now "), "html").alias("text")
         )
 
@@ -189,7 +201,7 @@ class Tables:
             .when(kind == 4, F.concat(F.lit("TRANSLATE|"), "lang"))
             .otherwise(F.concat(F.lit("UNKNOWN|"), t))
         )
-        return self.given("documents").select(key.alias("id"), question.alias("question"))
+        return self.texts("documents").select(key.alias("id"), question.alias("question"))
 
     def replies(self) -> DataFrame:
         key = F.col("conv_id") * 100 + F.col("turn")
@@ -273,7 +285,7 @@ class Tables:
             .when(quantity == 2, head)
             .otherwise(F.concat(head, F.lit("|"), (100 - F.col("l_linenumber")).cast("string")))
         )
-        return self.given("lineitem").select(F.col("l_orderkey").alias("image_id"), line.alias("value"))
+        return self.texts("lineitem").select(F.col("l_orderkey").alias("image_id"), line.alias("value"))
 
     def media(self) -> DataFrame:
         key, size = F.col("p_partkey"), F.col("p_size")
