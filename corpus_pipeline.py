@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import decontaminate, language, line_templates, minhash
-from lexiloom.llm.common import stored
+from lexiloom.llm.common import fresh, stored
 from lexiloom.llm.queries import packing_digest, vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,14 +21,16 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; null texts and texts without a letter go."""
     model = language.train(docs.where(~language.held_out(docs) & F.col("doc_id").isNotNull()).select("lang", "text"))
-    return language.labelled(docs, model).where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    names = fresh(docs, "lang_pred", "score")
+    return language.labelled(docs, model, tuple(names)).where(F.col(names[0]) != language.UNKNOWN).select(*docs.columns)
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without recurring lines; `n_chars` follows the text where it changed."""
-    cleaned = line_templates.drop_recurring_lines(docs)
+    names = fresh(docs, "n_lines", "n_dropped")
+    cleaned = line_templates.drop_recurring_lines(docs, counts=tuple(names))
     if "n_chars" in docs.columns:
-        length = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        length = F.when(F.col(names[1]) > 0, F.length("text")).otherwise(F.col("n_chars"))
         cleaned = cleaned.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*docs.columns)
 
