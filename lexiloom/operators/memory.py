@@ -32,15 +32,18 @@ def tm_lookup(keyed: DataFrame, memory: DataFrame) -> DataFrame:
 
     The memory has one row per identity, so the join never multiplies rows. A
     sentence that fills a third of the table lands in one shuffle partition,
-    which adaptive execution splits; blank rows have no key and are not shuffled
-    to a single place, because NULL never joins.
+    which adaptive execution splits; blank rows have no key and are not sent to
+    a single place.
     """
     known = memory.filter(F.col("target") != "").select(*IDENTITY, "target")
-    blank = keyed.filter(F.col("key").isNull())
-    found = keyed.filter(F.col("key").isNotNull()).join(known, IDENTITY, "left")
-    return found.withColumn("hit", F.col("target").isNotNull()).unionByName(
-        blank.withColumn("target", F.lit(None).cast("string")).withColumn("hit", F.lit(None).cast("boolean"))
-    )
+    return join_by_identity(keyed, known).withColumn("hit", F.when(F.col("key").isNotNull(), F.col("target").isNotNull()))
+
+
+def join_by_identity(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A left join in one pass. Rows without a key match nothing; numbers in its place spread them over the join's tasks."""
+    number = (F.monotonically_increasing_id() % 4096).cast("string")
+    placed = keyed.withColumn("_place", F.coalesce(F.col("key"), F.concat(F.lit("blank "), number)))
+    return placed.join(pairs.withColumnRenamed("key", "_place"), ["_place", *IDENTITY[1:]], "left").drop("_place")
 
 
 def tm_misses(keyed: DataFrame, memory: DataFrame, text: str = "text") -> DataFrame:

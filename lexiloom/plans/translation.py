@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.inference import Factory, text_hook
 from lexiloom.functions.text import contains_any, spaced, strip, unmasked, without_phrases
-from lexiloom.operators.memory import IDENTITY, tm_misses, with_key
+from lexiloom.operators.memory import IDENTITY, join_by_identity, tm_misses, with_key
 from lexiloom.operators.textwork import mask_formats, mask_links
 
 
@@ -73,9 +73,10 @@ def translate_batch(
     known = empty_memory(segments.sparkSession) if memory is None else memory
     if fresh is None:
         fresh = translate_misses(tm_misses(keyed, known, text), factory, protect, attempts, tasks)
-    # Memory and fresh pairs are disjoint, so one join serves both; blank texts stay out of it.
+    # Memory and fresh pairs are disjoint, so one join serves both.
     remembered = known.filter(F.col("target") != "").select(*IDENTITY, "target", F.lit("remembered").alias("outcome"))
     answers = remembered.unionByName(fresh.select(*IDENTITY, "target", "outcome"))
-    filled = keyed.filter(F.col("key").isNotNull()).join(answers, IDENTITY, "left")
-    blank = keyed.filter(F.col("key").isNull()).withColumn("target", F.col(text)).withColumn("outcome", F.lit("blank"))
-    return filled.unionByName(blank)
+    blank = F.col("key").isNull()
+    return join_by_identity(keyed, answers).withColumns(
+        {"target": F.when(blank, F.col(text)).otherwise(F.col("target")), "outcome": F.when(blank, "blank").otherwise(F.col("outcome"))}
+    )
