@@ -273,15 +273,19 @@ def explode_numbered_lines(replies: DataFrame, reply: str = "reply") -> DataFram
     return exploded.withColumn("text", F.when(numbered, rest).otherwise(line)).drop("_line")
 
 
+def agreeing_images(lines: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Images that have as many corrected lines as lines."""
+    # Both counts in one aggregate over narrow rows: +1 per line, -1 per corrected line.
+    signed = lines.select("image_id", F.lit(1).alias("_n")).unionByName(corrected.select("image_id", F.lit(-1).alias("_n")))
+    return signed.groupBy("image_id").agg(F.sum("_n").alias("_n")).filter("_n = 0").select("image_id")
+
+
 def align_corrections(lines: DataFrame, corrected: DataFrame) -> DataFrame:
     """OCR lines with the corrected text at the same position (`text_corrected`).
 
     Only images whose line counts agree are corrected; the others keep their text.
     """
-    # Both counts in one aggregate over narrow rows: +1 per line, -1 per corrected line.
-    signed = lines.select("image_id", F.lit(1).alias("_n")).unionByName(corrected.select("image_id", F.lit(-1).alias("_n")))
-    agreeing = signed.groupBy("image_id").agg(F.sum("_n").alias("_n")).filter("_n = 0").select("image_id")
-    usable = corrected.join(agreeing, "image_id", "left_semi").select(
+    usable = corrected.join(agreeing_images(lines, corrected), "image_id", "left_semi").select(
         "image_id", "pos", F.col("text").alias("text_corrected")
     )
     return lines.join(usable, ["image_id", "pos"], "left").withColumn(

@@ -389,6 +389,8 @@ BODIES = {
             (((x_max + y_max + 100) % 11 + 2) % 3 * (width // 3))::INTEGER AS x, (floor(((x_max + y_max + 100) % 11 - 1) / 3) * (height // 3))::INTEGER AS y,
             width // 3 AS w, height // 3 AS h, width, height
         FROM boxes JOIN images USING (image_id) WHERE x_max % 5 <> 0)""",
+    "corrections_retried": """SELECT image_id, region - 1 AS pos, text,
+        CASE WHEN count(*) OVER (PARTITION BY image_id) % 4 = 0 THEN text ELSE upper(text) END AS text_corrected FROM regions""",
     "corrections_aligned": "SELECT image_id, pos, text, text_corrected FROM aligned",
     "correction_requests": """SELECT image_id, count(*) AS items, string_agg(region || '. ' || text, chr(10) ORDER BY region) AS numbered_text,
         full_text, 'normal' AS mode FROM regions JOIN full_texts USING (image_id) GROUP BY image_id, full_text""",

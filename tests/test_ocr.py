@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from lexiloom.functions.inference import constant_factory
 from lexiloom.operators import ocr
+from lexiloom.plans import image_job
 from lexiloom.sources.sinks import ocr_documents, write_ocr_results
 
 BOX = "image_id long, idx long, x_min int, y_min int, x_max int, y_max int, text string, confidence double"
@@ -161,3 +163,30 @@ def test_result_documents(spark, tmp_path):
     one, two = spark.read.json(str(tmp_path / "out")).orderBy("image_id").collect()
     assert [(r["text_original"], r["text_corrected"], r["bbox"]["x_max"]) for r in one["results"]] == [("a", "A", 2), ("b", "B", 5)]
     assert (one["language"], one["full_text"], two["language"]) == ("vi", "a b", "unknown")
+
+
+def test_regions_of_merges_first(spark):
+    boxes = spark.createDataFrame(
+        [(1, 0, 0, 0, 10, 10, "a", 0.5), (1, 1, 15, 0, 30, 10, "b", 0.7), (1, 2, 200, 0, 220, 10, "c", 0.9)],
+        "image_id long, idx long, x_min int, y_min int, x_max int, y_max int, text string, confidence double",
+    )
+    images = spark.createDataFrame([(1, 300, 100)], "image_id long, width int, height int")
+    merged = image_job.regions_of(boxes, images).orderBy("region").collect()
+    assert [(r.region, r.text, r.x, r.w) for r in merged] == [(1, "a b", 0, 31), (2, "c", 200, 21)]
+    assert [r.text for r in image_job.regions_of(boxes, images, merge=False).orderBy("region").collect()] == ["a", "b", "c"]
+
+
+def test_a_strict_second_request_is_made_where_counts_differ(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def service(prompt):
+        with open(seen, "a") as log:
+            log.write(repr(prompt) + "\n")
+        lines = prompt.split("\n\n")[0].split("\n")
+        return "\n".join(x.upper() for x in (lines if "\n\n" not in prompt or len(lines) == 1 else lines[:-1]))
+
+    lines = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (2, 1, "c")], "image_id long, pos int, text string")
+    full = spark.createDataFrame([(1, "a"), (2, "bc")], "image_id long, full_text string")
+    got = image_job.corrected_lines(lines, full, constant_factory(service))
+    assert sorted((r.image_id, r.pos, r.text_corrected) for r in got.collect()) == [(1, 0, "A"), (2, 0, "B"), (2, 1, "C")]
+    assert sorted(open(seen).read().splitlines()) == sorted(map(repr, ["1. a\n\na", "1. b\n2. c\n\nbc", "1. b\n2. c"]))
