@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.operators.ocr import file_number
+from lexiloom.session import materialize
 
 
 def _ends_in(path: Column, suffixes: Sequence[str]) -> Column:
@@ -37,34 +39,44 @@ def media_verdict(files: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"unknown kind of media: {kind}")
 
 
-def _empty_below(folder: str, recursive: bool) -> list[tuple[str, bool]]:
-    """(path, is a folder) of empty files below `folder`, and of its folders when not recursive."""
-    files, root = fs.FileSystem.from_uri(folder)
-    scheme = folder.split("://", 1)[0] + "://" if "://" in folder else ""
-    found = files.get_file_info(fs.FileSelector(root, recursive=recursive))
-    folders = [(scheme + f.path, True) for f in found if f.type == fs.FileType.Directory and not recursive]
-    return folders + [(scheme + f.path, False) for f in found if f.type == fs.FileType.File and f.size == 0]
+def _listed(folder: str) -> list[tuple[str, bool]]:
+    """(path, is a folder) of the folders and empty files directly in `folder`.
+
+    Paths have the form that Spark's scan gives (`file:/a/b`, `s3a://bucket/a`),
+    and names that the scan hides (those that start with `_` or `.`) are left out.
+    """
+    scheme, _, rest = folder.partition(":") if ":/" in folder else ("file", "", folder)
+    uri = "file://" + "/" + rest.lstrip("/") if scheme == "file" else re.sub("^s3[an]:", "s3:", folder)
+    files, root = fs.FileSystem.from_uri(uri)
+    rows = []
+    for found in files.get_file_info(fs.FileSelector(root)):
+        is_folder = found.type == fs.FileType.Directory
+        if not found.base_name.startswith(("_", ".")) and (is_folder or found.size == 0):
+            rows.append((f"file:{found.path}" if scheme == "file" else f"{scheme}://{found.path}", is_folder))
+    return rows
 
 
 def empty_files(spark: SparkSession, folder: str) -> DataFrame:
     """`path, length` of empty files, which Spark's own file scan leaves out.
 
-    One task lists the folder itself, then each folder in it is a row of its own.
+    Folders are listed level by level, each folder by a task of its own; a
+    single folder's names are the most that a task holds.
     """
 
-    def listed(recursive: bool):
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [row for path in batch["path"] for row in _empty_below(path, recursive)]
-                yield pd.DataFrame(rows, columns=["path", "folder"])
-
-        return work
-
-    schema = "path string, folder boolean"
-    top = spark.range(1, numPartitions=1).select(F.lit(folder).alias("path")).mapInPandas(listed(False), schema)
-    inner = top.filter("folder").select("path").repartition("path").mapInPandas(listed(True), schema)
-    empty = top.filter("NOT folder").unionByName(inner)
-    return empty.select("path", F.lit(0).cast("long").alias("length"))
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                yield pd.DataFrame(_listed(path), columns=["path", "folder"])
+
+    level, empty = spark.range(1, numPartitions=1).select(F.lit(folder).alias("path")), None
+    while True:
+        listed = materialize(level.mapInPandas(work, "path string, folder boolean"))
+        found = listed.filter("NOT folder").select("path", F.lit(0).cast("long").alias("length"))
+        empty = found if empty is None else empty.unionByName(found)
+        level = listed.filter("folder").select("path")
+        if level.isEmpty():
+            return empty
+        level = level.repartition("path")
 
 
 def media_manifest(spark: SparkSession, folder: str, kind: str, with_empty: bool = True) -> DataFrame:

@@ -202,3 +202,16 @@ def test_ledger_reader(spark, sf, tmp_path):
     assert "EqualTo(user_id,7)" in plan and "ReadSchema: struct<user_id:bigint,amount:decimal(10,2)>" in plan
     with pytest.raises(ValueError):
         read_ledger(spark, "users")
+
+
+def test_empty_and_full_media_have_one_form_of_path(spark, tmp_path):
+    for name, data in {"a.mp3": b"x", "b.wav": b"", "in/deep/c.mp3": b"", "in/d.txt": b"y", "_hidden.mp3": b"", "in/.e.mp3": b""}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    for folder in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        listed = {r["path"]: r["verdict"] for r in media_manifest(spark, folder, "audio").collect()}
+        assert listed == {
+            f"file:{tmp_path}/a.mp3": "accepted", f"file:{tmp_path}/b.wav": "empty",
+            f"file:{tmp_path}/in/deep/c.mp3": "empty", f"file:{tmp_path}/in/d.txt": "bad_format",
+        }
