@@ -543,6 +543,35 @@ BODIES["change_outcomes"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, outcome,
         SELECT c.*, h.user_id AS owner, min(CASE WHEN h.user_id = c.user_id THEN seq END) OVER (PARTITION BY history_id) AS first
         FROM history_changes c LEFT JOIN history h ON c.history_id = h.id)) GROUP BY ALL"""
 
+
+
+def _layout(name: str, fields: str, row: str, header: str, rejected_header: str | None) -> str:
+    """Rows and rejects of one manifest layout; `rejected_header` is the reason if its header line is no header there."""
+    made = {
+        "index": "l_linenumber", "path": "'p/' || l_partkey || '.jpg'", "other": "'o/' || l_partkey || '.png'",
+        "box": "l_partkey || ', 2, 30, 40'", "rect": "l_partkey || ',2,3,4'", "text": "' w' || l_partkey", "said": "'s' || l_partkey",
+        "sure": "100 - l_linenumber",
+    }
+    columns = [f"({made[f]})" for f in fields.split()]
+    whole, cut = " || '|' || ".join(["'n/a'", *columns[1:]]), " || '|' || ".join(columns[:-1])
+    header_row = f" UNION ALL SELECT '{name}', l_orderkey, '{rejected_header}', '{header}' FROM lineitem WHERE l_quantity = 3" if rejected_header else ""
+    return f"""SELECT '{name}' AS layout, l_orderkey AS image_id, l_linenumber::VARCHAR AS index, {row} AS row FROM lineitem WHERE l_quantity > 3
+        UNION ALL SELECT '{name}', l_orderkey, 'bad_number', {whole} FROM lineitem WHERE l_quantity = 1
+        UNION ALL SELECT '{name}', l_orderkey, 'too_few_fields', {cut} FROM lineitem WHERE l_quantity = 2{header_row}"""
+
+
+_P, _O, _W, _S = "'p/' || l_partkey || '.jpg'", "'o/' || l_partkey || '.png'", "' w' || l_partkey", "'s' || l_partkey"
+_NUMBERS = "l_partkey || '~3~' || (100 - l_linenumber)"
+BODIES["manifest_layouts"] = " UNION ALL ".join(
+    [
+        _layout("cropped", "index path box rect text sure", f"{_P} || '~' || {_W} || '~' || {_NUMBERS}", "x", "too_few_fields"),
+        _layout("processed", "index path other box rect text sure", f"{_P} || '~' || {_O} || '~' || {_W} || '~' || {_NUMBERS}", "x", "too_few_fields"),
+        _layout("extracted", "index path text said", f"{_P} || '~' || {_W} || '~' || {_S}", "", None),
+        _layout("translated_texts", "index other path said text", f"{_P} || '~' || {_W} || '~' || {_S}", "", None),
+        _layout("translated", "index path other text said", f"{_P} || '~' || {_O} || '~' || {_W} || '~' || {_S} || '~' || (l_quantity <> 4)", "", None),
+    ]
+)
+
 # Distinct missing texts: masked, spaced, marked, cleaned, and put back from the last span to the first.
 _ANSWERS = _cleaned(
     f"(SELECT key, s8, 'vi:' || {_spaced(False, 't8')} AS c0 FROM {_masked(FORMAT_STEPS, '(SELECT DISTINCT key, text FROM keyed WHERE key IS NOT NULL)', 'key')})"

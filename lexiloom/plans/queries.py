@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -310,6 +311,52 @@ def manifest_rejects(t: Tables) -> DataFrame:
     return parse_manifest(t.manifest_lines(), "text_areas")[1]
 
 
+def _layout_lines(t: Tables, fields: str, header: str) -> DataFrame:
+    """A manifest's lines: quantity 1 has a bad index, 2 lacks its last field, 3 is a header line, 4 has a field more."""
+    key, quantity = F.col("l_partkey").cast("string"), F.col("l_quantity")
+    made = {
+        "index": F.when(quantity == 1, "n/a").otherwise(F.col("l_linenumber").cast("string")),
+        "path": F.concat(F.lit("p/"), key, F.lit(".jpg")),
+        "other": F.concat(F.lit("o/"), key, F.lit(".png")),
+        "box": F.concat_ws(", ", key, F.lit("2"), F.lit("30"), F.lit("40")),
+        "rect": F.concat_ws(",", key, F.lit("2"), F.lit("3"), F.lit("4")),
+        "text": F.concat(F.lit(" w"), key),
+        "said": F.concat(F.lit("s"), key),
+        "sure": (100 - F.col("l_linenumber")).cast("string"),
+    }
+    columns = [made[f] for f in fields.split()]
+    line = (
+        F.when(quantity == 2, F.concat_ws("|", *columns[:-1]))
+        .when(quantity == 3, header)
+        .when(quantity == 4, F.concat_ws("|", *columns, F.lit(" False ")))
+        .otherwise(F.concat_ws("|", *columns))
+    )
+    return t.texts("lineitem").select(F.col("l_orderkey").alias("image_id"), line.alias("value"))
+
+
+#: Layout: what its fields are made of, a header line, whether the header is followed, columns that are shown.
+MANIFESTS = {
+    "cropped": ("index path box rect text sure", "x", False, "path text"),
+    "processed": ("index path other box rect text sure", "x", False, "crop_path processed_path text"),
+    "extracted": ("index path text said", "INDEX|PATH|ORIGINAL_TEXT|EXTRACTED_TEXT", False, "path original_text extracted_text"),
+    "translated_texts": ("index other path said text", "index|processed_path|path|translated_text|extracted_text", True, "path extracted_text translated_text"),
+    "translated": ("index path other text said", "INDEX|CROP_PATH|OUTPUT_PATH|EXTRACTED_TEXT|TRANSLATED_TEXT", False, "crop_path output_path extracted_text translated_text has_text"),
+}
+
+
+@query
+def manifest_layouts(t: Tables) -> DataFrame:
+    """The other five layouts, one of them read by its header: rows and rejects as one table."""
+    shown = []
+    for layout, (fields, header, by_header, columns) in MANIFESTS.items():
+        rows, rejects = parse_manifest(_layout_lines(t, fields, header), layout, header if by_header else None)
+        boxes = [F.get("box", F.lit(0))["x"].cast("int"), F.col("rect")["w"], F.col("confidence").cast("int")] if "rect" in rows.columns else []
+        row = F.concat_ws("~", *(F.col(c).cast("string") for c in columns.split()), *(b.cast("string") for b in boxes))
+        shown.append(rows.select(F.lit(layout).alias("layout"), "image_id", F.col("index").cast("string").alias("index"), row.alias("row")))
+        shown.append(rejects.select(F.lit(layout), "image_id", F.col("reason"), F.col("line")))
+    return reduce(DataFrame.union, shown)
+
+
 @query
 def ocr_results(t: Tables) -> DataFrame:
     """The nested documents with their list of lines as JSON text."""
