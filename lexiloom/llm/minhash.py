@@ -34,7 +34,9 @@ BANDS, ROWS = 40, 5
 #: Hashes of a verification batch, batches, and the chance at which a pair is given up wrongly.
 BATCH, BATCHES, MISS = 14, 4, 1e-6
 #: Cells of the counts that bound the difference of two sets; members of a block; rows of blocks that one task takes together.
-CELLS, BLOCK, TOGETHER = 512, 512, 4096
+CELLS, BLOCK, TOGETHER = 512, 1024, 4096
+#: Rows of a block that are compared with another block at once.
+STRIPE = 128
 SKETCH = "doc_id LONG, n_shingles LONG, set_high LONG, set_low LONG, bands ARRAY<LONG>, signature BINARY"
 
 
@@ -130,23 +132,26 @@ def _survivors(one, two, limits: list[int], percent: int):
     """Rows of index pairs (i, j) between two blocks of members that neither test gives up. A block: sizes, signatures, cells."""
     import numpy as np
 
+    found_i, found_j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     (n_one, sig_one, cells_one), (n_two, sig_two, cells_two) = one, two
-    small, large = np.minimum(n_one[:, None], n_two), np.maximum(n_one[:, None], n_two)
-    i, j = np.nonzero(small * 100 >= large * percent)
-    agreed = np.zeros(len(i), dtype=np.int64)
-    for number, least in enumerate(limits):
-        span = slice(number * BATCH, (number + 1) * BATCH)
-        agreed += (sig_one[i, span] == sig_two[j, span]).sum(axis=1)
-        alive = agreed >= least
-        i, j, agreed = i[alive], j[alive], agreed[alive]
-    kept = []
-    for at in range(0, len(i), 8192):
-        a, b = i[at : at + 8192], j[at : at + 8192]
-        apart = np.abs(cells_one[a].astype(np.int32) - cells_two[b]).sum(axis=1)
-        total = n_one[a] + n_two[b]
-        kept.append(np.flatnonzero((total - apart) * 100 >= (total + apart) * percent) + at)
-    chosen = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
-    return i[chosen], j[chosen]
+    for start in range(0, len(n_one), STRIPE):
+        own = n_one[start : start + STRIPE, None]
+        i, j = np.nonzero(np.minimum(own, n_two) * 100 >= np.maximum(own, n_two) * percent)
+        i += start
+        agreed = np.zeros(len(i), dtype=np.int64)
+        for number, least in enumerate(limits):
+            span = slice(number * BATCH, (number + 1) * BATCH)
+            agreed += (sig_one[i, span] == sig_two[j, span]).sum(axis=1)
+            alive = agreed >= least
+            i, j, agreed = i[alive], j[alive], agreed[alive]
+        for at in range(0, len(i), 8192):
+            a, b = i[at : at + 8192], j[at : at + 8192]
+            apart = np.abs(cells_one[a].astype(np.int32) - cells_two[b]).sum(axis=1)
+            total = n_one[a] + n_two[b]
+            good = (total - apart) * 100 >= (total + apart) * percent
+            found_i.append(a[good])
+            found_j.append(b[good])
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def _members(table):
