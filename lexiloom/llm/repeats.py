@@ -41,7 +41,7 @@ SPAN, TRIGGER = 50, 20
 #: Strings of SPAN bytes that a trigger can be in, by how far left of it they start.
 REACH = SPAN - TRIGGER
 HALF = REACH // 2
-PART_BYTES = 2 << 20
+PART_BYTES = 3 << 19
 #: Places that are hashed at once.
 BLOCK = 1 << 18
 #: Buckets of hashes: at least so many, and one for so many bytes of text.
@@ -101,31 +101,35 @@ class Part:
         return np.searchsorted(self.ends, places, side="right")
 
     def triggers(self):
-        """Trigger points in ascending order, in documents with an id and of at least SPAN bytes."""
+        """(trigger points in ascending order, their hashes), in documents with an id and of at least SPAN bytes."""
         import numpy as np
 
-        n, found = len(self.data), []
+        n, found, keys = len(self.data), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
         most, least = np.uint64(2**64 - 1), np.uint64(0)
         for at in range(0, n, BLOCK):
             low, high = max(0, at - REACH), min(n, at + BLOCK + REACH)
+            if high - low <= REACH:
+                continue
             places = np.arange(low, high)
             reach = min(n, high + TRIGGER)
             sums = np.concatenate(([least], np.cumsum(_letters()[self.data[low:reach]] * _powers(BLOCK + 4 * SPAN)[: reach - low], dtype=np.uint64)))
-            ends = self.ends[self.owner(places)]
+            first, last = self.owner(np.array([low, high - 1]))
+            held = np.minimum(self.ends[first : last + 1], high) - np.maximum(self.starts[first : last + 1], low)
+            ends = np.repeat(self.ends[first : last + 1], held)
             good = places + TRIGGER <= ends
             stop = np.minimum(places + TRIGGER - low, reach - low)
             hashes = np.where(good, mixed((sums[stop] - sums[places - low]) * _powers(BLOCK + 4 * SPAN, pow(BASE, -1, 1 << 64))[: high - low]), most)
-            if high - low <= REACH:
-                continue
             lowest = _sliding(hashes, REACH + 1, np.minimum)
             fits = places[: len(lowest)] + SPAN <= ends[: len(lowest)]
             lowest = np.where(fits, lowest, least)
             edge = np.zeros(REACH, dtype=np.uint64)
             best = _sliding(np.concatenate([edge, lowest, edge]), REACH + 1, np.maximum)
-            chosen = places[(best == hashes) & good & (best > least)]
-            found.append(chosen[(chosen >= at) & (chosen < at + BLOCK)])
-        points = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-        return points[~self.none[self.owner(points)]] if len(points) else points
+            chosen = np.flatnonzero((best == hashes) & good & (best > least) & (places >= at) & (places < at + BLOCK))
+            found.append(places[chosen])
+            keys.append(hashes[chosen])
+        points, hashes = np.concatenate(found), np.concatenate(keys)
+        sound = ~self.none[self.owner(points)] if len(points) else np.zeros(0, dtype=bool)
+        return points[sound], hashes[sound]
 
     def around(self, points, before: int, after: int):
         """Hashes of the bytes from `before` left of each point to `after` right of it; bytes of other documents count as none."""
@@ -136,10 +140,17 @@ class Part:
         for at in range(0, len(points), 8192):
             own = points[at : at + 8192]
             owner = self.owner(own)
-            places = own[:, None] + offsets
-            inside = (places >= self.starts[owner][:, None]) & (places < self.ends[owner][:, None])
-            values = np.where(inside, letters[self.data[np.clip(places, 0, len(self.data) - 1)]], np.uint64(0))
-            out[at : at + 8192] = (values * powers).sum(axis=1, dtype=np.uint64)
+            low, high = max(0, int(own[0]) - before), min(len(self.data), int(own[-1]) + after)
+            near = letters[self.data[low:high]]
+            inner = (own - before >= self.starts[owner]) & (own + after <= self.ends[owner])
+            part = np.empty(len(own), dtype=np.uint64)
+            if inner.any():
+                part[inner] = np.lib.stride_tricks.sliding_window_view(near, before + after)[own[inner] - before - low] @ powers
+            places = own[~inner][:, None] + offsets
+            inside = (places >= self.starts[owner[~inner]][:, None]) & (places < self.ends[owner[~inner]][:, None])
+            values = np.where(inside, near[np.clip(places - low, 0, len(near) - 1)], np.uint64(0))
+            part[~inner] = values @ powers
+            out[at : at + 8192] = part
         return mixed(out)
 
 
@@ -279,22 +290,33 @@ def _load_part(folder: str, part_id: int) -> Part:
     return Part(*pickle.loads(_read(folder, f"part-{part_id}")))
 
 
-def _saved_points(folder: str, part_id: int):
+def _save_points(folder: str, name: str, points) -> None:
+    import numpy as np
+
+    _write(folder, name, np.diff(points, prepend=0).astype("<u4").tobytes())
+
+
+def _saved_points(folder: str, name: str):
     import numpy as np
 
-    return np.cumsum(np.frombuffer(_read(folder, f"points-{part_id}"), dtype="<u4").astype(np.int64))
+    return np.cumsum(np.frombuffer(_read(folder, name), dtype="<u4").astype(np.int64))
 
 
 class Flagged:
     """A part's triggers that stand in several documents, with the hashes of their surroundings."""
 
-    def __init__(self, folder: str, part_id: int, answers):
+    def __init__(self, folder: str, part_id: int, answers=None):
+        """With the answers to the first question they are found and saved, without them read."""
         import numpy as np
 
-        self.part, points = _load_part(folder, part_id), _saved_points(folder, part_id)
-        keys = short(TRIGGERS, self.part.around(points, 0, TRIGGER))
-        distinct, place = np.unique(keys, return_inverse=True)
-        self.points = points[_answers(answers, TRIGGERS)[place]] if len(points) else points
+        self.part = _load_part(folder, part_id)
+        if answers is None:
+            self.points = _saved_points(folder, f"flagged-{part_id}")
+        else:
+            points = _saved_points(folder, f"points-{part_id}")
+            distinct, place = np.unique(short(TRIGGERS, self.part.around(points, 0, TRIGGER)), return_inverse=True)
+            self.points = points[_answers(answers, TRIGGERS)[place]] if len(points) else points
+            _save_points(folder, f"flagged-{part_id}", self.points)
         owner = self.part.owner(self.points)
         self.ids = self.part.ids[owner]
         self.left, self.right = self.points - self.part.starts[owner], self.part.ends[owner] - self.points
@@ -377,9 +399,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part_id in batch.column("part_id").to_pylist():
                 part = _load_part(folder, part_id)
-                points = part.triggers()
-                _write(folder, f"points-{part_id}", np.diff(points, prepend=0).astype("<u4").tobytes())
-                keys, low, several = _differing(short(TRIGGERS, part.around(points, 0, TRIGGER)), part.ids[part.owner(points)])
+                points, hashes = part.triggers()
+                _save_points(folder, f"points-{part_id}", points)
+                keys, low, several = _differing(short(TRIGGERS, hashes), part.ids[part.owner(points)])
                 yield from _question(TRIGGERS, part_id, buckets, keys, np.where(several, SEVERAL, low)).to_batches()
 
     def ask_surroundings(key, answers):
@@ -397,7 +419,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def ask_strings(key, answers):
         part_id = key[0].as_py()
-        own = Flagged(folder, part_id, answers)
+        own = Flagged(folder, part_id)
         starts, ids = own.strings(answers, own.settled(answers))
         return _question(STRINGS, part_id, buckets, *_grouped(short(STRINGS, own.part.around(starts, 0, SPAN)), ids))
 
@@ -405,7 +427,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        own = Flagged(folder, key[0].as_py(), answers)
+        own = Flagged(folder, key[0].as_py())
         part, settled = own.part, own.settled(answers)
         starts, ids = own.strings(answers, settled)
         keys = short(STRINGS, part.around(starts, 0, SPAN))
