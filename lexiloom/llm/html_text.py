@@ -32,15 +32,18 @@ CLOSES = {
 }
 CLOSE_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 INLINE = frozenset("a b i u s em strong small span font code tt big mark sub sup q cite abbr time label".split())
-#: Class and id words of parts that are no main text, and of parts that are.
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|"
-    r"sidebar|side|widget|related|recommend\w*|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|header|masthead|footer|comments?|disqus|replies|respond|login|toolbar|skip|hidden)(?:$|[\s_-])",
-    re.I,
+#: Words in class names and ids of parts that are no main text, and of parts that are.
+UNLIKELY = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal newsletter "
+    "subscribe signup share sharing social sidebar side aside widget widgets related recommended recommendations menu nav navbar navigation breadcrumb breadcrumbs "
+    "pagination pager header masthead footer comment comments disqus reply replies respond login toolbar skip hidden".split()
 )
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|page)(?:$|[\s_-])", re.I)
+LIKELY = frozenset("article content main post entry story body text page".split())
+#: First words of class names that speak of other parts of the page.
+ABOUT_OTHERS = frozenset("has with no without".split())
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 LEAST_PARAGRAPH = 25
 
@@ -54,6 +57,16 @@ class Element:
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
+def judged(name: str) -> int:
+    """-1 if a class name or id starts or ends with a word for no main text, 1 if it has a word for main text, else 0."""
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    if not parts or parts[0] in ABOUT_OTHERS:
+        return 0
+    if parts[0] in UNLIKELY or parts[-1] in UNLIKELY:
+        return -1
+    return int(not LIKELY.isdisjoint(parts))
+
+
 def described(attributes: str) -> tuple[bool, int]:
     """Whether an element's attributes say that it is no main text, and what they add to its score."""
     weight = 0
@@ -61,11 +74,13 @@ def described(attributes: str) -> tuple[bool, int]:
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True, 0
-        if name in ("class", "id", "role"):
-            if LIKELY.search(value):
-                weight += 25
-            elif UNLIKELY.search(value) or name == "role" and value in ("complementary", "contentinfo", "search", "dialog"):
+        if name == "role" and value in ("complementary", "contentinfo", "search", "dialog", "navigation", "banner"):
+            return True, 0
+        if name in ("class", "id"):
+            verdicts = [judged(x) for x in value.split()]
+            if -1 in verdicts:
                 return True, 0
+            weight += 25 * max(verdicts, default=0)
     return False, weight
 
 
