@@ -58,6 +58,14 @@ FORMAT_PATTERNS = (
     r"___[A-Z]+_\p{Nd}+___",
     rf"(?<![{WORD}])[A-Z]+\p{{Nd}}+[A-Z]+-[A-Z]+(?![{WORD}])",
 )
+# Borders at which words stick together: what stands on either side.
+SPACED_BORDERS = (
+    ("[a-z]", "[A-Z]"),
+    ("[a-zA-Z][a-zA-Z]", r"\p{Nd}"),
+    (r"\p{Nd}", "[a-zA-Z][a-zA-Z]"),
+    ("[a-zA-Z]", rf"[^{WORD}{SPACE}]"),
+    (rf"[^{WORD}{SPACE}]", "[a-zA-Z]"),
+)
 SPACED_PREFIXES = ("pre", "post", "dis", "over", "under", "sub", "inter", "trans")
 
 # --- model answers -----------------------------------------------------------

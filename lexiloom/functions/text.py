@@ -77,14 +77,7 @@ def unmasked(text: Column, spans: Column) -> Column:
 
 def spaced(text: Column, prefixes: bool = False) -> Column:
     """Blanks where words stick together; runs of white space become one blank."""
-    symbol = rf"[^{fixed.WORD}{fixed.SPACE}]"
-    steps = [
-        ("([a-z])([A-Z])", "$1 $2"),
-        (r"([a-zA-Z][a-zA-Z])(\p{Nd})", "$1 $2"),
-        (r"(\p{Nd})([a-zA-Z][a-zA-Z])", "$1 $2"),
-        (rf"([a-zA-Z])({symbol})", "$1 $2"),
-        (rf"({symbol})([a-zA-Z])", "$1 $2"),
-    ]
+    steps = [(f"({left})({right})", "$1 $2") for left, right in fixed.SPACED_BORDERS]
     if prefixes:
         steps += [(rf"(?i)({prefix})([a-z]{{2,}})", "$1 $2") for prefix in fixed.SPACED_PREFIXES]
     steps.append((rf"[{fixed.SPACE}]+", " "))

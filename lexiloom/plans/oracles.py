@@ -98,15 +98,15 @@ CTES = {
         WHEN 3 THEN 'TRANSLATE_DOCX|in_' || doc_id || '.docx|out.docx|ja|m1|0.5|8' WHEN 4 THEN 'TRANSLATE|' || lang
         ELSE 'UNKNOWN|' || text END AS q FROM documents""",
     "frags": """SELECT id, pos, name, code, text FROM (
-        SELECT conv_id * 100 + turn AS id, role, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t FROM conversations) r,
+        SELECT conv_id * 1000000 + turn AS id, role, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t FROM conversations) r,
         LATERAL (SELECT 0 AS pos, role AS name, 'en' AS code, t AS text WHERE id % 7 <> 0
                  UNION ALL SELECT 1, 'Unknown', 'und', 'x' WHERE id % 7 <> 0
                  UNION ALL SELECT 0, 'Error', 'err', 'Failed to parse analysis result' WHERE id % 7 = 0) f""",
-    "outputs": """SELECT doc_id * 100000 + para_idx AS id, text AS source,
-        CASE WHEN (doc_id * 100000 + para_idx) % 13 = 0 THEN 'I''m sorry, ' || text
-            WHEN (doc_id * 100000 + para_idx) % 11 = 0 THEN 'EMPTY'
-            WHEN (doc_id * 100000 + para_idx) % 7 = 0 THEN 'Translation: ' || text
-            WHEN (doc_id * 100000 + para_idx) % 5 = 0 THEN 'There is no text to translate'
+    "outputs": """SELECT doc_id * 10000000 + para_idx AS id, text AS source,
+        CASE WHEN (doc_id * 10000000 + para_idx) % 13 = 0 THEN 'I''m sorry, ' || text
+            WHEN (doc_id * 10000000 + para_idx) % 11 = 0 THEN 'EMPTY'
+            WHEN (doc_id * 10000000 + para_idx) % 7 = 0 THEN 'Translation: ' || text
+            WHEN (doc_id * 10000000 + para_idx) % 5 = 0 THEN 'There is no text to translate'
             ELSE '> ' || text END AS output FROM segments""",
     "memory": """SELECT md5(text) AS key, text AS source, 'vi:' || text AS target,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(max(doc_id)) AS last_used

@@ -204,7 +204,7 @@ class Tables:
         return self.texts("documents").select(key.alias("id"), question.alias("question"))
 
     def replies(self) -> DataFrame:
-        key = F.col("conv_id") * 100 + F.col("turn")
+        key = F.col("conv_id") * 1_000_000 + F.col("turn")
         t = F.regexp_replace("text", "[^A-Za-z ]", "")
         whole = F.concat(
             F.lit('{"language":[{"name":"'), "role", F.lit('","code":"en","text":"'), t, F.lit('"},{"text":"x"}]}')
@@ -215,7 +215,7 @@ class Tables:
         )
 
     def model_outputs(self) -> DataFrame:
-        key = F.col("doc_id") * 100_000 + F.col("para_idx")
+        key = F.col("doc_id") * 10_000_000 + F.col("para_idx")
         t = F.col("text")
         output = (
             F.when(key % 13 == 0, F.concat(F.lit("I'm sorry, "), t))
