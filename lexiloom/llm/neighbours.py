@@ -5,7 +5,7 @@ random hyperplane codes: in each of several tables, classes sorted by label,
 code and a random projection meet the next few in that order. Then the graph is
 refined: each class meets the neighbours of some of its neighbours, through as
 many of them as the current list length allows; while a list is longer than
-that (saturated), the length doubles. Edges under the threshold but over
+that (saturated), the length grows fourfold. Edges under the threshold but over
 `FLOOR` serve as paths only. When nothing new turns up, a sample of classes is
 compared with all others; if too few of their true links were found, more
 tables are added.
@@ -149,7 +149,7 @@ def _refined(edges: DataFrame, classes: DataFrame) -> DataFrame:
         if not grown and not saturated:
             return edges
         edges = edges.unionByName(new)
-        length *= 2 if saturated else 1
+        length *= 4 if saturated else 1
 
 
 def audit(edges: DataFrame, classes: DataFrame, threshold: float, audited: int = AUDITED) -> float:
