@@ -144,7 +144,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
                 bits = np.packbits(presence([t for _, t in own]).astype(bool), axis=1)
                 yield pa.RecordBatch.from_pydict({"lang": [x for x, _ in own], "bits": [row.tobytes() for row in bits]})
 
-    sample = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.rand(11) < F.get(F.array(F.element_at(shares, F.col("lang"))), F.lit(0)))
+    sample = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.rand(11) < F.element_at(shares, F.col("lang")))
     rows = sample.select("lang", "text").mapInArrow(packed, "lang STRING, bits BINARY").collect()
     return fit(sorted((r["lang"], bytes(r["bits"])) for r in rows))
 
