@@ -7,13 +7,16 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 END_ID = 2
 #: Entries of a worker's word cache before it starts anew, keeping the former ones for look-ups, and the longest word it keeps.
 CACHED_WORDS, CACHED_LENGTH = 400_000, 64
 #: White space to Python that is none to the vocabulary; letters whose small form depends on their place or is no single letter.
 ODD_SPACE, ODD_LOWER = re.compile("[\x1c-\x1f]"), re.compile("[\u03a3\u0130]")
-PROBE = "Two Words, sp\u00e9cial\tOnes. it's 42 x-y"
+#: What the vocabulary's special tokens, whose letters count as they are, start with.
+SPECIAL = "<|"
+PROBE = "Two Words, sp\u00e9cial\tOnes. it's 42 x-y end!?%"
 
 
 class WordIds(dict):
@@ -46,17 +49,18 @@ class WordIds(dict):
         return array("I", [token.id for token in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
+        ids, worth = self.older.get(word), True
         if ids is None:
-            bare = word.rstrip(".,")
+            bare = word.rstrip(punctuation)
             small = bare.lower()
-            if not bare.isalpha() or unicodedata.normalize("NFC", bare) != bare or ODD_LOWER.search(bare):
+            if not bare.isalpha() or not bare.isascii() and (unicodedata.normalize("NFC", bare) != bare or ODD_LOWER.search(bare)):
                 ids = self.encoded(word)
             elif small == word:
                 ids = self.merged(word)
             else:  # letters and closing marks are merged apart
+                worth = small in self or small in self.older  # forms of rare words would only crowd the cache
                 ids = self[small] + (self[word[len(bare) :]] if bare != word else b"")
-        if len(word) <= CACHED_LENGTH:
+        if worth and len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
                 self.older = dict(self)
                 self.clear()
@@ -68,6 +72,8 @@ class WordIds(dict):
         text = text or ""
         if not self.by_word or ODD_SPACE.search(text):
             return self.encoded(text) + END_BYTES
+        if SPECIAL not in text and unicodedata.is_normalized("NFC", text) and not ODD_LOWER.search(text):
+            text = text.lower()  # as the vocabulary does, so that fewer forms are looked up
         return b"".join(map(self.__getitem__, text.split())) + END_BYTES
 
 
