@@ -5,7 +5,9 @@ words of a document meets the benchmark's windows by hash; windows of one item
 that match at one offset make an alignment. An alignment with enough windows
 counts if its slots are consistent: wherever the item has one value twice, the
 document has one value twice as well, the same or another. So a question with
-its numbers or names exchanged is caught as surely as a verbatim one.
+its numbers or names exchanged is caught as surely as a verbatim one. Items
+without enough windows of plain words (dense in numbers, names or units, or
+short) are looked for as a whole.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from .common import fresh, stored
 
 #: Words of a window, plain words it needs, and windows of an alignment (or all of a shorter item's).
 WINDOW, LEAST_PLAIN, LEAST_WINDOWS = 8, 5, 6
+#: Plain words from which an item of at least a window that is looked for as a whole may have other values.
+LEAST_PLAIN_WHOLE = 3
 #: Benchmark windows up to which they are broadcast (24 bytes each); more are joined by shuffling.
 BROADCAST_WINDOWS = 500_000
 NUMBER, NAME, UNIT = "<n>", "<name>", "<u>"
@@ -40,30 +44,75 @@ def _canonical(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?<![^\x20\x09-\x0D])(?:{'|'.join(UNITS)})(?![^\x20\x09-\x0D])", UNIT)
 
 
-def _windows(table: DataFrame, *keys: str) -> DataFrame:
-    """(keys, pos, window, n_windows) of a table with a `text`; windows of too few plain words are left out."""
-    canonical = table.where("text IS NOT NULL").select(*keys, F.filter(_words(_canonical(F.col("text"))), lambda w: w != "").alias("words"))
-    count = F.size("words") - (WINDOW - 1)
+def _canonical_words(text: Column) -> Column:
+    return F.filter(_words(_canonical(text)), lambda w: w != "")
+
+
+def _hashes(words: Column, length: Column) -> Column:
+    """A hash for each window of `length` words."""
+    count = F.size(words) - length + 1
     starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
-    plain = F.filter(F.slice("words", F.col("pos") + 1, WINDOW), lambda w: ~w.contains("<"))
-    exploded = canonical.select(*keys, "words", count.alias("n_windows"), F.posexplode(hashes).alias("pos", "window"))
-    return exploded.select(*keys, "pos", "window", "n_windows", plain.alias("plain"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, length)))
+
+
+def _item_windows(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_pos, window, length, n_windows, asked, whole, loose) of the benchmark's items.
+
+    An item with too few windows of enough plain words is looked for as a
+    `whole`: all its windows count, and a document needs all of them; under
+    `WINDOW` words it is one window of its own length. As the first word of an
+    item is a name to a document that goes on before it, the first window of a
+    whole item has that form as well. `loose` items may have other values.
+    """
+    text = F.col("text")
+    inner = F.slice(_canonical_words(F.concat(F.lit("x "), text)), 2, 1 << 30)
+    items = benchmark.where("text IS NOT NULL").select("item_id", _canonical_words(text).alias("words"), inner.alias("inner")).where("size(words) > 0")
+    items = items.withColumn("length", F.least(F.lit(WINDOW), F.size("words"))).withColumn("n_windows", F.size("words") - F.col("length") + 1)
+
+    def plain(words: Column) -> Column:
+        return F.size(F.filter(words, lambda w: ~w.contains("<")))
+
+    fit = F.transform(F.sequence(F.lit(1), F.col("n_windows")), lambda i: plain(F.slice("words", i, F.col("length"))) >= LEAST_PLAIN)
+    asked = F.least(F.lit(LEAST_WINDOWS), F.col("n_windows"))
+    short = F.size("words") < WINDOW
+    items = items.withColumn("fit", fit).withColumn("whole", short | (F.size(F.filter("fit", lambda x: x)) < asked))
+    first = F.when(F.col("whole") & (F.col("inner") != F.col("words")), F.array(F.xxhash64(F.slice("inner", F.lit(1), F.col("length")))))
+    windows = F.concat(_hashes(F.col("words"), F.col("length")), F.coalesce(first, F.array().cast("array<bigint>")))
+    loose = ~F.col("whole") | (plain(F.col("words")) >= F.when(short, LEAST_PLAIN).otherwise(LEAST_PLAIN_WHOLE))
+    items = items.select("item_id", "length", "n_windows", "fit", F.when(F.col("whole"), F.col("n_windows")).otherwise(asked).alias("asked"), "whole", loose.alias("loose"), F.posexplode(windows).alias("pos", "window"))
+    return items.where(F.col("whole") | F.get("fit", F.col("pos"))).select(
+        "item_id", F.when(F.col("pos") < F.col("n_windows"), F.col("pos")).otherwise(0).alias("item_pos"), "window", "length", "n_windows", "asked", "whole", "loose"
+    )
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item_id, offset, first, last, n_matched, n_windows) of items that a document has enough windows of."""
-    items = stored(_windows(benchmark.select("item_id", "text"), "item_id").where(F.size("plain") >= LEAST_PLAIN).drop("plain"), "items")
-    items = items.withColumnRenamed("pos", "item_pos")
+    """(doc_id, text_hash, item_id, places) of items that a document has enough windows of.
+
+    `places` has (offset, first, last, n_matched, n_windows, length, whole, loose) for each offset with enough of them.
+    """
+    items = stored(_item_windows(benchmark.select("item_id", "text")), "items")
+    lengths = [r.length for r in items.select("length").distinct().collect()]
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    hits = _windows(own, "doc_id", "text_hash").select("doc_id", "text_hash", "pos", "window").join(items, "window")
-    return (
+    own = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), _canonical_words(F.col("text")).alias("words"))
+    # one row per place for all lengths; the hash of a window tells its length
+    by_length = [_hashes(F.col("words"), F.lit(n)) for n in sorted(lengths, reverse=True) or [WINDOW]]
+    if len(by_length) == 1:
+        windows = own.select("doc_id", "text_hash", F.posexplode(by_length[0]).alias("pos", "window"))
+    else:
+        placed = F.concat(*(F.transform(h, lambda x, i: F.struct(i.alias("pos"), x.alias("window"))) for h in by_length))
+        windows = own.select("doc_id", "text_hash", F.inline(placed))
+    hits = windows.join(items, "window")
+    enough = (
         hits.groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"))
-        .agg(F.min("item_pos").alias("first"), F.max("item_pos").alias("last"), F.countDistinct("item_pos").alias("n_matched"), F.max("n_windows").alias("n_windows"))
-        .where(F.col("n_matched") >= F.least(F.lit(LEAST_WINDOWS), F.col("n_windows")))
-    )
+        .agg(
+            F.min("item_pos").alias("first"), F.max("item_pos").alias("last"), F.countDistinct("item_pos").alias("n_matched"), F.max("n_windows").alias("n_windows"),
+            F.max("length").alias("length"), F.max("asked").alias("asked"), F.bool_and("whole").alias("whole"), F.bool_and("loose").alias("loose"),
+        )
+        .where(F.col("n_matched") >= F.col("asked"))
+    )
+    place = F.struct("offset", "first", "last", "n_matched", "n_windows", "length", "whole", "loose")
+    return enough.groupBy("doc_id", "text_hash", "item_id").agg(F.collect_list(place).alias("places"))
 
 
 def _parsed(table: DataFrame, *keys: str) -> DataFrame:
@@ -77,9 +126,10 @@ def _parsed(table: DataFrame, *keys: str) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, n_matched, n_windows, verbatim): an item's best consistent alignment in a document.
 
-    `verbatim` says whether all slots have the item's own values. Null texts
-    and texts shorter than a window match nothing, nor do such items; null ids
-    stay; documents with the same id and text give one row per item; other
+    `verbatim` says whether all slots have the item's own values. Items looked
+    for as a whole that have next to no plain words are found verbatim only.
+    Null texts and texts without a word match nothing, nor do such items; an
+    item of under `WINDOW` words has one window, itself; null ids stay; documents with the same id and text give one row per item; other
     columns are not read; an empty table on either side gives no row.
     """
     found = stored(alignments(docs, benchmark), "alignments")
@@ -92,16 +142,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = _parsed(benchmark.select("item_id", "text").where("text IS NOT NULL"), "item_id").withColumnRenamed("words", "item_words")
     aligned = found.join(parts.withColumnRenamed("item_id", "__item"), F.col("item_id").eqNullSafe(F.col("__item"))).join(texts, same)
 
-    def slot(place: Column) -> Column:
-        mine, theirs = F.get("item_words", place), F.get("doc_words", place + F.col("offset"))
+    def slot(place: Column, offset: Column) -> Column:
+        mine, theirs = F.get("item_words", place), F.get("doc_words", place + offset)
         return F.struct((mine["canonical"] == theirs["canonical"]).alias("same"), mine["canonical"].alias("kind"), mine["word"].alias("item"), theirs["word"].alias("doc"))
 
-    spanned = F.transform(F.sequence(F.col("first"), F.col("last") + WINDOW - 1), slot)
-    slots = F.array_distinct(F.filter(spanned, lambda s: s["same"] & s["kind"].contains("<")))
-    checked = aligned.select("doc_id", "text_hash", "item_id", "n_matched", "n_windows", slots.alias("slots"))
+    def compared(p: Column) -> Column:
+        spanned = F.transform(F.sequence(p["first"], p["last"] + p["length"] - 1), lambda place: slot(place, p["offset"]))
+        # the first word of a whole item can be a name on one side only
+        holds = ~p["whole"] | F.forall(spanned, lambda s: s["same"] | (s["item"] == s["doc"]))
+        slots = F.array_distinct(F.filter(spanned, lambda s: s["same"] & s["kind"].contains("<")))
+        return F.struct(p["n_matched"].alias("n_matched"), p["n_windows"].alias("n_windows"), p["loose"].alias("loose"), holds.alias("holds"), slots.alias("slots"))
+
+    checked = aligned.select("doc_id", "text_hash", "item_id", F.explode(F.transform("places", compared)).alias("place")).select("doc_id", "text_hash", "item_id", "place.*")
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["item"].alias("item"))))
-    checked = checked.where(F.size(values) == F.size("slots")).withColumn("verbatim", F.forall("slots", lambda s: s["item"] == s["doc"]))
-    return checked.groupBy("doc_id", "text_hash", "item_id").agg(
+    checked = checked.where(F.col("holds") & (F.size(values) == F.size("slots"))).withColumn("verbatim", F.forall("slots", lambda s: s["item"] == s["doc"]))
+    return checked.where("loose OR verbatim").groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("n_matched").alias("n_matched"), F.max("n_windows").cast("long").alias("n_windows"), F.bool_or("verbatim").alias("verbatim")
     )
 

@@ -377,6 +377,21 @@ def test_windows_join_by_shuffle_beyond_the_bound(spark, documents, monkeypatch)
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)]
 
 
+def test_dense_and_short_items_are_found_as_a_whole(spark, documents):
+    items = ["What is 12 plus 7 times 3 minus 4?", "Convert 5 km 300 m to m and 20 cm to mm.", "Who wrote Faust?", "42 kg"]
+    other = ["What is 15 plus 8 times 2 minus 9?", "Convert 7 km 200 m to m and 30 cm to mm."]
+    torn = ["What is 12 plus 7 times 3", "Convert 5 km 300 m to m and 20 cm to ours.", "Who wrote it and Faust?", "43 kg of 42 apples"]
+    data = [(i, t) for i, t in enumerate(items)] + [(10 + i, f"some words, then {t} and more of it") for i, t in enumerate(items)]
+    data += [(20 + i, f"Before it. {t}") for i, t in enumerate(other)] + [(30 + i, t) for i, t in enumerate(torn)]
+    data += [(40, "Tell us: Tom is 12 plus 7 times 3 minus 4?"), (41, "42 kg and 42 kg, of 42 kg"), (42, "then Tom is 12 plus 7 times 3 minus 4?")]
+    benchmark = benchmark_table(spark, [(i, t, 0) for i, t in enumerate(items)] + [(7, " . ", 0), (8, "", 0)])
+    got = {(r.doc_id, r.item_id, r.n_matched, r.n_windows, r.verbatim) for r in decontaminate.find_contamination(documents(data), benchmark).collect()}
+    n = [2, 5, 1, 1]
+    want = {(i + at, i, n[i], n[i], True) for i in range(4) for at in (0, 10)} | {(20 + i, i, n[i], n[i], False) for i in range(2)} | {(41, 3, 1, 1, True)}
+    assert got == want
+    assert {r.doc_id for r in decontaminate.decontaminate(documents(data), benchmark).collect()} == {i for i, _ in data} - {i for i, *_ in want}
+
+
 # pages
 
 STORY = [f"Paragraph {i} of the story, with some words, and a few commas, to be read by people who like text." for i in range(4)]
