@@ -6,15 +6,17 @@ code and a random projection meet the next few in that order. Then the graph is
 refined: each class meets the neighbours of some of its neighbours, through as
 many of them as the current list length allows; while a list is longer than
 that (saturated), the length grows fourfold. Edges under the threshold but over
-`FLOOR` serve as paths only. When nothing new turns up, a sample of classes is
-compared with all others; if too few of their true links were found, more
-tables are added.
+`FLOOR` serve as paths only. The bits of a code and the number of tables follow
+the size of each label. When nothing new turns up, a sample of classes is
+compared with all others, for labels of each size; where too few of their true
+links were found, more tables are added, and in the end these labels are
+compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, log, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,11 @@ FLOOR = 0.92
 BUCKET, LAG, MISS = 16, 4, 1e-4
 #: Neighbours that a class goes through in a round, and the list length at first.
 PIVOTS, LIST = 3, 32
-#: Classes compared with all others in the audit, the share of their links that must have been found, rounds of new tables.
-AUDITED, LEAST_RECALL, AUDITS = 128, 0.98, 3
+#: Classes compared with all others in the audit of a label size, at first and at most, links that make it sure enough,
+#: the share of them that must have been found, rounds of new tables.
+AUDITED, MOST_AUDITED, SEEN, LEAST_RECALL, AUDITS = 128, 2048, 200, 0.98, 3
+#: Classes of a block of the exact comparison.
+BLOCK = 1024
 
 
 def sound(label: Column, vector: Column) -> Column:
@@ -57,26 +62,28 @@ def by_length(*columns):
         yield np.flatnonzero(same & (lengths[0] == n))
 
 
-def _first_edges(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """(a, b, cosine) of classes next to each other in some table."""
+def _first_edges(classes: DataFrame, tables: dict[int, int], seed: int) -> DataFrame:
+    """(a, b, cosine) of classes next to each other in some table; `tables` has their number by the bits of a label's codes."""
 
     def coded(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        planes: dict[int, object] = {}
+        planes: dict[tuple[int, int], object] = {}
         for batch in batches:
             for own in by_length(batch.column("vector")):
-                part = batch.take(pa.array(own))
-                units = unit_vectors(part.column("vector"))
-                n = units.shape[1]
-                if n not in planes:
-                    planes[n] = np.random.default_rng([seed, n]).standard_normal((n, tables * (bits + 1)))
-                sides = (units @ planes[n]).reshape(len(units), tables, bits + 1)
-                codes = ((sides[:, :, :bits] > 0) << np.arange(bits)).sum(axis=2)
-                for number in range(tables):
-                    columns = [part.column("rep"), part.column("label_key"), pa.array(np.full(len(units), number)), pa.array(codes[:, number]), pa.array(sides[:, number, bits]), part.column("vector")]
-                    yield pa.RecordBatch.from_arrays(columns, names=["rep", "label_key", "number", "code", "place", "vector"])
+                widths = batch.column("bits").to_numpy()[own]
+                for bits in map(int, np.unique(widths)):
+                    part = batch.take(pa.array(own[widths == bits]))
+                    units = unit_vectors(part.column("vector"))
+                    n = units.shape[1]
+                    if (n, bits) not in planes:
+                        planes[n, bits] = np.random.default_rng([seed, n]).standard_normal((n, tables[bits] * (bits + 1)))
+                    sides = (units @ planes[n, bits]).reshape(len(units), tables[bits], bits + 1)
+                    codes = ((sides[:, :, :bits] > 0) << np.arange(bits)).sum(axis=2)
+                    for number in range(tables[bits]):
+                        columns = [part.column("rep"), part.column("label_key"), pa.array(np.full(len(units), number)), pa.array(codes[:, number]), pa.array(sides[:, number, bits]), part.column("vector")]
+                        yield pa.RecordBatch.from_arrays(columns, names=["rep", "label_key", "number", "code", "place", "vector"])
 
     def adjacent(batches: Iterator) -> Iterator:
         import numpy as np
@@ -99,7 +106,7 @@ def _first_edges(classes: DataFrame, bits: int, tables: int, seed: int) -> DataF
 
     kind = classes.schema["vector"].dataType.simpleString()
     order = ["label_key", "number", "code", "place"]
-    sides = classes.select("rep", "label_key", "vector").mapInArrow(coded, f"rep LONG, label_key LONG, number LONG, code LONG, place DOUBLE, vector {kind}")
+    sides = classes.select("rep", "label_key", "bits", "vector").mapInArrow(coded, f"rep LONG, label_key LONG, number LONG, code LONG, place DOUBLE, vector {kind}")
     # by range, so that one crowded code is spread over tasks
     return sides.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(adjacent, "a LONG, b LONG, cosine DOUBLE").where("a < b")
 
@@ -152,35 +159,87 @@ def _refined(edges: DataFrame, classes: DataFrame) -> DataFrame:
         length *= 4 if saturated else 1
 
 
-def audit(edges: DataFrame, classes: DataFrame, threshold: float, audited: int = AUDITED) -> float:
-    """The share of true links that `edges` holds, measured on a random sample of classes against all classes."""
-    sample = classes.orderBy(F.xxhash64("rep")).limit(audited).select("rep", "label_key", "vector").toArrow()
+def audit(edges: DataFrame, classes: DataFrame, sizes: dict[int, int], threshold: float, audited: int) -> dict[int, tuple[int, int]]:
+    """By bits, the true links of about `audited` random classes and how many of them `edges` holds; `sizes` has the number of classes by bits."""
+    place = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
+    drawn = F.coalesce(*(F.when(F.col("bits") == bits, place < min(1 << 30, ceil((1 << 30) * audited / n))) for bits, n in sizes.items()), F.lit(False))
+    sample = classes.where(drawn).select("rep", "label_key", "bits", "vector").toArrow()
     if not sample.num_rows:
-        return 1.0
+        return {}
 
     def compared(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         queries = sample.combine_chunks()
-        q_vectors = queries.column("vector").combine_chunks()
-        groups = [(own, queries.take(pa.array(own)), unit_vectors(q_vectors.take(pa.array(own)))) for own in by_length(q_vectors)]
+        q_bits, q_vectors = queries.column("bits").to_numpy(), queries.column("vector").combine_chunks()
+        groups = []
+        for own in by_length(q_vectors):
+            for bits in np.unique(q_bits[own]):
+                mine = own[q_bits[own] == bits]
+                for at in range(0, len(mine), 256):
+                    few = pa.array(mine[at : at + 256])
+                    groups.append((bits, queries.take(few), unit_vectors(q_vectors.take(few))))
         for batch in batches:
             for own in by_length(batch.column("vector")):
-                part = batch.take(pa.array(own))
-                units = unit_vectors(part.column("vector"))
-                for _, asked, asked_units in groups:
-                    if asked_units.shape[1] != units.shape[1]:
-                        continue
-                    labels = part.column("label_key").to_numpy()[:, None] == asked.column("label_key").to_numpy()
-                    rows, columns = np.nonzero((units @ asked_units.T >= threshold) & labels)
-                    one, two = part.column("rep").to_numpy()[rows], asked.column("rep").to_numpy()[columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(two), pa.array(one)], names=["a", "b"])
-
-    true = classes.select("rep", "label_key", "vector").mapInArrow(compared, "a LONG, b LONG").where("a <> b")
+                widths = batch.column("bits").to_numpy()[own]
+                for width in np.unique(widths):
+                    part = batch.take(pa.array(own[widths == width]))
+                    units = unit_vectors(part.column("vector"))
+                    for bits, asked, asked_units in groups:
+                        if bits != width or asked_units.shape[1] != units.shape[1]:
+                            continue
+                        labels = part.column("label_key").to_numpy()[:, None] == asked.column("label_key").to_numpy()
+                        rows, columns = np.nonzero((units @ asked_units.T >= threshold) & labels)
+                        one, two = part.column("rep").to_numpy()[rows], asked.column("rep").to_numpy()[columns]
+                        yield pa.RecordBatch.from_arrays([pa.array(two), pa.array(one), pa.array(np.full(len(one), bits, dtype=np.int64))], names=["a", "b", "bits"])
+
+    true = classes.where(F.col("bits").isin(list(sizes))).select("rep", "label_key", "bits", "vector").mapInArrow(compared, "a LONG, b LONG, bits LONG").where("a <> b")
     found = _both_ways(edges.where(F.col("cosine") >= threshold)).select("a", "b", F.lit(1).alias("hit"))
-    total, hits = true.join(found, ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return hits / total if total else 1.0
+    return {r.bits: (r.total, r.hits) for r in true.join(found, ["a", "b"], "left").groupBy("bits").agg(F.count("*").alias("total"), F.count("hit").alias("hits")).collect()}
+
+
+def _short(edges: DataFrame, classes: DataFrame, sizes: dict[int, int], threshold: float) -> list[int]:
+    """The bits whose labels lack links; the sample grows until enough links are seen."""
+    short, left, audited = [], dict(sizes), AUDITED
+    while left:
+        seen = audit(edges, classes, left, threshold, audited)
+        for bits, n in list(left.items()):
+            total, hits = seen.get(bits, (0, 0))
+            if total >= SEEN or audited >= min(n, MOST_AUDITED):
+                del left[bits]
+                if (hits / total if total else 1.0) < LEAST_RECALL:
+                    short.append(bits)
+        audited *= 4
+    return short
+
+
+def _exact_edges(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, cosine) of all links, by comparing each label's blocks of classes with each other."""
+
+    def compared(group):
+        import numpy as np
+        import pyarrow as pa
+
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for own in by_length(group.column("vector").combine_chunks()):
+            part = group.take(pa.array(own))
+            units, reps, blocks = unit_vectors(part.column("vector").combine_chunks()), part.column("rep").to_numpy(), part.column("block").to_numpy()
+            left, right = blocks == part.column("low").to_numpy(), blocks == part.column("high").to_numpy()
+            one, two = np.nonzero(units[left] @ units[right].T >= threshold)
+            # both ways within a block, either way between two
+            a, b = reps[left][one], reps[right][two]
+            cosine = (units[left][one] * units[right][two]).sum(axis=1)
+            out.append((np.minimum(a, b), np.maximum(a, b), cosine))
+        a, b, cosine = (np.concatenate(x) for x in zip(*out, strict=True))
+        good = a < b
+        return pa.table({"a": a[good], "b": b[good], "cosine": cosine[good]})
+
+    blocks = F.ceil(F.col("n_label") / BLOCK).cast("long")
+    parts = classes.select("rep", "label_key", "vector", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("blocks")))
+    met = parts.select("rep", "label_key", "vector", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    met = met.select("rep", "label_key", "vector", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return met.groupBy("label_key", "low", "high").applyInArrow(compared, "a LONG, b LONG, cosine DOUBLE").distinct()
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -198,16 +257,22 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataF
     classes = stored(
         whole.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("label_key", F.xxhash64("label")).drop("label"), "classes"
     )
-    count, labels = classes.agg(F.count("*"), F.countDistinct("label_key")).first()
-    bits = max(1, ceil(log2(max(2, count / max(1, labels) / BUCKET))))
-    tables = ceil(log(MISS) / log(1 - 0.9 * (1 - acos(threshold) / pi) ** bits))
-    edges = None
+    bits = F.ceil(F.log2(F.greatest(F.lit(2.0), F.col("n_label") / BUCKET))).cast("long")
+    labels = classes.groupBy("label_key").agg(F.count("*").alias("n_label")).withColumn("bits", bits)
+    classes = stored(classes.join(labels, "label_key"), "sized")
+    sizes = {r.bits: r.n for r in classes.groupBy("bits").agg(F.count("*").alias("n")).collect()}
+    tables = {n: ceil(log(MISS) / log(1 - 0.9 * (1 - acos(threshold) / pi) ** n)) for n in sizes}
+    edges, short = None, list(sizes)
     for seed in range(AUDITS):
-        first = _first_edges(classes, bits, tables, seed)
+        first = _first_edges(classes.where(F.col("bits").isin(short)), tables, seed)
         found = first if edges is None else first.unionByName(edges)
         edges = stored(_refined(stored(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "edges"), classes), "edges")
-        if audit(edges, classes, threshold) >= LEAST_RECALL:
+        short = _short(edges, classes, {n: sizes[n] for n in short}, threshold)
+        if not short:
             break
+    if short:
+        exact = _exact_edges(classes.where(F.col("bits").isin(short)), threshold)
+        edges = stored(edges.unionByName(exact).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "edges")
     links = edges.where(F.col("cosine") >= threshold).select("a", "b")
     sizes = classes.select(F.col("rep").alias("b"), "n")
     linked = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))

@@ -453,3 +453,23 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter((i, degree[i] if i is not None else 0, want.get(i)) for i, _, _ in data)
     empty = spark.createDataFrame([], "vec_id LONG, embedding ARRAY<DOUBLE>, label INT")
     assert neighbours.near_duplicate_vectors(empty).count() == 0
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_isolated_links_under_a_hot_label_among_many(spark, monkeypatch, exact):
+    if exact:
+        monkeypatch.setattr(neighbours, "AUDITS", 1)
+        monkeypatch.setattr(neighbours, "LEAST_RECALL", 2)
+        monkeypatch.setattr(neighbours, "MISS", 0.5)
+        monkeypatch.setattr(neighbours, "BLOCK", 500)
+    draw = np.random.default_rng(5)
+    hot, few = draw.standard_normal((2000, 32)), draw.standard_normal((3000, 32))
+    unit = hot[:150] / np.linalg.norm(hot[:150], axis=1, keepdims=True)
+    side = draw.standard_normal((150, 32))
+    side -= (side * unit).sum(axis=1, keepdims=True) * unit
+    pairs = 0.985 * unit + math.sqrt(1 - 0.985**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    data = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([hot, pairs]))] + [(9000 + i, v.tolist(), 1 + i % 150) for i, v in enumerate(few)]
+    got = neighbours.near_duplicate_vectors(spark.createDataFrame(data, "vec_id LONG, embedding ARRAY<DOUBLE>, label INT")).where("n_links > 0").collect()
+    want = {(i, 1, i) for i in range(150)} | {(2000 + i, 1, i) for i in range(150)}
+    missed = len(want - {(r.vec_id, r.n_links, r.component_id) for r in got})
+    assert missed <= (0 if exact else 2) and {(r.vec_id, r.n_links, r.component_id) for r in got} <= want
