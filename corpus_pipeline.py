@@ -28,7 +28,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without recurring lines; `n_chars` follows the text where it changed."""
     names = fresh(docs, "n_lines", "n_dropped")
-    cleaned = line_templates.drop_recurring_lines(docs, counts=tuple(names))
+    cleaned = line_templates.drop_recurring_lines(docs, counts=tuple(names), every_line=True)
     if "n_chars" in docs.columns:
         length = F.when(F.col(names[1]) > 0, F.length("text")).otherwise(F.col("n_chars"))
         cleaned = cleaned.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))

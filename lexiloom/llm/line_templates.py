@@ -17,32 +17,40 @@ from pyspark.sql import functions as F
 
 from .common import fresh, stored
 
-#: Leading words that the tree branches on; documents in which a template recurs; words of the shortest line looked at;
+#: Leading words that the tree branches on; documents in which a template recurs; words of the shortest line that can be a template with fields;
 #: share of a template's words, in percent, that are no variable fields.
 LEAD, LEAST_DOCUMENTS, LEAST_WORDS, LEAST_CONSTANT = 4, 10, 4, 60
 VARIABLE = "<*>"
+#: White space that parts words besides the space.
+BLANKS = "\t\x0b\x0c\r\x85\xa0\u2002\u2003\u2009\u202f\u3000"
 WITH_DIGIT = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, pos, line, leaf): lines with words that hold a digit masked, long enough to be looked at."""
-    masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", WITH_DIGIT, VARIABLE)).otherwise(F.col("text"))
+def _lines(docs: DataFrame, every_line: bool) -> DataFrame:
+    """(doc_id, text_hash, pos, line, leaf): lines with words that hold a digit masked, long enough to be looked at.
+
+    With `every_line`, any white space parts words, and of a line of fewer than
+    `LEAST_WORDS` words only the digits are masked; with a letter left it is a
+    leaf of its own.
+    """
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    if every_line:
+        lines = lines.withColumn("line", F.translate("line", BLANKS, " " * len(BLANKS)))
     spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
-    return (
-        docs.where("text IS NOT NULL")
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(masked, "\n", -1)).alias("pos", "line"))
-        .select("*", (spaces + 1).alias("n_words"))
-        .where(F.col("n_words") >= LEAST_WORDS)
-        .select("doc_id", "text_hash", "pos", "line", F.xxhash64("n_words", F.substring_index("line", " ", LEAD)).alias("leaf"))
-    )
+    lines = lines.withColumn("n_words", spaces + 1)
+    short = F.col("n_words") < LEAST_WORDS
+    masked = F.when(~F.col("line").rlike("[0-9]"), F.col("line")).when(short, F.regexp_replace("line", "[0-9]++", VARIABLE)).otherwise(F.regexp_replace("line", WITH_DIGIT, VARIABLE))
+    looked_at = ~short | F.col("line").rlike(r"\p{L}") if every_line else ~short
+    masked_lines = lines.where(looked_at).select("doc_id", "text_hash", "pos", masked.alias("line"), "n_words")
+    return masked_lines.select("doc_id", "text_hash", "pos", "line", F.xxhash64("n_words", F.substring_index("line", " ", LEAD)).alias("leaf"))
 
 
-def recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+def recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, every_line: bool = False) -> DataFrame:
     """(line_hash, keeper): masked lines under a recurring template, and the smallest doc_id that has one of its lines.
 
     Documents with one and the same text count once, so a group of exact copies makes nothing recur.
     """
-    lines = _lines(docs)
+    lines = _lines(docs, every_line)
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_documents).select("leaf")
     # a row per leaf, line and text: what recurs is far less than what is read
     candidates = stored(
@@ -61,7 +69,7 @@ def recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) ->
         .groupBy("leaf", "line_hash")
         .agg(F.bit_xor("word").alias("template"), F.count_if("plain").alias("n_constant"))
         .join(distinct.select("leaf", "line_hash", n_words.alias("n_words")), ["leaf", "line_hash"])
-        .where(F.col("n_constant") * 100 >= F.col("n_words") * LEAST_CONSTANT)
+        .where((F.col("n_constant") * 100 >= F.col("n_words") * LEAST_CONSTANT) | (F.col("n_words") < LEAST_WORDS))
         .select("leaf", "line_hash", "template")
     )
     under = candidates.select("leaf", "line_hash", "text_hash", "first").join(templates, ["leaf", "line_hash"])
@@ -73,19 +81,21 @@ def recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) ->
     return templates.join(recurring, ["leaf", "template"]).select("line_hash", "keeper")
 
 
-def drop_recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, counts: tuple[str, str] = ("n_lines", "n_dropped"), every_line: bool = False) -> DataFrame:
     """`docs` with `text` without the dropped lines, and the numbers of lines and of dropped lines added under the names `counts`.
 
     A null text stays null with no lines; an empty one has one line; a null
     doc_id never keeps a recurring line unless all its documents have null ids;
     rows with the same id and text get the same result; other columns stay,
     but those named like `counts` are replaced; an empty table gives no row.
-    Words are what single spaces part.
+    Words are what single spaces part, and lines of fewer than `LEAST_WORDS`
+    words stay, as in the SQL counterpart. With `every_line`, all white space
+    parts words, and such a line recurs if the whole line does, its digits aside.
     """
-    found = stored(recurring_lines(docs.select("doc_id", "text"), least_documents), "templates")
+    found = stored(recurring_lines(docs.select("doc_id", "text"), least_documents, every_line), "templates")
     own, ids, hashes, gone = fresh(docs, "own_hash", "dropped_id", "dropped_hash", "dropped_lines")
     dropped = (
-        _lines(docs.select("doc_id", "text"))
+        _lines(docs.select("doc_id", "text"), every_line)
         .select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("line_hash"))
         .join(found, "line_hash")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))

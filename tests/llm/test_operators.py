@@ -349,6 +349,16 @@ def test_names_become_fields_too_and_copies_count_once(documents):
     assert {r.n_dropped for r in line_templates.drop_recurring_lines(documents(copies)).collect()} == {0}
 
 
+def test_short_and_spaceless_lines_recur(documents):
+    recurring = ["All rights reserved.", "Menu", "Page {}", "第{}章 版权所有不得转载本站全部内容", "版权所有不得转载", "one\ttwo\t{}\tfour\tfive"]
+    other = ["", "---", "12", "12 13"]
+    data = [(i, "\n".join([f"own text {'abcdefghijkl'[i] * 3}", *(x.format(100 + i) for x in recurring), *other])) for i in range(12)]
+    rare = [(20 + i, f"Read more\nown {'abcdefghi'[i] * 3}") for i in range(9)]
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_templates.drop_recurring_lines(documents(data + rare), every_line=True).collect()}
+    assert got[0] == (0, data[0][1]) and all(got[i] == (0, t) for i, t in rare)
+    assert all(got[i] == (len(recurring), "\n".join([t.split("\n")[0], *other])) for i, t in data[1:])
+
+
 # benchmark
 
 ITEM = "A train leaves the station at 40 km per hour and another one with Anna leaves at 60 km per hour how long until the one of Anna meets it"
