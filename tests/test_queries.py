@@ -18,12 +18,10 @@ QUERIES = registry()
 
 
 @pytest.fixture(scope="module")
-def duck():
-    from conftest import SF
-
+def duck(sf):
     connection = duckdb.connect()
     for table in TABLES:
-        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{os.path.join(SF, table)}.parquet'")
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{os.path.join(sf, table)}.parquet'")
     return connection
 
 
