@@ -181,3 +181,48 @@ SELECT doc_id, cast(len(h) // 2 AS BIGINT) AS n_bytes, cast(coalesce(n_removed,
     substr(h, 2 * CASE WHEN j = 1 THEN 0 ELSE b[j - 1] END + 1, 2 * (CASE WHEN j > len(a) THEN len(h) // 2 ELSE a[j] END - CASE WHEN j = 1 THEN 0 ELSE b[j - 1] END))), '') END)) AS kept_sha256
 FROM docs LEFT JOIN gaps USING (rid)
 """
+
+ORACLES["op12_hard_negatives"] = """
+WITH valid AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * cast(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same, cast(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM valid a JOIN valid b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT a, b, anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id, s.b) AS rank
+  FROM positives p JOIN scored s USING (a) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, cast(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+"""
+
+ORACLES["op13_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+terms AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * cast(coalesce(c.n, 0) + 2 AS HUGEINT)) // (coalesce(t.total, 0) + 2 * l.v) AS p,
+    1 + (1000000000 * cast(k.n + 2 AS HUGEINT)) // (l.total + 2 * l.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON l.lang = g.lang LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts)
+SELECT lang, source, part, item, cast(value AS BIGINT) AS value, cast(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, line_templates, minhash, neighbours, packing, pii, repeats, token_files
+from . import best_fit, decontaminate, divergence, hard_negatives, html_text, language, line_templates, minhash, neighbours, packing, pii, repeats, token_files
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -71,7 +71,22 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.tokens_round_trip(spark, table(spark, folder, "documents"), vocabulary())
 
 
-QUERIES = (op1_pii, op2_near_duplicates, op3_packing, op4_language_id, op5_repeats, op6_main_text, op7_line_dedup, op8_decontamination, op9_near_vectors, op10_token_files)
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit.packing_digest(table(spark, folder, "documents"), vocabulary())
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+QUERIES = (
+    op1_pii, op2_near_duplicates, op3_packing, op4_language_id, op5_repeats, op6_main_text, op7_line_dedup, op8_decontamination,
+    op9_near_vectors, op10_token_files, op11_best_fit_packing, op12_hard_negatives, op13_source_divergence,
+)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
