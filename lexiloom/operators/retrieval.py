@@ -6,19 +6,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.chunks import split_text
-from lexiloom.session import materialize
+from lexiloom.sources.shared import batches_of, keep_for_tasks
 
-# Queries that travel to every task at a time (with 1536-dimensional vectors some
-# 50 MB); more are taken block by block, and the corpus stays where it is.
-BROADCAST_QUERIES = 4096
-# Cells (query, vector, dimension) computed at a time: keeps the working array near 32 MB.
-DISTANCE_CELLS = 4_000_000
-QUERY_BLOCK = 64
+# Queries compared at a time, and vectors they are compared with at a time: a block of distances takes 8 MB.
+QUERY_BLOCK, BLOCK_VECTORS = 512, 2048
+# Vectors a task holds while it goes through the queries (with 1536 dimensions some 100 MB), and queries whose lists it keeps until its end.
+PART_VECTORS, HELD_QUERIES = 8192, 65_536
+# Pairs whose distance is computed exactly at a time.
+PAIRS = 65_536
 
 
 # --- chunks ------------------------------------------------------------------
@@ -77,34 +78,77 @@ def union_chunks(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 # --- nearest neighbours ------------------------------------------------------
-def _nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: list, queries: np.ndarray, k: int, best: dict) -> None:
-    """Merges the k nearest of these vectors into `best` (query -> (distances, ids)); ties take the lower id."""
-    some_vectors = max(1, DISTANCE_CELLS // max(1, vectors.shape[1] * QUERY_BLOCK))
-    for first in range(0, len(vectors), some_vectors):
-        near, near_ids = vectors[first : first + some_vectors], ids[first : first + some_vectors]
-        for start in range(0, len(query_ids), QUERY_BLOCK):
-            # Differences, not the expanded square: it keeps near-equal distances apart.
-            squares = ((queries[start : start + QUERY_BLOCK, None, :] - near[None, :, :]) ** 2).sum(axis=2)
-            for query_id, distances in zip(query_ids[start : start + QUERY_BLOCK], squares):
-                candidates = near_ids
-                if query_id in best:
-                    distances = np.concatenate([best[query_id][0], distances])
-                    candidates = np.concatenate([best[query_id][1], near_ids])
-                order = np.lexsort((candidates, distances))[:k]
-                best[query_id] = (distances[order], candidates[order])
-
-
-def _ids(column: pd.Series) -> np.ndarray:
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    values = np.asarray(column.flatten(), dtype="float64")
+    return values.reshape(len(column), -1)
+
+
+def _candidates(queries: np.ndarray, vectors: np.ndarray, k: int, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) pairs that hold all of each query's k nearest that are no farther than `worst`.
+
+    Squared distances by one matrix product are fast, but near-equal ones blur
+    in it. Pairs stay in if they can be among the nearest within that blur.
+    """
+    lengths = (queries**2).sum(axis=1)[:, None], (vectors**2).sum(axis=1)[None, :]
+    blur = 8 * (queries.shape[1] + 4) * np.finfo("float64").eps * (lengths[0] + lengths[1])
+    near = lengths[0] + lengths[1] - 2 * (queries @ vectors.T)
+    bound = np.partition(near + blur, k - 1, axis=1)[:, k - 1] if k <= len(vectors) else np.full(len(queries), np.inf)
+    # Distances that aren't finite can't be told apart here: all such pairs stay in.
+    return np.nonzero(~(near - blur > np.minimum(bound, worst)[:, None]))
+
+
+class _Nearest:
+    """The k nearest vectors so far of each query of a block."""
+
+    def __init__(self, n: int, k: int):
+        self.distances, self.ids, self.held = np.full((n, k), np.inf), None, np.zeros((n, k), dtype=bool)
+
+    def look(self, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        k = self.distances.shape[1]
+        if self.ids is None:
+            self.ids = np.full(self.distances.shape, ids[0], dtype=ids.dtype)
+        elif ids.dtype.itemsize > self.ids.dtype.itemsize:
+            self.ids = self.ids.astype(ids.dtype)
+        worst = np.where(self.held[:, -1], self.distances[:, -1], np.inf)
+        asking, at = _candidates(queries, vectors, k, worst)
+        distances = np.concatenate(
+            [np.zeros(0), *(((queries[asking[i : i + PAIRS]] - vectors[at[i : i + PAIRS]]) ** 2).sum(axis=1) for i in range(0, len(at), PAIRS))]
+        )
+        query, place = np.nonzero(self.held)
+        query, place, found = (np.concatenate(x) for x in ((query, asking), (self.distances[query, place], distances), (self.ids[query, place], ids[at])))
+        order = np.lexsort((found, place, query))
+        query, place, found = query[order], place[order], found[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        best = rank < k
+        query, rank = query[best], rank[best]
+        self.held[:] = False
+        self.held[query, rank], self.distances[query, rank], self.ids[query, rank] = True, place[best], found[best]
+
+    def rows(self, numbers: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
+        query, place = np.nonzero(self.held)
+        ids = pa.array([] if self.ids is None else self.ids[query, place].tolist(), id_type)
+        columns = [pa.array(numbers[query], pa.int64()), ids, pa.array(self.distances[query, place], pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=["query", "found", "distance"])
+
+
+def _ids(column: pa.Array) -> np.ndarray:
     """Ids as numbers or as fixed-width texts, both of which sort."""
-    ids = column.to_numpy()
+    ids = column.to_numpy(zero_copy_only=False)
     return ids.astype(str) if ids.dtype == object else ids
 
 
-def _rows(best: dict, query_name: str, id_name: str) -> pd.DataFrame:
-    return pd.DataFrame(
-        [(q, i, d) for q, (distances, ids) in best.items() for d, i in zip(distances, ids)],
-        columns=[query_name, id_name, "distance"],
-    )
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of at least `rows` rows, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def retrieve_topk(
@@ -114,49 +158,49 @@ def retrieve_topk(
     id_name: str = "vec_id",
     query_name: str = "query_id",
     vector: str = "embedding",
-    broadcast_queries: int = BROADCAST_QUERIES,
+    block: int = QUERY_BLOCK,
+    held_queries: int = HELD_QUERIES,
 ) -> DataFrame:
     """The k nearest corpus vectors of every query by squared Euclidean distance, with `rank` from 1.
 
-    Every task keeps only its own k best per query, so the shuffle holds at most
-    k rows per query and task, whatever the size of the corpus. NULL vectors are
-    nobody's neighbour and find none. The queries are computed once and taken in
-    blocks of `broadcast_queries`; with more than one block, each block's result
-    is stored before the next one starts.
+    The corpus stays where it is, and one job answers all queries, however many
+    there are: they are kept as a table in the shared folder, from which every
+    task reads them in blocks, for one part of its vectors after the other.
+    A task keeps its k best for up to `held_queries` queries until its end and
+    hands on those of further queries part by part, so its memory is bounded by
+    settings alone. Lists are merged by rank, first where they arise. NULL
+    vectors are nobody's neighbour and find none; a repeated query is answered
+    as often as it stands there.
     """
-    id_type = corpus.schema[id_name].dataType.simpleString()
-    query_type = queries.schema[query_name].dataType.simpleString()
-    schema = f"{query_name} {query_type}, {id_name} {id_type}, distance double"
     present = F.col(vector).isNotNull()
-    vectors = corpus.select(id_name, vector).filter(present)
-    wanted = materialize(queries.select(query_name, vector).filter(present))
-    order = Window.partitionBy(query_name).orderBy("distance", id_name)
-
-    def ranked(some: list) -> DataFrame:
-        candidates = _scan_with(vectors, some, k, id_name, query_name, vector, schema)
-        return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-    found, some = None, []
-    for row in wanted.toLocalIterator():
-        if len(some) == broadcast_queries:
-            block = materialize(ranked(some))
-            found, some = block if found is None else found.unionByName(block), []
-        some.append(row)
-    return ranked(some) if found is None else found.unionByName(ranked(some))
-
-
-def _scan_with(vectors, few, k, id_name, query_name, vector, schema) -> DataFrame:
-    query_ids = [row[query_name] for row in few]
-    matrix = np.array([row[vector] for row in few], dtype="float64")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
-        for batch in batches:
-            if len(batch) and len(query_ids):
-                _nearest(_ids(batch[id_name]), np.stack(batch[vector]).astype("float64"), query_ids, matrix, k, best)
-        yield _rows(best, query_name, id_name)
+    asked = queries.filter(present).select(query_name, F.col(vector).cast("array<double>").alias("asked"), F.monotonically_increasing_id().alias("query"))
+    folder = keep_for_tasks(asked, "questions")
+    vectors = corpus.filter(present).select(F.col(id_name).alias("found"), F.col(vector).cast("array<double>").alias("vector"))
+    id_type = corpus.schema[id_name].dataType.simpleString()
 
-    return vectors.mapInPandas(search, schema)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[np.ndarray, _Nearest]] = {}
+        kind = pa.int64()
+        for part in _parts(batches, PART_VECTORS):
+            kind = part.schema.field("found").type
+            ids, there = _ids(part.column("found").combine_chunks()), _matrix(part.column("vector").combine_chunks())
+            for number, some in enumerate(batches_of(folder, block)):
+                numbers, wanted = np.asarray(some.column("query")), _matrix(some.column("asked"))
+                nearest = kept[number][1] if number in kept else _Nearest(len(numbers), k)
+                for at in range(0, len(ids), BLOCK_VECTORS):
+                    nearest.look(wanted, ids[at : at + BLOCK_VECTORS], there[at : at + BLOCK_VECTORS])
+                if (number + 1) * block <= held_queries:
+                    kept[number] = numbers, nearest
+                else:
+                    yield nearest.rows(numbers, kind)
+        for numbers, nearest in kept.values():
+            yield nearest.rows(numbers, kind)
+
+    found = vectors.mapInArrow(search, f"query long, found {id_type}, distance double")
+    order = Window.partitionBy("query").orderBy("distance", "found")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    names = queries.sparkSession.read.schema(asked.schema).parquet(folder).select(query_name, "query")
+    return ranked.join(names, "query").select(query_name, F.col("found").alias(id_name), "distance", "rank")
 
 
 def split_by_grade(pairs: DataFrame, questions: DataFrame, question: str = "query_id") -> tuple[DataFrame, DataFrame]:

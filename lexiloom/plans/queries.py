@@ -613,9 +613,9 @@ def retrieve_topk(t: Tables) -> DataFrame:
 
 @query
 def neighbours_of_all(t: Tables) -> DataFrame:
-    """Every vector asks for its nearest ones: more queries than travel at a time."""
+    """Every vector asks for its nearest ones: more queries than a task holds lists for."""
     asking = t.corpus().select(F.col("vec_id").alias("query_id"), "embedding")
-    found = retrieval.retrieve_topk(t.corpus(), asking, 4, broadcast_queries=200)
+    found = retrieval.retrieve_topk(t.corpus(), asking, 4, block=100, held_queries=200)
     return found.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
 

@@ -10,6 +10,7 @@ from lexiloom.functions.chunks import register_chunks, split_text
 from lexiloom.functions.inference import constant_factory
 from lexiloom.operators import retrieval
 from lexiloom.plans.knowledge_base import answerable, ingest
+from lexiloom.sources import shared
 from lexiloom.sources.sinks import read_chunk_store
 
 
@@ -65,12 +66,13 @@ def vectors():
     return data
 
 
-@pytest.mark.parametrize("limit", [4096, 7])
-def test_neighbours_equal_brute_force(spark, vectors, monkeypatch, limit):
-    monkeypatch.setattr(retrieval, "DISTANCE_CELLS", 5_000)
+@pytest.mark.parametrize("block, held, part, few", [(512, 65_536, 8192, 2048), (7, 14, 30, 9), (3, 0, 1, 4), (1, 5, 600, 600)])
+def test_neighbours_equal_brute_force(spark, vectors, monkeypatch, block, held, part, few):
+    for name, value in (("PART_VECTORS", part), ("BLOCK_VECTORS", few), ("PAIRS", 11)):
+        monkeypatch.setattr(retrieval, name, value)
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(5)
     queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(vectors[:20] + 0.25)], "query_id string, embedding array<double>")
-    got = retrieval.retrieve_topk(corpus, queries, 7, broadcast_queries=limit)
+    got = retrieval.retrieve_topk(corpus, queries, 7, block=block, held_queries=held)
     result = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["distance"], 6)) for r in got.collect()}
     want = {}
     for i, q in enumerate(vectors[:20] + 0.25):
@@ -80,6 +82,31 @@ def test_neighbours_equal_brute_force(spark, vectors, monkeypatch, limit):
     assert result == want
 
 
+def test_neighbours_take_one_job_however_many_ask(spark, vectors):
+    corpus = spark.createDataFrame([(f"v{i}" * (1 + i % 3), v.tolist()) for i, v in enumerate(vectors)], "vec_id string, embedding array<float>")
+    before = spark.sparkContext.statusTracker()
+    counts = []
+    for n in (10, 400):
+        queries = spark.createDataFrame([(i % 50, v.tolist()) for i, v in enumerate(vectors[:n])], "query_id long, embedding array<double>")
+        spark.sparkContext.setJobGroup(f"ask{n}", "")
+        got = retrieval.retrieve_topk(corpus, queries, 3, block=5, held_queries=20).collect()
+        counts.append(len(before.getJobIdsForGroup(f"ask{n}")))
+        assert len(got) == 3 * n  # also queries that share an id
+    assert counts[0] == counts[1]
+
+
+def test_near_equal_distances_keep_apart(spark):
+    far = 1e7  # the matrix product loses these differences
+    corpus = spark.createDataFrame([(i, [far + i * 1e-3, far]) for i in range(200)], "vec_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(1, [far, far])], "query_id long, embedding array<double>")
+    assert [r["vec_id"] for r in retrieval.retrieve_topk(corpus, queries, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_kept_tables_are_found_under_any_form_of_path():
+    forms = {"/a/b": "file:///a/b", "file:/a/b": "file:///a/b", "file:///a/b": "file:///a/b", "s3a://x/b": "s3://x/b", "hdfs://n/b": "hdfs://n/b"}
+    assert {form: shared.folder_uri(form) for form in forms} == forms
+
+
 def test_no_queries(spark, vectors):
     corpus = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     none = spark.createDataFrame([], "query_id long, embedding array<double>")
