@@ -16,7 +16,7 @@ from lexiloom.operators.cache import ttl_cache_replay
 from lexiloom.operators.credits import replay_credits
 from lexiloom.plans.image_job import corrected_lines
 from lexiloom.plans.ledger_report import revenue_report, transactions_report
-from lexiloom.plans.streams import StreamTables, run_status_to_end, run_to_end, run_updates_to_end
+from lexiloom.plans.streams import StreamTables, run_past_the_end, run_status_to_end, run_to_end, run_updates_to_end
 from lexiloom.plans.tables import Tables
 from lexiloom.plans.translation import translate_batch
 from lexiloom.sources.manifests import parse_manifest
@@ -651,18 +651,18 @@ def _streams(t: Tables) -> StreamTables:
 
 @query
 def stream_ttl_replay(t: Tables) -> DataFrame:
-    replayed = state.stream_cache_replay(_streams(t).cache_requests(), storable="storable")
-    return run_to_end(replayed).select("id", F.col("key").cast("string").alias("key"), "storable", "hit")
+    replayed = run_past_the_end(_streams(t).cache_requests(), lambda rows: state.stream_cache_replay(rows, storable="storable"))
+    return replayed.select("id", F.col("key").cast("string").alias("key"), "storable", "hit")
 
 
 @query
 def stream_credit_replay(t: Tables) -> DataFrame:
-    return _amounts(run_to_end(state.stream_credit_replay(_streams(t).credit_events(), t.users())))
+    return _amounts(run_past_the_end(_streams(t).credit_events(), lambda rows: state.stream_credit_replay(rows, t.users())))
 
 
 @query
 def stream_job_progress(t: Tables) -> DataFrame:
-    shown = run_to_end(state.stream_job_progress(_streams(t).status_events()))
+    shown = run_past_the_end(_streams(t).status_events(), state.stream_job_progress)
     return shown.select(
         "job_id", "seq", "percent", F.round("elapsed", 3).alias("elapsed"), F.round("eta", 3).alias("eta"),
         F.round("speed", 6).alias("speed"), "elapsed_text", "eta_text",

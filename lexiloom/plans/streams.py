@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexiloom.plans.tables import Tables
 from lexiloom.session import shared_folder
 
+FAR = "9000-01-01 00:00:00"
+
 
 class StreamTables(Tables):
     """The same logical tables, read as streams of files."""
@@ -26,10 +30,14 @@ class StreamTables(Tables):
         return self.given(name)
 
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+def _place(spark) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def run_to_end(stream: DataFrame, mode: str = "append", place: str | None = None) -> DataFrame:
     """Everything the stream gives for the files present, kept in the shared folder."""
     spark = stream.sparkSession
-    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    place = place or _place(spark)
     query = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
@@ -42,11 +50,28 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.parquet(f"{place}/rows")
 
 
+def run_past_the_end(rows: DataFrame, work: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
+    """Everything `work` gives for the rows present when none are to follow, also for those it lets wait for a watermark.
+
+    After the files present, a row of a far time and nothing else moves the
+    watermark on. It comes from a folder of its own, empty until then, so a
+    query that stopped goes on where it was.
+    """
+    spark = rows.sparkSession
+    place = _place(spark)
+    last = spark.range(1).select(*[(F.lit(FAR).cast(f.dataType) if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema])
+    last.limit(0).write.parquet(f"{place}/end")
+    stream = work(rows.unionByName(spark.readStream.schema(last.schema).parquet(f"{place}/end")))
+    run_to_end(stream, place=place)
+    last.write.mode("append").parquet(f"{place}/end")
+    return run_to_end(stream, place=place)
+
+
 def run_updates_to_end(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The newest row of every key after the files present, from a stream in update mode."""
     from lexiloom.streaming.jobs import read_current, write_current_status
 
-    place = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    place = _place(stream.sparkSession)
     write_current_status(stream, f"{place}/rows", f"{place}/checkpoint").awaitTermination()
     return read_current(stream.sparkSession, f"{place}/rows", keys)
 

@@ -1,10 +1,15 @@
 """Ordered state per key: the streaming forms of the cache and credit replays and of job progress.
 
-Each micro-batch of a key is put in time order and folded with the same helper
-as the batch form; between batches only the folded state is kept. How much of a
-key one task sees is bounded by the trigger (`maxFilesPerTrigger` and the like),
-not by the length of the key's history. Helper columns have no leading underscore here: the
-stateful API hands rows over as named tuples, which do not take such names.
+Files reach a stream in any order, but a balance or a cache entry depends on
+the order of time. So rows wait in state, by the millisecond of their event
+time, with a timer for each millisecond; when the watermark has passed it, no
+earlier row can come, and its rows are folded, with the same helper as in the
+batch form, and given out. Timers of a key expire in order of time. What waits
+is bounded by `lateness` and stays in the state store, on disk; a task holds the
+rows of one key and millisecond at most. Rows later than `lateness` are dropped,
+and counted (`streaming.late`). Rows without a time have no order to wait for;
+they are folded as they come. Helper columns have no leading underscore here:
+the stateful API hands rows over as named tuples, which do not take such names.
 """
 
 from __future__ import annotations
@@ -30,22 +35,21 @@ def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _in_order(rows: Iterator[Row], tie: str) -> list[Row]:
-    """Rows without a time first, as a sort in Spark has them."""
-    first = (False, 0)
-    place = lambda value: first if value is None else (True, value)
-    return sorted(rows, key=lambda r: (place(r["at_micros"]), place(r[tie])))
-
-
 def _added(row: Row, **columns) -> Row:
     return Row(**row.asDict(recursive=False), **columns)
 
 
-class _Remembering(StatefulProcessor):
-    """One number per key."""
+class _InOrder(StatefulProcessor):
+    """Folds the rows of a key in order of time, and remembers one number between them."""
+
+    def __init__(self, waiting: T.StructType, tie: str):
+        self._waiting, self._tie = waiting, tie
 
     def init(self, handle) -> None:
+        self._handle = handle
         self._number = handle.getValueState("number", "value BIGINT")
+        self._counts = handle.getMapState("counts", "due BIGINT", "n INT")
+        self._rows = handle.getMapState("rows", "due BIGINT, place INT", self._waiting)
 
     def recall(self) -> int | None:
         return int(self._number.get()[0]) if self._number.exists() else None
@@ -54,70 +58,108 @@ class _Remembering(StatefulProcessor):
         if value is not None:
             self._number.update((int(value),))
 
-    def close(self) -> None:
+    def fold(self, row: Row, number: int | None) -> tuple[Row, int | None]:
+        """The row as it is given out, and the number to remember."""
+        raise NotImplementedError
+
+    def folded(self, rows: list[Row]) -> Iterator[Row]:
+        number = self.recall()
+        for row in rows:
+            out, number = self.fold(row, number)
+            yield out
+        self.keep(number)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for row in rows:
+            if row["at_micros"] is None:
+                yield from self.folded([row])
+                continue
+            due, place = row["at_micros"] // 1000 + 1, 0  # a watermark that this millisecond is before
+            if self._counts.containsKey((due,)):
+                place = self._counts.getValue((due,))[0]
+            else:
+                self._handle.registerTimer(due)
+            self._rows.updateValue((due, place), tuple(row))
+            self._counts.updateValue((due,), (place + 1,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if self._counts.containsKey((due,)):
+            places = [(due, place) for place in range(self._counts.getValue((due,))[0])]
+            rows = [Row(**dict(zip(self._waiting.names, self._rows.getValue(place), strict=True))) for place in places]
+            for place in places:
+                self._rows.removeKey(place)
+            self._counts.removeKey((due,))
+            ties = lambda r: (r["at_micros"], r[self._tie] is not None, r[self._tie])
+            yield from self.folded(sorted(rows, key=ties))
+        self.passed(due)
+
+    def passed(self, watermark: int) -> None:
         pass
 
+    def close(self) -> None:
+        pass
 
-class CacheProcessor(_Remembering):
-    """State: when the key's entry expires. With a watermark, a timer drops entries that it has passed."""
 
-    def __init__(self, ttl: int, tie: str, timed: bool):
-        self._ttl, self._tie, self._timed = ttl, tie, timed
+class CacheProcessor(_InOrder):
+    """Remembers when the key's entry expires, and forgets entries that the watermark has passed."""
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self._handle = handle
+    def __init__(self, waiting: T.StructType, tie: str, ttl: int):
+        super().__init__(waiting, tie)
+        self._ttl = ttl
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        out, expires = [], self.recall()
-        for row in _in_order(rows, self._tie):
-            hit, expires = serve(row["at_micros"], row["can_keep"], expires, self._ttl)
-            out.append(_added(row, hit=hit))
-        self.keep(expires)
-        if self._timed:
-            for old in list(self._handle.listTimers()):
-                self._handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-            if expires is not None:
-                self._handle.registerTimer(expires // 1000 + 1)
-        yield from out
+    def fold(self, row, number):
+        hit, expires = serve(row["at_micros"], row["can_keep"], number, self._ttl)
+        if expires is not None and expires != number:
+            self._handle.registerTimer(expires // 1000 + 1)
+        return _added(row, hit=hit), expires
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self._number.clear()
-        return iter(())
+    def passed(self, watermark) -> None:
+        expires = self.recall()
+        if expires is not None and expires < watermark * 1000:
+            self._number.clear()
 
 
-class CreditProcessor(_Remembering):
-    """State: the balance. Rows whose `opening` is missing are of nobody and change nothing."""
+class CreditProcessor(_InOrder):
+    """Remembers the balance. Rows whose `opening` is missing are of nobody and change nothing."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        out, balance = [], self.recall()
-        for row in _in_order(rows, "seq"):
-            if row["opening"] is None:
-                out.append(_added(row, verdict=NO_USER, balance=None))
-                continue
-            verdict, balance = move(row["kind"], row["amount"], row["opening"] if balance is None else balance)
-            out.append(_added(row, verdict=verdict, balance=balance))
-        self.keep(balance)
-        yield from out
+    def fold(self, row, number):
+        if row["opening"] is None:
+            return _added(row, verdict=NO_USER, balance=None), number
+        verdict, balance = move(row["kind"], row["amount"], row["opening"] if number is None else number)
+        return _added(row, verdict=verdict, balance=balance), balance
 
 
-class StartProcessor(_Remembering):
-    """State: the job's first real start time, in microseconds; NULL and 0 are none."""
+class StartProcessor(_InOrder):
+    """Remembers the job's first real start time, in microseconds; NULL and 0 are none."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        out, started = [], self.recall()
-        for row in _in_order(rows, "seq"):
-            if started is None and row["started_at"]:
-                started = int(round(row["started_at"] * SECOND))
-            out.append(_added(row, job_start=None if started is None else started / SECOND))
-        self.keep(started)
-        yield from out
+    def fold(self, row, number):
+        if number is None and row["started_at"]:
+            number = int(round(row["started_at"] * SECOND))
+        return _added(row, job_start=None if number is None else number / SECOND), number
 
 
 def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([*schema.fields, *fields])
 
 
+LATENESS = "10 minutes"
+
+
+def _waiting_for(rows: DataFrame, ts: str, lateness: str) -> DataFrame:
+    """Rows with their time as a number, and the watermark that they wait for."""
+    use_state_store(rows.sparkSession)
+    return rows.withColumn("at_micros", micros(F.col(ts))).withColumn("event_time", F.timestamp_micros("at_micros")).withWatermark("event_time", lateness)
+
+
+def _in_order(rows: DataFrame, key: str, processor, *added: T.StructField) -> DataFrame:
+    """`processor` is made with the rows' schema; state holds no copy of the key."""
+    stateful = rows.groupBy(key).transformWithState(
+        statefulProcessor=processor(rows.schema), outputStructType=_with(rows.schema, *added), outputMode="Append", timeMode="EventTime"
+    )
+    return stateful.drop("event_time")
+
+
 def stream_cache_replay(
     requests: DataFrame,
     key: str = "key",
@@ -125,60 +167,35 @@ def stream_cache_replay(
     tie: str = "id",
     storable: str | None = None,
     ttl_seconds: int = fixed.CACHE_SECONDS,
-    lateness: str | None = None,
+    lateness: str = LATENESS,
 ) -> DataFrame:
-    """Adds `hit` to a stream of requests.
-
-    Requests are put in order within a trigger. No row is dropped unless the
-    caller gives a `lateness`: then `ts` must be a TIMESTAMP, rows later than
-    that go, and entries that the watermark has passed leave the state.
-    """
-    use_state_store(requests.sparkSession)
-    bounded = requests if lateness is None else requests.withWatermark(ts, lateness)
-    timed = bounded.withColumn("at_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "can_keep", F.coalesce(F.col(storable), F.lit(False)) if storable else F.lit(True)
-    )
-    output = _with(timed.schema, T.StructField("hit", T.BooleanType()))
-    return (
-        timed.groupBy(key)
-        .transformWithState(
-            statefulProcessor=CacheProcessor(ttl_seconds * SECOND, tie, lateness is not None),
-            outputStructType=output,
-            outputMode="Append",
-            timeMode="None" if lateness is None else "EventTime",
-        )
-        .drop("at_micros", "can_keep")
-    )
+    """Adds `hit` to a stream of requests, as `ttl_cache_replay` does, whatever the order of its files up to `lateness`."""
+    timed = _waiting_for(requests, ts, lateness).withColumn("can_keep", F.coalesce(F.col(storable), F.lit(False)) if storable else F.lit(True))
+    replayed = _in_order(timed, key, lambda schema: CacheProcessor(schema, tie, ttl_seconds * SECOND), T.StructField("hit", T.BooleanType()))
+    return replayed.drop("at_micros", "can_keep")
 
 
-def stream_credit_replay(events: DataFrame, accounts: DataFrame | None = None, start: int = fixed.START_CREDITS) -> DataFrame:
+def stream_credit_replay(
+    events: DataFrame, accounts: DataFrame | None = None, start: int = fixed.START_CREDITS, lateness: str = LATENESS
+) -> DataFrame:
     """Adds `verdict` and `balance` to a stream of movements, as `replay_credits` does.
 
     `accounts` is a table, read anew in each trigger. Balances are kept for
-    good: an account has no end, so there is no watermark.
+    good: an account has no end.
     """
-    use_state_store(events.sparkSession)
-    timed = events.withColumn("at_micros", micros(F.col("ts")))
+    timed = _waiting_for(events, "ts", lateness)
     if accounts is None:
         timed = timed.withColumn("opening", F.lit(start).cast("long"))
     else:
         timed = timed.join(accounts.select("user_id", F.col("credits").cast("long").alias("opening")), "user_id", "left")
-    output = _with(timed.schema, T.StructField("verdict", T.StringType()), T.StructField("balance", T.LongType()))
-    return (
-        timed.groupBy("user_id")
-        .transformWithState(statefulProcessor=CreditProcessor(), outputStructType=output, outputMode="Append", timeMode="None")
-        .drop("at_micros", "opening")
-    )
+    added = T.StructField("verdict", T.StringType()), T.StructField("balance", T.LongType())
+    return _in_order(timed, "user_id", lambda schema: CreditProcessor(schema, "seq"), *added).drop("at_micros", "opening")
 
 
-def stream_job_progress(events: DataFrame, job: str = "job_id") -> DataFrame:
+def stream_job_progress(events: DataFrame, job: str = "job_id", lateness: str = LATENESS) -> DataFrame:
     """Adds percent, elapsed time, ETA and speed to a stream of status events."""
-    use_state_store(events.sparkSession)
-    timed = events.withColumn("at_micros", micros(F.col("ts")))
-    output = _with(timed.schema, T.StructField("job_start", T.DoubleType()))
-    started = timed.groupBy(job).transformWithState(
-        statefulProcessor=StartProcessor(), outputStructType=output, outputMode="Append", timeMode="None"
-    )
+    timed = _waiting_for(events, "ts", lateness)
+    started = _in_order(timed, job, lambda schema: StartProcessor(schema, "seq"), T.StructField("job_start", T.DoubleType()))
     now = F.col("at_micros") / SECOND
     columns = progress_columns(F.col("job_start"), now, F.col("current"), F.col("total"))
     return started.withColumns(columns).drop("at_micros", "job_start")
