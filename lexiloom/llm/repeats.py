@@ -413,7 +413,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         tables = [_question(WHOLES, part_id, buckets, *_grouped(short(WHOLES, own.whole), own.ids))]
         for kind in (LEFTS, RIGHTS):
             keys, having = own.half(kind)
-            distinct, low, several = _differing(keys, (own.whole[having] & np.uint64(0xFFFFFF)).astype(np.int64))
+            # 62 bits of the whole surrounding: marks stay positive, and as sure as the hashes that decide.
+            distinct, low, several = _differing(keys, (own.whole[having] >> np.uint64(2)).astype(np.int64))
             tables.append(_question(kind, part_id, buckets, distinct, np.where(several, SEVERAL, low)))
         return pa.concat_tables(tables)
 
