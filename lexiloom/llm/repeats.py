@@ -41,7 +41,7 @@ SPAN, TRIGGER = 50, 20
 #: Strings of SPAN bytes that a trigger can be in, by how far left of it they start.
 REACH = SPAN - TRIGGER
 HALF = REACH // 2
-PART_BYTES = 3 << 19
+PART_BYTES = 1 << 19
 #: Places that are hashed at once.
 BLOCK = 1 << 18
 #: Buckets of hashes: at least so many, and one for so many bytes of text.
@@ -342,7 +342,7 @@ class Flagged:
         """(starts, ids) of the single strings to be asked about: first surroundings with a half that goes on in several ways."""
         import numpy as np
 
-        wanted = []
+        wanted = np.zeros(len(self.part.data), dtype=bool)
         for kind, far in ((LEFTS, range(HALF, REACH + 1)), (RIGHTS, range(HALF + 1))):
             keys, having = self.half(kind)
             distinct, place = np.unique(keys, return_inverse=True)
@@ -351,8 +351,8 @@ class Flagged:
             open_ones = np.flatnonzero(several & ~settled)
             for x in far:
                 own = open_ones[(self.left[open_ones] >= x) & (self.right[open_ones] >= SPAN - x)]
-                wanted.append(self.points[own] - x)
-        starts = np.unique(np.concatenate(wanted))
+                wanted[self.points[own] - x] = True
+        starts = np.flatnonzero(wanted)
         return starts, self.part.ids[self.part.owner(starts)]
 
 
