@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.text import iso_text, micros
+from lexiloom.operators.selection import numbers_of, rows_at
 from lexiloom.operators.skew import take_ranks
 
 PURCHASE, USAGE = "purchase", "usage"
@@ -160,12 +161,12 @@ def page(
     tie: str = "id",
     max_limit: int = MAX_LIMIT,
 ) -> DataFrame:
-    """One page of the table in time order; a deep page costs what the first one does."""
+    """One page of the table in time order; a deep page costs what the first one does, also where one moment holds all rows."""
     _check_page(skip, limit, max_limit)
     rising = (direction or "").lower() == "asc"
     order = [F.col(time).asc(), F.col(tie).asc()] if rising else [F.col(time).desc(), F.col(tie).desc()]
-    at = micros(F.col(time)) * (1 if rising else -1)
-    return order_by_time(take_ranks(df, [], at, order, skip, limit, nulls_first=rising).drop("_rank"), direction, time, tie)
+    numbers = [n for name in (time, tie) for n in numbers_of(df, name, descending=not rising)]
+    return order_by_time(rows_at(df, numbers, order, skip, limit).drop("_rank"), direction, time, tie)
 
 
 def page_per_user(
@@ -178,7 +179,8 @@ def page_per_user(
     order = [F.col(c).asc() if rising else F.col(c).desc() for c in (time, tie)]
     if last > TASK_PRUNED_RANKS:
         at = micros(F.col(time)) * (1 if rising else -1)
-        wanted = take_ranks(df, ["user_id"], at, order, skip, limit, nulls_first=rising, name="position")
+        ties = [n.value for n in numbers_of(df, tie, descending=not rising)]
+        wanted = take_ranks(df, ["user_id"], at, order, skip, limit, nulls_first=rising, name="position", ties=ties)
     else:
         ranked = df.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
         wanted = ranked.filter(F.col("position") <= last).filter(F.col("position") > skip)

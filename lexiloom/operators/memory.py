@@ -7,11 +7,11 @@ style belong to its identity.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import is_blank, micros
-from lexiloom.operators.skew import HOUR, join_keeping_nulls
+from lexiloom.functions.text import is_blank
+from lexiloom.operators.selection import first_rows, numbers_of
 
 IDENTITY = ["key", "target_lang", "style"]
 
@@ -82,20 +82,12 @@ def tm_stats(keyed: DataFrame, job: str = "job", memory: DataFrame | None = None
 def tm_retain(memory: DataFrame, max_size: int = 2000) -> DataFrame:
     """The `max_size` most recently used entries; equal times keep the smaller key.
 
-    Counts per hour tell which entries stay for sure; only those of the hour in
-    which the bound falls are sorted, so no task has to hold all that stay.
+    Counts tell which entries stay for sure; only those next to the bound are
+    sorted, so no task has to hold all that stay, or all of one moment.
     """
-    hour = F.floor(micros(F.col("last_used")) / F.lit(HOUR))
-    hours = memory.groupBy(hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy(F.col("_hour").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    counted = hours.withColumn("_upto", F.sum("_n").over(upto)).select("_hour", "_upto", (F.col("_upto") - F.col("_n")).alias("_before"))
-    placed = join_keeping_nulls(memory.withColumn("_hour", hour), counted.filter(F.col("_before") < max_size), ["_hour"], "inner")
-    sure = placed.filter(F.col("_upto") <= max_size)
-    at_bound = placed.filter(F.col("_upto") > max_size)
-    order = Window.partitionBy("_hour").orderBy(F.col("last_used").desc(), *(F.col(c) for c in IDENTITY))
-    last = at_bound.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_size)
-    last = last.filter(F.col("_rank") <= F.lit(max_size) - F.col("_before")).drop("_rank")
-    return sure.unionByName(last).drop("_hour", "_upto", "_before")
+    order = [F.col("last_used").desc(), *(F.col(c) for c in IDENTITY)]
+    numbers = [*numbers_of(memory, "last_used", descending=True), *(n for c in IDENTITY for n in numbers_of(memory, c))]
+    return first_rows(memory, numbers, order, max_size)
 
 
 def tm_merge(memory: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -203,23 +203,35 @@ HOUR = 3_600_000_000
 
 
 def take_ranks(
-    df: DataFrame, keys: Sequence[str], at: Column, order: Sequence[Column], skip: int, limit: int, nulls_first: bool, name: str = "_rank"
-) -> DataFrame:
+    df: DataFrame, keys: Sequence[str], at: Column, order: Sequence[Column], skip: int, limit: int, nulls_first: bool,
+    name: str = "_rank", ties: Sequence[Column] = (), max_rows: int = GROUP_ROWS,
+) -> DataFrame:
     """The rows at positions `skip + 1` to `skip + limit` of every group, with their position as `name`.
 
     `order` is a total order that starts with the number `at` (microseconds,
     rising). Rows are counted per hour first. That tells which hours hold the
     wanted positions, at most one more than there are positions, so only rows
-    of these hours are sorted, wherever in the group they lie.
+    of these hours are sorted, wherever in the group they lie. Groups with more
+    than `max_rows` rows in such hours are cut into slices, by time and then by
+    the numeric `ties`, and counted through slice by slice.
     """
-    hour, group = F.floor(at / F.lit(HOUR)), keys or [F.lit(0)]
+    hour, group = F.floor(at / F.lit(HOUR)), keys
     by_hour = F.col("_hour").asc_nulls_first() if nulls_first else F.col("_hour").asc_nulls_last()
     hours = df.groupBy(*keys, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*group).orderBy(by_hour).rowsBetween(Window.unboundedPreceding, 0)
-    counted = hours.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_before", F.col("_upto") - F.col("_n"))
-    wanted = counted.filter((F.col("_upto") > skip) & (F.col("_before") < skip + limit))
-    before = wanted.select(*keys, "_hour", F.min("_before").over(Window.partitionBy(*group)).alias("_before"))
-    near = join_keeping_nulls(df.withColumn("_hour", hour), before if keys else F.broadcast(before), [*keys, "_hour"], "inner")
-    near = near.withColumn("_pos", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_pos") <= skip + limit)
-    ranked = near.withColumn(name, (F.col("_pos") + F.col("_before")).cast("int"))
-    return ranked.filter((F.col(name) > skip) & (F.col(name) <= skip + limit)).drop("_hour", "_before", "_pos")
+    counted = hours.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_ahead", F.col("_upto") - F.col("_n"))
+    wanted = counted.filter((F.col("_upto") > skip) & (F.col("_ahead") < skip + limit))
+    before = wanted.select(*keys, "_hour", F.min("_ahead").over(Window.partitionBy(*group)).alias("_ahead"))
+    near = join_keeping_nulls(df.withColumn("_hour", hour), before, [*keys, "_hour"], "inner")
+    crowded = wanted.groupBy(*keys).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > max_rows).select(*keys)
+    usual, crowds = near, None
+    if not crowded.isEmpty():  # fewer than rows / max_rows groups
+        names = F.broadcast(materialize(crowded))
+        usual, crowds = (join_keeping_nulls(near, names, keys, how) for how in ("left_anti", "left_semi"))
+    ranked = usual.withColumn("_pos", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    if crowds is not None:
+        edge = F.lit(-(2**62) if nulls_first else 2**62)  # rows without a time are a crowd of their own
+        sliced = materialize(cut_into_slices(crowds, keys, F.coalesce(at, edge), max_rows, ties=ties))
+        ranked = ranked.unionByName(running_count(sliced, keys, order, "_pos").drop("_slice"))
+    ranked = ranked.withColumn(name, (F.col("_pos") + F.col("_ahead")).cast("int"))
+    return ranked.filter((F.col(name) > skip) & (F.col(name) <= skip + limit)).drop("_hour", "_ahead", "_pos")
