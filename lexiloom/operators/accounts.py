@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed_values as fixed
+from lexiloom.session import materialize
 
 
 def orphans(df: DataFrame, users: DataFrame) -> DataFrame:
@@ -113,10 +114,15 @@ def register_defaults(signups: DataFrame, existing: DataFrame | None = None) ->
     firsts = {
         field: signups.groupBy(field).agg(F.min("seq").alias(f"_first_{field}")) for field in ("username", "email")
     }
+    return _with_defaults(signups, firsts, existing)
+
+
+def _with_defaults(signups: DataFrame, firsts: dict[str, DataFrame], existing: DataFrame | None) -> DataFrame:
+    """Sign-ups judged by the number (`_first_...`) of the sign-up that took each name and e-mail first."""
     judged = signups
     for field, first in firsts.items():
         judged = judged.join(first, field, "left")
-        taken = F.col("seq") > F.col(f"_first_{field}")
+        taken = F.coalesce(F.col("seq") > F.col(f"_first_{field}"), F.lit(False))
         if existing is not None:
             known = existing.select(field).distinct().withColumn(f"_known_{field}", F.lit(True))
             judged = judged.join(known, field, "left")
@@ -131,6 +137,48 @@ def register_defaults(signups: DataFrame, existing: DataFrame | None = None) ->
     )
 
 
+def accepted_in_turn(signups: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """`seq, username, email` of the sign-ups that go through when they are taken one after the other by `seq`.
+
+    A sign-up goes through if no existing user, and no earlier sign-up that went
+    through, has its name or e-mail; a refused one takes nothing. Missing fields
+    clash with nothing, and `seq` tells sign-ups apart. Rounds instead of turns:
+    whoever is the first of all still open by name and by e-mail goes through,
+    which settles all others with that name or e-mail. A round is two minima and
+    joins, so a name of a third of all sign-ups is no problem, and is stored. In
+    random order rounds grow with the logarithm of the table; a chain of sign-ups
+    each of which clashes with the next one only takes as many rounds as half of
+    its length.
+    """
+    fields = ("username", "email")
+    undecided = signups.select("seq", *fields)
+    if existing is not None:
+        for field in fields:
+            undecided = undecided.join(existing.select(field), field, "left_anti")
+    undecided = materialize(undecided)
+    accepted = undecided.limit(0)
+    while not undecided.isEmpty():
+        judged, first = undecided, F.lit(True)
+        for field in fields:
+            firsts = undecided.groupBy(field).agg(F.min("seq").alias(f"_first_{field}"))
+            judged = judged.join(firsts, field, "left")
+            first = first & (F.col(field).isNull() | (F.col("seq") == F.col(f"_first_{field}")))
+        through = materialize(judged.filter(first).select("seq", *fields))
+        accepted = accepted.unionByName(through)
+        rest = undecided
+        for field in (*fields, "seq"):
+            rest = rest.join(through.select(field), field, "left_anti")
+        undecided = materialize(rest.select("seq", *fields))
+    return accepted
+
+
+def register_in_turn(signups: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """As `register_defaults`, but a field is taken only by an existing user or an earlier sign-up that went through."""
+    accepted = accepted_in_turn(signups, existing)
+    firsts = {field: accepted.groupBy(field).agg(F.min("seq").alias(f"_first_{field}")) for field in ("username", "email")}
+    return _with_defaults(signups, firsts, existing)
+
+
 def validate_user_changes(changes: DataFrame, users: DataFrame) -> DataFrame:
     """Adds `outcome` to user changes: ok or the reason of refusal.
 

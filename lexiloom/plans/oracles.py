@@ -361,6 +361,28 @@ BODIES = {
         FROM (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'Customer#' || printf('%09d', o_custkey)
                 ELSE 'new' || (o_orderkey % 5000) END AS username,
               'u' || (o_custkey * 3 + o_orderkey % 3) || '@example.com' AS email FROM orders)""",
+    "signups_in_turn": """SELECT seq, username, email, 5000::BIGINT AS credits, 'standard' AS account_type, true AS is_active,
+        CASE WHEN username IN (SELECT users.username FROM users) OR seq > name_taken THEN 'username'
+             WHEN email IN (SELECT users.email FROM users) OR seq > email_taken THEN 'email' END AS duplicate
+        FROM (SELECT *, min(seq) FILTER (state = 1) OVER (PARTITION BY username) AS name_taken,
+                min(seq) FILTER (state = 1) OVER (PARTITION BY email) AS email_taken FROM (
+            WITH RECURSIVE asked AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'Customer#' || printf('%09d', o_custkey)
+                    ELSE 'new' || (o_orderkey % 5000) END AS username,
+                  'u' || (o_custkey * 3 + o_orderkey % 3) || '@example.com' AS email FROM orders),
+            steps AS (
+              SELECT seq, username, email, 0 AS step, CASE WHEN username IN (SELECT users.username FROM users)
+                OR email IN (SELECT users.email FROM users) THEN 2 ELSE 0 END AS state FROM asked
+              UNION ALL
+              SELECT seq, username, email, step + 1, CASE WHEN state <> 0 THEN state
+                  WHEN coalesce(seq > by_name, false) OR coalesce(seq > by_email, false) THEN 2
+                  WHEN seq = first_name AND seq = first_email THEN 1 ELSE 0 END
+              FROM (SELECT *, min(seq) FILTER (state = 1) OVER (PARTITION BY username) AS by_name,
+                      min(seq) FILTER (state = 1) OVER (PARTITION BY email) AS by_email,
+                      min(seq) FILTER (state <> 2) OVER (PARTITION BY username) AS first_name,
+                      min(seq) FILTER (state <> 2) OVER (PARTITION BY email) AS first_email,
+                      count(*) FILTER (state = 0) OVER () AS undecided FROM steps)
+              WHERE undecided > 0)
+            SELECT * FROM steps QUALIFY step = max(step) OVER ()))""",
     # --- OCR ---
     "boxes_merged": _merged("boxes", 30, 10),
     "boxes_merged_twice": _merged(

@@ -183,6 +183,12 @@ def signup_duplicates(t: Tables) -> DataFrame:
     return accounts.register_defaults(t.signups(), t.users())
 
 
+@query
+def signups_in_turn(t: Tables) -> DataFrame:
+    """The serial rule: refused sign-ups take neither name nor e-mail."""
+    return accounts.register_in_turn(t.signups(), t.users())
+
+
 # --- OCR -----------------------------------------------------------------------
 @query
 def boxes_merged(t: Tables) -> DataFrame:

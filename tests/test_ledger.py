@@ -201,3 +201,32 @@ def test_progress(spark):
     assert (got[3]["percent"], got[3]["elapsed_text"], got[3]["eta_text"]) == (99, "01:05:00", "00:00:39")
     assert got[4]["percent"] == 0
     assert got[2]["terminal_style"] == "50%|" + "█" * 25 + " " * 25 + "| 5/10 [00:00:50<00:00:50, 0.10it/s]"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_signups_in_turn_equal_a_plain_loop(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pick = lambda kind, n: rng.choice([None, f"{kind}0", *(f"{kind}{rng.randrange(n)}" for _ in range(6))])
+    signups = [(i, pick("n", 40), pick("e", 25)) for i in rng.sample(range(1000), 150)]
+    users = [("n1", "x"), ("y", "e2"), (None, None)]
+    names, mails, want = {n for n, _ in users if n}, {e for _, e in users if e}, {}
+    for seq, name, mail in sorted(signups):
+        want[seq] = "username" if name in names else "email" if mail in mails else None
+        if want[seq] is None:
+            names |= {name} - {None}
+            mails |= {mail} - {None}
+    frame = spark.createDataFrame(signups, "seq long, username string, email string").repartition(3)
+    existing = spark.createDataFrame(users, "username string, email string")
+    got = {r["seq"]: r["duplicate"] for r in accounts.register_in_turn(frame, existing).collect()}
+    assert got == want and None in want.values()
+    loose = {r["seq"]: r["duplicate"] for r in accounts.register_defaults(frame, existing).collect()}
+    assert loose != want
+    assert accounts.register_in_turn(frame.limit(0)).count() == 0
+
+
+def test_a_chain_of_clashes_alternates(spark):
+    chain = [(i, f"n{i // 2}", f"e{(i + 1) // 2}") for i in range(9)]
+    got = accounts.register_in_turn(spark.createDataFrame(chain, "seq long, username string, email string")).collect()
+    assert [r["duplicate"] for r in sorted(got)] == [None, "username", None, "username", None, "username", None, "username", None]
