@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,10 +77,14 @@ def replay_credits(
 
     Users with more than `max_rows` movements are cut into time slices. A slice
     in which the balance cannot run short changes it by a plain sum, so its
-    effect is known without a replay; only the other slices are replayed one
-    after the other, and that order cannot be avoided: whether a movement is
-    refused depends on the exact balance before it. Once the balance before each
-    slice is known, all slices are replayed side by side.
+    effect is known without a replay. For the others, refusals bring different
+    balances together: all slices find side by side which balances they can end
+    with, and then, also side by side, what each balance the slice before can
+    end with becomes. The balance before each slice is read off these small
+    tables, and all slices are replayed side by side. So the passes over a user's
+    movements don't grow with the number of slices. Only after a slice that can
+    end with more than `MAX_BALANCES` balances the next one that may run short is
+    replayed by itself.
     """
     timed = events.withColumn("_at", micros(F.col("ts")))
     strangers = None
@@ -101,28 +106,183 @@ def replay_credits(
     return result.drop("_at", "_start")
 
 
+# Balances a slice's table may hold, and ranges of balances that are told apart on the way to them.
+MAX_BALANCES, MAX_RANGES = 1024, 16_384
+
+
 def _slice_needs(sliced: DataFrame) -> DataFrame:
-    """Per slice: its sum without refusals, and the balance it needs so that none happens."""
-    moved = F.when(F.coalesce(F.col("amount"), F.lit(0)) <= 0, 0).when(F.col("kind") == "add", F.col("amount")).otherwise(-F.col("amount"))
+    """Per slice: its sum without refusals, the balance it needs so that none happens, and the largest amount taken."""
+    good = F.coalesce(F.col("amount"), F.lit(0)) > 0
+    adds = F.coalesce(F.col("kind") == "add", F.lit(False))
+    moved = F.when(~good, 0).when(adds, F.col("amount")).otherwise(-F.col("amount"))
     order = Window.partitionBy("user_id", "_slice").orderBy("_at", "seq").rowsBetween(Window.unboundedPreceding, 0)
     return (
         sliced.withColumn("_moved", moved.cast("long"))
         .withColumn("_sum", F.sum("_moved").over(order))
         .groupBy("user_id", "_slice")
-        .agg(F.sum("_moved").alias("change"), F.greatest(F.lit(0), -F.min("_sum")).alias("needed"))
+        .agg(
+            F.sum("_moved").alias("change"),
+            F.greatest(F.lit(0), -F.min("_sum")).alias("needed"),
+            F.coalesce(F.max(F.when(good & ~adds, F.col("amount"))), F.lit(0)).alias("largest"),
+        )
     )
 
 
+def _bounds(group: pd.DataFrame) -> pd.DataFrame:
+    """The least and the largest balance before each slice.
+
+    Refusals only leave more than the plain sum does. And after the last refusal,
+    at which less than the refused amount was there, the rest adds up plainly.
+    """
+    group = group.sort_values("_slice")
+    low = high = int(group["_balance"].iloc[0])
+    lows, highs = [], []
+    for change, needed, largest in zip(group["change"], group["needed"], group["largest"]):
+        lows.append(low)
+        highs.append(high)
+        if low < needed:
+            low, high = max(0, low + int(change)), max(high + int(change), int(largest) - 1 + int(change) + int(needed))
+        else:
+            low, high = low + int(change), high + int(change)
+    return group.assign(low=lows, high=highs).drop(columns="_balance")
+
+
+class Reachable:
+    """The balances that some range of balances can become: separate ranges in order."""
+
+    def __init__(self, low: int, high: int):
+        self.lows, self.highs, self.shift = np.array([low]), np.array([high]), 0
+
+    def add(self, amount: int) -> None:
+        self.shift += amount
+
+    def take(self, amount: int) -> None:
+        need = amount - self.shift
+        if self.lows[0] >= need:
+            self.shift -= amount
+        elif self.highs[-1] >= need:
+            stay, go = self.lows < need, self.highs >= need
+            lows = np.concatenate([self.lows[stay], np.maximum(self.lows[go], need) - amount])
+            highs = np.concatenate([np.minimum(self.highs[stay], need - 1), self.highs[go] - amount])
+            order = np.argsort(lows, kind="stable")
+            lows, reach = lows[order], np.maximum.accumulate(highs[order])
+            first = np.concatenate([[True], lows[1:] > reach[:-1] + 1])
+            self.lows, self.highs = lows[first], reach[np.concatenate([first[1:], [True]])]
+            if len(self.lows) > MAX_RANGES:  # what lies between counts as reachable too
+                self.lows, self.highs = self.lows[:1], self.highs[-1:]
+
+    def ends(self) -> list[int] | None:
+        if int((self.highs - self.lows + 1).sum()) > MAX_BALANCES:
+            return None
+        return [b + self.shift for low, high in zip(self.lows.tolist(), self.highs.tolist()) for b in range(low, high + 1)]
+
+
+class Balances:
+    """What each of some balances becomes."""
+
+    def __init__(self, entries: list[int]):
+        self.now, self.shift = np.array(entries, dtype="int64"), 0
+        self.low, self.high = int(self.now.min()), int(self.now.max())
+
+    def add(self, amount: int) -> None:
+        self.shift += amount
+
+    def take(self, amount: int) -> None:
+        need = amount - self.shift
+        if self.low >= need:
+            self.shift -= amount
+        elif self.high >= need:
+            self.now[self.now >= need] -= amount
+            self.low, self.high = int(self.now.min()), int(self.now.max())
+
+    def ends(self) -> list[int]:
+        return (self.now + self.shift).tolist()
+
+
+def _ends_of_slices(rows: DataFrame, start, given: list[str]) -> DataFrame:
+    """(user_id, _slice, ends) of slices whose movements all go through what `start` makes of the `given` columns."""
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def row():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([current[0]], user), pa.array([current[1]], pa.int32()), pa.array([state.ends()], pa.list_(pa.int64()))],
+                names=["user_id", "_slice", "ends"],
+            )
+
+        current, state, user = None, None, pa.int64()
+        for batch in batches:
+            user = batch.schema.field("user_id").type
+            at_start = [batch.column(c) for c in given]
+            columns = [batch.column(c).to_pylist() for c in ("user_id", "_slice", "kind", "amount")]
+            for i, (user_id, number, kind, amount) in enumerate(zip(*columns)):
+                if (user_id, number) != current:
+                    if current is not None:
+                        yield row()
+                    current, state = (user_id, number), start(*(c[i].as_py() for c in at_start))
+                if amount is not None and amount > 0:
+                    if kind == "add":
+                        state.add(amount)
+                    else:
+                        state.take(amount)
+        if current is not None:
+            yield row()
+
+    columns = rows.select("user_id", "_slice", "_at", "seq", "kind", "amount", *given)
+    kind = rows.schema["user_id"].dataType.simpleString()
+    ordered = columns.repartition("user_id", "_slice").sortWithinPartitions("user_id", "_slice", "_at", "seq")
+    return ordered.mapInArrow(fold, f"user_id {kind}, _slice int, ends array<bigint>")
+
+
+def _entries(group: pd.DataFrame) -> pd.DataFrame:
+    """The balances that may come before each slice that can run short, where they are few."""
+    group = group.sort_values("_slice")
+    now, out = [int(group["_balance"].iloc[0])], []
+    for low, needed, change, ends in zip(group["low"], group["needed"], group["change"], group["ends"]):
+        out.append(now if low < needed else None)
+        if low < needed:
+            now = None if ends is None else [int(b) for b in ends]
+        elif now is not None:
+            now = [b + int(change) for b in now]
+    return group[["user_id", "_slice"]].assign(entries=out)
+
+
+def _balance_tables(sliced: DataFrame, needs: DataFrame, openings: DataFrame) -> DataFrame:
+    """(user_id, _slice, entries, ends): what each balance that may come before a slice becomes, for slices that can run short."""
+    opened = join_keeping_nulls(needs, openings, ["user_id"], "inner")
+    keys = f"user_id {sliced.schema['user_id'].dataType.simpleString()}, _slice int"
+    bounds = opened.select("user_id", F.col("_slice").cast("int"), "change", "needed", "largest", "_balance")
+    bounds = materialize(bounds.groupBy("user_id").applyInPandas(_bounds, f"{keys}, change long, needed long, largest long, low long, high long"))
+    short = bounds.filter(F.col("low") < F.col("needed"))
+    ranged = join_keeping_nulls(sliced, F.broadcast(short.select("user_id", "_slice", "low", "high")), ["user_id", "_slice"], "inner")
+    ends = materialize(_ends_of_slices(ranged, Reachable, ["low", "high"]))
+    before = join_keeping_nulls(join_keeping_nulls(bounds, ends, ["user_id", "_slice"]), openings, ["user_id"], "inner")
+    entries = materialize(before.select("user_id", "_slice", "low", "needed", "change", "ends", "_balance").groupBy("user_id").applyInPandas(_entries, f"{keys}, entries array<bigint>"))
+    few = entries.filter(F.col("entries").isNotNull())
+    asked = join_keeping_nulls(sliced, F.broadcast(few.select("user_id", "_slice")), ["user_id", "_slice"], "inner")
+    # The entries travel with a slice's first row only.
+    first = Window.partitionBy("user_id", "_slice").orderBy("_at", "seq")
+    heads = few.select("user_id", "_slice", F.lit(1).alias("_row"), "entries")
+    marked = join_keeping_nulls(asked.withColumn("_row", F.row_number().over(first)), heads, ["user_id", "_slice", "_row"]).drop("_row")
+    tables = _ends_of_slices(marked, Balances, ["entries"])
+    return materialize(join_keeping_nulls(few, tables, ["user_id", "_slice"], "inner"))
+
+
 def _advance(group: pd.DataFrame) -> pd.DataFrame:
-    """Balances before the next slices, up to the first one that may run short."""
+    """Balances before the next slices, up to the first one that may run short and has no table."""
     group = group.sort_values("_slice")
-    balance, entries = int(group["_balance"].iloc[0]), []
-    for change, needed in zip(group["change"], group["needed"]):
-        entries.append(balance)
-        if balance < needed:
+    balance, out = int(group["_balance"].iloc[0]), []
+    for change, needed, entries, ends in zip(group["change"], group["needed"], group["entries"], group["ends"]):
+        out.append((balance, False))
+        if balance >= needed:
+            balance += int(change)
+        elif entries is not None:
+            balance = dict(zip(entries, ends))[balance]
+        else:
+            out[-1] = (balance, True)
             break
-        balance += int(change)
-    return group.head(len(entries)).assign(_entry=entries)
+    return group[["user_id", "_slice"]].head(len(out)).assign(_entry=[b for b, _ in out], _open=[o for _, o in out])
 
 
 def _replay_hot(hot: DataFrame, max_rows: int) -> DataFrame:
@@ -133,25 +293,26 @@ def _replay_hot(hot: DataFrame, max_rows: int) -> DataFrame:
     sliced = hot.sparkSession.read.schema(cut.schema).parquet(place)
     # One row per slice and hot user, so a user's rows fit one task.
     needs = materialize(_slice_needs(sliced))
-    state = materialize(
-        sliced.groupBy("user_id").agg(F.first("_start").alias("_balance")).withColumn("_next", F.lit(0))
-    )
-    entries = None
-    advance_schema = "user_id long, _slice int, change long, needed long, _balance long, _next int, _entry long"
+    openings = materialize(sliced.groupBy("user_id").agg(F.first("_start").alias("_balance")))
+    needs = materialize(join_keeping_nulls(needs, _balance_tables(sliced, needs, openings), ["user_id", "_slice"]))
+    state, entries = openings.withColumn("_next", F.lit(0)), None
+    kind = hot.schema["user_id"].dataType.simpleString()
     while True:
         ahead = join_keeping_nulls(needs, state, ["user_id"], "inner").filter(F.col("_slice") >= F.col("_next"))
         known = materialize(
-            ahead.select("user_id", F.col("_slice").cast("int"), "change", "needed", "_balance", F.col("_next").cast("int"))
+            ahead.select("user_id", F.col("_slice").cast("int"), "change", "needed", "entries", "ends", "_balance")
             .groupBy("user_id")
-            .applyInPandas(_advance, advance_schema)
+            .applyInPandas(_advance, f"user_id {kind}, _slice int, _entry long, _open boolean")
         )
         if known.isEmpty():
             break
         step = known.select("user_id", "_slice", "_entry")
         entries = step if entries is None else materialize(entries.unionByName(step))
-        short = known.filter(F.col("_entry") < F.col("needed")).select("user_id", "_slice", "_entry")
+        short = known.filter("_open").select("user_id", "_slice", "_entry")
         # One slice for each hot user at most.
         numbers = [row["_slice"] for row in short.select("_slice").distinct().collect()]
+        if not numbers:
+            break
         replayed = join_keeping_nulls(sliced.filter(F.col("_slice").isin(numbers)), F.broadcast(short), ["user_id", "_slice"], "inner")
         ended = _fold_sorted(replayed, ["user_id", "_slice"], "_entry").groupBy("user_id").agg(
             F.max_by("balance", F.struct("_at", "seq")).alias("_balance"), (F.max("_slice") + 1).alias("_next")

@@ -217,14 +217,74 @@ def test_deep_pages_per_user(spark, sf, monkeypatch):
     assert rows(ledger.page_per_user(rows_, 3, 4), "id", "position", "total") == want
 
 
-def test_a_round_reads_only_the_slices_it_replays(spark, monkeypatch):
+def scarce(n, seed=4):
+    """Movements of one account that is short of credits all the time."""
+    rnd = random.Random(seed)
+    return [(i, 1, "add" if rnd.random() < 0.4 else "subtract", rnd.randint(1, 50)) for i in range(n)]
+
+
+def replayed(spark, monkeypatch, data, max_rows, start=30):
+    """(rows, passes over all slices or some): replays and tables."""
+    passes = []
+    for name in ("_fold_sorted", "_ends_of_slices"):
+        plain = getattr(credits, name)
+        monkeypatch.setattr(credits, name, lambda df, *a, plain=plain: passes.append(df) or plain(df, *a))
+    df = spark.createDataFrame(data, "seq long, user_id long, kind string, amount long").withColumn("ts", F.timestamp_seconds("seq"))
+    got = rows(credits.replay_credits(df, start=start, max_rows=max_rows), "seq", "verdict", "balance")
+    monkeypatch.undo()
+    return got, passes
+
+
+def test_passes_over_a_hot_account_do_not_grow_with_its_slices(spark, monkeypatch):
+    data = scarce(1500)
+    balance, want = 30, []
+    for seq, _, kind, amount in data:
+        verdict, balance = credits.move(kind, amount, balance)
+        want.append((seq, verdict, balance))
+    counts = []
+    for max_rows in (400, 60):
+        got, passes = replayed(spark, monkeypatch, data, max_rows)
+        assert got == sorted(want, key=repr)
+        counts.append(len(passes))
+    assert counts[0] == counts[1]
+
+
+def test_without_tables_a_round_reads_only_the_slices_it_replays(spark, monkeypatch):
+    monkeypatch.setattr(credits, "MAX_BALANCES", 0)
+    data = [(i, 1, "add" if i < 200 else "subtract", 1 if i < 200 else 3) for i in range(400)]
+    df = spark.createDataFrame(data, "seq long, user_id long, kind string, amount long").withColumn("ts", F.timestamp_seconds("seq"))
     read = []
     plain = credits._fold_sorted
     monkeypatch.setattr(credits, "_fold_sorted", lambda df, keys, opening: read.append(df) or plain(df, keys, opening))
-    data = [(i, 1, "add" if i < 200 else "subtract", 1 if i < 200 else 3) for i in range(400)]
-    df = spark.createDataFrame(data, "seq long, user_id long, kind string, amount long").withColumn("ts", F.timestamp_seconds("seq"))
     assert credits.replay_credits(df, start=0, max_rows=50).count() == 400
     rounds = [d.count() for d in read[1:-1]]  # without the ordinary users and the last pass
     assert rounds and all(n < 200 for n in rounds)
     scan = read[1]._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [_slice" in scan or "PartitionFilters: [isnotnull(_slice" in scan
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_reachable_balances(monkeypatch, seed):
+    rnd = random.Random(seed)
+    low = rnd.randrange(50)
+    high = low + rnd.randrange(200)
+    moves = [(rnd.random() < 0.4, rnd.randint(1, 40)) for _ in range(rnd.randrange(60))]
+
+    def after(balance):
+        for adds, amount in moves:
+            balance = credits.move("add" if adds else "subtract", amount, balance)[1]
+        return balance
+
+    reachable, balances = credits.Reachable(low, high), credits.Balances(list(range(low, high + 1)))
+    for state in (reachable, balances):
+        for adds, amount in moves:
+            (state.add if adds else state.take)(amount)
+    want = [after(b) for b in range(low, high + 1)]
+    assert balances.ends() == want
+    assert reachable.ends() == sorted(set(want))
+    monkeypatch.setattr(credits, "MAX_RANGES", 1)
+    hull = credits.Reachable(low, high)
+    for adds, amount in moves:
+        (hull.add if adds else hull.take)(amount)
+    assert set(want) <= set(hull.ends())
+
