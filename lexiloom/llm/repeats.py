@@ -41,7 +41,7 @@ SPAN, TRIGGER = 50, 20
 #: Strings of SPAN bytes that a trigger can be in, by how far left of it they start.
 REACH = SPAN - TRIGGER
 HALF = REACH // 2
-PART_BYTES = 1 << 19
+PART_BYTES = 1 << 20
 #: Places that are hashed at once.
 BLOCK = 1 << 18
 #: Buckets of hashes: at least so many, and one for so many bytes of text.
@@ -150,8 +150,8 @@ class Part:
             inside = (places >= self.starts[owner[~inner]][:, None]) & (places < self.ends[owner[~inner]][:, None])
             values = np.where(inside, near[np.clip(places - low, 0, len(near) - 1)], np.uint64(0))
             part[~inner] = values @ powers
-            out[at : at + 8192] = part
-        return mixed(out)
+            out[at : at + 8192] = mixed(part)
+        return out
 
 
 def short(kind: int, hashes):
@@ -167,7 +167,7 @@ def _packed(values, width: int) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpacked(data: bytes, width: int):
+def _unpacked(data, width: int):
     import numpy as np
 
     own = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
@@ -220,33 +220,50 @@ def _differing(keys, marks):
     return keys, low, low != high
 
 
+def _give_back() -> None:
+    """Hand memory that a finished group held back to the system: a worker goes on to other groups, beside a second worker and the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only the C library of Linux has it
+        pass
+
+
 def _answered(key, table):
     """One bit for each key of each part: WHOLES and STRINGS: an earlier document has it; others: marks differ anywhere."""
     import numpy as np
     import pyarrow as pa
 
     kind, bucket = key[0].as_py(), key[1].as_py()
-    rows = table.to_pylist()
-    keys = np.concatenate([_unpacked(r["keys"], KEY_BYTES[kind]) for r in rows])
-    marks = np.concatenate([_unpacked(r["marks"], r["width"]).astype(np.int64) + r["base"] for r in rows])
+    base, width, part_ids = (table.column(c).to_pylist() for c in ("base", "width", "part_id"))
+    keys = [_unpacked(k.as_buffer(), KEY_BYTES[kind]) for k in table.column("keys")]
+    ends = np.cumsum([len(k) for k in keys])
+    keys = np.concatenate(keys)
+    marks = np.concatenate([_unpacked(m.as_buffer(), w).astype(np.int64) + b for m, w, b in zip(table.column("marks"), width, base, strict=True)])
+    del table
     order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.concatenate((np.ones(min(1, len(keys)), dtype=bool), ordered[1:] != ordered[:-1]))
-    bits = np.zeros(len(keys), dtype=bool)
-    if len(keys):
-        at = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        low = np.minimum.reduceat(marks[order], at)
+    keys, marks = keys[order], marks[order]  # one after the other: few arrays of all keys live at a time
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1])))
+    sizes = np.diff(at, append=len(keys))
+    del keys
+    bits = np.zeros(len(marks), dtype=bool)
+    if len(marks):
+        low = np.minimum.reduceat(marks, at)
         if kind in (WHOLES, STRINGS):
-            bits[order] = low[group] < marks[order]
+            bits[order] = np.repeat(low, sizes) < marks
         else:
-            high = np.maximum.reduceat(marks[order], at)
-            bits[order] = ((low != high) | (low == SEVERAL))[group]
-    counts = [len(r["keys"]) // KEY_BYTES[kind] for r in rows]
-    ends = np.cumsum(counts)
-    packed = [np.packbits(bits[e - c : e]).tobytes() for c, e in zip(counts, ends, strict=True)]
+            bits[order] = np.repeat((low != np.maximum.reduceat(marks, at)) | (low == SEVERAL), sizes)
+    del order, marks
+    counts = np.diff(ends, prepend=0).tolist()
+    packed = [np.packbits(bits[e - c : e]).tobytes() for c, e in zip(counts, ends.tolist(), strict=True)]
+    _give_back()
+    n = len(counts)
     return pa.table(
-        [pa.array([kind] * len(rows), pa.int32()), pa.array([bucket] * len(rows), pa.int64()), table.column("part_id"), pa.array(packed, pa.binary()), pa.array(counts, pa.int64())],
+        [pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int64()), pa.array(part_ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(counts, pa.int64())],
         names=["kind", "bucket", "part_id", "bits", "n"],
     )
 
@@ -309,6 +326,7 @@ class Flagged:
         """With the answers to the first question they are found and saved, without them read."""
         import numpy as np
 
+        _give_back()
         self.part = _load_part(folder, part_id)
         if answers is None:
             self.points = _saved_points(folder, f"flagged-{part_id}")
@@ -401,6 +419,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 part = _load_part(folder, part_id)
                 points, hashes = part.triggers()
                 _save_points(folder, f"points-{part_id}", points)
+                _give_back()
                 keys, low, several = _differing(short(TRIGGERS, hashes), part.ids[part.owner(points)])
                 yield from _question(TRIGGERS, part_id, buckets, keys, np.where(several, SEVERAL, low)).to_batches()
 
