@@ -118,6 +118,8 @@ ACCOUNT_TYPE = "standard"
 ACCOUNT_TYPES = ("0", "1", "2")
 LOCAL_OFFSET_HOURS = 7
 CACHE_SECONDS = 3600
+CACHE_SIZE = 2000
+CACHE_DROPPED_SHARE = 0.2
 
 # --- media -------------------------------------------------------------------
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg")

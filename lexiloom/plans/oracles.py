@@ -500,6 +500,18 @@ BODIES = {
         (total_requests - misses) / total_requests::DOUBLE * 100 AS hit_rate, cache_size FROM (
         SELECT lang AS job, count(*) AS total_requests, count(DISTINCT key) FILTER (key NOT IN (SELECT key FROM memory)) AS misses,
             count(DISTINCT key) AS cache_size FROM keyed WHERE key IS NOT NULL GROUP BY lang)""",
+    "bounded_cache": """SELECT job, hits, n - hits AS misses, n AS total_requests, hits / n::DOUBLE * 100 AS hit_rate, len(texts)::INTEGER AS cache_size
+        FROM (WITH RECURSIVE uses AS MATERIALIZED (
+            SELECT lang AS job, dense_rank() OVER (ORDER BY key) AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id, para_idx) AS n
+            FROM keyed WHERE key IS NOT NULL),
+          turns AS (
+            SELECT DISTINCT job, 0::BIGINT AS n, []::BIGINT[] AS texts, 0::BIGINT AS hits FROM uses
+            UNION ALL
+            SELECT job, n, CASE WHEN hit THEN list_append(list_filter(texts, lambda x: x <> k), k)
+                WHEN len(texts) >= 500 THEN list_append(texts[101:], k) ELSE list_append(texts, k) END, hits + hit::BIGINT
+            FROM (SELECT turns.job, uses.n, texts, hits, k, list_contains(texts, k) AS hit
+                  FROM turns JOIN uses ON uses.job = turns.job AND uses.n = turns.n + 1))
+          SELECT * FROM turns QUALIFY n = max(n) OVER (PARTITION BY job))""",
     "tm_retained": f"""SELECT key, source, {iso("last_used")} AS last_used FROM
         (SELECT * FROM memory ORDER BY memory.last_used DESC, key LIMIT 2000)""",
     "tm_merged": """SELECT key, source, target, CASE WHEN fresh THEN '2024-06-01T00:00:00' ELSE strftime(last_used, '%Y-%m-%dT%H:%M:%S') END AS last_used

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.chunks import register_chunks
 from lexiloom.functions.inference import constant_factory, grade_batch
 from lexiloom.functions.text import iso_text
+from lexiloom.operators import bounded_cache as cache_of_size
 from lexiloom.operators import accounts, jobs, ledger, memory, ocr, retrieval, segments, textwork
 from lexiloom.operators.cache import ttl_cache_replay
 from lexiloom.operators.credits import replay_credits
@@ -515,6 +516,13 @@ def tm_stats(t: Tables) -> DataFrame:
     return memory.tm_stats(_keyed(t).withColumn("job", F.col("lang")), memory=t.memory())
 
 
+@query
+def bounded_cache(t: Tables) -> DataFrame:
+    """Each language is a job of its own, with a cache of 500 texts."""
+    replayed = cache_of_size.bounded_cache_replay(_keyed(t).withColumn("job", F.col("lang")), max_size=500)
+    return cache_of_size.bounded_cache_stats(replayed)
+
+
 @query
 def tm_retained(t: Tables) -> DataFrame:
     kept = memory.tm_retain(t.memory(), 2000)

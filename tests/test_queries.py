@@ -71,7 +71,7 @@ def test_partition_count_does_not_matter(spark, sf, name):
 def test_only_the_allowed_queries_use_python(spark, sf):
     allowed = {
         "translated_default_fn", "translated_protected", "ttl_replay", "credit_replay",
-        "chunk_corpus", "chunks_in_sql", "retrieve_topk", "neighbours_of_all", "graded_split", "unanswered",
+        "chunk_corpus", "chunks_in_sql", "retrieve_topk", "neighbours_of_all", "graded_split", "unanswered", "bounded_cache",
     }
     for name, query in QUERIES.items():
         if name.startswith("stream_"):
