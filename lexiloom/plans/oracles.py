@@ -623,6 +623,14 @@ BODIES["translated_protected"] = f"""SELECT doc_id, para_idx,
 BODIES["stream_ttl_replay"] = BODIES["ttl_replay"]
 BODIES["stream_job_progress"] = BODIES["job_progress"]
 BODIES["stream_status_folded"] = BODIES["status_folded"]
+BODIES["word_runs_read"] = """SELECT doc, part, regexp_replace(part, '1?[.]xml$', '') AS part_kind,
+    (dense_rank() OVER (PARTITION BY doc, part ORDER BY para_idx) - 1)::INTEGER AS para_idx, run_idx, text_idx, text, NULL::VARCHAR AS error FROM runs"""
+BODIES["word_runs_followed"] = BODIES["word_runs_read"]
+BODIES["texts_read"] = "SELECT doc_id, coalesce(text, '') || chr(10) AS text FROM documents"
+BODIES["texts_followed"] = f"SELECT doc_id, para_idx, text FROM segments WHERE NOT {is_blank('text')}"
+BODIES["status_files_read"] = f"""SELECT job_id::VARCHAR AS id, status, current::INTEGER AS progress, started_at, message,
+    NULL::VARCHAR AS error, NULL::VARCHAR AS _bad FROM ({BODIES["status_folded"]})"""
+BODIES["chunk_store_read"] = BODIES["chunk_windows"]
 BODIES["stream_translate_once"] = "SELECT DISTINCT key, text FROM keyed WHERE key IS NOT NULL"
 BODIES["stream_credit_replay"] = BODIES["credit_replay"]
 BODIES["stream_throughput_rows"] = BODIES["job_throughput"]

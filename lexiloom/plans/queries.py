@@ -15,16 +15,21 @@ from lexiloom.operators import bounded_cache as cache_of_size
 from lexiloom.operators import accounts, jobs, ledger, memory, ocr, retrieval, segments, textwork
 from lexiloom.operators.cache import ttl_cache_replay
 from lexiloom.operators.credits import replay_credits
+from lexiloom.plans import files
 from lexiloom.plans.image_job import corrected_lines
 from lexiloom.plans.ledger_report import revenue_report, transactions_report
 from lexiloom.plans.streams import StreamTables, run_past_the_end, run_status_to_end, run_to_end, run_updates_to_end
 from lexiloom.plans.tables import Tables
 from lexiloom.plans.translation import translate_batch
+from lexiloom.sources.corpus import read_text_corpus
 from lexiloom.sources.manifests import parse_manifest
 from lexiloom.sources.media import media_verdict
-from lexiloom.sources.sinks import ocr_documents
+from lexiloom.sources.shared import new_folder
+from lexiloom.sources.sinks import ocr_documents, read_chunk_store, write_chunk_store
+from lexiloom.sources.status import read_job_status
+from lexiloom.sources.word_format import register_word_runs
 from lexiloom.streaming import state
-from lexiloom.streaming.inbox import translate_once
+from lexiloom.streaming.inbox import follow_texts, translate_once
 from lexiloom.streaming.jobs import stream_job_status, stream_throughput
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
@@ -700,3 +705,52 @@ def stream_throughput_rows(t: Tables) -> DataFrame:
 @query
 def stream_translate_once(t: Tables) -> DataFrame:
     return run_to_end(translate_once(_streams(t).segments(), "vi")).select("key", "text")
+
+
+# --- files: written from the given tables, then read ------------------------------------
+def _word_rows(runs: DataFrame) -> DataFrame:
+    doc = F.regexp_extract("doc", r"doc-(-?\d+)\.docx$", 1).alias("doc")
+    return runs.select(doc, "part", "part_kind", "para_idx", "run_idx", "text_idx", "text", "error")
+
+
+@query
+def word_runs_read(t: Tables) -> DataFrame:
+    register_word_runs(t.spark)
+    return _word_rows(t.spark.read.format("word_runs").option("partitionBytes", 1 << 20).load(files.word_files(t.runs())))
+
+
+@query
+def word_runs_followed(t: Tables) -> DataFrame:
+    """The same files as a stream."""
+    register_word_runs(t.spark)
+    stream = t.spark.readStream.format("word_runs").option("settleSeconds", 0).load(files.word_files(t.runs()))
+    return _word_rows(run_to_end(stream))
+
+
+def _doc_of_path():
+    return F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("long").alias("doc_id")
+
+
+@query
+def texts_read(t: Tables) -> DataFrame:
+    return read_text_corpus(t.spark, files.text_files_of(t.texts("documents"))).select(_doc_of_path(), "text")
+
+
+@query
+def texts_followed(t: Tables) -> DataFrame:
+    """New text files as a stream of lines."""
+    lines = follow_texts(t.spark, files.text_files_of(t.texts("documents")), files_per_trigger=1_000_000)
+    return run_to_end(lines).select(_doc_of_path(), "para_idx", "text")
+
+
+@query
+def status_files_read(t: Tables) -> DataFrame:
+    folder = files.status_files(jobs.fold_job_status(t.status_events()))
+    return read_job_status(t.spark, folder).select("id", "status", "progress", "started_at", "message", "error", "_bad")
+
+
+@query
+def chunk_store_read(t: Tables) -> DataFrame:
+    folder = new_folder(t.spark, "chunks")
+    write_chunk_store(retrieval.chunk_windows(t.texts("documents"), "doc_id"), folder, key="doc_id")
+    return read_chunk_store(t.spark, folder).select("doc_id", "chunk_idx", "start", "text")

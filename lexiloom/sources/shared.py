@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import dataset, fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.session import shared_folder
 
@@ -19,9 +19,14 @@ def folder_uri(folder: str) -> str:
     return "file://" + "/" + rest.lstrip("/") if scheme == "file" else re.sub("^s3[an]:", "s3:", folder)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the session's shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def keep_for_tasks(df: DataFrame, name: str) -> str:
     """Writes `df` to a new folder below the session's shared one and returns it. No row passes through the driver."""
-    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}/table"
+    folder = f"{new_folder(df.sparkSession, name)}/table"
     df.write.option("compression", "zstd").parquet(folder)
     return folder
 
