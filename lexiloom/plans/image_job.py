@@ -36,7 +36,7 @@ def corrected_lines(
     """
 
     def asked(requests: DataFrame, prompt: Column, service: Factory) -> DataFrame:
-        replies = materialize(requests.select("image_id", text_hook(service, attempts)(prompt).alias("reply")))
+        replies = materialize(requests.select("image_id", text_hook(service, attempts)(prompt, F.lit("")).getField("answer").alias("reply")))
         return explode_numbered_lines(replies)
 
     prompt = F.concat_ws("\n\n", "numbered_text", "full_text")
