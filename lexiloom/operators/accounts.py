@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed_values as fixed
@@ -38,14 +38,20 @@ def delete_effects(deleted: DataFrame, transactions: DataFrame, history: DataFra
     )
 
 
+def _asks_for_delete(changes: DataFrame) -> Column:
+    """Every row of a feed without `action`; otherwise those whose action is `delete`."""
+    return F.coalesce(F.col("action") == "delete", F.lit(False)) if "action" in changes.columns else F.lit(True)
+
+
 def history_delete_verdicts(changes: DataFrame, history: DataFrame) -> DataFrame:
-    """Adds `outcome` to delete requests: deleted, not_owner, not_found, or already_gone.
+    """Adds `outcome` to a change feed: deleted, not_owner, not_found or already_gone, and other_action for what is no delete request.
 
     The first owner's request for a row takes it; later requests do not find it.
     """
+    asks = _asks_for_delete(changes)
     owners = history.select(F.col("id").alias("history_id"), F.col("user_id").alias("_owner"))
     judged = changes.join(owners, "history_id", "left").withColumn(
-        "_fits", F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
+        "_fits", asks & F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
     )
     first = (
         judged.filter("_fits").groupBy("history_id").agg(F.min("seq").alias("_first"))
@@ -54,7 +60,8 @@ def history_delete_verdicts(changes: DataFrame, history: DataFrame) -> DataFrame
         judged.join(first, "history_id", "left")
         .withColumn(
             "outcome",
-            F.when(F.col("_owner").isNull(), "not_found")
+            F.when(~asks, "other_action")
+            .when(F.col("_owner").isNull(), "not_found")
             .when(F.col("seq") > F.col("_first"), "already_gone")
             .when(F.col("_fits"), "deleted")
             .otherwise("not_owner"),
@@ -65,7 +72,7 @@ def history_delete_verdicts(changes: DataFrame, history: DataFrame) -> DataFrame
 
 def apply_history_deletes(history: DataFrame, changes: DataFrame) -> DataFrame:
     """History without the rows that their owners deleted."""
-    gone = changes.select(F.col("history_id").alias("id"), "user_id").distinct()
+    gone = changes.filter(_asks_for_delete(changes)).select(F.col("history_id").alias("id"), "user_id").distinct()
     return history.join(gone, ["id", "user_id"], "left_anti")
 
 

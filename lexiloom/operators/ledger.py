@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.text import iso_text, micros
-from lexiloom.operators.selection import numbers_of, rows_at
+from lexiloom.operators.selection import numbers_of, rows_at, small_numbers
 from lexiloom.operators.skew import take_ranks
 
 PURCHASE, USAGE = "purchase", "usage"
@@ -179,7 +179,7 @@ def page_per_user(
     order = [F.col(c).asc() if rising else F.col(c).desc() for c in (time, tie)]
     if last > TASK_PRUNED_RANKS:
         at = micros(F.col(time)) * (1 if rising else -1)
-        ties = [n.value for n in numbers_of(df, tie, descending=not rising)]
+        ties = small_numbers(numbers_of(df, tie, descending=not rising))
         wanted = take_ranks(df, ["user_id"], at, order, skip, limit, nulls_first=rising, name="position", ties=ties)
     else:
         ranked = df.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import fixed_values as fixed
 from lexiloom.functions.languages import DEFAULT_OCR, TRANSLATOR_NAMES, iso_rows, name_rows
 from lexiloom.functions.text import is_blank, strip
+from lexiloom.operators.selection import numbers_of, small_numbers
 from lexiloom.operators.skew import GROUP_ROWS, cut_into_slices, running_count, running_islands, split_hot
 from lexiloom.session import materialize
 
@@ -58,13 +59,15 @@ def _merge_once(boxes: DataFrame, horizontal: int, vertical: int, max_rows: int
     # The second window and the aggregate reuse the partitioning by image.
     marked = _islands(lines, by_line, x_order, x_max, x_min, new_group, "group_no")
     if hot is not None:
-        sliced = materialize(cut_into_slices(hot, ["image_id"], F.col("_top"), max_rows))
+        # Boxes that share a top, or a left edge, are cut by what they are sorted by next.
+        by_idx = small_numbers(numbers_of(hot, "idx"))
+        sliced = materialize(cut_into_slices(hot, ["image_id"], F.col("_top"), max_rows, ties=by_idx))
         hot_lines = running_islands(sliced, ["image_id"], y_order, center, center, new_line, "line").drop("_slice")
         # A crowded image mostly has ordinary lines; only crowded lines are cut once more.
         short, long = split_hot(materialize(hot_lines), by_line, max_rows)
         marked = marked.unionByName(_islands(short, by_line, x_order, x_max, x_min, new_group, "group_no"))
         if long is not None:
-            sliced = materialize(cut_into_slices(long, by_line, x_min, max_rows))
+            sliced = materialize(cut_into_slices(long, by_line, x_min, max_rows, ties=[F.col("_top"), *by_idx]))
             marked = marked.unionByName(running_islands(sliced, by_line, x_order, x_max, x_min, new_group, "group_no").drop("_slice"))
     return merge_box_group(marked, [*by_line, "group_no"], ["x_min", "_top", "idx"])
 
@@ -97,7 +100,8 @@ def region_numbers(boxes: DataFrame, max_rows: int | None = GROUP_ROWS) -> DataF
     usual, hot = split_hot(boxes, keys, max_rows)
     numbered = usual.withColumn("region", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     if hot is not None:
-        sliced = materialize(cut_into_slices(hot, keys, F.col("idx"), max_rows))
+        first, *ties = small_numbers(numbers_of(hot, "idx")) or [F.col("idx")]
+        sliced = materialize(cut_into_slices(hot, keys, first, max_rows, ties=ties))
         numbered = numbered.unionByName(running_count(sliced, keys, order, "region").drop("_slice"))
     return numbered
 

@@ -23,7 +23,7 @@ from lexiloom.functions.text import micros
 BINS = 1024
 SORTED_ROWS = 10_000
 # Bytes of a text that one number holds, and numbers that a text is ordered by; texts that agree in these are sorted together.
-TEXT_BYTES, TEXT_NUMBERS = 7, 5
+TEXT_BYTES, TEXT_NUMBERS = 6, 6
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,7 @@ class Number:
 
     value: Column
     nulls_first: bool
+    wide: bool = False  # may need more bits than a double holds
     unfinished: Column | None = None  # rows with equal numbers that may differ further on, before the next number counts
 
     def before(self, bound: int | None) -> Column:
@@ -61,12 +62,22 @@ def numbers_of(df: DataFrame, name: str, descending: bool = False) -> list[Numbe
         values = [F.conv(F.rpad(F.hex(part(i)), 2 * TEXT_BYTES, "0"), 16, 10).cast("long") for i in range(TEXT_NUMBERS)]
     else:
         values = []
-    numbers = [Number(F.bitwise_not(v) if descending else v, not descending) for v in values]
+    numbers = [Number(F.bitwise_not(v) if descending else v, not descending, isinstance(kind, T.LongType)) for v in values]
     if isinstance(kind, T.StringType):
         numbers[-1] = replace(numbers[-1], unfinished=F.octet_length(column) > TEXT_BYTES * TEXT_NUMBERS)
     return numbers
 
 
+def small_numbers(numbers: Sequence[Number]) -> list[Column]:
+    """The same order by numbers that doubles hold exactly: wide ones by halves. Missing values become the least or the largest."""
+    out = []
+    for number in numbers:
+        bound = 2**63 if number.wide else 2**50
+        whole = F.coalesce(number.value, F.lit(-bound if number.nulls_first else bound - 1))
+        out += [F.shiftright(whole, 32), whole.bitwiseAND(F.lit(2**32 - 1))] if number.wide else [whole]
+    return out
+
+
 @dataclass(frozen=True)
 class Region:
     """Rows next to each other in the order: `fixed` values of the first numbers, and a range of the next one.

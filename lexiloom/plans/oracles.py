@@ -57,9 +57,9 @@ CTES = {
     "history": """SELECT doc_id AS id, doc_id % 150 AS user_id, text AS input_text, '> ' || text AS output_text,
         lang AS source_language, CASE doc_id % 3 WHEN 0 THEN 'vi' WHEN 1 THEN 'en' ELSE 'ja' END AS target_language,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at FROM documents""",
-    "history_changes": """SELECT event_id AS seq,
+    "history_changes": """SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'delete' ELSE event_type END AS action,
         user_id + 150 * (event_id % 8) + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS history_id, user_id, ts
-        FROM events WHERE event_type = 'error'""",
+        FROM events""",
     "user_changes": """SELECT event_id AS seq, user_id,
         CASE event_type WHEN 'error' THEN 'role' WHEN 'signup' THEN 'active' WHEN 'click' THEN 'add'
             WHEN 'view' THEN 'subtract' ELSE 'delete' END AS action,
@@ -335,11 +335,7 @@ BODIES = {
         FROM users LEFT JOIN (SELECT user_id, count(*) AS n FROM tx GROUP BY ALL) t USING (user_id)
         LEFT JOIN (SELECT user_id, count(*) AS n FROM history GROUP BY ALL) h USING (user_id)""",
     "changes_applied": """SELECT id, user_id, source_language FROM history h WHERE NOT EXISTS
-        (SELECT 1 FROM history_changes c WHERE c.history_id = h.id AND c.user_id = h.user_id)""",
-    "change_outcomes": """SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN id IS NULL THEN 'not_found'
-            WHEN seq > min(CASE WHEN h.user_id = c.user_id THEN seq END) OVER (PARTITION BY history_id) THEN 'already_gone'
-            WHEN h.user_id = c.user_id THEN 'deleted' ELSE 'not_owner' END AS outcome, count(*) AS changes
-        FROM (SELECT c.*, h.id, h.user_id AS owner FROM history_changes c LEFT JOIN history h ON c.history_id = h.id)""",
+        (SELECT 1 FROM history_changes c WHERE c.action = 'delete' AND c.history_id = h.id AND c.user_id = h.user_id)""",
     "history_cleared": """SELECT id, user_id FROM history
         WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
     "profiles_updated": """SELECT user_id, coalesce(n, username) AS username, coalesce(e, email) AS email FROM users
@@ -572,9 +568,9 @@ BODIES = {
     "unanswered": "SELECT query_id FROM queries_v WHERE query_id NOT IN (SELECT query_id FROM nearest WHERE label = query_id)",
 }
 BODIES["change_outcomes"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, outcome, count(*) AS changes FROM (
-        SELECT ts, CASE WHEN owner IS NULL THEN 'not_found' WHEN seq > first THEN 'already_gone'
+        SELECT ts, CASE WHEN action <> 'delete' THEN 'other_action' WHEN owner IS NULL THEN 'not_found' WHEN seq > first THEN 'already_gone'
             WHEN owner = user_id THEN 'deleted' ELSE 'not_owner' END AS outcome FROM (
-        SELECT c.*, h.user_id AS owner, min(CASE WHEN h.user_id = c.user_id THEN seq END) OVER (PARTITION BY history_id) AS first
+        SELECT c.*, h.user_id AS owner, min(CASE WHEN h.user_id = c.user_id AND action = 'delete' THEN seq END) OVER (PARTITION BY history_id) AS first
         FROM history_changes c LEFT JOIN history h ON c.history_id = h.id)) GROUP BY ALL"""
 
 

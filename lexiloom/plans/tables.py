@@ -81,10 +81,11 @@ class Tables:
         )
 
     def history_changes(self) -> DataFrame:
-        """Delete requests: some fit, some come from a stranger, some name no row."""
+        """A feed with delete requests among other changes: some fit, some come from a stranger, some name no row."""
         key = F.col("event_id")
-        return self.given("events").filter("event_type = 'error'").select(
+        return self.given("events").select(
             key.alias("seq"),
+            F.when(F.col("event_type") == "error", "delete").otherwise(F.col("event_type")).alias("action"),
             (F.col("user_id") + 150 * (key % 8) + F.when(key % 3 == 0, 1).otherwise(0)).alias("history_id"),
             "user_id",
             F.col("ts"),

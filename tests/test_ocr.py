@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.inference import constant_factory
@@ -190,3 +191,27 @@ def test_a_strict_second_request_is_made_where_counts_differ(spark, tmp_path):
     got = image_job.corrected_lines(lines, full, constant_factory(service))
     assert sorted((r.image_id, r.pos, r.text_corrected) for r in got.collect()) == [(1, 0, "A"), (2, 0, "B"), (2, 1, "C")]
     assert sorted(open(seen).read().splitlines()) == sorted(map(repr, ["1. a\n\na", "1. b\n2. c\n\nbc", "1. b\n2. c"]))
+
+
+@pytest.mark.parametrize("kind", ["text", "number"])
+def test_one_image_with_one_top_and_one_left_edge(spark, monkeypatch, kind):
+    """Crowds of one value are cut by the box number: no slice is larger than twice the bound, and results stay the same."""
+    import random
+
+    from lexiloom.operators import skew
+
+    rnd = random.Random(1)
+    name = (lambda i: f"{i * 7919 % 1000:06d} of the one long line") if kind == "text" else (lambda i: i * 7919 % 1000 - 2**60)
+    data = [(1, name(i), 0 if i % 3 else rnd.randrange(900), 5, 40 + rnd.randrange(900), 15, f"w{i}", 0.5) for i in range(300)]
+    boxes = spark.createDataFrame(data, f"image_id long, idx {'string' if kind == 'text' else 'long'}, x_min int, y_min int, x_max int, y_max int, text string, confidence double").repartition(3)
+    sizes = []
+    plain = skew.cut_into_slices
+    def noted(df, keys, *a, **k):
+        cut = plain(df, keys, *a, **k)
+        sizes.append(cut.groupBy(*keys, "_slice").count().agg({"count": "max"}).first()[0])
+        return cut
+    monkeypatch.setattr(ocr, "cut_into_slices", noted)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(ocr.merge_nearby_boxes(boxes, max_rows=60)) == rows(ocr.merge_nearby_boxes(boxes, max_rows=None))
+    assert rows(ocr.region_numbers(boxes, max_rows=60)) == rows(ocr.region_numbers(boxes, max_rows=None))
+    assert len(sizes) >= 3 and max(sizes) <= 120
