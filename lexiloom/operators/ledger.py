@@ -161,10 +161,16 @@ def page(
     tie: str = "id",
     max_limit: int = MAX_LIMIT,
 ) -> DataFrame:
-    """One page of the table in time order; a deep page costs what the first one does, also where one moment holds all rows."""
+    """One page of the table in time order, also where one moment holds all rows.
+
+    For the first `TASK_PRUNED_RANKS` rows every task keeps no more than these;
+    deeper pages are found by counting and cost the same at any depth.
+    """
     _check_page(skip, limit, max_limit)
     rising = (direction or "").lower() == "asc"
     order = [F.col(time).asc(), F.col(tie).asc()] if rising else [F.col(time).desc(), F.col(tie).desc()]
+    if skip + limit <= TASK_PRUNED_RANKS:
+        return df.orderBy(*order).offset(skip).limit(limit)
     numbers = [n for name in (time, tie) for n in numbers_of(df, name, descending=not rising)]
     return order_by_time(rows_at(df, numbers, order, skip, limit).drop("_rank"), direction, time, tie)
 

@@ -125,11 +125,12 @@ class _Nearest:
         self.held[:] = False
         self.held[query, rank], self.distances[query, rank], self.ids[query, rank] = True, place[best], found[best]
 
-    def rows(self, numbers: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
+    def rows(self, asked: pa.RecordBatch, id_type: pa.DataType) -> pa.RecordBatch:
+        """Rows for the block's queries, of which `asked` has the numbers and ids."""
         query, place = np.nonzero(self.held)
         ids = pa.array([] if self.ids is None else self.ids[query, place].tolist(), id_type)
-        columns = [pa.array(numbers[query], pa.int64()), ids, pa.array(self.distances[query, place], pa.float64())]
-        return pa.RecordBatch.from_arrays(columns, names=["query", "found", "distance"])
+        columns = [*(c.take(pa.array(query)) for c in asked.columns), ids, pa.array(self.distances[query, place], pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=["query", "asking", "found", "distance"])
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -173,34 +174,36 @@ def retrieve_topk(
     as often as it stands there.
     """
     present = F.col(vector).isNotNull()
-    asked = queries.filter(present).select(query_name, F.col(vector).cast("array<double>").alias("asked"), F.monotonically_increasing_id().alias("query"))
+    asked = queries.filter(present).select(
+        F.monotonically_increasing_id().alias("query"), F.col(query_name).alias("asking"), F.col(vector).cast("array<double>").alias("asked")
+    )
     folder = keep_for_tasks(asked, "questions")
     vectors = corpus.filter(present).select(F.col(id_name).alias("found"), F.col(vector).cast("array<double>").alias("vector"))
     id_type = corpus.schema[id_name].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[np.ndarray, _Nearest]] = {}
+        kept: dict[int, tuple[pa.RecordBatch, _Nearest]] = {}
         kind = pa.int64()
         for part in _parts(batches, PART_VECTORS):
             kind = part.schema.field("found").type
             ids, there = _ids(part.column("found").combine_chunks()), _matrix(part.column("vector").combine_chunks())
             for number, some in enumerate(batches_of(folder, block)):
-                numbers, wanted = np.asarray(some.column("query")), _matrix(some.column("asked"))
-                nearest = kept[number][1] if number in kept else _Nearest(len(numbers), k)
+                names, wanted = some.select(["query", "asking"]), _matrix(some.column("asked"))
+                nearest = kept[number][1] if number in kept else _Nearest(len(wanted), k)
                 for at in range(0, len(ids), BLOCK_VECTORS):
                     nearest.look(wanted, ids[at : at + BLOCK_VECTORS], there[at : at + BLOCK_VECTORS])
                 if (number + 1) * block <= held_queries:
-                    kept[number] = numbers, nearest
+                    kept[number] = names, nearest
                 else:
-                    yield nearest.rows(numbers, kind)
-        for numbers, nearest in kept.values():
-            yield nearest.rows(numbers, kind)
+                    yield nearest.rows(names, kind)
+        for names, nearest in kept.values():
+            yield nearest.rows(names, kind)
 
-    found = vectors.mapInArrow(search, f"query long, found {id_type}, distance double")
+    query_type = asked.schema["asking"].dataType.simpleString()
+    found = vectors.mapInArrow(search, f"query long, asking {query_type}, found {id_type}, distance double")
     order = Window.partitionBy("query").orderBy("distance", "found")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    names = queries.sparkSession.read.schema(asked.schema).parquet(folder).select(query_name, "query")
-    return ranked.join(names, "query").select(query_name, F.col("found").alias(id_name), "distance", "rank")
+    return ranked.select(F.col("asking").alias(query_name), F.col("found").alias(id_name), "distance", "rank")
 
 
 def split_by_grade(pairs: DataFrame, questions: DataFrame, question: str = "query_id") -> tuple[DataFrame, DataFrame]:
