@@ -3,15 +3,20 @@
 A page becomes a tree of elements. Every paragraph-like block with enough text
 earns points for its length and its commas and passes them to its parent in
 full and to its grandparent by half; a container's points shrink with the share
-of its text that stands in links. The best container and those of its siblings
-that are good enough themselves make up the main text. Menus, forms, scripts
-and the like are cut off before.
+of its text that stands in links. From the best container the way leads up as
+long as what stands beside it isn't mostly links, and all of that belongs to
+the main text, whatever its length. Where a page names its articles, all of
+them are taken with their headlines. Menus, scripts and the like are cut off
+before; so are forms, unless one wraps most of the page, and reader comments.
+Every step is linear in the page, also for tags and quotes that never end.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -19,10 +24,12 @@ from pyspark.sql import DataFrame
 # Names of elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math".split())
-DROPPED = RAW | frozenset("head nav header footer aside form button select dialog menu object canvas audio video".split())
+DROPPED = RAW | frozenset("head nav header footer aside button select label legend datalist dialog menu object canvas audio video".split())
+ARTICLES = ("article", "main")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody tfoot "
-    "tr td th figure figcaption address details summary fieldset center hr hgroup".split()
+    "tr td th figure figcaption address details summary fieldset center hr hgroup form header".split()
 )
 PARAGRAPHS = frozenset("p pre blockquote td li dd h2 h3 h4 h5 h6 div section article main body".split())
 #: An opening tag closes elements of these names that are still open, up to the nearest of the second set.
@@ -39,11 +46,26 @@ UNLIKELY = frozenset(
     "pagination pager header masthead footer comment comments disqus reply replies respond login toolbar skip hidden".split()
 )
 LIKELY = frozenset("article content main post entry story body text page".split())
-#: First words of class names that speak of other parts of the page.
+#: Parts whose header holds the headline.
+WITH_HEADLINE = frozenset("article content post entry story".split())
+#: Two of these words written as one, as in "commentlist".
+JOINED = re.compile(
+    "(?:comments?|sidebar|related|share|social|promo|newsletter|menu|nav|footer|advert|ads?|cookie)"
+    "(?:lists?|box|boxes|form|area|section|bar|links?|wrap|wrapper|container|thread|block|panel|items?|buttons?)"
+)
+#: Headings of reader comments, with or without their number.
+COMMENTS = re.compile(
+    r"\W*(?:[0-9]+\s+)?(?:(?:reader|user|leave a|post a|add a)\s+)?(?:comments?|reply|replies|responses?|kommentare?|commentaires?|comentarios?)(?:\s*\(?[0-9]+\)?)?\W*", re.I
+)
+#: Words in class names from which on they speak of other parts of the page.
 ABOUT_OTHERS = frozenset("has with no without".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+#: What stands between a tag's name and its end. A quote opens a value after "=" only, and only if it is closed again.
+TAG_END = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+ATTRIBUTES = frozenset("class id role hidden aria-hidden style".split())
+LONG_ZEROS, LONG_NUMBER = re.compile(r"&#0{8,}+(?=[0-9])"), re.compile(r"&#[0-9]{9,}+;?")
 SPACE = re.compile(r"\s+")
 LEAST_PARAGRAPH = 25
 
@@ -60,9 +82,12 @@ class Element:
 def judged(name: str) -> int:
     """-1 if a class name or id starts or ends with a word for no main text, 1 if it has a word for main text, else 0."""
     parts = [p.lower() for p in NAME_PARTS.findall(name)]
-    if not parts or parts[0] in ABOUT_OTHERS:
+    parts = parts[: next((i for i, p in enumerate(parts) if p in ABOUT_OTHERS), None)]
+    if not parts:
         return 0
-    if parts[0] in UNLIKELY or parts[-1] in UNLIKELY:
+    if parts[-1] == "header" and parts[0] in WITH_HEADLINE:
+        return 0
+    if any(p in UNLIKELY or JOINED.fullmatch(p) for p in (parts[0], parts[-1])):
         return -1
     return int(not LIKELY.isdisjoint(parts))
 
@@ -72,6 +97,8 @@ def described(attributes: str) -> tuple[bool, int]:
     weight = 0
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
+        if name not in ATTRIBUTES:
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True, 0
         if name == "role" and value in ("complementary", "contentinfo", "search", "dialog", "navigation", "banner"):
@@ -84,19 +111,85 @@ def described(attributes: str) -> tuple[bool, int]:
     return False, weight
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each tag; comments and declarations have an empty name.
+
+    A `<` that no `>` follows is text. If the values of a tag run to the end of
+    the page, quotes count no more from there on. Inside scripts and the like
+    nothing is a tag but their own end, which comes out with them as one.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while 0 <= (start := page.find("<", at)) < last or page.startswith("<!--", start):
+        if start < 0:
+            return
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 2)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, False, "", ""
+        elif page[at] in "!?":
+            at = page.index(">", at) + 1
+            yield start, at, False, "", ""
+        elif found := TAG_NAME.match(page, at):
+            end = TAG_END.match(page, found.end()) if quotes else None
+            if quotes and end is None:
+                quotes = False
+            at = end.end() if end else page.index(">", found.end() - 1 if page[found.end() - 1] == ">" else found.end()) + 1
+            closing, name = page[start + 1] == "/", found[1].lower()
+            attributes = page[found.end() : at - 1]
+            if name in RAW and not closing:
+                at = _raw_end(page, name, at)
+            yield start, at, closing, name, attributes
+
+
+class Path:
+    """The open elements from the root down, and at which depths each name is open."""
+
+    def __init__(self, root: Element):
+        self.nodes, self.depths, self.blocks = [root], defaultdict(list), []
+
+    def open(self, child: Element) -> None:
+        self.nodes[-1].items.append(child)
+        self.depths[child.name].append(len(self.nodes))
+        if child.name in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(child)
+
+    def close(self, depth: int) -> None:
+        """Close the element at `depth` and all inside it."""
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            self.depths[node.name].pop()
+            if node.name in BLOCKS:
+                self.blocks.pop()
+
+    def deepest(self, names: Iterator[str]) -> int:
+        return max((self.depths[x][-1] for x in names if self.depths[x]), default=0)
+
+    def end_tag(self, name: str) -> None:
+        """A stray end tag does nothing, and one of an inline element doesn't close blocks."""
+        depth = self.deepest((name,))
+        if depth and not (name in INLINE and self.blocks and self.blocks[-1] > depth):
+            self.close(depth)
+
+    def make_room(self, name: str) -> None:
+        """Close what a block of this name can't stand in."""
+        shut, until = CLOSES.get(name, ({"p"} if name in CLOSE_P else set(), {"td", "th", "li", "button"}))
+        bound = self.deepest(until)
+        inside = [depths[k] for x in shut if (depths := self.depths[x]) and (k := bisect_right(depths, bound)) < len(depths)]
+        if inside:
+            self.close(min(inside))
+
+
 def parsed(page: str) -> Element:
     """The tree of a page without dropped parts. Tags that are open at the end count as closed there."""
-    root = here = Element("html", None)
+    root = Element("html", None)
+    path = Path(root)
     at, skipped, depth = 0, "", 0  # inside a dropped element: its name, and how many of that name are open
-    matches = TAG.finditer(page)
-    raw_end = 0
-    for tag in matches:
-        if tag.start() < raw_end:
-            continue
-        if not skipped and tag.start() > at:
-            here.items.append(page[at : tag.start()])
-        at = tag.end()
-        closing, name = tag[1], (tag[2] or "").lower()
+    for start, end, closing, name, attributes in tags(page):
+        if not skipped and start > at:
+            path.nodes[-1].items.append(page[at:start])
+        at = end
         if not name:
             continue
         if skipped:
@@ -104,46 +197,29 @@ def parsed(page: str) -> Element:
                 depth += -1 if closing else 1
                 if depth == 0:
                     skipped = ""
-            elif not closing and name in RAW:
-                raw_end = at = _raw_end(page, name, at)
             continue
         if closing:
-            node: Element | None = here
-            while node is not None and node.name != name:
-                if name in INLINE and node.name in BLOCKS:
-                    node = None  # a stray inline end tag doesn't close blocks
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            path.end_tag(name)
             continue
         if name in RAW:
-            raw_end = at = _raw_end(page, name, at)
             continue
         if name in VOID:
-            here.items.append(Element(name, here))
+            path.nodes[-1].items.append(Element(name, path.nodes[-1]))
             continue
         if name in BLOCKS or name in DROPPED:
-            shut, until = CLOSES.get(name, ({"p"} if name in CLOSE_P else set(), {"td", "th", "li", "button"}))
-            node, last = here, None
-            while node is not None and node.name not in until:
-                if node.name in shut:
-                    last = node
-                node = node.parent
-            if last is not None and last.parent is not None:
-                here = last.parent
-        unlikely, weight = described(tag[3]) if tag[3] else (False, 0)
-        if name in DROPPED or unlikely and name not in ("html", "body", "article", "main"):
-            if not tag[3].endswith("/"):
+            path.make_room(name)
+        unlikely, weight = described(attributes) if attributes else (False, 0)
+        inside = bool(path.deepest(ARTICLES))
+        kept = name in ("html", "body", "main") or name == "article" and not inside
+        if name in DROPPED and not (name == "header" and inside) or unlikely and not kept:
+            if not attributes.endswith("/"):
                 skipped, depth = name, 1
             continue
-        if name in ("html", "body") and here is root:
+        if name in ("html", "body") and len(path.nodes) == 1:
             continue
-        child = Element(name, here, weight)
-        here.items.append(child)
-        here = child
+        path.open(Element(name, path.nodes[-1], weight))
     if not skipped and at < len(page):
-        here.items.append(page[at:])
+        path.nodes[-1].items.append(page[at:])
     return root
 
 
@@ -152,27 +228,54 @@ def _raw_end(page: str, name: str, at: int) -> int:
     return end.end() if end else len(page)
 
 
-def scored(root: Element) -> Element:
-    """Fill in lengths, link lengths and points from the leaves up, and return the best container."""
+def measured(root: Element) -> list[Element]:
+    """All elements, each before those inside it, with their lengths and lengths in links filled in."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [x for x in node.items if isinstance(x, Element)]
+    for node in reversed(order):
+        inside = [x for x in node.items if isinstance(x, Element)]
+        node.chars = sum(x.chars for x in inside) + sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        node.linked = node.chars if node.name == "a" else sum(x.linked for x in inside)
+    return order
+
+
+def trimmed(root: Element) -> None:
+    """Cut off forms, but not one that holds a paragraph and most of the page, and comments under a heading of their own.
+
+    Comments run from their heading to the end of its parent; a part that
+    begins with the heading goes as a whole.
+    """
+    order = measured(root)
+    wide = set()  # elements with a paragraph inside
+    for node in reversed(order):
+        if id(node) in wide or node.name in PARAGRAPHS and sum(len(x) for x in node.items if isinstance(x, str)) >= LEAST_PARAGRAPH:
+            wide.update((id(node), id(node.parent)))
+    for node in order:
+        if node.name == "form" and not (id(node) in wide and 2 * node.chars > root.chars):
+            node.items = []
+    for node in reversed(order):
+        ends = [i for i, x in enumerate(node.items) if isinstance(x, Element) and x.name in HEADINGS]
+        if not ends or not 0 < node.items[ends[-1]].chars <= 60:
+            continue
+        at = ends[-1]
+        if COMMENTS.fullmatch(" ".join(blocks_of([node.items[at]]))) and (at != 0 or node.name not in ARTICLES):
+            node.items = node.items[:at]
+
+
+def scored(root: Element) -> Element:
+    """Give points from the leaves up, and return the best container."""
+    order = measured(root)
     for node in reversed(order):
         own = commas = 0
         for item in node.items:
             if isinstance(item, str):
                 own += len(item.strip())
                 commas += item.count(",")
-            else:
-                node.chars += item.chars
-                node.linked += item.linked
-                if item.name not in BLOCKS:
-                    own += item.chars
-        node.chars += sum(len(x.strip()) for x in node.items if isinstance(x, str))
-        if node.name == "a":
-            node.linked = node.chars
+            elif item.name not in BLOCKS:
+                own += item.chars
         node.score += node.weight
         if node.name in PARAGRAPHS and own >= LEAST_PARAGRAPH:
             points = 1 + commas + min(own // 100, 30)
@@ -181,17 +284,22 @@ def scored(root: Element) -> Element:
                     up.score += share * points
     for node in order:
         node.score *= 1 - node.linked / max(1, node.chars)
-    boxes = [x for x in order if x.name in BLOCKS and x.name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6")]
+    boxes = [x for x in order if x.name in BLOCKS and x.name not in ("p", *HEADINGS)]
     return max(boxes, key=lambda x: x.score, default=root)
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond all characters give the replacement character, however long they are."""
+    return html.unescape(LONG_NUMBER.sub("\ufffd", LONG_ZEROS.sub("&#", text))) if "&" in text else text
+
+
 def blocks_of(nodes: list[Element]) -> list[str]:
     """Texts of the blocks in page order: references decoded, white space inside a block turned into one space."""
     out: list[str] = []
     held: list[str] = []
 
     def close() -> None:
-        text = SPACE.sub(" ", html.unescape("".join(held))).strip()
+        text = SPACE.sub(" ", decoded("".join(held))).strip()
         held.clear()
         if text:
             out.append(text)
@@ -218,43 +326,52 @@ def blocks_of(nodes: list[Element]) -> list[str]:
 def main_text(page: str | None) -> str:
     """The main text of a page; empty for a null or empty page and for one without text."""
     root = parsed(page or "")
+    trimmed(root)
     best = scored(root)
-    articles = [x for x in _named(root, ("article", "main")) if x.chars >= LEAST_PARAGRAPH]
-    if articles and not any(_inside(best, x) for x in articles) and not any(_inside(x, best) for x in articles):
-        best = max(articles, key=lambda x: x.chars)
-    while best.parent is not None and best.name not in ("article", "main") and any(best.parent is x or _inside(best.parent, x) for x in articles):
-        best = best.parent  # all of an article, not its best section alone
-    chosen = [best]
-    if best.parent is not None and best.name not in ("article", "main"):
-        least = max(10.0, best.score * 0.2)
-        chosen = []
-        for item in best.parent.items:
-            if item is best:
-                chosen.append(item)
-            elif isinstance(item, Element) and item.chars:
-                density = item.linked / item.chars
-                if item.score >= least or item.name in ("p", "h1", "h2", "h3") and item.chars >= LEAST_PARAGRAPH and density < 0.25:
-                    chosen.append(item)
-    return "\n".join(blocks_of(chosen))
-
-
-def _named(root: Element, names: tuple[str, ...]) -> list[Element]:
-    found, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.name in names:
-            found.append(node)
-        stack += [x for x in node.items if isinstance(x, Element)]
-    return found
+    return "\n".join(blocks_of(_articles(root, best) or _around(best)))
+
 
+def _plain(item: Element | str) -> bool:
+    """Whether a part beside main text is main text as well: it has text, and less than a third of it in links."""
+    return isinstance(item, str) or item.name in VOID or 0 < item.chars and 3 * item.linked < item.chars
 
-def _inside(node: Element, above: Element) -> bool:
-    up: Element | None = node
-    while up is not None:
-        if up is above:
-            return True
+
+def _articles(root: Element, best: Element) -> list[Element | str]:
+    """What a page itself names as its articles, if that has the best container or most of its text."""
+    tops, stack = [], [(root, False)]
+    inside_best = 0
+    while stack:
+        node, within = stack.pop()
+        within = within or node is best
+        if node.name in ARTICLES and node.chars >= LEAST_PARAGRAPH:
+            tops.append(node)
+            inside_best += node.chars if within else 0
+        else:
+            stack += [(x, within) for x in reversed(node.items) if isinstance(x, Element)]
+    if not tops or 0 < 2 * inside_best < best.chars:
+        return []
+    known, up = {id(x): x for x in tops}, best
+    while up is not None and id(up) not in known:
         up = up.parent
-    return False
+    chosen = up or max(tops, key=lambda x: x.chars)
+    if chosen.name == "main":
+        named = sum(x.chars for x in chosen.items if isinstance(x, Element) and x.name == "article")
+        return [x for x in chosen.items if _plain(x)] if 2 * named >= chosen.chars else [chosen]
+    return [x for x in tops if x is chosen or x.parent is chosen.parent and _plain(x)]
+
+
+def _around(best: Element) -> list[Element | str]:
+    """The best container and what stands beside it, up to the first ancestor whose other parts are mostly links."""
+    chosen: list[Element | str] = [best]
+    node = best
+    while (above := node.parent) is not None:
+        other = above.chars - node.chars
+        if node is not best and 3 * (above.linked - node.linked) >= other > 0:
+            break
+        at = next(i for i, x in enumerate(above.items) if x is node)
+        chosen = [x for x in above.items[:at] if _plain(x)] + chosen + [x for x in above.items[at + 1 :] if _plain(x)]
+        node = above
+    return chosen
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -426,6 +426,90 @@ def test_names_of_parts():
 def test_main_text(name):
     assert html_text.main_text(PAGES[name]) == "\n".join(["Title & more", *STORY])
 
+TEN = "".join(f"<p>{p}</p>" for p in STORY)
+TALK = "<p>I like it a lot, as a reader, and I read it more than once, thanks</p>"
+WHOLE = ["T", *STORY]
+SHAPES = {
+    "closing part": (f"<body><div id=wrap><div class=part><h1>T</h1>{TEN}{TEN}</div><div><h2>End</h2>{TALK}</div><h4>s</h4><ul><li>a<li>b</ul>bare</div></body>",
+                     [*WHOLE, *STORY, "End", TALK[3:-4], "s", "a", "b", "bare"]),
+    "parts in parts": (f"<body><div><div><div><h1>T</h1>{TEN}</div></div><div><div>{TALK}</div></div></div></body>", [*WHOLE, TALK[3:-4]]),
+    "links beside": (f"<body><div><div><h1>T</h1>{TEN}</div><div><a href=x>Other story</a> <a href=y>Some more</a></div></div></body>", WHOLE),
+    "about others": (f"<body><div class='content-with-sidebar'><h1>T</h1>{TEN}</div></body>", WHOLE),
+    "article header": (f"<header>Site</header><article><header><h1>T</h1></header>{TEN}</article>", WHOLE),
+    "entry header": (f"<div class=post><div class='entry-header'><h1>T</h1></div>{TEN}</div>", WHOLE),
+    "two articles": (f"<main><article><h1>T</h1>{TEN}</article><article>{TALK}</article></main>", [*WHOLE, TALK[3:-4]]),
+    "form around all": (f"<body><form action=x><input><label>Find</label><div><h1>T</h1>{TEN}</div></form></body>", WHOLE),
+    "form inside": (f"<article><h1>T</h1>{TEN}<form><p>Write to us and tell us all that you think of it</p></form></article>", WHOLE),
+    "comment list": (f"<article><h1>T</h1>{TEN}<ol class='commentlist'><li>{TALK}</ol></article>", WHOLE),
+    "comment part": (f"<article><h1>T</h1>{TEN}<section><h3>3 Comments</h3>{TALK}</section></article>", WHOLE),
+    "comment heading": (f"<article><h1>T</h1>{TEN}<h3>Leave a comment</h3>{TALK}</article>", WHOLE),
+    "open quote": (f"<div title=\"a><h1>T</h1>{TEN}</div>", WHOLE),
+    "greater in a value": (f"<article data-x='a > b' class=story><h1 title=\"<p>\">T</h1>{TEN}</article>", WHOLE),
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_whole_articles(name):
+    page, want = SHAPES[name]
+    assert html_text.main_text(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize("odd", ["<a", '"', "'", "<", "<!", "<!--", "<div>", "<li>", "</b>", "<b>", '<div class="a', "<a b='\"", "<ul><li><div>", "<td><li><p>", "<script>", "&#1", "<h2>Comments</h2>"])
+def test_time_grows_with_the_page(odd):
+    import time
+
+    def seconds(length):
+        page = TEN + odd * (length // len(odd))
+        start = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - start
+
+    small, large = seconds(50_000), seconds(400_000)
+    assert large < 40 * small + 1.0  # 64 times as much if it grew with the square
+
+
+def test_references_to_no_character():
+    assert html_text.main_text(f"<p>long &#{'1' * 6000}; and &#{'0' * 6000}65; and &#x41; in one paragraph</p>") == "long \ufffd and A and A in one paragraph"
+
+
+def test_scores_against_their_definition():
+    """Points of each paragraph handed out one by one, over generated trees."""
+    import random
+
+    rng = random.Random(5)
+
+    def made(depth):
+        inner = "".join(made(depth + 1) if depth < 5 and rng.random() < 0.6 else f"<p>{'some words, ' * rng.randint(1, 30)}<a href=x>{'link ' * rng.randint(0, 9)}</a></p>" for _ in range(rng.randint(1, 4)))
+        return f"<div class='{rng.choice(['x', 'content', 'story'])}'>{inner}</div>"
+
+    def all_of(node):
+        return [node] + [y for x in node.items if isinstance(x, html_text.Element) for y in all_of(x)]
+
+    def texts(node, linked=False):
+        for item in node.items:
+            if isinstance(item, str):
+                yield item, linked
+            else:
+                yield from texts(item, linked or item.name == "a")
+
+    for _ in range(20):
+        root = html_text.parsed(made(0))
+        best = html_text.scored(root)
+        nodes = all_of(root)
+        points = {id(x): float(x.weight) for x in nodes}
+        for node in nodes:
+            own = sum(len(t.strip()) for x in node.items for t, _ in ([(x, 0)] if isinstance(x, str) else texts(x) if x.name == "a" else []))
+            commas = sum(x.count(",") for x in node.items if isinstance(x, str))
+            if node.name in html_text.PARAGRAPHS and own >= html_text.LEAST_PARAGRAPH:
+                for share, up in ((1, node.parent), (0.5, node.parent.parent)):
+                    if up is not None:
+                        points[id(up)] += share * (1 + commas + min(own // 100, 30))
+        for node in nodes:
+            lengths = [(len(t.strip()), linked or node.name == "a") for t, linked in texts(node)]
+            share = sum(n for n, linked in lengths if linked) / max(1, sum(n for n, _ in lengths))
+            assert node.score == pytest.approx(points[id(node)] * (1 - share))
+        assert best.score == max(x.score for x in nodes if x.name in ("div", "html"))
+
 
 def test_odd_pages(spark):
     deep = "<div>" * 20000 + "deep, text, that is long enough to count" + "</div>" * 20000
