@@ -10,7 +10,6 @@ language, so scoring a batch is one matrix product of its presence matrix.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +25,18 @@ LONGEST_GRAM = 4
 BUCKET_BITS = 15
 #: How many texts and characters are scored at once; longer texts are gone through in parts.
 BATCH_TEXTS, BATCH_CHARS = 64, 1 << 20
+#: Texts are drawn by their hash modulo this number.
+DRAWN_OF = 1 << 40
 SHARPNESS = 4.0
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 MIX = 0x9E3779B97F4A7C15
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter. Fractions, circled numbers and the like are none; combining vowels come with letters."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass(frozen=True)
 class Model:
     """`weights` has a row per n-gram bucket and a column per language."""
@@ -80,7 +85,7 @@ def presence(texts: list[str]):
 
 
 def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
-    """Learn from (language, packed presence bits) rows."""
+    """Learn from (language, packed presence bits) rows; the first `landmarks` of each language are its landmarks."""
     import numpy as np
 
     languages = tuple(sorted({language for language, _ in rows}))
@@ -108,7 +113,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     import numpy as np
 
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    known = [i for i, text in enumerate(texts) if text is not None and LETTER.search(text)] if model.languages else []
+    known = [i for i, text in enumerate(texts) if text is not None and has_letter(text)] if model.languages else []
     for at in range(0, len(known), BATCH_TEXTS):
         own = known[at : at + BATCH_TEXTS]
         found = presence([texts[i] for i in own])
@@ -122,13 +127,17 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on a random sample of `labelled` (text, lang) of about `per_language` rows for each language.
+    """Fit on a sample of `labelled` (text, lang) of about `per_language` different texts for each language.
 
+    A hash of the text decides what is drawn, and in which order: the sample is
+    as good as random, and the same whatever the partitions or the cluster.
     Rows with a null text or language, or a text without a letter, teach
-    nothing. One count per language and 4 KB per sampled row go to the driver,
-    whatever the texts' length.
+    nothing, and a text that occurs several times in a language teaches once.
+    One count per language and 4 KB per sampled row go to the driver, whatever
+    the texts' length.
     """
-    counts = {r["lang"]: r["count"] for r in labelled.where("lang IS NOT NULL").groupBy("lang").count().collect()}
+    drawn = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("drawn", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.approx_count_distinct("drawn").alias("n")).collect()}
     if not counts:
         return fit([])
     shares = F.create_map(*(F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1.0, per_language / n))))
@@ -138,15 +147,16 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
         import pyarrow as pa
 
         for batch in batches:
-            kept = [(x, t) for x, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if LETTER.search(t)]
+            kept = [x for x in zip(*(batch.column(c).to_pylist() for c in ("lang", "drawn", "text")), strict=True) if has_letter(x[2])]
             for at in range(0, len(kept), BATCH_TEXTS):
                 own = kept[at : at + BATCH_TEXTS]
-                bits = np.packbits(presence([t for _, t in own]).astype(bool), axis=1)
-                yield pa.RecordBatch.from_pydict({"lang": [x for x, _ in own], "bits": [row.tobytes() for row in bits]})
+                bits = np.packbits(presence([t for *_, t in own]).astype(bool), axis=1)
+                yield pa.RecordBatch.from_pydict({"lang": [x for x, *_ in own], "drawn": [d for _, d, _ in own], "bits": [row.tobytes() for row in bits]})
 
-    sample = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.rand(11) < F.element_at(shares, F.col("lang")))
-    rows = sample.select("lang", "text").mapInArrow(packed, "lang STRING, bits BINARY").collect()
-    return fit(sorted((r["lang"], bytes(r["bits"])) for r in rows))
+    in_sample = F.pmod("drawn", F.lit(DRAWN_OF)) < F.element_at(shares, F.col("lang")) * DRAWN_OF
+    rows = drawn.where(in_sample).select("lang", "drawn", "text").mapInArrow(packed, "lang STRING, drawn LONG, bits BINARY")
+    sample = rows.groupBy("lang", "drawn").agg(F.min("bits").alias("bits")).collect()
+    return fit([(r["lang"], bytes(r["bits"])) for r in sorted(sample, key=lambda r: (r["lang"], r["drawn"] * MIX % (1 << 64)))])
 
 
 def held_out(docs: DataFrame):

@@ -98,25 +98,29 @@ KINDS = (
 )
 
 
+def _running(numbers: Column) -> Column:
+    """Sums up to each place of an array, in as many passes as its length has binary digits; none of them copies a growing array."""
+    passes = F.length(F.bin(F.size(numbers)))
+    add = lambda sums, k: F.transform(sums, lambda x, at: x + F.coalesce(F.get(sums, at - F.pow(F.lit(2), k).cast("int")), F.lit(0).cast("long")))
+    return F.aggregate(F.sequence(F.lit(0), passes - 1), numbers, add)
+
+
 def _found(rank: int, kind: Kind, matches: Column, gaps: Column) -> Column:
-    """Confirmed matches of one kind with place and score. Only these gather in the running array."""
+    """Confirmed matches of one kind with place and score."""
 
-    def step(state: Column, item: Column) -> Column:
-        start = state["at"] + F.length(item["gap"])
-        end = start + F.length(item["match"])
+    def judged(item: Column, end: Column) -> Column:
         before = F.right(item["gap"], F.lit(CONTEXT))
         near = F.lower(before).rlike(f"(?:^|[^a-z])(?:{kind.context})(?:[^a-z]|$)")
         score = F.lit(kind.score) + F.when(near, CONTEXT_BONUS).otherwise(0)
         good = kind.confirmed(item["match"], before)
         if not kind.base:
             good = good & (score >= ACCEPTED_SCORE)
-        own = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), score.alias("score"), item["match"].alias("text"))
-        more = F.when(good, F.concat(state["found"], F.array(own))).otherwise(state["found"])
-        return F.struct(end.alias("at"), more.alias("found"))
+        own = F.struct((end - F.length(item["match"])).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), score.alias("score"), item["match"].alias("text"))
+        return F.when(good, own)
 
     items = F.arrays_zip(matches.alias("match"), F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(FOUND).alias("found"))
-    return F.aggregate(items, begin, step, lambda state: state["found"])
+    ends = _running(F.transform(items, lambda x: (F.length(x["gap"]) + F.length(x["match"])).cast("long")))
+    return F.array_compact(F.zip_with(items, ends, judged)).cast(FOUND)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

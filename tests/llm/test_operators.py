@@ -76,6 +76,16 @@ def test_pii_equals_plain_patterns(documents):
     assert rows_of(pii.pii_digest(documents([]))) == []
 
 
+def test_places_of_many_spans(spark, documents):
+    text = "; ".join(f"a{i}@b{i % 7}.org, é 10.0.{i % 300}.1" for i in range(5000))
+    row = pii.find_pii(documents([(1, text)])).collect()[0]
+    assert [text[x.start : x.end] for x in row.found] == [x.text for x in row.found]
+    assert Counter(x.rank for x in row.found) == {0: 5000, 1: sum(i % 300 <= 255 for i in range(5000))}
+    numbers = spark.createDataFrame([(n, list(range(n))) for n in (0, 1, 2, 3, 7, 8, 9, 64, 100)], "n INT, x ARRAY<BIGINT>")
+    for r in numbers.select("n", pii._running(numbers.x).alias("sums")).collect():
+        assert r.sums == [k * (k + 1) // 2 for k in range(r.n)]
+
+
 def test_pii_context_raises_the_score(documents):
     got = {r.doc_id: r.scores for r in pii.pii_digest(documents([(1, "call me: +1 555 123 4567"), (2, "see it: +1 555 123 4567")])).collect()}
     assert got == {1: "80", 2: "60"}
@@ -264,6 +274,38 @@ def test_nothing_learnt_means_unknown(documents):
     assert {r.lang_pred for r in language.identify_languages(documents([(1, "some text"), (2, None)])).collect()} == {"und"}
 
 
+def test_signs_are_no_letters(documents):
+    signs = [(1000 + i, t, None) for i, t in enumerate(["½ ² ① Ⅷ", "12_3 !?", "½ a", "жи"])]
+    got = {r.doc_id: r.lang_pred for r in language.identify_languages(documents(language_rows(60) + signs)).collect()}
+    assert [got[i] == "und" for i in range(1000, 1004)] == [True, True, False, False]
+
+
+def test_same_predictions_whatever_the_partitions(documents, monkeypatch):
+    docs = documents(language_rows(200))
+    few = docs.select("lang", "text")
+    learnt = [language.train(few.repartition(n, "text"), per_language=20) for n in (3, 30)]
+    assert learnt[0].languages == learnt[1].languages and abs(learnt[0].weights - learnt[1].weights).max() < 1e-5
+    copied = language.train(few.union(few).union(few), per_language=20)
+    assert abs(learnt[0].weights - copied.weights).max() < 1e-5
+
+
+def test_margins_are_those_of_kernel_ridge_regression():
+    """With every text a landmark, the folded weights give the ridge solution on the kernel itself."""
+    import numpy as np
+
+    rows = sorted((x, t) for _, t, x in language_rows(40))
+    found = language.presence([t for _, t in rows])
+    packed = np.packbits(found.astype(bool), axis=1)
+    model = language.fit([(x, p.tobytes()) for (x, _), p in zip(rows, packed, strict=True)], landmarks=1000, ridge=1e-2)
+    unit = (found / np.sqrt(found.sum(axis=1, keepdims=True))).astype(np.float64)
+    kernel = unit @ unit.T
+    target = np.array([[1.0 if x == name else -1.0 for name in model.languages] for x, _ in rows])
+    own = Counter(x for x, _ in rows)
+    weight = np.array([len(rows) / own[x] / len(model.languages) for x, _ in rows])
+    solved = np.linalg.solve(np.diag(weight) @ kernel + 1e-2 * len(rows) * np.eye(len(rows)), weight[:, None] * target)
+    assert np.abs(unit @ model.weights - kernel @ solved).max() < 1e-3
+
+
 def test_long_texts_are_gone_through_in_parts(monkeypatch):
     text = sentences(4, 3000)
     whole = language.presence([text, "b", text[:50]])
