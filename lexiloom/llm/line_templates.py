@@ -89,8 +89,9 @@ def drop_recurring_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS
     rows with the same id and text get the same result; other columns stay,
     but those named like `counts` are replaced; an empty table gives no row.
     Words are what single spaces part, and lines of fewer than `LEAST_WORDS`
-    words stay, as in the SQL counterpart. With `every_line`, all white space
-    parts words, and such a line recurs if the whole line does, its digits aside.
+    words stay. With `every_line`, which the query and the pipeline set, all
+    white space parts words, and a shorter line with a letter recurs if the
+    whole line does, its digits aside.
     """
     found = stored(recurring_lines(docs.select("doc_id", "text"), least_documents, every_line), "templates")
     own, ids, hashes, gone = fresh(docs, "own_hash", "dropped_id", "dropped_hash", "dropped_lines")

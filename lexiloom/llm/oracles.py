@@ -55,18 +55,19 @@ FROM docs LEFT JOIN joined USING (doc_id)
 """
 
 L = line_templates
+BLANKS_SQL = " || ".join(f"chr({ord(c)})" for c in L.BLANKS)
 ORACLES["op7_line_dedup"] = f"""
 WITH source AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-masked AS (
-  SELECT rid, doc_id, text, md5(text) AS th, array_to_string(list_transform(string_split(text, chr(10)), lambda l:
-    array_to_string(list_transform(string_split(l, chr(9)), lambda t: array_to_string(list_transform(string_split(t, ' '), lambda w:
-      CASE WHEN regexp_matches(w, '[0-9]') THEN '{L.VARIABLE}' ELSE w END), ' ')), chr(9))), chr(10)) AS m
+parts AS (
+  SELECT rid, doc_id, md5(text) AS th, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS pos
   FROM source WHERE text IS NOT NULL),
 every AS (
-  SELECT rid, doc_id, th, unnest(string_split(m, chr(10))) AS line, unnest(range(0, len(string_split(m, chr(10))))) AS pos FROM masked),
-lines AS (
-  SELECT *, len(string_split(line, ' ')) AS n, array_to_string(string_split(line, ' ')[1:{L.LEAD}], ' ') AS lead
-  FROM every WHERE len(string_split(line, ' ')) >= {L.LEAST_WORDS}),
+  SELECT rid, doc_id, th, pos, translate(raw, {BLANKS_SQL}, repeat(' ', {len(L.BLANKS)})) AS plain, len(string_split(plain, ' ')) AS n FROM parts),
+masked AS (
+  SELECT *, CASE WHEN n < {L.LEAST_WORDS} THEN regexp_replace(plain, '[0-9]+', '{L.VARIABLE}', 'g')
+    ELSE array_to_string(list_transform(string_split(plain, ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{L.VARIABLE}' ELSE w END), ' ') END AS line
+  FROM every WHERE n >= {L.LEAST_WORDS} OR regexp_matches(plain, '\\p{{L}}')),
+lines AS (SELECT *, array_to_string(string_split(line, ' ')[1:{L.LEAD}], ' ') AS lead FROM masked),
 leaves AS (SELECT n, lead FROM lines GROUP BY n, lead HAVING count(*) >= {L.LEAST_DOCUMENTS}),
 candidates AS (
   SELECT n, lead, line, th, min(doc_id) AS first FROM lines JOIN leaves USING (n, lead) GROUP BY n, lead, line, th),
@@ -76,7 +77,7 @@ places AS (
 constants AS (SELECT n, lead, place, word FROM places GROUP BY ALL HAVING sum(c) >= {L.LEAST_DOCUMENTS}),
 templates AS (
   SELECT n, lead, line, list((place, word) ORDER BY place) AS template
-  FROM places JOIN constants USING (n, lead, place, word) GROUP BY n, lead, line HAVING count(*) FILTER (word <> '{L.VARIABLE}') * 100 >= n * {L.LEAST_CONSTANT}),
+  FROM places JOIN constants USING (n, lead, place, word) GROUP BY n, lead, line HAVING n < {L.LEAST_WORDS} OR count(*) FILTER (word <> '{L.VARIABLE}') * 100 >= n * {L.LEAST_CONSTANT}),
 recurring AS (
   SELECT n, lead, template, min(first) AS keeper FROM candidates JOIN templates USING (n, lead, line)
   GROUP BY n, lead, template HAVING count(DISTINCT th) >= {L.LEAST_DOCUMENTS}),

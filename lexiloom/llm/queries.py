@@ -54,7 +54,7 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = line_templates.drop_recurring_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    cleaned = line_templates.drop_recurring_lines(table(spark, folder, "documents").select("doc_id", "text"), every_line=True)
     return cleaned.select("doc_id", "n_lines", "n_dropped", "text")
 
 
