@@ -631,4 +631,25 @@ BODIES["stream_translate_once"] = "SELECT DISTINCT key, text FROM keyed WHERE ke
 BODIES["stream_credit_replay"] = BODIES["credit_replay"]
 BODIES["stream_throughput_rows"] = BODIES["job_throughput"]
 
+_OPEN = """(SELECT conv_id AS job_id, turn AS seq, CASE WHEN turn % 13 = 12 THEN '[' || turn || ']'
+    WHEN conv_id % 11 = 3 AND turn % 4 = 1 THEN left(whole, -1) ELSE whole END AS body
+  FROM (SELECT *, '{"status":' || coalesce(to_json(role)::VARCHAR, 'null')
+    || ',"length":' || CASE WHEN turn % 4 = 3 THEN '"' || length(text) || '"' ELSE length(text)::VARCHAR END
+    || CASE WHEN turn % 3 = 0 THEN ',"note":null' WHEN turn % 2 = 0 THEN ',"note":' || coalesce(to_json(text)::VARCHAR, 'null') ELSE '' END
+    || CASE WHEN turn % 5 = 1 THEN ',"extra_' || (conv_id % 7) || '":{"done":' || (turn % 2 = 0) || ',"marks":[' || turn || ',"x"]}' ELSE '' END
+    || '}' AS whole FROM conversations))"""
+_KIND = """CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean'
+    WHEN 'NULL' THEN 'null' ELSE 'number' END"""
+_FIELDS = f"""(SELECT *, {_KIND} AS kind, json_extract_string(v, '$') AS value FROM (
+    SELECT job_id, seq, field, json_extract(j, '$."' || field || '"') AS v FROM (
+      SELECT job_id, seq, j, unnest(json_keys(j)) AS field FROM (
+        SELECT job_id, seq, body::JSON AS j FROM {_OPEN} WHERE json_valid(body)) WHERE json_type(j) = 'OBJECT')))"""
+BODIES["open_fields_folded"] = f"""SELECT job_id, field, arg_max(kind, seq) AS kind, arg_max_null(value, seq) AS value, max(seq) AS seq, count(*) AS n_events
+    FROM {_FIELDS} GROUP BY job_id, field"""
+BODIES["open_fields_profiled"] = f"""SELECT field, count(*) AS n_rows, count(*) FILTER (kind = 'null') AS n_null,
+    array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM {_FIELDS} GROUP BY field"""
+BODIES["open_messages_rejected"] = f"""SELECT job_id, seq, body, kind FROM (
+    SELECT *, CASE WHEN body IS NULL THEN 'missing' WHEN NOT json_valid(body) THEN 'broken' ELSE
+      (SELECT {_KIND} FROM (SELECT CASE WHEN json_valid(body) THEN body END AS v)) END AS kind FROM {_OPEN}) WHERE kind <> 'object'"""
+
 ORACLES = {name: sql(body) for name, body in BODIES.items()}

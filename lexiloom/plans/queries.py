@@ -12,7 +12,7 @@ from lexiloom.functions.chunks import register_chunks
 from lexiloom.functions.inference import constant_factory, grade_batch
 from lexiloom.functions.text import iso_text
 from lexiloom.operators import bounded_cache as cache_of_size
-from lexiloom.operators import accounts, jobs, ledger, memory, ocr, retrieval, segments, textwork
+from lexiloom.operators import accounts, jobs, ledger, memory, ocr, open_json, retrieval, segments, textwork
 from lexiloom.operators.cache import ttl_cache_replay
 from lexiloom.operators.credits import replay_credits
 from lexiloom.plans import files
@@ -754,3 +754,19 @@ def chunk_store_read(t: Tables) -> DataFrame:
     folder = new_folder(t.spark, "chunks")
     write_chunk_store(retrieval.chunk_windows(t.texts("documents"), "doc_id"), folder, key="doc_id")
     return read_chunk_store(t.spark, folder).select("doc_id", "chunk_idx", "start", "text")
+
+
+@query
+def open_fields_folded(t: Tables) -> DataFrame:
+    """The newest value of every field that a conversation's messages ever had."""
+    return open_json.fold_open_fields(t.open_messages(), "body")
+
+
+@query
+def open_fields_profiled(t: Tables) -> DataFrame:
+    return open_json.profile_open_fields(t.open_messages(), "body").drop("schema")
+
+
+@query
+def open_messages_rejected(t: Tables) -> DataFrame:
+    return open_json.open_rejects(t.open_messages(), "body")

@@ -215,6 +215,28 @@ class Tables:
             key.alias("id"), F.when(key % 7 == 0, broken).otherwise(whole).alias("reply")
         )
 
+    def open_messages(self) -> DataFrame:
+        """A message per turn as JSON with fields that come, go and change their type; some are cut off, some are no objects."""
+        turn, conv = F.col("turn"), F.col("conv_id")
+
+        def quoted(name: str) -> Column:
+            inside = F.to_json(F.struct(F.col(name).alias("x")))
+            return F.when(F.col(name).isNull(), "null").otherwise(inside.substr(F.lit(6), F.length(inside) - 6))
+
+        length = F.length("text").cast("string")
+        whole = F.concat(
+            F.lit('{"status":'), quoted("role"), F.lit(',"length":'), F.when(turn % 4 == 3, F.concat(F.lit('"'), length, F.lit('"'))).otherwise(length),
+            F.when(turn % 3 == 0, ',"note":null').when(turn % 2 == 0, F.concat(F.lit(',"note":'), quoted("text"))).otherwise(""),
+            F.when(turn % 5 == 1, F.concat(F.lit(',"extra_'), (conv % 7).cast("string"), F.lit('":{"done":'), (turn % 2 == 0).cast("string"), F.lit(',"marks":['), turn.cast("string"), F.lit(',"x"]}'))).otherwise(""),
+            F.lit("}"),
+        )
+        body = (
+            F.when(turn % 13 == 12, F.concat(F.lit("["), turn.cast("string"), F.lit("]")))
+            .when((conv % 11 == 3) & (turn % 4 == 1), whole.substr(F.lit(1), F.length(whole) - 1))
+            .otherwise(whole)
+        )
+        return self.given("conversations").select(conv.alias("job_id"), turn.alias("seq"), body.alias("body"))
+
     def model_outputs(self) -> DataFrame:
         key = F.col("doc_id") * 10_000_000 + F.col("para_idx")
         t = F.col("text")
