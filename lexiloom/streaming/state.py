@@ -1,20 +1,24 @@
 """Ordered state per key: the streaming forms of the cache and credit replays and of job progress.
 
 Files reach a stream in any order, but a balance or a cache entry depends on
-the order of time. So rows wait in state, by the millisecond of their event
-time, with a timer for each millisecond; when the watermark has passed it, no
-earlier row can come, and its rows are folded, with the same helper as in the
-batch form, and given out. Timers of a key expire in order of time. What waits
-is bounded by `lateness` and stays in the state store, on disk; a task holds the
-rows of one key and millisecond at most. Rows later than `lateness` are dropped,
-and counted (`streaming.late`). Rows without a time have no order to wait for;
-they are folded as they come. Helper columns have no leading underscore here:
-the stateful API hands rows over as named tuples, which do not take such names.
+the order of time. So rows wait in state until the watermark has passed the
+millisecond of their event time; then no earlier row can come, and they are
+folded, with the same helper as in the batch form, and given out. What waits is
+bounded by `lateness` and stays in the state store, on disk; a task holds at
+most `RUN_ROWS` rows of one key, and later a page of `PAGE_ROWS` from each of its
+sorted runs. Rows later than `lateness` are dropped, and counted
+(`streaming.late`). Rows without a time have no order to wait for; they are
+folded as they come. Helper columns have no leading underscore here: the
+stateful API hands rows over as named tuples, which do not take such names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import pickle
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -35,67 +39,159 @@ def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _added(row: Row, **columns) -> Row:
-    return Row(**row.asDict(recursive=False), **columns)
+#: Rows that are sorted at once, and rows that are stored together.
+RUN_ROWS, PAGE_ROWS = 16384, 128
+
+
+@dataclass
+class _Run:
+    """Sorted rows on pages from `page` up to `pages`, the first of them due at `due`."""
+
+    number: int
+    page: int
+    pages: int
+    rows: int
+    due: int
+
+
+@dataclass
+class _Waiting:
+    """What waits for a key: its timer, the number of the last run, and the runs."""
+
+    timer: int | None
+    last: int
+    runs: list[_Run]
 
 
 class _InOrder(StatefulProcessor):
-    """Folds the rows of a key in order of time, and remembers one number between them."""
+    """Folds the rows of a key in order of time, and remembers one number between them.
 
-    def __init__(self, waiting: T.StructType, tie: str):
-        self._waiting, self._tie = waiting, tie
+    Every call to the state store is a trip to the JVM, so rows wait in sorted
+    runs of pages, and a key has one timer, for the first row that waits. Runs
+    are merged page by page.
+    """
+
+    def __init__(self, waiting: T.StructType, tie: str, added: Sequence[str]):
+        self._waiting, self._tie, self._added = waiting, tie, added
 
     def init(self, handle) -> None:
         self._handle = handle
         self._number = handle.getValueState("number", "value BIGINT")
-        self._counts = handle.getMapState("counts", "due BIGINT", "n INT")
-        self._rows = handle.getMapState("rows", "due BIGINT, place INT", self._waiting)
+        self._runs = handle.getValueState("runs", "timer BIGINT, last INT, runs BINARY")
+        self._pages = handle.getMapState("pages", "run INT, page INT", "rows BINARY")
+        self._row, self._out = Row(*self._waiting.names), Row(*self._waiting.names, *self._added)
+        self._at, self._tie_at = self._waiting.names.index("at_micros"), self._waiting.names.index(self._tie)
 
     def recall(self) -> int | None:
-        return int(self._number.get()[0]) if self._number.exists() else None
+        found = self._number.get()
+        return None if found is None else int(found[0])
 
     def keep(self, value: int | None) -> None:
         if value is not None:
             self._number.update((int(value),))
 
-    def fold(self, row: Row, number: int | None) -> tuple[Row, int | None]:
-        """The row as it is given out, and the number to remember."""
+    def fold(self, row: Row, number: int | None) -> tuple[tuple, int | None]:
+        """The values added to the row, and the number to remember."""
         raise NotImplementedError
 
-    def folded(self, rows: list[Row]) -> Iterator[Row]:
-        number = self.recall()
+    def folded(self, rows: Iterable[tuple], passed: int | None = None) -> Iterator[Row]:
+        before = number = self.recall()
         for row in rows:
-            out, number = self.fold(row, number)
-            yield out
-        self.keep(number)
+            added, number = self.fold(self._row(*row), number)
+            yield self._out(*row, *added)
+        if passed is not None and self.forgets(number, passed):
+            if before is not None:
+                self._number.clear()
+        elif number != before:
+            self.keep(number)
+
+    def forgets(self, number: int | None, watermark: int) -> bool:
+        """Whether the number means nothing any more for rows after the watermark."""
+        return False
+
+    def _order(self, row: tuple) -> tuple:
+        return row[self._at], row[self._tie_at] is not None, row[self._tie_at]
+
+    def _due(self, row: tuple) -> int:
+        return row[self._at] // 1000 + 1  # a watermark that this row's millisecond is before
+
+    def _write(self, run: int, page: int, rows: list[tuple]) -> None:
+        self._pages.updateValue((run, page), (pickle.dumps(rows),))
+
+    def _read(self, run: int, page: int) -> list[tuple]:
+        return pickle.loads(self._pages.getValue((run, page))[0])
+
+    def _add_run(self, held: _Waiting, rows: list[tuple]) -> None:
+        """Rows as a new run; a last run of one page is taken in while all fit on it."""
+        while held.runs and held.runs[-1].rows + len(rows) <= PAGE_ROWS and held.runs[-1].pages == held.runs[-1].page + 1:
+            last = held.runs.pop()
+            rows = self._read(last.number, last.page) + rows
+            self._pages.removeKey((last.number, last.page))
+        rows.sort(key=self._order)
+        held.last += 1
+        for page, start in enumerate(range(0, len(rows), PAGE_ROWS)):
+            self._write(held.last, page, rows[start : start + PAGE_ROWS])
+        held.runs.append(_Run(held.last, 0, page + 1, len(rows), self._due(rows[0])))
+
+    def _due_of(self, run: _Run, watermark: int) -> Iterator[tuple]:
+        """The rows of a run that the watermark has passed; the run begins after them then."""
+        while run.page < run.pages:
+            rows = self._read(run.number, run.page)
+            n = bisect_right(rows, watermark, key=self._due)
+            yield from rows[:n]
+            run.rows -= n
+            if n < len(rows):
+                run.due = self._due(rows[n])
+                if n:
+                    self._write(run.number, run.page, rows[n:])
+                return
+            self._pages.removeKey((run.number, run.page))
+            run.page += 1
+
+    def _recall_waiting(self) -> _Waiting:
+        found = self._runs.get()
+        return _Waiting(None, 0, []) if found is None else _Waiting(found[0], found[1], [_Run(*run) for run in pickle.loads(found[2])])
+
+    def _keep_waiting(self, held: _Waiting) -> None:
+        """Keeps the list of runs, with a timer for the first row of all."""
+        if not held.runs:
+            self._runs.clear()
+            return
+        due = min(run.due for run in held.runs)
+        if held.timer is None or due < held.timer:
+            self._handle.registerTimer(due)  # a later one finds nothing due and does no harm
+            held.timer = due
+        self._runs.update((held.timer, held.last, pickle.dumps([astuple(run) for run in held.runs])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for row in rows:
-            if row["at_micros"] is None:
-                yield from self.folded([row])
-                continue
-            due, place = row["at_micros"] // 1000 + 1, 0  # a watermark that this millisecond is before
-            if self._counts.containsKey((due,)):
-                place = self._counts.getValue((due,))[0]
-            else:
-                self._handle.registerTimer(due)
-            self._rows.updateValue((due, place), tuple(row))
-            self._counts.updateValue((due,), (place + 1,))
+        held, fresh = None, []
+
+        def untimed() -> Iterator[tuple]:
+            nonlocal held, fresh
+            for row in rows:
+                if row["at_micros"] is None:
+                    yield tuple(row)
+                    continue
+                fresh.append(tuple(row))
+                if len(fresh) == RUN_ROWS:
+                    held = held or self._recall_waiting()
+                    self._add_run(held, fresh)
+                    fresh = []
+
+        yield from self.folded(untimed())
+        if fresh:
+            held = held or self._recall_waiting()
+            self._add_run(held, fresh)
+        if held:
+            self._keep_waiting(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if self._counts.containsKey((due,)):
-            places = [(due, place) for place in range(self._counts.getValue((due,))[0])]
-            rows = [Row(**dict(zip(self._waiting.names, self._rows.getValue(place), strict=True))) for place in places]
-            for place in places:
-                self._rows.removeKey(place)
-            self._counts.removeKey((due,))
-            ties = lambda r: (r["at_micros"], r[self._tie] is not None, r[self._tie])
-            yield from self.folded(sorted(rows, key=ties))
-        self.passed(due)
-
-    def passed(self, watermark: int) -> None:
-        pass
+        held, watermark = self._recall_waiting(), timerValues.getCurrentWatermarkInMs()
+        due = [run for run in held.runs if run.due <= watermark]
+        yield from self.folded(heapq.merge(*[self._due_of(run, watermark) for run in due], key=self._order), watermark)
+        if due:
+            held.timer, held.runs = None, [run for run in held.runs if run.page < run.pages]
+            self._keep_waiting(held)
 
     def close(self) -> None:
         pass
@@ -105,38 +201,45 @@ class CacheProcessor(_InOrder):
     """Remembers when the key's entry expires, and forgets entries that the watermark has passed."""
 
     def __init__(self, waiting: T.StructType, tie: str, ttl: int):
-        super().__init__(waiting, tie)
+        super().__init__(waiting, tie, ("hit",))
         self._ttl = ttl
 
     def fold(self, row, number):
         hit, expires = serve(row["at_micros"], row["can_keep"], number, self._ttl)
-        if expires is not None and expires != number:
-            self._handle.registerTimer(expires // 1000 + 1)
-        return _added(row, hit=hit), expires
+        return (hit,), expires
+
+    def keep(self, value) -> None:
+        super().keep(value)
+        if value is not None:
+            self._handle.registerTimer(value // 1000 + 1)
 
-    def passed(self, watermark) -> None:
-        expires = self.recall()
-        if expires is not None and expires < watermark * 1000:
-            self._number.clear()
+    def forgets(self, number, watermark) -> bool:
+        return number is not None and number < watermark * 1000
 
 
 class CreditProcessor(_InOrder):
     """Remembers the balance. Rows whose `opening` is missing are of nobody and change nothing."""
 
+    def __init__(self, waiting: T.StructType, tie: str):
+        super().__init__(waiting, tie, ("verdict", "balance"))
+
     def fold(self, row, number):
         if row["opening"] is None:
-            return _added(row, verdict=NO_USER, balance=None), number
+            return (NO_USER, None), number
         verdict, balance = move(row["kind"], row["amount"], row["opening"] if number is None else number)
-        return _added(row, verdict=verdict, balance=balance), balance
+        return (verdict, balance), balance
 
 
 class StartProcessor(_InOrder):
     """Remembers the job's first real start time, in microseconds; NULL and 0 are none."""
 
+    def __init__(self, waiting: T.StructType, tie: str):
+        super().__init__(waiting, tie, ("job_start",))
+
     def fold(self, row, number):
         if number is None and row["started_at"]:
             number = int(round(row["started_at"] * SECOND))
-        return _added(row, job_start=None if number is None else number / SECOND), number
+        return (None if number is None else number / SECOND,), number
 
 
 def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
