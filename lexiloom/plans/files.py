@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from xml.sax.saxutils import escape
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +15,26 @@ from pyspark.sql import functions as F
 from lexiloom.sources.shared import folder_uri, new_folder
 
 _WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_ORDER = ["part", "para_idx", "run_idx"]
+#: Folders that the files of a table are dealt to, so that no folder has all of them.
+FOLDERS = 256
+#: What Spark writes for a missing value in a path.
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"
 
 
-def _package(rows: list[dict]) -> bytes:
+def _escaped(texts: pa.ChunkedArray) -> pa.ChunkedArray:
+    for plain, written in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;"), ("\r", "&#13;")):
+        texts = pc.replace_substring(texts, plain, written)
+    return texts
+
+
+def _package(rows: pa.Table) -> bytes:
     """A Word file of one document's runs."""
+    rows = rows.sort_by([(name, "ascending") for name in _ORDER])
+    runs = pc.binary_join_element_wise("<w:r><w:t>", _escaped(pc.fill_null(rows["text"], "")), "</w:t></w:r>", "").to_pylist()
     parts: dict[str, dict[int, list[str]]] = {}
-    for row in sorted(rows, key=lambda r: (r["part"], r["para_idx"], r["run_idx"])):
-        text = escape(row["text"] or "", {"\r": "&#13;"})
-        parts.setdefault(row["part"], {}).setdefault(row["para_idx"], []).append(f"<w:r><w:t>{text}</w:t></w:r>")
+    for part, paragraph, run in zip(rows["part"].to_pylist(), rows["para_idx"].to_pylist(), runs, strict=True):
+        parts.setdefault(part, {}).setdefault(paragraph, []).append(run)
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as package:
         for part, paragraphs in parts.items():
@@ -39,23 +52,57 @@ def word_files(runs: DataFrame) -> str:
         system.create_dir(root, recursive=True)
         name = key[0].as_py()
         with system.open_output_stream(f"{root}/doc-{name}.docx") as out:  # a repeated task writes the same bytes
-            out.write(_package(table.to_pylist()))
+            out.write(_package(table))
         return pa.table({"doc": [name]})
 
-    runs.groupBy("doc").applyInArrow(write, "doc string").write.format("noop").mode("overwrite").save()
+    runs.select("doc", *_ORDER, "text").groupBy("doc").applyInArrow(write, "doc string").write.format("noop").mode("overwrite").save()
     return folder
 
 
-def text_files_of(docs: DataFrame) -> str:
-    """Writes each text as a file of its own, in a folder named by its id."""
-    folder = new_folder(docs.sparkSession, "texts")
-    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id").write.partitionBy("doc_id").text(folder)
+def _file_each(rows: DataFrame, key: str, suffix: str, folder: str) -> str:
+    """Writes the column `line` of all rows of a key to a file of their own, `key=value` by name, and returns the folder.
+
+    Tasks write the files where they stay. Spark's own writer with a folder per
+    key moves each of them on the driver when it commits.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder_uri(folder))
+        made, path, out = set(), None, None
+        try:
+            for batch in batches:
+                for at, name, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    place = f"{root}/bucket={at}/{key}={name}.{suffix}"
+                    if place != path:
+                        if out is not None:
+                            out.close()
+                        if at not in made:
+                            system.create_dir(f"{root}/bucket={at}", recursive=True)
+                            made.add(at)
+                        path, out = place, system.open_output_stream(place, buffer_size=1 << 16)  # a repeated task writes the same bytes
+                    out.write(line.encode())
+                    out.write(b"\n")
+                yield batch.select([0]).slice(0, 0)
+        finally:
+            if out is not None:
+                out.close()
+
+    named = rows.select(
+        F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int").alias("at"), F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("name"), "line"
+    )
+    written = named.repartition("at", "name").sortWithinPartitions("at", "name").mapInArrow(write, "at int")
+    written.write.format("noop").mode("overwrite").save()
     return folder
 
 
+def text_files_of(docs: DataFrame) -> str:
+    """Writes each text as a file of its own, named by its id."""
+    lines = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("line"))
+    return _file_each(lines, "doc_id", "txt", new_folder(docs.sparkSession, "texts"))
+
+
 def status_files(current: DataFrame) -> str:
     """Writes the current row of each job as a status file of its own."""
-    folder = new_folder(current.sparkSession, "status")
     fields = [F.col("job_id").cast("string").alias("id"), "status", F.col("current").cast("int").alias("progress"), "started_at", "message"]
-    current.select("job_id", *fields).repartition("job_id").write.partitionBy("job_id").json(folder)
-    return folder
+    lines = current.select("job_id", F.to_json(F.struct(*fields)).alias("line"))
+    return _file_each(lines, "job_id", "json", new_folder(current.sparkSession, "status"))

@@ -728,7 +728,7 @@ def word_runs_followed(t: Tables) -> DataFrame:
 
 
 def _doc_of_path():
-    return F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("long").alias("doc_id")
+    return F.regexp_extract("path", r"doc_id=(-?\d+)\.txt$", 1).cast("long").alias("doc_id")
 
 
 @query
