@@ -408,16 +408,16 @@ def words_classified(t: Tables) -> DataFrame:
 
 @query
 def segments_assembled(t: Tables) -> DataFrame:
-    return segments.assemble_segments(t.runs(), keep_runs=False)
+    return segments.assemble_segments(t.runs(dealt=True), keep_runs=False)
 
 
 @query
 def segments_redistributed(t: Tables) -> DataFrame:
-    return segments.redistribute_segments(t.with_targets(segments.assemble_segments(t.runs())))
+    return segments.redistribute_segments(t.with_targets(segments.assemble_segments(t.runs(dealt=True))))
 
 
 def _judged(t: Tables) -> DataFrame:
-    return t.with_targets(segments.assemble_segments(t.runs(), keep_runs=False)).withColumn("ok", F.col("target").isNotNull())
+    return t.with_targets(segments.assemble_segments(t.runs(dealt=True), keep_runs=False)).withColumn("ok", F.col("target").isNotNull())
 
 
 @query
@@ -437,7 +437,7 @@ def doc_structure(t: Tables) -> DataFrame:
 
 @query
 def paragraph_preview(t: Tables) -> DataFrame:
-    return segments.paragraph_preview(segments.paragraph_texts(t.runs()), 10, 2)
+    return segments.paragraph_preview(segments.paragraph_texts(t.runs(dealt=True)), 10, 2)
 
 
 # --- text ----------------------------------------------------------------------
@@ -716,14 +716,14 @@ def _word_rows(runs: DataFrame) -> DataFrame:
 @query
 def word_runs_read(t: Tables) -> DataFrame:
     register_word_runs(t.spark)
-    return _word_rows(t.spark.read.format("word_runs").option("partitionBytes", 1 << 20).load(files.word_files(t.runs())))
+    return _word_rows(t.spark.read.format("word_runs").option("partitionBytes", 1 << 20).load(files.word_files(t.runs(dealt=True))))
 
 
 @query
 def word_runs_followed(t: Tables) -> DataFrame:
     """The same files as a stream."""
     register_word_runs(t.spark)
-    stream = t.spark.readStream.format("word_runs").option("settleSeconds", 0).load(files.word_files(t.runs()))
+    stream = t.spark.readStream.format("word_runs").option("settleSeconds", 0).load(files.word_files(t.runs(dealt=True)))
     return _word_rows(run_to_end(stream))
 
 

@@ -146,8 +146,12 @@ class Tables:
             "doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "text")
         )
 
-    def runs(self) -> DataFrame:
-        """Two lines make a paragraph; a run is a word with the blank after it."""
+    def runs(self, dealt: bool = False) -> DataFrame:
+        """Two lines make a paragraph; a run is a word with the blank after it.
+
+        With `dealt`, whole texts go to tasks by document before they are cut. Spark
+        knows that then, and work on documents and paragraphs shuffles no words.
+        """
         lines = F.split("text", "\n", -1)
         pairs = F.transform(
             F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / 2).cast("int")),
@@ -157,14 +161,15 @@ class Tables:
         part = F.when(para % 10 == 9, "footer1.xml").when((number % 5 == 0) & (para == 0), "header1.xml").otherwise(
             "document.xml"
         )
+        texts = self.texts("documents").select("doc_id", number.cast("string").alias("doc"), "text")
         return (
-            self.texts("documents")
-            .select("doc_id", lines.alias("_lines"))
-            .select("doc_id", F.posexplode(pairs).alias("para_idx", "_para"))
+            (texts.repartition("doc") if dealt else texts)
+            .select("doc_id", "doc", lines.alias("_lines"))
+            .select("doc_id", "doc", F.posexplode(pairs).alias("para_idx", "_para"))
             .withColumn("part", part)
-            .select("doc_id", "part", "para_idx", F.posexplode(F.split("_para", "(?<= )", -1)).alias("run_idx", "text"))
+            .select("doc", "part", "para_idx", F.posexplode(F.split("_para", "(?<= )", -1)).alias("run_idx", "text"))
             .select(
-                number.cast("string").alias("doc"),
+                "doc",
                 "part",
                 F.regexp_replace("part", r"1?\.xml$", "").alias("part_kind"),
                 "para_idx",
