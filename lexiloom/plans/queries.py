@@ -22,7 +22,7 @@ from lexiloom.plans.streams import StreamTables, run_past_the_end, run_status_to
 from lexiloom.plans.tables import Tables
 from lexiloom.plans.translation import translate_batch
 from lexiloom.sources.corpus import read_text_corpus
-from lexiloom.sources.manifests import parse_manifest
+from lexiloom.sources.manifests import is_reject, is_row, judge_manifest, parse_manifest, pick_rows
 from lexiloom.sources.media import media_verdict
 from lexiloom.sources.shared import new_folder
 from lexiloom.sources.sinks import ocr_documents, read_chunk_store, write_chunk_store
@@ -361,11 +361,12 @@ def manifest_layouts(t: Tables) -> DataFrame:
     """The other five layouts, one of them read by its header: rows and rejects as one table."""
     shown = []
     for layout, (fields, header, by_header, columns) in MANIFESTS.items():
-        rows, rejects = parse_manifest(_layout_lines(t, fields, header), layout, header if by_header else None)
-        boxes = [F.get("box", F.lit(0))["x"].cast("int"), F.col("rect")["w"], F.col("confidence").cast("int")] if "rect" in rows.columns else []
+        judged = judge_manifest(_layout_lines(t, fields, header), layout, header if by_header else None)
+        boxes = [F.get("box", F.lit(0))["x"].cast("int"), F.col("rect")["w"], F.col("confidence").cast("int")] if "rect" in judged.columns else []
         row = F.concat_ws("~", *(F.col(c).cast("string") for c in columns.split()), *(b.cast("string") for b in boxes))
-        shown.append(rows.select(F.lit(layout).alias("layout"), "image_id", F.col("index").cast("string").alias("index"), row.alias("row")))
-        shown.append(rejects.select(F.lit(layout), "image_id", F.col("reason"), F.col("line")))
+        table = lambda index, row, layout=layout: [F.lit(layout).alias("layout"), "image_id", index.alias("index"), row.alias("row")]
+        good = table(F.col("index").cast("string"), row)
+        shown.append(pick_rows(judged, (is_row(), good), (is_reject(), table(F.col("reason"), F.col("line")))))
     return reduce(DataFrame.union, shown)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ LAYOUTS = {
     "translated_texts": (("index", "path", "extracted_text", "translated_text"), True),
     "translated": (("index", "crop_path", "output_path", "extracted_text", "translated_text"), True),
 }
+# Why an empty line is neither a row nor a reject.
+EMPTY = "empty"
 # Optional sixth field of `translated`.
 HAS_TEXT = "has_text"
 # Some writers put a processed path between path and texts: such files are read by their header.
@@ -55,10 +59,12 @@ def _rect(n: Column) -> Column:
     )
 
 
-def parse_manifest(lines: DataFrame, kind: str, header: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """`value` lines of one kind -> (rows, rejects with `line` and `reason`).
+def judge_manifest(lines: DataFrame, kind: str, header: str | None = None) -> DataFrame:
+    """`value` lines of one kind -> their fields, the `line` and the `reason` why it is no row, NULL for rows.
 
-    Lines with too few fields or with numbers that do not parse are rejected one
+    The reason `EMPTY` is no fault. Read both rows and rejects from one pass with
+    `pick_rows`: a filter on parsed columns would be pushed below the parsing and
+    parse every line a second time. Lines with too few fields or with numbers that do not parse are rejected one
     by one; header lines are recognised by their first field. With `header` (the
     text of the file's first line) the fields are taken by name instead of by
     position.
@@ -91,14 +97,33 @@ def parse_manifest(lines: DataFrame, kind: str, header: str | None = None) -> tu
     for name in ("index", "confidence", "box", "rect"):
         if name in fields:
             bad = bad | F.col(name).isNull()
-    judged = line.withColumn("_reason", F.when(~enough, "too_few_fields").when(bad, "bad_number"))
-    kept = [*others, *fields] + ([HAS_TEXT] if kind == "translated" and HAS_TEXT not in fields else [])
-    # Rows are picked by a generator, not by a filter: a filter on parsed columns
-    # would be pushed below the parsing and parse every line a second time.
-    pick = lambda condition, row: F.inline(F.when(condition, F.array(F.struct(*row))))
-    good = judged.select(pick(F.col("_reason").isNull(), kept))
-    rejected = F.col("_reason").isNotNull() & (F.col("line") != "")
-    return good, judged.select(pick(rejected, [*others, "line", F.col("_reason").alias("reason")]))
+    reason = F.when(~enough, "too_few_fields").when(bad, "bad_number")
+    shown = [*others, *fields] + ([HAS_TEXT] if kind == "translated" and HAS_TEXT not in fields else [])
+    return line.select(*shown, "line", F.when(reason.isNotNull() & (F.col("line") == ""), EMPTY).otherwise(reason).alias("reason"))
+
+
+def is_row() -> Column:
+    return F.col("reason").isNull()
+
+
+def is_reject() -> Column:
+    return F.col("reason") != EMPTY
+
+
+def pick_rows(judged: DataFrame, *choices: tuple[Column, Sequence[Column | str]]) -> DataFrame:
+    """For each judged line the columns of the first condition that holds; lines that meet none are left out."""
+    picked = F
+    for condition, columns in choices:
+        picked = picked.when(condition, F.array(F.struct(*columns)))
+    return judged.select(F.inline(picked))
+
+
+def parse_manifest(lines: DataFrame, kind: str, header: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """`value` lines of one kind -> (rows, rejects with `line` and `reason`), as `judge_manifest` finds them."""
+    judged = judge_manifest(lines, kind, header)
+    others = [c for c in lines.columns if c != "value"]
+    fields = [c for c in judged.columns if c not in ("line", "reason")]
+    return pick_rows(judged, (is_row(), fields)), pick_rows(judged, (is_reject(), [*others, "line", "reason"]))
 
 
 def read_ocr_manifest(spark: SparkSession, path: str, kind: str, by_header: bool = False) -> tuple[DataFrame, DataFrame]:
