@@ -40,6 +40,7 @@ def run_to_end(stream: DataFrame, mode: str = "append", place: str | None = None
     place = place or _place(spark)
     query = (
         stream.writeStream.format("parquet")
+        .option("compression", "zstd")
         .outputMode(mode)
         .option("checkpointLocation", f"{place}/checkpoint")
         .option("path", f"{place}/rows")

@@ -28,7 +28,7 @@ def translate_once(segments: DataFrame, target_lang: str, style: str = "General"
 def follow_texts(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """Stream of the non-blank lines of new text files: path, file_name, para_idx, text."""
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-    lines = text_files(reader, folder).select("path", "file_name", F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "text"))
+    lines = text_files(spark, reader, folder).select("path", "file_name", F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "text"))
     return lines.filter(~is_blank(F.col("text")))
 
 
