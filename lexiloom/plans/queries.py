@@ -710,21 +710,21 @@ def stream_translate_once(t: Tables) -> DataFrame:
 
 # --- files: written from the given tables, then read ------------------------------------
 def _word_rows(runs: DataFrame) -> DataFrame:
-    doc = F.regexp_extract("doc", r"doc-(-?\d+)\.docx$", 1).alias("doc")
+    doc = F.regexp_extract(F.substring_index("doc", "/", -1), r"doc-(-?\d+)\.docx$", 1).alias("doc")
     return runs.select(doc, "part", "part_kind", "para_idx", "run_idx", "text_idx", "text", "error")
 
 
 @query
 def word_runs_read(t: Tables) -> DataFrame:
     register_word_runs(t.spark)
-    return _word_rows(t.spark.read.format("word_runs").option("partitionBytes", 1 << 20).load(files.word_files(t.runs(dealt=True))))
+    return _word_rows(t.spark.read.format("word_runs").option("partitionBytes", 1 << 20).load(files.word_files(t.runs(dealt=True, whole=True))))
 
 
 @query
 def word_runs_followed(t: Tables) -> DataFrame:
     """The same files as a stream."""
     register_word_runs(t.spark)
-    stream = t.spark.readStream.format("word_runs").option("settleSeconds", 0).load(files.word_files(t.runs(dealt=True)))
+    stream = t.spark.readStream.format("word_runs").option("settleSeconds", 0).load(files.word_files(t.runs(dealt=True, whole=True)))
     return _word_rows(run_to_end(stream))
 
 

@@ -146,11 +146,12 @@ class Tables:
             "doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "text")
         )
 
-    def runs(self, dealt: bool = False) -> DataFrame:
+    def runs(self, dealt: bool = False, whole: bool = False) -> DataFrame:
         """Two lines make a paragraph; a run is a word with the blank after it.
 
         With `dealt`, whole texts go to tasks by document before they are cut. Spark
         knows that then, and work on documents and paragraphs shuffles no words.
+        With `whole`, a row is a paragraph with the texts of its runs in order.
         """
         lines = F.split("text", "\n", -1)
         pairs = F.transform(
@@ -162,21 +163,23 @@ class Tables:
             "document.xml"
         )
         texts = self.texts("documents").select("doc_id", number.cast("string").alias("doc"), "text")
-        return (
+        paragraphs = (
             (texts.repartition("doc") if dealt else texts)
             .select("doc_id", "doc", lines.alias("_lines"))
             .select("doc_id", "doc", F.posexplode(pairs).alias("para_idx", "_para"))
             .withColumn("part", part)
-            .select("doc", "part", "para_idx", F.posexplode(F.split("_para", "(?<= )", -1)).alias("run_idx", "text"))
-            .select(
-                "doc",
-                "part",
-                F.regexp_replace("part", r"1?\.xml$", "").alias("part_kind"),
-                "para_idx",
-                "run_idx",
-                F.lit(0).alias("text_idx"),
-                "text",
-            )
+        )
+        words = F.split("_para", "(?<= )", -1)
+        if whole:
+            return paragraphs.filter("_para IS NOT NULL").select("doc", "part", "para_idx", words.alias("texts"))
+        return paragraphs.select("doc", "part", "para_idx", F.posexplode(words).alias("run_idx", "text")).select(
+            "doc",
+            "part",
+            F.regexp_replace("part", r"1?\.xml$", "").alias("part_kind"),
+            "para_idx",
+            "run_idx",
+            F.lit(0).alias("text_idx"),
+            "text",
         )
 
     @staticmethod

@@ -1,7 +1,7 @@
 """Word documents as a data source: `spark.read.format("word_runs")` and `spark.readStream.format("word_runs")`.
 
-The driver lists the folder (names and sizes only) and plans partitions of about
-`partitionBytes`; tasks open the files. A broken file or part is a row with
+The driver walks the folder (names and sizes only) and plans partitions of about
+`partitionBytes`, which hold compressed paths; tasks open the files. A broken file or part is a row with
 `error`. Options: `path`, `partitionBytes`, and for streams `settleSeconds`, how
 long a file must have been left alone before it is read.
 """
@@ -9,17 +9,17 @@ long a file must have been left alone before it is read.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader
 
 from lexiloom.schemas import RUNS
-from lexiloom.sources.docx import document_rows
-from lexiloom.sources.shared import folder_uri
+from lexiloom.sources.docx import document_parts
+from lexiloom.sources.listing import Contents, FilePart, Found, files_below, planned
 
 SUFFIX = ".docx"
 PARTITION_BYTES = 64 << 20
@@ -28,17 +28,16 @@ _TYPES = {"INT": pa.int32(), "STRING": pa.string()}
 _ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (field.split() for field in RUNS.split(", "))])
 
 
-@dataclass
-class WordFiles(InputPartition):
-    """Files of one task, as the file system knows them."""
-
-    paths: tuple[str, ...]
-
-
-def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for start in range(0, len(rows), BATCH_ROWS):
-        columns = zip(*rows[start : start + BATCH_ROWS], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+def _batches(counts: list[int], names: list[tuple], rows: tuple[list, ...]) -> Iterator[pa.RecordBatch]:
+    """`rows` has columns; `names` has document, part, kind and error of as many rows each as `counts` says."""
+    paragraphs, runs, numbers, texts = rows
+    of = np.repeat(np.arange(len(names)), counts)
+    each = [pa.array(values, pa.string()) for values in zip(*names, strict=True)]
+    for start in range(0, len(texts), BATCH_ROWS):
+        part = slice(start, start + BATCH_ROWS)
+        doc, name, kind, error = (values.take(pa.array(of[part])) for values in each)
+        ints = [pa.array(values[part], pa.int32()) for values in (paragraphs, runs, numbers)]
+        yield pa.RecordBatch.from_arrays([doc, name, kind, *ints, pa.array(texts[part], pa.string()), error], schema=_ARROW)
 
 
 class _Folder:
@@ -49,45 +48,38 @@ class _Folder:
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
         self.settle = float(options.get("settleSeconds", 2))
 
-    def files(self) -> list[fs.FileInfo]:
-        system, root = fs.FileSystem.from_uri(folder_uri(self.folder))
-        found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        return [f for f in found if f.type == fs.FileType.File and f.base_name.endswith(SUFFIX) and not f.base_name.startswith(("_", "."))]
-
-    def planned(self, files: list[fs.FileInfo]) -> list[WordFiles]:
-        out, held, size = [], [], 0
-        for file in sorted(files, key=lambda f: f.path):
-            if held and size + file.size > self.partition_bytes:
-                out.append(WordFiles(tuple(held)))
-                held, size = [], 0
-            held.append(file.path)
-            size += file.size
-        return [*out, WordFiles(tuple(held))] if held else out
-
-    def rows(self, partition: WordFiles) -> Iterator[pa.RecordBatch]:
+    def files(self) -> Iterator[Found]:
+        return (f for f in files_below(self.folder) if f.name.endswith(SUFFIX) and not f.name.startswith(("_", ".")))
+
+    def planned(self, files: Iterable[Found]) -> list[FilePart]:
+        return planned(files, self.partition_bytes)
+
+    def rows(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         """The rows of the files, as columns: Spark takes over tuples one value at a time."""
-        uri = folder_uri(self.folder)
-        system, _ = fs.FileSystem.from_uri(uri)
-        scheme = uri.partition(":")[0]
-        written = self.folder.partition(":")[0] if ":/" in self.folder else "file"
-        held: list[tuple] = []
+        contents = Contents(self.folder)
+        counts, names, rows = [], [], ([], [], [], [])
         for path in partition.paths:
-            with system.open_input_file(path) as source:
-                held += document_rows(f"file:{path}" if scheme == "file" else f"{written}://{path}", source.read())
-            if len(held) >= BATCH_ROWS:
-                yield from _batches(held)
-                held = []
-        yield from _batches(held)
+            doc = contents.uri(path)
+            for part, kind, columns, error in document_parts(contents.read(path)):
+                counts.append(len(columns[0]))
+                names.append((doc, part, kind, error))
+                for held, more in zip(rows, columns, strict=True):
+                    held += more
+            if len(rows[0]) >= BATCH_ROWS:
+                yield from _batches(counts, names, rows)
+                counts, names, rows = [], [], ([], [], [], [])
+        if names:
+            yield from _batches(counts, names, rows)
 
 
 class WordReader(DataSourceReader):
     def __init__(self, options):
         self.folder = _Folder(options)
 
-    def partitions(self) -> list[WordFiles]:
-        return self.folder.planned(self.folder.files()) or [WordFiles(())]
+    def partitions(self) -> list[FilePart]:
+        return self.folder.planned(self.folder.files()) or [FilePart()]
 
-    def read(self, partition: WordFiles) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         return self.folder.rows(partition)
 
 
@@ -102,13 +94,13 @@ class WordStreamReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         settled = time.time_ns() - int(self.folder.settle * 1e9)
-        self.seen = max([self.seen, *(f.mtime_ns for f in self.folder.files() if f.mtime_ns <= settled)])
+        self.seen = max(chain([self.seen], (f.modified for f in self.folder.files() if f.modified <= settled)))
         return {"changed": self.seen}
 
-    def partitions(self, start: dict, end: dict) -> list[WordFiles]:
-        return self.folder.planned([f for f in self.folder.files() if start["changed"] < f.mtime_ns <= end["changed"]])
+    def partitions(self, start: dict, end: dict) -> list[FilePart]:
+        return self.folder.planned(f for f in self.folder.files() if start["changed"] < f.modified <= end["changed"])
 
-    def read(self, partition: WordFiles) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         return self.folder.rows(partition)
 
     def commit(self, end: dict) -> None:
